@@ -60,3 +60,19 @@ def significant(x: Column, digits: int = 6) -> Column:
     magnitude = F.when(x == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(x))).cast("int"))
     scale = F.pow(F.lit(10.0), digits - 1 - magnitude)
     return F.round(x * scale) / scale
+
+
+def general_text(x: Column, digits: int = 6) -> Column:
+    """Text of a number with up to ``digits`` significant digits, as printf ``%.6g`` gives it."""
+    v = significant(x, digits)
+    power = F.when(v == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(v))).cast("int"))
+
+    def plain(c: Column) -> Column:
+        fixed = F.round(c, 10).cast("decimal(38,10)").cast("string")
+        return F.regexp_replace(fixed, r"\.?0+$", "")
+
+    mantissa = significant(v / F.pow(F.lit(10.0), power), digits)
+    exponent = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), 2, "0"))
+    return (F.when(v == 0, F.lit("0"))
+            .when((power < -4) | (power >= digits), F.concat(plain(mantissa), F.lit("e"), exponent))
+            .otherwise(plain(v)))

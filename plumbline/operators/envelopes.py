@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ..functions.scalar import significant
+from ..functions.scalar import general_text
 
 # ---- outgoing: protocol 1.0 ------------------------------------------------
 
@@ -107,12 +107,6 @@ def _json_text(c: str) -> Column:
     return F.when(_falsy(F.col(f"d.{c}")), F.lit("")).otherwise(F.col(f"d.{c}"))
 
 
-def threshold_text(c: Column) -> Column:
-    """Six significant digits, without trailing zeros; null gives an empty text."""
-    plain = F.regexp_replace(significant(c).cast("string"), r"\.0$", "")
-    return F.coalesce(F.when(c == 0, F.lit("0")).otherwise(plain), F.lit(""))
-
-
 def decisions(parsed: DataFrame, site: DataFrame, ingested_at: Column) -> DataFrame:
     """One row per decision of the accepted files, in the fixed columns."""
     from ..plans.frames import with_scalars
@@ -121,7 +115,8 @@ def decisions(parsed: DataFrame, site: DataFrame, ingested_at: Column) -> DataFr
         F.col("d.id").alias("id"), _text("created_at").alias("created_at"), F.col("d.decision_type").alias("decision_type"),
         F.col("d.decision").alias("decision"), _text("model_name").alias("model_name"),
         _text("model_version").alias("model_version"),
-        threshold_text(F.col("d.threshold_applied").try_cast("double")).alias("threshold_applied"),
+        F.coalesce(general_text(F.col("d.threshold_applied").try_cast("double")), F.lit(""))
+        .alias("threshold_applied"),
         _json_text("scores").alias("scores_json"), _json_text("inputs_ref").alias("inputs_ref_json"),
         _text("result_summary").alias("result_summary"), _json_text("trace").alias("trace_json"),
         ingested_at.alias("ingested_at"), "source_file")

@@ -67,3 +67,10 @@ def conditional(value: Column, conds: Iterable[tuple[Column, Column]]) -> Column
     for cond, res in conds:
         out = F.when(cond, res) if out is None else out.when(cond, res)
     return out.otherwise(value) if out is not None else value
+
+
+def micros(df: DataFrame, ts: str) -> Column:
+    """Microseconds of a timestamp column; one without time zone does not depend on the session's."""
+    if dict(df.dtypes)[ts] == "timestamp_ntz":
+        return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', `{ts}`)")
+    return F.unix_micros(F.col(ts))
