@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -66,7 +67,7 @@ def _autocovariance(rows: DataFrame, key: str) -> DataFrame:
     size = F.greatest(F.col("lags"), F.lit(BLOCK))
     blocks = halo_blocks(rows, "pos", size, 0, F.col("lags")).select(key, "block", "own", "pos", "e", "lags")
 
-    def partial_sums(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def partial_sums(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         e, m, lags = pdf["e"].to_numpy(), int(pdf["own"].sum()), int(pdf["lags"].iloc[0])
         lags = min(lags, len(e) - 1)
@@ -183,7 +184,7 @@ def adf(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
     blocks = halo_blocks(rows, "pos", size, F.col("lags") + 1, 0)
     kind = dict(df.dtypes)[key]
 
-    def cross_products(group, pdf: pd.DataFrame) -> pd.DataFrame:
+    def cross_products(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         y, pos = pdf["y"].to_numpy(), pdf["pos"].to_numpy()
         lags, n = int(pdf["lags"].iloc[0]), int(pdf["n"].iloc[0])
