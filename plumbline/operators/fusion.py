@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.scalar import status_label
@@ -108,7 +106,8 @@ def fuse(results: DataFrame, strategy: str, weights: dict[str, float] | None = N
     """(run, modality, overall_score, status) -> one fused score per run.
 
     Results in error are left out; with fewer than two there is no fused score, and a
-    single modality stands for itself. Unknown weights are ignored with a warning.
+    single modality stands for itself. Weights of modalities a run does not have are
+    ignored and listed in ``ignored_weights``.
     """
     if strategy not in ("none", "weighted", "max", "joint"):
         raise ValueError(f"unknown fusion {strategy!r}")
@@ -118,7 +117,6 @@ def fuse(results: DataFrame, strategy: str, weights: dict[str, float] | None = N
     if strategy == "weighted" and weights:
         given = F.create_map(*[F.lit(x) for kv in weights.items() for x in kv])
         w = F.coalesce(F.try_element_at(given, F.col("modality")), F.lit(0.0))
-        warnings.warn(f"weights apply to {sorted(weights)}; names without a result are ignored", stacklevel=2)
     clamped = F.least(F.greatest(s, F.lit(0.0)), F.lit(1.0))
     total = F.sum(w)
     by_strategy = {
@@ -132,7 +130,11 @@ def fuse(results: DataFrame, strategy: str, weights: dict[str, float] | None = N
     out = ok.groupBy(run).agg(
         n.alias("n_modalities"), F.when(n >= 2, by_strategy[strategy]).alias("fused_score"),
         F.max_by("modality", F.struct(s, F.col("modality"))).alias("top_modality"),
-        F.when(n == 1, F.max(s)).alias("single_score"))
+        F.when(n == 1, F.max(s)).alias("single_score"),
+        # at most one entry per modality
+        F.array_join(F.array_sort(F.array_except(
+            F.array(*[F.lit(k) for k in (weights or {})]).cast("array<string>"), F.collect_set("modality"))), ",")
+        .alias("ignored_weights"))
     return out.withColumn("strategy", F.lit(strategy))
 
 
