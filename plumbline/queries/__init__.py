@@ -26,13 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def load_all() -> None:
-    import importlib, os
-    for m in ("clusters comparisons decisions drift embeddings experiments extension items lineage profiles series sources streams").split():
-        if os.path.exists(os.path.join(os.path.dirname(__file__), m + ".py")):
-            importlib.import_module("." + m, __name__)
-
-
-def _old() -> None:
+    """Import the modules that register the queries."""
     from . import (  # noqa: F401
         clusters, comparisons, decisions, drift, embeddings, experiments, extension, items,
         lineage, profiles, series, sources, streams)
