@@ -68,12 +68,24 @@ def cluster_select_rule(spark, sf):
         e.agg(F.lit(-1).alias("label"), n.alias("n"), cluster.rule_k(n).alias("k")))
 
 
-@query("cluster_dbscan")
+# brute force: all pairs, then the components of the core points
+DBSCAN = """p AS (SELECT vec_id AS key, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+nb AS MATERIALIZED (SELECT a.key AS a, b.key AS b FROM p a JOIN p b ON pow(a.x - b.x, 2) + pow(a.y - b.y, 2) <= {eps} * {eps}),
+core AS MATERIALIZED (SELECT a AS key FROM nb GROUP BY a HAVING count(*) >= 5),
+cn AS MATERIALIZED (SELECT a, b FROM nb WHERE a IN (FROM core) AND b IN (FROM core)),
+reach AS (SELECT key AS root, key FROM core UNION SELECT root, b FROM reach JOIN cn ON cn.a = reach.key),
+cl AS (SELECT key, min(root) AS cluster FROM reach GROUP BY key),
+bd AS (SELECT nb.a AS key, min(cluster) AS cluster FROM nb JOIN cl ON cl.key = nb.b WHERE nb.a NOT IN (FROM core) GROUP BY 1)
+SELECT p.key, coalesce(cl.cluster, bd.cluster, -1) AS cluster,
+ CASE WHEN cl.key IS NOT NULL THEN 'core' WHEN bd.key IS NOT NULL THEN 'border' ELSE 'noise' END AS kind
+FROM p LEFT JOIN cl USING (key) LEFT JOIN bd USING (key)"""
+
+
+@query("cluster_dbscan", f"WITH RECURSIVE {DBSCAN.format(eps=0.02)}")
 def cluster_dbscan(spark, sf):
-    points = cut(coords2(spark, sf).select("key", F.col("c1").alias("x"), F.col("c2").alias("y")))
-    wide = cluster.dbscan(points, 0.5, 5).select("key", F.col("cluster").alias("cluster_wide"))
-    fine = cluster.dbscan(points, 0.03, 5)
-    return fine.join(wide, "key")
+    points = embeddings(spark, sf).select("key", F.get("embedding", F.lit(0)).cast("double").alias("x"),
+                                          F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return cluster.dbscan(points, 0.02, 5).select("key", "cluster", "kind")
 
 
 @query("cluster_hierarchical")

@@ -129,7 +129,8 @@ def src_envelopes(spark, sf):
     return envelopes.run_manifest(envelopes.validate(read_envelopes(spark, path, one_per_file=False)))
 
 
-@query("sink_decisions")
+@query("sink_decisions", f"""WITH {ENV}, d AS (SELECT CAST(sum(rows) AS BIGINT) AS n_rows, count(*) AS n_files FROM f WHERE reason IS NULL AND kind <> 5)
+SELECT unnest(['csv', 'parquet']) AS format, n_rows, 14 AS n_columns, n_files, 1::BIGINT AS n_sites FROM d""")
 def sink_decisions(spark, sf):
     from ..sources.sinks import write_decisions
     p = parsed(spark, sf)

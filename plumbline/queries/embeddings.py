@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import query, table
-from .drift import TEXT_LONG, image_table, text_pair
+from .drift import PROFILE_SQL, TEXT_LONG, image_table, text_pair
 from .sqlparts import cdf_ctes, sides
 from ..functions.scalar import status_label
 from ..functions.text import ATTRIBUTES
 from ..operators import drift, embedding as E, fusion
 from ..plans.frames import r, split_sides, to_long
 from ..plans.scratch import scratch_path
+from ..sources import tables
 from ..sources.cache import AnalysisCache
 
 
@@ -166,13 +167,16 @@ def drift_detector_select(spark, sf):
     return out
 
 
-@query("drift_baseline_create")
+@query("drift_baseline_create", f"""WITH {EMB}, s AS (SELECT sqrt(sum(pow(b - t, 2))) / sqrt(count(*)) AS d FROM mean)
+SELECT 1 AS run, 'BASELINE_CREATED' AS status, 0.0::DOUBLE AS overall_score, count(*) AS n_rows FROM embeddings
+UNION ALL SELECT 2, CASE WHEN d < 0.15 THEN 'NORMAL' WHEN d < 0.25 THEN 'WARNING' ELSE 'CRITICAL' END, round(d, 6),
+ (SELECT count(*) FROM embeddings) FROM s""")
 def drift_baseline_create(spark, sf):
     cache = AnalysisCache(spark, scratch_path(spark, "baseline"))
     e = pair(spark, sf)
     first = fusion.drift_or_baseline(e, "s1", "s1", cache, "mean_shift").withColumn("run", F.lit(1))
     second = fusion.drift_or_baseline(e, "s1", "s1", cache, "mean_shift").withColumn("run", F.lit(2))
-    return first.unionByName(second)
+    return first.unionByName(second).withColumn("overall_score", r("overall_score"))
 
 
 # ---- fusion ----------------------------------------------------------------
@@ -219,7 +223,17 @@ for _strategy in _FUSION:
     _register(_strategy)
 
 
-@query("sink_timeline")
+def _timeline_sql(cut: str) -> str:
+    return f"""SELECT '{cut}' AS timestamp, score, 0 AS files_added, 0 AS files_removed FROM (
+ WITH p AS (SELECT event_type, ts < TIMESTAMP '{cut}' AS side, {PROFILE_SQL} FROM events GROUP BY ALL),
+ l AS (SELECT * FROM p UNPIVOT (v FOR metric IN (mean, variance, skewness, kurtosis))),
+ x AS (SELECT event_type, metric, max(v) FILTER (side) AS b, max(v) FILTER (NOT side) AS t FROM l GROUP BY ALL)
+ SELECT avg(abs(b - t)) AS score FROM x)"""
+
+
+@query("sink_timeline", f"""SELECT timestamp, round(score, 4) AS overall_score, files_added, files_removed,
+ CASE WHEN score < 0.15 THEN 'NORMAL' WHEN score < 0.25 THEN 'WARNING' ELSE 'CRITICAL' END AS status
+FROM ({_timeline_sql('2024-01-10')} UNION ALL {_timeline_sql('2024-01-20')})""")
 def sink_timeline(spark, sf):
     from ..sources.sinks import append_timeline
     path = scratch_path(spark, "timeline")
@@ -230,10 +244,13 @@ def sink_timeline(spark, sf):
         append_timeline(scored.select(
             F.lit(cut).alias("timestamp"), F.col("score").alias("overall_score"),
             status_label(F.col("score")).alias("status"), F.lit(0).alias("files_added"), F.lit(0).alias("files_removed")), path)
-    return spark.read.option("header", True).option("sep", "\t").csv(path).orderBy("timestamp")
+    back = tables.read_csv(spark, path, "timestamp string, overall_score double, status string, files_added int, files_removed int",
+                           sep="\t")
+    return back.withColumn("overall_score", r("overall_score", 4)).orderBy("timestamp")
 
 
-@query("sink_plot_tables")
+@query("sink_plot_tables", f"""WITH {cdf_ctes(TEXT_LONG)} SELECT 'hist_attributes' AS name, count(DISTINCT attr) * 20 AS n_rows FROM long
+UNION ALL SELECT 'cluster_sizes', count(DISTINCT label) FROM embeddings""")
 def sink_plot_tables(spark, sf):
     from ..sources.sinks import write_plot_tables
     path = scratch_path(spark, "plots")

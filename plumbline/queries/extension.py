@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from . import query, table
 from .drift import PAIR_LONG, line_pair, pair_long
-from .sqlparts import psi_ctes
+from .profiles import SUMMARY_OF_LONG
+from .sqlparts import LINE_LONG, psi_ctes, text_attributes, unpivot
 from ..functions.text import ATTRIBUTES, with_text_attributes
 from ..operators import drift, profile
 from ..operators.fusion import UnsupportedDetector
@@ -15,12 +16,13 @@ from ..plans.binning import paired_histogram
 from ..plans.frames import r, to_long, two_sides
 
 
-@query("register_profiler")
+@query("register_profiler", f"""WITH long AS ({unpivot(ATTRIBUTES, f"({text_attributes()})", "'x'")}) {SUMMARY_OF_LONG}""")
 def register_profiler(spark, sf):
     reg = Registry()
     reg.register_profiler("text", lambda df: profile.attribute_summary(
         with_text_attributes(df.select("text", "lang"), "text", F.col("lang")), ATTRIBUTES))
-    return reg.profile("text", table(spark, sf, "documents"))
+    s = reg.profile("text", table(spark, sf, "documents"))
+    return s.select("attr", "n", r("total", 4).alias("total"), *[r(c).alias(c) for c in ("min", "max", "mean", "std", "median")])
 
 
 @query("register_detector", f"""WITH {psi_ctes(PAIR_LONG)} SELECT attr, round(score, 6) + 0.0 AS score FROM psi WHERE attr <> 'price_by_quantity'""")
@@ -34,7 +36,11 @@ def register_detector(spark, sf):
     return out.select("attr", r("score").alias("score"))
 
 
-@query("detector_registry")
+@query("detector_registry", f"""WITH {psi_ctes(LINE_LONG)} SELECT * FROM (VALUES
+ ('audio', 'wasserstein', 'default,wasserstein', '', NULL), ('image', 'ensemble', 'cosine,default,ensemble,mean_shift,mmd,psi,wasserstein', '', NULL),
+ ('text', 'ensemble', 'cosine,default,ensemble,mmd,mmd_only,psi', '', NULL), ('timeseries', 'moments', 'default,moments', '', NULL))
+ t(modality, default_detector, supported, notes, flagged_columns)
+UNION ALL SELECT 'tabular', 'psi', 'psi', 'equal-width bins', count(*) FILTER (score > 0.1) FROM psi""")
 def detector_registry(spark, sf):
     """The declared detectors, with how many columns of the line pair each univariate one flags."""
     reg = Registry()
@@ -46,7 +52,7 @@ def detector_registry(spark, sf):
         pass
     flagged = drift.psi(line_pair(spark, sf)).agg(F.count_if(F.col("score") > 0.1).alias("flagged"))
     declared = reg.detector_table(spark)
-    return declared.withColumn("flagged_columns", F.when(F.col("modality") == "tabular", flagged.scalar()))
+    return declared.withColumn("supported", F.array_join("supported", ",")).withColumn("flagged_columns", F.when(F.col("modality") == "tabular", flagged.scalar()))
 
 
 @query("register_transform", """SELECT doc_id, md5(reverse(text)) AS reversed, md5(text) AS unknown FROM documents""")

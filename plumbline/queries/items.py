@@ -157,7 +157,9 @@ def sample_threshold(spark, sf):
     return sampling.sample_threshold(table(spark, sf, "documents"), "n_chars", 500, 5000).select("doc_id", "n_chars")
 
 
-@query("sample_materialize")
+@query("sample_materialize", f"""WITH x AS (SELECT l_returnflag, count(*) AS n, sum(count(*)) OVER () AS total FROM lineitem GROUP BY 1)
+SELECT 'by_flag' AS name, 'stratified' AS strategy, '{{"n": 500, "seed": 42}}' AS params,
+ CAST(sum(least(n, greatest(1, floor(500 * n / total)))) AS BIGINT) AS n_rows FROM x""")
 def sample_materialize(spark, sf):
     s = sampling.sample_stratified(keyed_lines(spark, sf), F.col("l_returnflag"), 500, "line")
     return sampling.materialize(s, scratch_path(spark, "samples"), "by_flag", "stratified", '{"n": 500, "seed": 42}')

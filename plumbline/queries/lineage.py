@@ -125,7 +125,8 @@ def lineage_version_items(spark, sf):
     return lineage.version_items(nodes, edges, "set7", "v1").unionByName(names)
 
 
-@query("lineage_append")
+@query("lineage_append", f"""WITH {GRAPH} SELECT 'type' AS section, type AS name, count(*) AS n FROM nodes GROUP BY ALL
+UNION ALL SELECT 'children', source || '/' || relationship, count(*) FROM edges WHERE source IN (SELECT id FROM nodes WHERE type = 'dataset') GROUP BY ALL""")
 def lineage_append(spark, sf):
     path = scratch_path(spark, "lineage")
     nodes, edges = graph(spark, sf)
@@ -156,7 +157,10 @@ def table_fingerprint(spark, sf):
     return out
 
 
-@query("version_status")
+@query("version_status", """SELECT 'customer' AS name, 'v1.0' AS version, 'first' AS alias, 'clean' AS state, 'ok' AS outcome
+UNION ALL SELECT 'orders', 'v1.0', 'first', CASE WHEN count(*) = count(*) FILTER (o_orderkey % 2 = 0) THEN 'clean' ELSE 'modified' END,
+ CASE WHEN count(*) = count(*) FILTER (o_orderkey % 2 = 0) THEN 'ok' ELSE 'warning' END FROM orders
+UNION ALL SELECT 'part', NULL, NULL, 'unversioned', 'warning'""")
 def version_status(spark, sf):
     c, o, p = (table(spark, sf, n) for n in ("customer", "orders", "part"))
     registered = versions.fingerprint(c, "customer").unionByName(versions.fingerprint(o.where("o_orderkey % 2 = 0"), "orders"))

@@ -190,14 +190,14 @@ def csv_describe(spark, sf):
                       *[r(c, 4).alias(c) for c in ("p25", "p50", "p75")], "unique", "top", "freq")
 
 
-_SUMMARY = """SELECT attr, count(*) AS n, round(sum(value), 4) AS total, round(min(value), 6) AS min,
+SUMMARY_OF_LONG = """SELECT attr, count(*) AS n, round(sum(value), 4) AS total, round(min(value), 6) AS min,
  round(max(value), 6) AS max, round(avg(value), 6) AS mean, round(stddev_pop(value), 6) AS std,
  round(quantile_cont(value, 0.5), 6) AS median FROM long GROUP BY attr"""
 _TEXT_ALL = unpivot(T.ATTRIBUTES, f"({text_attributes()})", "'x'")
 
 
 @query("attr_summary", f"""WITH long AS ({_TEXT_ALL} UNION ALL {unpivot(['p_size', 'p_retailprice'], 'part', "'x'")})
-{_SUMMARY}""")
+{SUMMARY_OF_LONG}""")
 def attr_summary(spark, sf):
     d = T.with_text_attributes(table(spark, sf, "documents").select("text", "lang"), "text", F.col("lang"))
     s = profile.attribute_summary(d, T.ATTRIBUTES).unionByName(

@@ -167,10 +167,14 @@ def src_uri(spark, sf):
     return ok.unionByName(refused)
 
 
-@query("cache_analysis")
+@query("cache_analysis", """SELECT 'customer' AS name, 'original' AS kind, 'shape' AS cache_type, 2::BIGINT AS n_snapshots, 'customer@1,customer@2' AS snapshots, count(*) AS n_rows FROM customer
+UNION ALL SELECT 'customer', 'copy', 'shape', 1, 'customer@3', count(*) FROM customer
+UNION ALL SELECT 'orders', 'original', 'shape', 2, 'orders@1,orders@2', count(*) FROM orders
+UNION ALL SELECT 'orders', 'copy', 'shape', 1, 'orders@3', count(*) FROM orders""")
 def cache_analysis(spark, sf):
     from ..operators import versions
     cache = AnalysisCache(spark, scratch_path(spark, "cache"))
+    loaded = []
     for name in ("customer", "orders"):
         df = table(spark, sf, name)
         digest = versions.fingerprint(df, name).first()["hash"]
@@ -178,12 +182,18 @@ def cache_analysis(spark, sf):
             cache.save(df.agg(F.count("*").alias("n_rows")), digest, "shape", f"{name}@1")
         cache.link(digest, "shape", f"{name}@2")
         cache.copy(digest, f"copy-{name}", f"{name}@3")
-    listed = cache.list()
-    return listed.select(F.when(F.startswith("data_hash", F.lit("copy-")), "copy").otherwise("original").alias("kind"),
-                         "cache_type", "n_snapshots", "snapshots")
+        loaded += [(name, "original", digest), (name, "copy", f"copy-{name}")]
+    out = None
+    for name, kind, digest in loaded:
+        one = cache.list().where(F.col("data_hash") == digest).select(
+            F.lit(name).alias("name"), F.lit(kind).alias("kind"), "cache_type", "n_snapshots", "snapshots",
+            cache.load(digest, "shape").scalar().alias("n_rows"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
-@query("register_source")
+@query("register_source", """SELECT 'customer' AS name, count(*) AS n_rows FROM customer UNION ALL SELECT 'part', count(*) FROM part
+UNION ALL SELECT 'nation.parquet', count(*) FROM nation""")
 def register_source(spark, sf):
     from ..operators import registry
     reg = registry.Registry()
@@ -195,7 +205,7 @@ def register_source(spark, sf):
     return out
 
 
-@query("register_sink")
+@query("register_sink", "SELECT unnest(['files', 'lines']) AS sink, count(DISTINCT length(url) >= 0) AS n_rows FROM pages")
 def register_sink(spark, sf):
     from ..operators import registry
     reg = registry.Registry()
