@@ -121,10 +121,9 @@ def coco_documents(spark, sf):
     k = F.col("p_partkey")
     notes = F.transform(F.sequence(F.lit(0).cast("bigint"), k % 3), lambda i: F.struct(
         (k * 10 + i).alias("id"), k.alias("image_id"), F.when((k + i) % 5 == 4, 9).otherwise((k + i) % 5).alias("category_id")))
-    names = spark.read.parquet(f"{sf}/region.parquet").select(
-        F.struct(F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name")).alias("c"))
-    # region names are the categories: five rows, the same list in every document
-    categories = F.array(*[F.struct(F.lit(row["c"]["id"]).alias("id"), F.lit(row["c"]["name"]).alias("name")) for row in names.collect()])
+    # the five regions are the categories of every document
+    categories = table(spark, sf, "region").agg(F.collect_list(F.struct(
+        F.col("r_regionkey").cast("bigint").alias("id"), F.col("r_name").alias("name"))).alias("c")).scalar()
     return p.select(F.concat(F.lit("part"), k.cast("string")).alias("document"),
                     F.to_json(F.struct(categories.alias("categories"), notes.alias("annotations"))).alias("content"))
 

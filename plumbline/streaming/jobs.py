@@ -124,7 +124,12 @@ def sliding_counts(hourly: DataFrame, hours: int = 48) -> DataFrame:
 
 
 def agent_sessions(reports: DataFrame, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
-    """Sessions of each agent, ended by a gap without reports."""
+    """Sessions of each agent, ended by a gap without reports.
+
+    Sessions are merged before the shuffle, so that a busy agent does not send all its
+    reports to one task.
+    """
+    reports.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
     return (reports.withWatermark("created_at", delay)
             .groupBy("agent_id", F.session_window("created_at", gap).alias("w"))
             .agg(F.count("*").alias("n"), F.max("created_at").alias("last_seen"))
