@@ -39,7 +39,7 @@ def decompose(df: DataFrame, key: str, order: Sequence[str], value: str) -> Data
     rows = numbered(df.select(key, *order, F.col(value).cast("double").alias("x")).where("x IS NOT NULL"),
                     [key], order, "pos").withColumnRenamed("pos_total", "n").where(F.col("n") >= 2 * PERIOD)
     half = PERIOD // 2
-    blocks = halo_blocks(rows, "pos", BLOCK, half, half)
+    blocks = halo_blocks(rows, "pos", BLOCK, half, half, total="n")
     w = Window.partitionBy(key, "block").orderBy("pos")
     around = F.sum("x").over(w.rowsBetween(-half, half))
     ends = F.lag("x", half).over(w) + F.lead("x", half).over(w)
@@ -181,7 +181,7 @@ def adf(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
             .select(key, "pos", "n", ((F.col("x") - F.col("_m")) / F.col("_s")).alias("y"),
                     F.least(top, F.floor(F.col("n") / 2) - 2).alias("lags")))
     size = F.greatest(F.col("lags") + 2, F.lit(BLOCK))
-    blocks = halo_blocks(rows, "pos", size, F.col("lags") + 1, 0)
+    blocks = halo_blocks(rows, "pos", size, F.col("lags") + 1, 0, total="n")
     kind = dict(df.dtypes)[key]
 
     def cross_products(group: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:

@@ -79,9 +79,12 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str
 
 
 def halo_blocks(df: DataFrame, pos: str, size: Column | int, before: Column | int,
-                after: Column | int) -> DataFrame:
+                after: Column | int, total: str | None = None) -> DataFrame:
     """Cut numbered rows into blocks of ``size``, each with its neighbours' edge rows.
 
+    ``total`` names the column with the row count of the series; without it a block of
+    edge rows alone may follow the last one.
+
     Adds ``block`` and ``own``; a row shows up as ``own`` in exactly one block and as
     a halo row in the blocks that look ``before``/``after`` rows over their edge.
     """
@@ -90,5 +93,7 @@ def halo_blocks(df: DataFrame, pos: str, size: Column | int, before: Column | in
     size, before, after = lit(size), lit(before), lit(after)
     first = F.greatest(F.floor((F.col(pos) - after) / size), F.lit(0))
     last = F.floor((F.col(pos) + before) / size)
+    if total is not None:
+        last = F.least(last, F.floor((F.col(total) - 1) / size))
     return (df.withColumn("block", F.explode(F.sequence(first, last)))
             .withColumn("own", F.col("block") == F.floor(F.col(pos) / size)))
