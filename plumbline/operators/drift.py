@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.binning import bin_center, paired_histogram
 from ..plans.cdf import paired_cdf
-from ..plans.frames import BASE, TARGET
+from ..plans.frames import BASE, TARGET, to_long, with_scalars
+from ..plans.scratch import cut
 
 def base_value(c: str = "value") -> Column:
     return F.when(F.col("side") == BASE, F.col(c))
@@ -27,41 +28,41 @@ def mean_delta(long: DataFrame) -> DataFrame:
                         (F.round(F.col("t") - F.col("b"), 4) + F.lit(0.0)).alias("delta"))
 
 
-def psi_of_counts(hist: DataFrame, bins: int, by: tuple[str, ...] = ("attr",)) -> DataFrame:
+def psi_of_counts(hist: DataFrame, bins: int) -> DataFrame:
     """Stability index of paired counts with add-one smoothing; 0 for a constant or one-sided attribute."""
-    totals = hist.groupBy(*by).agg(F.sum("n_base").alias("_nb"), F.sum("n_target").alias("_nt"))
-    p = (F.col("n_base") + 1) / (F.col("_nb") + bins)
-    q = (F.col("n_target") + 1) / (F.col("_nt") + bins)
-    term = F.sum((q - p) * F.ln(q / p))
-    empty = (F.max("hi") == F.max("lo")) | (F.max("_nb") == 0) | (F.max("_nt") == 0)
-    return (hist.join(F.broadcast(totals), list(by)).groupBy(*by)
-            .agg(F.when(empty, F.lit(0.0)).otherwise(F.abs(term)).alias("score")))
+    p = (F.col("n_base") + 1) / (F.col("n_base_total") + bins)
+    q = (F.col("n_target") + 1) / (F.col("n_target_total") + bins)
+    empty = (F.max("hi") == F.max("lo")) | (F.max("n_base_total") == 0) | (F.max("n_target_total") == 0)
+    return hist.groupBy("attr").agg(
+        F.when(empty, F.lit(0.0)).otherwise(F.abs(F.sum((q - p) * F.ln(q / p)))).alias("score"))
 
 
 def psi(long: DataFrame, bins: int = 10) -> DataFrame:
     return psi_of_counts(paired_histogram(long, bins), bins)
 
 
-def kl(long: DataFrame, bins: int = 20, edges: str = "common") -> DataFrame:
+def kl(long: DataFrame, bins: int = 20, edges: str = "common", ranges: DataFrame | None = None) -> DataFrame:
     """Kullback-Leibler divergence of base from target to 4 decimals."""
-    hist = paired_histogram(long, bins, edges)
-    totals = hist.groupBy("attr").agg(F.sum("n_base").alias("_nb"), F.sum("n_target").alias("_nt"))
+    hist = paired_histogram(long, bins, edges, ranges)
     eps = 1e-10
     # adding eps to every share and dividing by their sum, 1 + bins * eps
-    p = (F.col("n_base") / F.col("_nb") + eps) / (1 + bins * eps)
-    q = (F.col("n_target") / F.col("_nt") + eps) / (1 + bins * eps)
-    score = F.when((F.max("_nb") == 0) | (F.max("_nt") == 0) | (F.max("hi") == F.max("lo")), F.lit(0.0)) \
-        .otherwise(F.sum(p * F.ln(p / q)))
-    return (hist.join(F.broadcast(totals), "attr").groupBy("attr")
-            .agg((F.round(F.abs(score), 4) + F.lit(0.0)).alias("score")))
+    p = (F.col("n_base") / F.nullif("n_base_total", F.lit(0)) + eps) / (1 + bins * eps)
+    q = (F.col("n_target") / F.nullif("n_target_total", F.lit(0)) + eps) / (1 + bins * eps)
+    empty = (F.max("n_base_total") == 0) | (F.max("n_target_total") == 0) | (F.max("hi") == F.max("lo"))
+    score = F.when(empty, F.lit(0.0)).otherwise(F.sum(p * F.ln(p / q)))
+    return hist.groupBy("attr").agg((F.round(F.abs(score), 4) + F.lit(0.0)).alias("score"))
 
 
-def wasserstein(long: DataFrame) -> DataFrame:
-    """First Wasserstein distance: area between the two distribution functions."""
-    cdf = paired_cdf(long)
+def _area() -> Column:
+    """Aggregate over a paired cdf: area between the two functions, null if a side is empty."""
     gap = F.abs(F.col("f_base") - F.col("f_target")) * (F.col("next_value") - F.col("value"))
     both = F.count("f_base") * F.count("f_target") > 0
-    return cdf.groupBy("attr").agg(F.when(both, F.coalesce(F.sum(gap), F.lit(0.0))).alias("score"))
+    return F.when(both, F.coalesce(F.sum(gap), F.lit(0.0)))
+
+
+def wasserstein(long: DataFrame) -> DataFrame:
+    """First Wasserstein distance: area between the two distribution functions."""
+    return paired_cdf(long).groupBy("attr").agg(_area().alias("score"))
 
 
 def kolmogorov_smirnov(long: DataFrame) -> DataFrame:
@@ -71,9 +72,8 @@ def kolmogorov_smirnov(long: DataFrame) -> DataFrame:
 
 def wasserstein_relative(long: DataFrame) -> DataFrame:
     """Wasserstein distance over the base mean, which counts as at least 1."""
-    means = long.groupBy("attr").agg(F.abs(F.avg(base_value())).alias("_m"))
-    return (wasserstein(long).join(F.broadcast(means), "attr")
-            .select("attr", (F.col("score") / F.greatest("_m", F.lit(1.0))).alias("score")))
+    mean = F.sum(F.col("value") * F.col("n_base")) / F.nullif(F.sum("n_base"), F.lit(0))
+    return paired_cdf(long).groupBy("attr").agg((_area() / F.greatest(F.abs(mean), F.lit(1.0))).alias("score"))
 
 
 def pair_histogram(long: DataFrame, bins: int = 20) -> DataFrame:
@@ -84,12 +84,15 @@ def pair_histogram(long: DataFrame, bins: int = 20) -> DataFrame:
 
 def attribute_stats(long: DataFrame) -> DataFrame:
     """KL score, mean and population deviation of both sides, to 4 decimals."""
-    stats = long.groupBy("attr").agg(
+    # one row per attribute, read off one pass and kept for the bins
+    stats = cut(long.groupBy("attr").agg(
+        F.min("value").alias("lo"), F.max("value").alias("hi"),
         F.round(F.avg(base_value()), 4).alias("base_mean"),
         F.round(F.avg(target_value()), 4).alias("target_mean"),
         F.round(F.stddev_pop(base_value()), 4).alias("base_std"),
-        F.round(F.stddev_pop(target_value()), 4).alias("target_std"))
-    return kl(long).withColumnRenamed("score", "kl").join(F.broadcast(stats), "attr")
+        F.round(F.stddev_pop(target_value()), 4).alias("target_std")))
+    scores = kl(long, ranges=stats).withColumnRenamed("score", "kl")
+    return scores.join(F.broadcast(stats.drop("lo", "hi")), "attr")
 
 
 MOMENTS = ["mean", "variance", "skewness", "kurtosis"]
@@ -122,7 +125,8 @@ def summary_relative(base: DataFrame, target: DataFrame) -> DataFrame:
 
 def jensen_shannon(df: DataFrame, columns: list[str]) -> DataFrame:
     """Jensen-Shannon distance (base 2) of category shares; null counts as a category."""
-    cats = (df.select("side", *[F.col(c).cast("string").alias(c) for c in columns])
+    # distinct categories with their counts, read twice below
+    cats = cut(df.select("side", *[F.col(c).cast("string").alias(c) for c in columns])
             .unpivot(["side"], columns, "attr", "cat")
             .groupBy("attr", "cat").agg(F.count_if(F.col("side") == BASE).alias("b"), F.count_if(F.col("side") == TARGET).alias("t")))
     totals = cats.groupBy("attr").agg(F.sum("b").alias("nb"), F.sum("t").alias("nt"))
@@ -142,10 +146,9 @@ def columns_flagged(df: DataFrame, numeric: list[str], categorical: list[str],
 
     The tests are ours: Kolmogorov-Smirnov for numbers, Jensen-Shannon for categories.
     """
-    from ..plans.frames import to_long, with_scalars
     ks = kolmogorov_smirnov(to_long(df, numeric)).withColumn("test", F.lit("ks"))
     js = jensen_shannon(df, categorical).withColumn("test", F.lit("jensen_shannon"))
-    flagged = ks.unionByName(js).withColumn("drifted", F.col("score") > threshold)
+    flagged = cut(ks.unionByName(js).withColumn("drifted", F.col("score") > threshold))
     overall = flagged.agg(F.avg(F.col("drifted").cast("double")).alias("overall"))
     return with_scalars(flagged, overall)
 
@@ -160,7 +163,6 @@ def image_attribute_drift(df: DataFrame) -> DataFrame:
     An attribute without values scores 0; the noise level stands in for a missing
     gaussian noise level. The last rows are ``overall`` (mean of the nine) and ``size``.
     """
-    from ..plans.frames import to_long
     have = set(df.columns)
     if "gaussian_noise_level" in have and "noise_level" in have:
         df = df.withColumn("gaussian_noise_level", F.coalesce("gaussian_noise_level", "noise_level"))
@@ -169,8 +171,8 @@ def image_attribute_drift(df: DataFrame) -> DataFrame:
     present = [c for c in [*IMAGE_ATTRIBUTES, "size"] if c in df.columns]
     spark = df.sparkSession
     names = spark.range(1).select(F.explode(F.array(*[F.lit(a) for a in [*IMAGE_ATTRIBUTES, "size"]])).alias("attr"))
-    scored = names.join(F.broadcast(psi(to_long(df, present))), "attr", "left") \
-        .select("attr", F.coalesce("score", F.lit(0.0)).alias("score"))
+    scored = cut(names.join(F.broadcast(psi(to_long(df, present))), "attr", "left")
+                 .select("attr", F.coalesce("score", F.lit(0.0)).alias("score")))
     overall = scored.where(F.col("attr") != "size").agg(F.avg("score").alias("score")) \
         .select(F.lit("overall").alias("attr"), "score")
     return scored.unionByName(overall)

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.binning import bin_center, histogram
-from ..plans.cdf import quantile_columns, quantiles
+from ..plans.cdf import at_rank, moments, percentile, summary, value_counts
 from ..plans.frames import exact_sample, to_long, with_scalars
+from ..plans.scratch import cut
 
 
 def shape_preview(df: DataFrame, key: str, rows: int = 5) -> DataFrame:
@@ -25,12 +26,9 @@ def missing_rate(df: DataFrame) -> DataFrame:
 
 
 def describe_numeric(df: DataFrame, columns: list[str]) -> DataFrame:
-    long = to_long(df, columns, ids=())
-    stats = long.groupBy("attr").agg(
-        F.count("*").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantile_columns(long, ["attr"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
-    return stats.join(F.broadcast(q), "attr").withColumnRenamed("attr", "column")
+    s = summary(to_long(df, columns, ids=()), ["attr"], "value", {"p25": 0.25, "p50": 0.5, "p75": 0.75})
+    return s.select(F.col("attr").alias("column"), F.col("n").alias("count"), "mean", F.col("std_samp").alias("std"),
+                    "min", "max", "p25", "p50", "p75")
 
 
 def describe_text(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -45,11 +43,8 @@ def describe_text(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def attribute_summary(df: DataFrame, columns: list[str]) -> DataFrame:
     """Count, total, min, max, mean, population deviation and median per attribute."""
-    long = to_long(df, columns, ids=())
-    stats = long.groupBy("attr").agg(
-        F.count("*").alias("n"), F.sum("value").alias("total"), F.min("value").alias("min"),
-        F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"))
-    return stats.join(F.broadcast(quantile_columns(long, ["attr"], "value", {"median": 0.5})), "attr")
+    s = summary(to_long(df, columns, ids=()), ["attr"], "value", {"median": 0.5})
+    return s.select("attr", "n", "total", "min", "max", "mean", F.col("std_pop").alias("std"), "median")
 
 
 def top_categories(df: DataFrame, column: str, n: int = 10) -> DataFrame:
@@ -88,7 +83,7 @@ def top_words(df: DataFrame, text: str, n: int = 20) -> DataFrame:
 
 def categorical_profile(df: DataFrame, column: str) -> DataFrame:
     """Frequency per value with distinct count and entropy; null rows count in the divisor."""
-    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    counts = cut(df.groupBy(column).agg(F.count("*").alias("n")))
     total = counts.agg(F.sum("n").alias("n_rows"))
     known = with_scalars(counts, total).where(F.col(column).isNotNull())
     p = F.col("n") / F.col("n_rows")
@@ -96,25 +91,23 @@ def categorical_profile(df: DataFrame, column: str) -> DataFrame:
     return with_scalars(known.select(F.col(column).alias("value"), "n", p.alias("share")), whole)
 
 
-def entropy_of(counts: DataFrame, keys: list[str], base2: bool = True) -> DataFrame:
-    """Entropy of the count column ``n`` per key."""
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
-    p = F.col("n") / F.col("_t")
-    term = p * (F.log2(p) if base2 else F.ln(p))
-    return counts.where("n > 0").join(totals, keys).groupBy(*keys).agg((-F.sum(term)).alias("entropy"))
+def _entropy(counts: DataFrame, base2: bool) -> DataFrame:
+    """Entropy of the bin counts ``n`` per attribute; a window holds the bins of one attribute."""
+    p = F.col("n") / F.sum("n").over(Window.partitionBy("attr"))
+    shares = counts.where("n > 0").select("attr", p.alias("p"))
+    return shares.groupBy("attr").agg((-F.sum(F.col("p") * (F.log2("p") if base2 else F.ln("p")))).alias("entropy"))
 
 
 def unit_histogram_entropy(long: DataFrame, bins: int = 256) -> DataFrame:
     """Entropy in bits of equal bins on [0, 1]; values outside are not counted."""
     bin_ = F.least(F.floor(F.col("value") * bins), F.lit(bins - 1))
-    counts = (long.where(F.col("value").between(0, 1)).groupBy("attr", bin_.alias("bin"))
-              .agg(F.count("*").alias("n")))
-    return entropy_of(counts, ["attr"], True)
+    return _entropy(long.where(F.col("value").between(0, 1)).groupBy("attr", bin_.alias("bin"))
+                    .agg(F.count("*").alias("n")), True)
 
 
 def positive_histogram_entropy(long: DataFrame, bins: int = 50) -> DataFrame:
     """Entropy in nats of equal bins over the positive values."""
-    return entropy_of(histogram(long.where("value > 0"), bins), ["attr"], False)
+    return _entropy(histogram(long.where("value > 0"), bins), False)
 
 
 # Percentiles of the positive values and the ratios between them.
@@ -123,28 +116,26 @@ RATIOS = [(95, 5), (90, 10), (99, 50), (75, 25)]
 
 
 def distribution_profile(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Shape of the positive values of each group and quartiles of all its values."""
-    v = F.col(value)
-    pos = F.when(v > 0, v)
-    stats = df.groupBy(key).agg(
-        F.count(v).alias("n"), F.count(pos).alias("n_positive"), F.avg(v).alias("mean"),
-        F.stddev_pop(v).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
-        F.coalesce(F.skewness(pos), F.lit(0.0)).alias("skewness"))
-    both = (df.select(key, v.cast("double").alias("value"))
-            .withColumn("part", F.explode(F.when(F.col("value") > 0, F.array(F.lit("all"), F.lit("positive")))
-                                          .otherwise(F.array(F.lit("all"))))))
-    q = quantiles(both, [key, "part"], "value", [p / 100 for p in PERCENTILES])
-
-    def pick(part: str, p: int) -> Column:
-        return F.max(F.when((F.col("part") == part) & (F.col("p") == F.lit(p / 100)), F.col("q")))
-
-    cols = [pick("positive", p).alias(f"p{p}") for p in PERCENTILES]
-    cols += [pick("all", 25).alias("q25"), pick("all", 50).alias("q50"), pick("all", 75).alias("q75"),
-             pick("all", 90).alias("threshold_90")]
-    shape = stats.join(q.groupBy(key).agg(*cols), key)
-    above = (df.join(shape.select(key, "threshold_90"), key)
-             .groupBy(key).agg(F.count_if(v > F.col("threshold_90")).alias("n_high")))
-    out = shape.join(above, key)
+    """Shape of the positive values of each group and quartiles of all its values.
+
+    Positive values come last in the order, so their ranks are a second running count
+    over the same table of distinct values.
+    """
+    positive = F.when(F.col("v") > 0, F.col("n")).otherwise(F.lit(0).cast("bigint"))
+    vc = value_counts(df, [key], value, {"cp": positive, "sp": positive * F.col("v")}).withColumn("np", positive)
+    mean, mean_p = F.col("s_total") / F.col("c_total"), F.col("sp_total") / F.nullif("cp_total", F.lit(0))
+    n, n_p = F.max("c_total"), F.max("cp_total")
+    var_p = moments(mean_p, F.col("np"), 2) / F.nullif(n_p, F.lit(0))
+    skewness = moments(mean_p, F.col("np"), 3) / F.nullif(n_p, F.lit(0)) / F.nullif(F.pow(var_p, 1.5), F.lit(0.0))
+    out = vc.groupBy(key).agg(
+        n.alias("n"), n_p.alias("n_positive"), F.max(mean).alias("mean"),
+        F.sqrt(moments(mean, F.col("n"), 2) / n).alias("std"), F.min("v").alias("min"), F.max("v").alias("max"),
+        F.coalesce(skewness, F.lit(0.0)).alias("skewness"),
+        *[percentile(p / 100, "cp", "np").alias(f"p{p}") for p in PERCENTILES],
+        percentile(0.25).alias("q25"), percentile(0.5).alias("q50"), percentile(0.75).alias("q75"),
+        percentile(0.9).alias("threshold_90"),
+        # all rows after the value at the lower rank lie above the threshold
+        (n - at_rank(0.9, result=F.col("c"))).alias("n_high"))
     for hi, lo in RATIOS:
         out = out.withColumn(f"p{hi}_p{lo}", F.col(f"p{hi}") / F.nullif(f"p{lo}", F.lit(0.0)))
     few, none = F.col("n_positive") < 3, F.col("n_positive") == 0

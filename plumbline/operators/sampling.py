@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..plans.frames import exact_sample, sample_order, with_scalars
 from ..plans.ordered import numbered
+from ..plans.scratch import cut
 
 
 def sample_random(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
@@ -22,7 +23,7 @@ def sample_stratified(df: DataFrame, cls: Column, n: int, key: str, seed: int =
     lets Spark cut every class to n rows before the shuffle.
     """
     named = df.withColumn("stratum", F.coalesce(cls, F.lit("unknown"))).withColumn("_h", sample_order(key, seed))
-    counts = named.groupBy("stratum").agg(F.count("*").alias("_n"))
+    counts = cut(named.groupBy("stratum").agg(F.count("*").alias("_n")))
     quota = with_scalars(counts, counts.agg(F.sum("_n").alias("_all"))).select(
         "stratum", F.greatest(F.lit(1), F.floor(n * F.col("_n") / F.col("_all"))).alias("_quota"))
     ranked = named.withColumn("_rn", F.row_number().over(

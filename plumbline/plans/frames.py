@@ -58,6 +58,17 @@ def sample_order(key: Column | str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), k.cast("string")))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Hand out the rows by key where the input comes in fewer pieces than half the cores.
+
+    For work that is heavy per row. Large inputs come in enough pieces and stay as they are.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 2 > cores:
+        return df
+    return df.repartition(cores, key)
+
+
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(sample_order(key, seed), key).limit(n)
 

@@ -10,7 +10,8 @@ from .sqlparts import (LINE_COLUMNS, LINE_LONG, cdf_ctes, hist_ctes, kl_ctes, ps
 from ..functions.scalar import status_label
 from ..functions.text import ATTRIBUTES, with_text_attributes
 from ..operators import drift
-from ..plans.frames import r, split_sides, to_long
+from ..plans.frames import r, split_sides, spread, to_long
+from ..plans.scratch import cut
 
 # split of the events at their middle day
 EVENTS_CUT = "2024-01-16"
@@ -104,7 +105,7 @@ TEXT_LONG = unpivot(ATTRIBUTES, f"({text_attributes()})", sides("lang = 'en'"),
 
 def text_pair(spark, sf):
     """Text attributes of English against French documents."""
-    df = table(spark, sf, "documents").select("text", "lang")
+    df = spread(table(spark, sf, "documents").select("doc_id", "text", "lang"), "doc_id")
     df = split_sides(df, F.col("lang") == "en", F.col("lang") == "fr")
     return with_text_attributes(df, "text", F.col("lang"))
 
@@ -144,6 +145,7 @@ def orders_by_year(spark, sf):
     s = o.groupBy("year").agg(F.count("*").cast("double").alias("rows"), F.avg("o_totalprice").alias("price_mean"),
                               F.max("o_totalprice").alias("price_max"),
                               F.count_distinct("o_custkey").cast("double").alias("customers"))
+    s = cut(s)  # one row per year
     return s.unpivot(["year"], ["rows", "price_mean", "price_max", "customers"], "key", "value")
 
 

@@ -10,7 +10,13 @@ from .sqlparts import LINE_COLUMNS, skew, text_attributes, unpivot
 from ..functions import text as T
 from ..functions.scalar import finite, finite_array, item_id, quality_score, split_of_path
 from ..operators import drift, manifest, profile
-from ..plans.frames import r, to_long
+from ..plans.frames import r, spread, to_long
+
+
+def documents(spark, sf):
+    """The documents, handed out over the cores where the file is a single piece."""
+    return spread(table(spark, sf, "documents"), "doc_id")
+
 
 
 # ---- text ------------------------------------------------------------------
@@ -33,7 +39,7 @@ _SPLIT = f"""list_filter(string_split(trim(regexp_replace(regexp_replace(lower(t
 @query("text_tokenize", f"""SELECT lang, token, count(*) AS n, count(DISTINCT doc_id) AS n_docs
 FROM (SELECT doc_id, lang, unnest({_SPLIT}) AS token FROM documents) GROUP BY ALL""")
 def text_tokenize(spark, sf):
-    tok = table(spark, sf, "documents").select(
+    tok = documents(spark, sf).select(
         "doc_id", "lang", F.explode(T.simple_tokens(F.col("text"))).alias("token"))
     # count per document first, so that a frequent token is merged before the shuffle on it
     per_doc = tok.groupBy("lang", "token", "doc_id").agg(F.count("*").alias("n"))
@@ -59,7 +65,7 @@ def _rounded(names):
 @query("text_attributes", f"""SELECT doc_id, length_chars, length_words, {_rounded(T.ATTRIBUTES[2:])}
 FROM ({text_attributes()})""")
 def text_attributes_query(spark, sf):
-    d = T.with_text_attributes(table(spark, sf, "documents").select("doc_id", "text", "lang"), "text", F.col("lang"))
+    d = T.with_text_attributes(documents(spark, sf).select("doc_id", "text", "lang"), "text", F.col("lang"))
     return d.select("doc_id", "length_chars", "length_words", *[r(a).alias(a) for a in T.ATTRIBUTES[2:]])
 
 
@@ -67,7 +73,7 @@ def text_attributes_query(spark, sf):
  round(avg(length_words), 6) AS mean_words, round(avg(vocab_diversity), 6) AS mean_diversity
 FROM ({text_attributes()})""")
 def text_corpus_summary(spark, sf):
-    d = T.with_text_attributes(table(spark, sf, "documents").select("text", "lang"), "text", F.col("lang"))
+    d = T.with_text_attributes(documents(spark, sf).select("text", "lang"), "text", F.col("lang"))
     return d.agg(F.count("*").alias("n_texts"), r(F.avg("length_chars")).alias("mean_chars"),
                  r(F.avg("length_words")).alias("mean_words"), r(F.avg("vocab_diversity")).alias("mean_diversity"))
 
@@ -76,7 +82,7 @@ def text_corpus_summary(spark, sf):
 FROM (SELECT lang, len(regexp_extract_all(lower(line), '[\\p{L}\\p{N}_]+')) AS w
       FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY lang""")
 def text_line_stats(spark, sf):
-    s = profile.line_stats(table(spark, sf, "documents"), "text", ["lang"])
+    s = profile.line_stats(documents(spark, sf), "text", ["lang"])
     return s.withColumn("mean_words", r("mean_words"))
 
 
@@ -84,7 +90,7 @@ def text_line_stats(spark, sf):
 (SELECT unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS word FROM documents)
 GROUP BY word ORDER BY n DESC, word LIMIT 20""")
 def word_top20(spark, sf):
-    return profile.top_words(table(spark, sf, "documents"), "text", 20)
+    return profile.top_words(documents(spark, sf), "text", 20)
 
 
 # ---- scalars ---------------------------------------------------------------
@@ -199,7 +205,7 @@ _TEXT_ALL = unpivot(T.ATTRIBUTES, f"({text_attributes()})", "'x'")
 @query("attr_summary", f"""WITH long AS ({_TEXT_ALL} UNION ALL {unpivot(['p_size', 'p_retailprice'], 'part', "'x'")})
 {SUMMARY_OF_LONG}""")
 def attr_summary(spark, sf):
-    d = T.with_text_attributes(table(spark, sf, "documents").select("text", "lang"), "text", F.col("lang"))
+    d = T.with_text_attributes(documents(spark, sf).select("text", "lang"), "text", F.col("lang"))
     s = profile.attribute_summary(d, T.ATTRIBUTES).unionByName(
         profile.attribute_summary(table(spark, sf, "part"), ["p_size", "p_retailprice"]))
     return s.select("attr", "n", r("total", 4).alias("total"),

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.scalar import status_label
 from ..operators import decisions as D
 from ..operators import drift, envelopes as E
-from ..plans.binning import bin_index
+from ..plans.binning import bin_index, histogram
 from ..plans.frames import micros, one_row, to_long, with_scalars
 
 
@@ -163,13 +163,8 @@ def heartbeat_stream(messages: DataFrame, path: str, checkpoint: str, silent: st
 # ---- drift of arriving rows ------------------------------------------------
 
 def baseline_bins(base: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """(attr, lo, hi, n_rows, counts) of the fixed baseline: one row per column."""
-    long = to_long(base, columns, ids=())
-    ranges = long.groupBy("attr").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.count("*").alias("n_rows"))
-    counts = (long.join(F.broadcast(ranges), "attr")
-              .groupBy("attr", bin_index("value", F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("n_base")))
-    full = ranges.withColumn("bin", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    return full.join(counts, ["attr", "bin"], "left").fillna(0, ["n_base"])
+    """(attr, bin, lo, hi, n_base, n_base_total) of the fixed baseline, all bins."""
+    return histogram(to_long(base, columns, ids=()), bins).withColumnsRenamed({"n": "n_base", "n_total": "n_base_total"})
 
 
 def batch_psi(baseline: DataFrame, batch: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
@@ -178,7 +173,9 @@ def batch_psi(baseline: DataFrame, batch: DataFrame, columns: Sequence[str], bin
     clamped: Column = F.greatest(F.least(F.col("value"), F.col("hi")), F.col("lo"))
     counts = (to_long(batch, columns, ids=()).join(F.broadcast(ranges), "attr")
               .groupBy("attr", bin_index(clamped, F.col("lo"), F.col("hi"), bins).alias("bin")).agg(F.count("*").alias("n_target")))
-    hist = baseline.select("attr", "bin", "lo", "hi", "n_base").join(counts, ["attr", "bin"], "left").fillna(0, ["n_target"])
+    # a window holds the bins of one attribute
+    hist = baseline.join(counts, ["attr", "bin"], "left").fillna(0, ["n_target"]).withColumn(
+        "n_target_total", F.sum("n_target").over(Window.partitionBy("attr")))
     return drift.psi_of_counts(hist, bins)
 
 
