@@ -88,7 +88,7 @@ def validate(files: DataFrame) -> DataFrame:
               .when(F.col("drift_json").isNotNull() & ~F.ltrim("drift_json").startswith("{"),
                     "drift_report must be an object"))
     return parsed.select(
-        "source_file", "content", reason.alias("reason"), F.col("_s.app_id").alias("app_id"),
+        "source_file", reason.alias("reason"), F.col("_s.app_id").alias("app_id"),
         F.coalesce("_s.app_type", F.lit("video_forensics")).alias("app_type"),
         F.col("_s.instance_id").alias("instance_id"), "kinds", "batch", "drift_json")
 

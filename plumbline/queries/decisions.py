@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from . import query, table
 from ..operators import decisions, envelopes
 from ..plans.frames import r
-from ..plans.scratch import scratch_path
+from ..plans.scratch import cut, scratch_path
 
 # ---- envelopes -------------------------------------------------------------
 
@@ -64,7 +64,8 @@ f AS (SELECT *, 'env_' || lpad(n::VARCHAR, 12, '0') || '.json' AS source_file,
 
 
 def parsed(spark, sf):
-    return envelopes.validate(event_envelopes(spark, sf))
+    # the site and the rows are both read off the parsed envelopes: parse once
+    return cut(envelopes.validate(event_envelopes(spark, sf)))
 
 
 @query("envelope_validate", f"WITH {ENV} SELECT source_file, coalesce(reason, '') AS reason FROM f")
