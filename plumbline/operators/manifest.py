@@ -38,13 +38,22 @@ def file_kind(path: Column) -> Column:
 
 
 def manifest_stats(files: DataFrame) -> DataFrame:
-    """(dataset, path, size): files per kind, bytes and top-level folders of each dataset."""
+    """(dataset, path, size): files per kind, bytes and number of top-level folders of each dataset."""
     clean = files.where(~is_junk(F.col("path"))).withColumn("kind", file_kind(F.col("path")))
-    top = F.when(F.contains(F.col("path"), F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1)))
     return clean.groupBy("dataset").agg(
         F.count("*").alias("total_files"), F.sum("size").alias("total_size"),
         *[F.count_if(F.col("kind") == k).alias(f"{k}_files") for k in [*KINDS, "other"]],
-        F.array_join(F.array_sort(F.collect_set(top)), ",").alias("folders"))
+        F.count_distinct(_top_folder()).alias("n_folders"))
+
+
+def _top_folder() -> Column:
+    return F.when(F.contains(F.col("path"), F.lit("/")), F.split_part("path", F.lit("/"), F.lit(1)))
+
+
+def top_folders(files: DataFrame) -> DataFrame:
+    """(dataset, folder, n_files): one row per top-level folder."""
+    inside = files.where(~is_junk(F.col("path"))).withColumn("folder", _top_folder()).where("folder IS NOT NULL")
+    return inside.groupBy("dataset", "folder").agg(F.count("*").alias("n_files"))
 
 
 def detect_format(files: DataFrame) -> DataFrame:

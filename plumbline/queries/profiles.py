@@ -357,13 +357,18 @@ k AS (SELECT *, CASE {" ".join(f"WHEN ext IN ({', '.join(repr(e) for e in v)}) T
       ELSE 'other' END AS kind FROM f)"""
 
 
-@query("manifest_stats", f"""WITH {MANIFEST_CTE} SELECT dataset, count(*) AS total_files,
- CAST(sum(size) AS BIGINT) AS total_size,
- {", ".join(f"count(*) FILTER (kind = '{k}') AS {k}_files" for k in [*manifest.KINDS, 'other'])},
- coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN contains(path, '/') THEN split_part(path, '/', 1) END)
-   FILTER (contains(path, '/')))), ','), '') AS folders FROM k GROUP BY dataset""")
+@query("manifest_stats", f"""WITH {MANIFEST_CTE} SELECT dataset, 'total_files' AS name, count(*) AS n FROM k GROUP BY dataset
+UNION ALL SELECT dataset, 'total_size', CAST(sum(size) AS BIGINT) FROM k GROUP BY dataset
+UNION ALL SELECT dataset, 'n_folders', count(DISTINCT split_part(path, '/', 1)) FILTER (contains(path, '/')) FROM k GROUP BY dataset
+{" ".join(f"UNION ALL SELECT dataset, '{x}_files', count(*) FILTER (kind = '{x}') FROM k GROUP BY dataset" for x in [*manifest.KINDS, 'other'])}
+UNION ALL SELECT dataset, 'folder ' || split_part(path, '/', 1), count(*) FROM k WHERE contains(path, '/') GROUP BY ALL""")
 def manifest_stats(spark, sf):
-    return manifest.manifest_stats(page_manifest(spark, sf))
+    files = page_manifest(spark, sf)
+    stats = manifest.manifest_stats(files)
+    counts = stats.unpivot(["dataset"], [c for c in stats.columns if c != "dataset"], "name", "n")
+    folders = manifest.top_folders(files).select("dataset", F.concat(F.lit("folder "), "folder").alias("name"),
+                                                 F.col("n_files").alias("n"))
+    return counts.unionByName(folders)
 
 
 @query("format_detect", f"""WITH {MANIFEST_CTE} SELECT dataset, CASE

@@ -166,10 +166,9 @@ def src_uri(spark, sf):
     return ok.unionByName(refused)
 
 
-@query("cache_analysis", """SELECT 'customer' AS name, 'original' AS kind, 'shape' AS cache_type, 2::BIGINT AS n_snapshots, 'customer@1,customer@2' AS snapshots, count(*) AS n_rows FROM customer
-UNION ALL SELECT 'customer', 'copy', 'shape', 1, 'customer@3', count(*) FROM customer
-UNION ALL SELECT 'orders', 'original', 'shape', 2, 'orders@1,orders@2', count(*) FROM orders
-UNION ALL SELECT 'orders', 'copy', 'shape', 1, 'orders@3', count(*) FROM orders""")
+@query("cache_analysis", """WITH n AS (SELECT 'customer' AS name, count(*) AS n_rows FROM customer UNION ALL SELECT 'orders', count(*) FROM orders)
+SELECT name, kind, 'shape' AS cache_type, name || '@' || k AS snapshot_id, n_rows FROM n
+CROSS JOIN (VALUES ('original', 1), ('original', 2), ('copy', 3)) t(kind, k)""")
 def cache_analysis(spark, sf):
     from ..operators import versions
     cache = AnalysisCache(spark, scratch_path(spark, "cache"))
@@ -185,7 +184,7 @@ def cache_analysis(spark, sf):
     out = None
     for name, kind, digest in loaded:
         one = cache.list().where(F.col("data_hash") == digest).select(
-            F.lit(name).alias("name"), F.lit(kind).alias("kind"), "cache_type", "n_snapshots", "snapshots",
+            F.lit(name).alias("name"), F.lit(kind).alias("kind"), "cache_type", "snapshot_id",
             cache.load(digest, "shape").scalar().alias("n_rows"))
         out = one if out is None else out.unionByName(one)
     return out

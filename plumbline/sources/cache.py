@@ -58,9 +58,8 @@ class AnalysisCache:
         return len(kinds)
 
     def list(self) -> DataFrame:
-        """(data_hash, cache_type, n_snapshots, snapshots)."""
-        return self._index().distinct().groupBy("data_hash", "cache_type").agg(
-            F.count("*").alias("n_snapshots"), F.array_join(F.array_sort(F.collect_set("snapshot_id")), ",").alias("snapshots"))
+        """(data_hash, cache_type, snapshot_id): which snapshot uses which result."""
+        return self._index().distinct()
 
     def snapshots_of(self, data_hash: str) -> DataFrame:
         return self._index().where(F.col("data_hash") == data_hash).select("snapshot_id").distinct()

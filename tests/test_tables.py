@@ -214,7 +214,7 @@ def test_cache(spark, tmp_path):
     cache.save(spark.range(4), "h", "k", "s1")
     cache.link("h", "k", "s2")
     assert cache.load("h", "k").count() == 4 and cache.copy("h", "h2", "s3") == 1
-    assert {(r["data_hash"], r["snapshots"]) for r in cache.list().collect()} == {("h", "s1,s2"), ("h2", "s3")}
+    assert {(r["data_hash"], r["snapshot_id"]) for r in cache.list().collect()} == {("h", "s1"), ("h", "s2"), ("h2", "s3")}
     assert {r[0] for r in cache.snapshots_of("h").collect()} == {"s1", "s2"}
 
 
