@@ -133,4 +133,4 @@ def overall_score(result: Column) -> Column:
         F.get_json_object(result, "$.advanced_drift.ensemble.overall_score"),
         F.get_json_object(result, "$.ensemble.overall_score"),
         F.get_json_object(F.get(modality_scores, F.lit(0)), "$.ensemble.overall_score"),
-        F.get_json_object(result, "$.overall_score")).cast("double")
+        F.get_json_object(result, "$.overall_score")).try_cast("double")

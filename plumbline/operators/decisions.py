@@ -102,7 +102,7 @@ def report_intake(incoming: DataFrame, agents: DataFrame) -> DataFrame:
         *[c for c in incoming.columns if c not in ("app_id", "report")], "agent_id",
         F.coalesce(F.get_json_object(j, "$.drift.severity"), F.lit("low")).alias("severity"),
         F.get_json_object(j, "$.drift.model_name").alias("model_name"),
-        F.get_json_object(j, "$.drift.scores.overall").cast("double").alias("drift_overall"),
+        F.get_json_object(j, "$.drift.scores.overall").try_cast("double").alias("drift_overall"),
         F.lit("received").alias("status"))
 
 

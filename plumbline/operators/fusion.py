@@ -74,6 +74,8 @@ def resolve_detector(modality: str, name: str) -> str:
 
 def embedding_drift(emb: DataFrame, modality: str, detector: str = "default") -> DataFrame:
     metric = resolve_detector(modality, detector)
+    if modality not in ("image", "text"):
+        raise UnsupportedDetector(f"unsupported_detector: {modality!r} has no embeddings")
     if metric in ("mean_shift", "cosine", "cosine_text"):
         row = embedding.mean_distances(emb)
     elif metric == "wasserstein":

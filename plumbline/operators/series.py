@@ -210,7 +210,9 @@ def adf(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
                 out.append((getattr(row, key), int(row.n), used, tau, unit_root_p(tau)))
             yield pd.DataFrame(out, columns=[key, "n", "lags", "statistic", "p_value"])
 
-    return sums.select(key, "n", "lags", "gram", "head").mapInPandas(
+    # few bytes but much work per series: one even share for every shuffle partition
+    shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sums.select(key, "n", "lags", "gram", "head").repartition(shares, key).mapInPandas(
         test, f"{key} {kind}, n bigint, lags bigint, statistic double, p_value double") \
         .withColumn("stationary", F.col("p_value") < 0.05)
 

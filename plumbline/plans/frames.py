@@ -27,12 +27,14 @@ def split_sides(df: DataFrame, is_base: Column, is_target: Column) -> DataFrame:
 
 
 def to_long(df: DataFrame, columns: Sequence[str], ids: Sequence[str] = ("side",)) -> DataFrame:
-    """One row per (row, attribute) with a double value, nulls dropped.
+    """One row per (row, attribute) with a double value; nulls, NaN and infinities are dropped.
 
     All attributes then share one aggregation instead of one job each.
     """
     wide = df.select(*ids, *[F.col(c).cast("double").alias(c) for c in columns])
-    return wide.unpivot(list(ids), list(columns), "attr", "value").where(F.col("value").isNotNull())
+    # also false for null and NaN, which sorts above infinity
+    finite = F.abs("value") < float("inf")
+    return wide.unpivot(list(ids), list(columns), "attr", "value").where(finite)
 
 
 def one_row(*parts: DataFrame) -> DataFrame:

@@ -105,7 +105,7 @@ def similar(spark, sf):
     return cluster.cosine_centroids(embeddings(spark, sf), "label", "key")
 
 
-@query("cluster_centroids_cosine", f"WITH {COSINE} SELECT key, label, round(weight, 6) AS weight, round(similarity, 6) AS similarity FROM sim")
+@query("cluster_centroids_cosine", f"WITH {COSINE} SELECT key, label, round(weight, 6) + 0.0 AS weight, round(similarity, 6) + 0.0 AS similarity FROM sim")
 def cluster_centroids_cosine(spark, sf):
     return similar(spark, sf).select("key", "label", r("weight").alias("weight"), r("similarity").alias("similarity"))
 
@@ -123,14 +123,14 @@ def cluster_centroids_2d(spark, sf):
     return c.select("key", "label", r("weight", 3).alias("weight"), r("distance").alias("distance"), r("similarity").alias("similarity"))
 
 
-@query("cluster_stats", f"""WITH {COSINE} SELECT label, count(*) AS size, round(avg(similarity), 6) AS avg_similarity,
- round(min(similarity), 6) AS min_similarity, round(max(similarity), 6) AS max_similarity FROM sim GROUP BY label""")
+@query("cluster_stats", f"""WITH {COSINE} SELECT label, count(*) AS size, round(avg(similarity), 6) + 0.0 AS avg_similarity,
+ round(min(similarity), 6) + 0.0 AS min_similarity, round(max(similarity), 6) + 0.0 AS max_similarity FROM sim GROUP BY label""")
 def cluster_stats(spark, sf):
     s = cluster.cluster_stats(similar(spark, sf), "label")
     return s.select("label", "size", *[r(c).alias(c) for c in s.columns[2:]])
 
 
-@query("top5_per_cluster", f"""WITH {COSINE} SELECT label, key, CAST(rank AS INTEGER) AS rank, round(similarity, 6) AS similarity FROM
+@query("top5_per_cluster", f"""WITH {COSINE} SELECT label, key, CAST(rank AS INTEGER) AS rank, round(similarity, 6) + 0.0 AS similarity FROM
  (SELECT *, row_number() OVER (PARTITION BY label ORDER BY similarity DESC, key) AS rank FROM sim) WHERE rank <= 5""")
 def top5_per_cluster(spark, sf):
     return cluster.top_members(similar(spark, sf), "label", "key").select("label", "key", "rank", r("similarity").alias("similarity"))

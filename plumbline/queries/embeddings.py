@@ -196,8 +196,8 @@ def _fusion_sql(strategy: str, expr: str) -> str:
     ignored = "''" if strategy != "weighted" else """array_to_string(list_filter(['click', 'error', 'video', 'view'],
  lambda w: NOT list_contains(list(modality), w)), ',')"""
     return f"""WITH {FUSE} SELECT run, any_value(n_modalities) AS n_modalities,
- CASE WHEN any_value(n_modalities) >= 2 THEN round({expr}, 6) END AS fused_score, arg_max(modality, s) AS top_modality,
- CASE WHEN any_value(n_modalities) = 1 THEN round(max(s), 6) END AS single_score, '{strategy}' AS strategy, {ignored} AS ignored_weights
+ CASE WHEN any_value(n_modalities) >= 2 THEN round({expr}, 9) END AS fused_score, arg_max(modality, s) AS top_modality,
+ CASE WHEN any_value(n_modalities) = 1 THEN round(max(s), 9) END AS single_score, '{strategy}' AS strategy, {ignored} AS ignored_weights
 FROM sc JOIN n USING (run) GROUP BY run"""
 
 
@@ -215,8 +215,8 @@ def _register(strategy: str) -> None:
     def run(spark, sf):
         weights = fusion.parse_weights("click=0.5, view=0.3, error=0.2, video=0.9") if strategy == "weighted" else None
         f = fusion.fuse(modality_scores(spark, sf), strategy, weights)
-        return f.select("run", "n_modalities", r("fused_score").alias("fused_score"), "top_modality",
-                        r("single_score").alias("single_score"), "strategy", "ignored_weights")
+        return f.select("run", "n_modalities", r("fused_score", 9).alias("fused_score"), "top_modality",
+                        r("single_score", 9).alias("single_score"), "strategy", "ignored_weights")
 
 
 for _strategy in _FUSION:

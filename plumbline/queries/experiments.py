@@ -51,11 +51,11 @@ def exp_best(spark, sf):
     return experiments.best(runs(spark, sf), "score")
 
 
-@query("exp_compare", f"""WITH {LAST} SELECT metric, max(value) FILTER (run_id = 'run8') AS run8, max(value) FILTER (run_id = 'run46') AS run46,
- max(value) FILTER (run_id = 'run5') AS run5 FROM ll WHERE run_id IN ('run8', 'run46', 'run5') GROUP BY metric""")
+@query("exp_compare", f"""WITH {LAST} SELECT metric, max(value) FILTER (run_id = 'run8') AS run8, max(value) FILTER (run_id = 'run3') AS run3,
+ max(value) FILTER (run_id = 'run5') AS run5 FROM ll WHERE run_id IN ('run8', 'run3', 'run5') GROUP BY metric""")
 def exp_compare(spark, sf):
     long = experiments.last_epoch(epochs(spark, sf))
-    return experiments.compare(long, ["run8", "run46", "run5"])
+    return experiments.compare(long, ["run8", "run3", "run5"])
 
 
 @query("exp_version_number", f"""WITH {RUNS} SELECT run_id, dataset, version, 'exp_' || row_number() OVER (PARTITION BY dataset, version

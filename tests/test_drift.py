@@ -279,3 +279,41 @@ def test_scalars(spark):
 @pytest.mark.parametrize("x", [0.7, 0.0, 1.0, 123456.7, 1234567.0, 0.00001234567, -0.5, 99999.96, 3e-05, 1e16, 0.1 + 0.2])
 def test_general_text_is_percent_g(spark, x):
     assert spark.range(1).select(general_text(F.lit(x)).alias("t")).first()["t"] == f"{x:.6g}"
+
+
+def test_not_a_number_is_no_value(spark):
+    dirty = [1.0, 2.0, 3.0, float("nan"), float("inf"), float("-inf")]
+    assert sides(spark, dirty, [1.0, 2.0, 3.0]).count() == 6
+    assert abs(score(drift.psi(sides(spark, dirty, [1.0, 2.0, 3.0])))) < 1e-9
+
+
+def test_skewed_values_and_sides(spark):
+    """A third of the rows share one value; the sides differ in size."""
+    x = np.concatenate([np.full(200, 5.0), RNG.exponential(3, 400)])
+    y = np.concatenate([np.full(10, 5.0), RNG.exponential(4, 90)])
+    long = sides(spark, x, y)
+    assert score(drift.wasserstein(long)) == pytest.approx(brute_w1(x, y), abs=1e-9)
+    assert score(drift.wasserstein_relative(long)) == pytest.approx(brute_w1(x, y) / max(abs(x.mean()), 1), abs=1e-9)
+    assert score(drift.psi(long)) == pytest.approx(brute_psi(x, y), abs=1e-9)
+
+
+def test_summary_is_one_reading(spark):
+    x = np.concatenate([np.full(300, -2.0), RNG.normal(1e6, 3, 500)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x, "y": np.ones(len(x))}))
+    got = {r["column"]: r for r in profile.describe_numeric(df, ["x", "y"]).collect()}
+    d = pd.Series(x).describe()
+    for a, b in (("count", "count"), ("mean", "mean"), ("std", "std"), ("min", "min"), ("p25", "25%"), ("p50", "50%"), ("p75", "75%"), ("max", "max")):
+        assert got["x"][a] == pytest.approx(d[b], rel=1e-9)
+    assert got["y"]["std"] == 0
+
+
+def test_distribution_profile(spark):
+    x = np.concatenate([np.zeros(50), RNG.exponential(2, 300)])
+    rows = [("a", float(v)) for v in x] + [("b", 0.0)] * 4 + [("c", 1.0), ("c", 2.0)]
+    got = {r["k"]: r for r in profile.distribution_profile(spark.createDataFrame(rows, "k string, v double"), "k", "v").collect()}
+    pos, a = x[x > 0], got["a"]
+    for p in profile.PERCENTILES:
+        assert a[f"p{p}"] == pytest.approx(np.percentile(pos, p))
+    assert a["skewness"] == pytest.approx((((pos - pos.mean()) / pos.std()) ** 3).mean())
+    assert a["n_high"] == (x > np.percentile(x, 90)).sum() and a["q50"] == pytest.approx(np.median(x))
+    assert (a["shape"], got["b"]["shape"], got["c"]["shape"]) == ("right_skewed", "no_activation", "insufficient_data")
