@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
 from ..plans.components import connected_components
-from ..plans.frames import with_scalars
+from ..plans.frames import grouped, with_scalars
 from ..plans.scratch import cut
 
 TILE_ROWS = 2048
@@ -314,7 +314,7 @@ def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
             return pd.DataFrame({key: a[key].to_numpy(), "w": inv.sum(1)})
         return pd.DataFrame({key: np.concatenate([a[key], b[key]]), "w": np.concatenate([inv.sum(1), inv.sum(0)])})
 
-    partial = tiles.select(key, cluster, "x", "y", "block", "i", "j").groupBy(cluster, "i", "j").applyInPandas(
+    partial = grouped(tiles.select(key, cluster, "x", "y", "block", "i", "j"), cluster, "i", "j").applyInPandas(
         inverse_distances, f"{key} {kinds[key]}, w double")
     weighed = p.join(partial.groupBy(key).agg(F.sum("w").alias("weight")), key)
     total = F.sum("weight")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..plans.binning import paired_histogram
-from ..plans.frames import BASE, TARGET, exact_sample, one_row, to_long
+from ..plans.frames import BASE, TARGET, exact_sample, grouped, one_row, to_long
 from . import drift
 
 TILE_ROWS = 2048
@@ -122,7 +122,7 @@ def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip
                 out.append((g, kind, k, n))
         return pd.DataFrame(out, columns=["gamma", "kind", "k", "n"])
 
-    sums = tiles.groupBy("i", "j").applyInPandas(kernel_sums, "gamma double, kind string, k double, n bigint")
+    sums = grouped(tiles, "i", "j").applyInPandas(kernel_sums, "gamma double, kind string, k double, n bigint")
 
     def mean_of(kind: str) -> Column:
         hit = F.col("kind") == kind

@@ -17,7 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..plans.frames import grouped, to_long
 from ..plans.ordered import halo_blocks, numbered, scan
+from .drift import wasserstein
 
 BLOCK = 4096
 PERIOD = 12
@@ -75,7 +77,7 @@ def _autocovariance(rows: DataFrame, key: str) -> DataFrame:
         return pd.DataFrame({key: group[0], "lag": np.arange(1, lags + 1), "s": sums})
 
     kind = dict(rows.dtypes)[key]
-    return (blocks.groupBy(key, "block").applyInPandas(partial_sums, f"{key} {kind}, lag bigint, s double")
+    return (grouped(blocks, key, "block").applyInPandas(partial_sums, f"{key} {kind}, lag bigint, s double")
             .groupBy(key, "lag").agg(F.sum("s").alias("s")))
 
 
@@ -143,7 +145,10 @@ def _fit(gram: np.ndarray, lags: int, total: int) -> tuple[float, np.ndarray, np
     """Least squares on the first 2 + lags columns out of the cross products."""
     use = list(range(2 + lags))
     xx, xy, yy = gram[np.ix_(use, use)], gram[use, total], gram[total, total]
-    beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
+    try:
+        beta = np.linalg.solve(xx, xy)
+    except np.linalg.LinAlgError:
+        beta = np.linalg.lstsq(xx, xy, rcond=None)[0]
     return max(float(yy - beta @ xy), 0.0), beta, xx
 
 
@@ -195,7 +200,7 @@ def adf(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
         return pd.DataFrame({key: [group[0]], "n": [n], "lags": [lags],
                              "gram": [(z.T @ z).ravel()], "head": [head]})
 
-    parts = blocks.groupBy(key, "block").applyInPandas(
+    parts = grouped(blocks, key, "block").applyInPandas(
         cross_products, f"{key} {kind}, n bigint, lags bigint, gram array<double>, head array<double>")
     sums = parts.groupBy(key).agg(
         F.max("n").alias("n"), F.max("lags").alias("lags"), Summarizer.sum(array_to_vector("gram")).alias("g"),
@@ -212,7 +217,7 @@ def adf(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
 
     # few bytes but much work per series: one even share for every shuffle partition
     shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sums.select(key, "n", "lags", "gram", "head").repartition(shares, key).mapInPandas(
+    return sums.select(key, "n", "lags", "gram", "head").repartition(shares, F.xxhash64(key)).mapInPandas(
         test, f"{key} {kind}, n bigint, lags bigint, statistic double, p_value double") \
         .withColumn("stationary", F.col("p_value") < 0.05)
 
@@ -284,7 +289,5 @@ AUDIO_FEATURES = ["rms_mean", "zcr_mean", "spectral_centroid_mean"]
 
 def audio_drift(features: DataFrame) -> DataFrame:
     """(side, features) -> Wasserstein distance per feature and their mean as ``overall``."""
-    from ..plans.frames import to_long
-    from .drift import wasserstein
     scores = wasserstein(to_long(features, AUDIO_FEATURES))
     return scores.unionByName(scores.agg(F.avg("score").alias("score")).select(F.lit("overall").alias("attr"), "score"))

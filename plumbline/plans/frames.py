@@ -71,6 +71,16 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key)
 
 
+def grouped(df: DataFrame, *keys: str):
+    """Groups for a Python function, over as many partitions as any shuffle has.
+
+    Spark merges small partitions by their bytes, which leaves heavy work on few bytes
+    to few tasks; a given number of partitions stays as it is.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys).groupBy(*keys)
+
+
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(sample_order(key, seed), key).limit(n)
 

@@ -11,6 +11,8 @@ is run again.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -59,10 +61,12 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
                  F.sum(f"_sum_{k}").over(by_key).alias(f"{k}_total")]
     cols += [F.lead(f"_first_{k}").over(in_order).alias(f"_next_{k}") for k in lead]
     cols += [F.lag(f"_last_{k}").over(in_order).alias(f"_prev_{k}") for k in lag]
-    offsets = per_chunk.select(*group, *cols)
+    offsets = per_chunk.select(*[F.col(g).alias(f"_k_{g}") for g in group], *cols)
     local = Window.partitionBy(*group).orderBy(*order)
     upto = local.rowsBetween(Window.unboundedPreceding, 0)
-    joined = chunked.join(offsets, group)
+    # a null key is a key like any other
+    same = [F.col(g).eqNullSafe(F.col(f"_k_{g}")) for g in keys] + [F.col("_chunk") == F.col("_k__chunk")]
+    joined = chunked.join(offsets, reduce(and_, same))
     out = [F.col(c) for c in df.columns]
     out += [F.col(f"{k}_total") for k in expr]
     out += [(F.col(f"_off_{k}") + F.sum(f"_in_{k}").over(upto)).alias(k) for k in expr]

@@ -33,6 +33,12 @@ def test_scan_matches_groupwise_sums(hot):
     pd.testing.assert_series_equal(got["prv"], g.shift(1), check_names=False)
 
 
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)], "k string, id int, v double")
+    got = {(r["k"], r["id"]): (r["c"], r["c_total"]) for r in scan(df, ["k"], ["id"], running={"c": "v"}).collect()}
+    assert got == {(None, 1): (1.0, 3.0), (None, 2): (3.0, 3.0), ("a", 1): (5.0, 5.0)}
+
+
 def test_hot_key_is_spread_over_chunks(hot):
     from plumbline.plans.ordered import range_chunks
     _, df = hot
