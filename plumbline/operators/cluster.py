@@ -316,7 +316,8 @@ def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
 
     partial = grouped(tiles.select(key, cluster, "x", "y", "block", "i", "j"), cluster, "i", "j").applyInPandas(
         inverse_distances, f"{key} {kinds[key]}, w double")
-    weighed = p.join(partial.groupBy(key).agg(F.sum("w").alias("weight")), key)
+    # read three times below: keep it, or the tiles would run three times
+    weighed = cut(p.join(partial.groupBy(key).agg(F.sum("w").alias("weight")), key))
     total = F.sum("weight")
     centre = weighed.groupBy(cluster).agg(
         F.when(total == 0, F.avg("x")).otherwise(F.sum(F.col("weight") * F.col("x")) / total).alias("mx"),

@@ -83,12 +83,16 @@ def apply_view(df: DataFrame, views: DataFrame, view: str, operation: str, key:
 
 def preview_view(df: DataFrame, views: DataFrame, view: str, operation: str, key: str, n: int = 10) -> DataFrame:
     """First keys to be removed, with the counts to remove and to keep."""
-    kept = apply_view(df, views, view, operation, key).select(key)
-    gone = df.select(key).join(kept, key, "left_anti")
-    counts = df.agg(F.count("*").alias("_all"))
-    removed = gone.agg(F.count("*").alias("to_remove"))
-    out = with_scalars(with_scalars(gone.orderBy(key).limit(n), removed), counts)
-    return out.withColumn("to_keep", F.col("_all") - F.col("to_remove")).drop("_all")
+    if operation not in ("keep_only", "remove"):
+        raise ValueError(f"unknown operation {operation!r}")
+    named = views.where(F.col("name") == view).select(key).distinct().withColumn("_hit", F.lit(True))
+    marked = df.select(key).join(named, key, "left")
+    if operation == "remove":
+        gone = F.col("_hit").isNotNull()
+    else:
+        gone = F.col("_hit").isNull() if not named.isEmpty() else F.lit(False)
+    counts = marked.agg(F.count_if(gone).alias("to_remove"), F.count_if(~gone).alias("to_keep"))
+    return with_scalars(marked.where(gone).select(key).orderBy(key).limit(n), counts)
 
 
 def normal_path(path: Column) -> Column:

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.frames import grouped, to_long
 from ..plans.ordered import halo_blocks, numbered, scan
+from ..plans.scratch import cut
 from .drift import wasserstein
 
 BLOCK = 4096
@@ -102,7 +103,8 @@ def kpss(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame
                  (F.max(F.col("ss") / F.col("n")) + F.coalesce(F.sum(prod), F.lit(0.0))).alias("s0"),
                  F.coalesce(F.sum(F.col("lag") * prod), F.lit(0.0)).alias("s1")))
     gamma = 1.1447 * F.pow(F.pow(F.col("s1") / F.col("s0"), 2), 1 / 3)
-    chosen = sums.withColumn("lags", F.least(F.floor(gamma * F.pow("n", 1 / 3)), F.col("n") - 1)).drop("s0", "s1")
+    # one row per series, read twice below
+    chosen = cut(sums.withColumn("lags", F.least(F.floor(gamma * F.pow("n", 1 / 3)), F.col("n") - 1)).drop("s0", "s1"))
     second = _autocovariance(rows.select(key, "pos", "e").join(chosen.select(key, "lags"), key).where("lags > 0"), key)
     weighted = F.col("s") * (1 - F.col("lag") / (F.col("lags") + 1))
     out = (chosen.join(second, key, "left").groupBy(key)
@@ -289,5 +291,5 @@ AUDIO_FEATURES = ["rms_mean", "zcr_mean", "spectral_centroid_mean"]
 
 def audio_drift(features: DataFrame) -> DataFrame:
     """(side, features) -> Wasserstein distance per feature and their mean as ``overall``."""
-    scores = wasserstein(to_long(features, AUDIO_FEATURES))
+    scores = cut(wasserstein(to_long(features, AUDIO_FEATURES)))
     return scores.unionByName(scores.agg(F.avg("score").alias("score")).select(F.lit("overall").alias("attr"), "score"))

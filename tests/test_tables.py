@@ -84,6 +84,9 @@ def test_views(spark):
     assert compare.apply_view(df, views, "v", "remove", "id").count() == 8
     for op in ("keep_only", "remove"):
         assert compare.apply_view(df, views, "none", op, "id").count() == 10
+    p = compare.preview_view(df, views, "v", "keep_only", "id", 3).collect()
+    assert [tuple(r) for r in p] == [(0, 8, 2), (1, 8, 2), (2, 8, 2)]
+    assert compare.preview_view(df, views, "none", "keep_only", "id").count() == 0
     with pytest.raises(ValueError):
         compare.apply_view(df, views, "v", "sort", "id")
 
