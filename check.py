@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import importlib
 import math
+import os
 import sys
 import time
 
@@ -16,7 +17,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 def session(cpus: str = "8") -> SparkSession:
     return (SparkSession.builder.master(f"local[{cpus}]").appName("plumbline-check")
-            .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+            .config("spark.sql.shuffle.partitions", os.environ.get("CHECK_PARTITIONS", "8")).config("spark.ui.enabled", "false")
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "12g").config("spark.sql.session.timeZone", "UTC")
             .getOrCreate())

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..plans.frames import grouped, to_long
 from ..plans.ordered import halo_blocks, numbered, scan
-from ..plans.scratch import cut
+from ..plans.scratch import cut, pieces
 from .drift import wasserstein
 
 BLOCK = 4096
@@ -217,9 +217,8 @@ def adf(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
                 out.append((getattr(row, key), int(row.n), used, tau, unit_root_p(tau)))
             yield pd.DataFrame(out, columns=[key, "n", "lags", "statistic", "p_value"])
 
-    # few bytes but much work per series: one even share for every shuffle partition
-    shares = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return sums.select(key, "n", "lags", "gram", "head").repartition(shares, F.xxhash64(key)).mapInPandas(
+    # few bytes but much work per series: even shares for all cores
+    return sums.select(key, "n", "lags", "gram", "head").repartition(pieces(sums), F.xxhash64(key)).mapInPandas(
         test, f"{key} {kind}, n bigint, lags bigint, statistic double, p_value double") \
         .withColumn("stationary", F.col("p_value") < 0.05)
 

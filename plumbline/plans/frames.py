@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .scratch import pieces
+
 BASE = "base"
 TARGET = "target"
 
@@ -77,8 +79,7 @@ def grouped(df: DataFrame, *keys: str):
     Spark merges small partitions by their bytes, which leaves heavy work on few bytes
     to few tasks; a given number of partitions stays as it is.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartition(n, *keys).groupBy(*keys)
+    return df.repartition(pieces(df), *keys).groupBy(*keys)
 
 
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:

@@ -16,7 +16,7 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import cut
+from .scratch import cut, pieces
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -24,10 +24,10 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Rows range-partitioned by (keys, order) with the partition as ``_chunk``.
 
     ``order`` must be unique inside a key, or equal rows stay in one chunk. There are
-    two chunks per shuffle partition: chunks are hashed afterwards, which evens out
+    up to two chunks per shuffle partition: chunks are hashed afterwards, which evens out
     better with more of them.
     """
-    n = chunks or 2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = chunks or pieces(df, 2)
     cols = [F.col(c) for c in (*keys, *order)]
     return cut(df.repartitionByRange(n, *cols).withColumn("_chunk", F.spark_partition_id()))
 

@@ -36,6 +36,18 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
 
 
+def pieces(df: DataFrame, per_partition: int = 1) -> int:
+    """How many partitions to cut a table into: as many as any shuffle has, fewer if it is small.
+
+    Small means that 32 MB pieces by Spark's own size estimate would be fewer; there are
+    always enough for all cores.
+    """
+    spark = df.sparkSession
+    most = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return max(1, min(most, max(2 * spark.sparkContext.defaultParallelism, size // (32 * 1024 * 1024))))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes the rows and cuts the lineage."""
     spark = df.sparkSession
