@@ -20,10 +20,10 @@ def flat(df, *more):
 
 
 @query("item_filter_page", f"""WITH {ITEMS_CTE}, f AS (SELECT * FROM it WHERE split = 'train' AND list_contains(classes, 'ring'))
-SELECT {_COLS}, (SELECT count(*) FROM f) AS total FROM f ORDER BY path LIMIT 50 OFFSET 20""")
+SELECT {_COLS}, (SELECT count(*) FROM f) AS total FROM f ORDER BY path LIMIT 50 OFFSET 5""")
 def item_filter_page(spark, sf):
     found = items.filter_items(part_items(spark, sf), "train", 3, NAMES)
-    return flat(items.page(found, "path", 50, 20), "total")
+    return flat(items.page(found, "path", 50, 5), "total")
 
 
 @query("item_preview", f"""WITH {ITEMS_CTE} SELECT {_COLS}, filename, width, height FROM it
