@@ -6,8 +6,9 @@ The tokeniser takes runs of letters and digits and single other marks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
-from pyspark.ml.feature import StopWordsRemover
 from pyspark.sql import Column, DataFrame, functions as F
 
 # Character classes, written out because regex engines differ in \s.
@@ -21,6 +22,13 @@ ATTRIBUTES = ["length_chars", "length_words", "whitespace_ratio", "special_char_
               "stopword_ratio", "vocab_diversity", "readability"]
 
 
+@lru_cache
+def stopwords(language: str) -> tuple[str, ...]:
+    """The stop words of Spark ML, kept as text beside this module: no JVM and no session is needed."""
+    path = Path(__file__).with_name("stopwords") / f"{language}.txt"
+    return tuple(path.read_text(encoding="utf-8").split("\n")[:-1])
+
+
 def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
 
@@ -32,8 +40,7 @@ def _is_one_of(words: list[str]) -> Callable[[Column], Column]:
 def _stopword_count(toks: Column, language: Column) -> Column:
     out = F.when(F.lit(False), F.lit(0))
     for code, name in LANGUAGES.items():
-        words = StopWordsRemover.loadDefaultStopWords(name)
-        out = out.when(language.isin(code, name), F.size(F.filter(toks, _is_one_of(words))))
+        out = out.when(language.isin(code, name), F.size(F.filter(toks, _is_one_of(list(stopwords(name))))))
     return out.otherwise(F.lit(0))
 
 

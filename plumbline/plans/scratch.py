@@ -1,39 +1,57 @@
 """Where intermediate data goes: the shared folder named by the session.
 
-A cluster names the folder in ``spark.checkpoint.dir``. Only a local session
-without that setting falls back to a temporary folder of its own, since a
-machine-local folder would be lost with its executor.
+A cluster names the folder in ``spark.checkpoint.dir``. Where that is unset, the folder
+lies under the warehouse, which the driver and the executors share as well. Each
+application has a folder of its own there, which goes when the application ends.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_ROOTS: dict[str, str] = {}
+_KNOWN: set[str] = set()
+
+
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop's file system of a path, and the path as it knows it."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
 def shared_root(spark: SparkSession) -> str:
-    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if configured is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    if spark.sparkContext.getCheckpointDir():
-        return spark.sparkContext.getCheckpointDir().rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="plumbline-")
-    return _LOCAL_ROOTS[app]
+    """The application's folder under ``spark.checkpoint.dir``, or else under the warehouse."""
+    configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    above = configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+    root = f"{above.rstrip('/')}/plumbline-{spark.sparkContext.applicationId}"
+    if root not in _KNOWN:
+        fs, path = _file_system(spark, root)
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _KNOWN.add(root)
+    return root
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_root(spark)}/plumbline/{name}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: read again instead of made again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``written`` that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            fs, where = _file_system(df.sparkSession, path)
+            fs.delete(where, True)
 
 
 def pieces(df: DataFrame, per_partition: int = 1) -> int:

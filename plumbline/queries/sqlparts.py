@@ -2,14 +2,7 @@
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
-import pyspark
-
-from ..functions.text import LANGUAGES, SPACE, TOKEN
+from ..functions.text import LANGUAGES, SPACE, TOKEN, stopwords
 
 
 def unpivot(columns: list[str], source: str, side: str, where: str = "true") -> str:
@@ -75,15 +68,6 @@ def skew(x: str) -> str:
             f" / pow(var_pop({x}), 1.5))")
 
 
-@lru_cache
-def stopwords(language: str) -> tuple[str, ...]:
-    """The stopword list shipped in the Spark ML jar, read without a session."""
-    jars = glob.glob(os.path.join(os.path.dirname(pyspark.__file__), "jars", "spark-mllib_*.jar"))
-    with zipfile.ZipFile(jars[0]) as z:
-        raw = z.read(f"org/apache/spark/ml/feature/stopwords/{language}.txt").decode("utf-8")
-    return tuple(w for w in raw.split("\n") if w)
-
-
 def quote(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
