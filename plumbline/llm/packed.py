@@ -10,12 +10,14 @@ the size of the input.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .words import mixed, slices
+
 BUCKET_BYTES = 96 << 20
 PIECE_BYTES = 8 << 20
 
@@ -58,3 +60,61 @@ def unpacked(column: pa.ChunkedArray | pa.Array, dtype) -> np.ndarray:
 def batch_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
     columns = list(zip(*rows)) if rows else [[] for _ in names]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
+
+
+def seen_again(texts: DataFrame, buckets: int, anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]],
+               piece_bytes: int = PIECE_BYTES, often: int | None = None) -> DataFrame:
+    """(sid, pos, often): the packed places of the keys that are seen more than once in all texts.
+
+    ``anchors`` takes the texts of a piece and gives key (64 bits), index of the text and
+    place of each, in the order of texts and places. Keys are compared by 32 bits within a
+    bucket: a wrong yes is possible. With ``often`` all 64 bits are sent, and rows without sid
+    hold, packed, the keys seen at least so many times: at most one in ``often`` of all keys.
+    """
+    names = ["bucket", "ids", "counts", "keys", "pos", "known_ids", "known_counts", "known_pos"]
+    types = [pa.int32()] + [pa.binary()] * 7
+    kind = np.uint32 if often is None else np.uint64
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches, "raw", piece_bytes):
+            ids = piece.column("sid").to_numpy()
+            key, doc, place = anchors(piece.column("raw").to_pylist())
+            if not len(key):
+                continue
+            order = np.argsort(key, kind="stable")
+            first, count = runs(key[order])
+            several = np.zeros(len(key), bool)
+            several[order] = np.repeat(count > 1, count)
+            once = ~several
+            # a key seen n times here is asked for others' sake: one entry without a text, with -n for its place
+            asked = np.concatenate([key[once], key[order][first][count > 1]])
+            places = np.concatenate([place[once], -count[count > 1]]).astype(np.int32)
+            owner = np.concatenate([doc[once], np.full(len(asked) - once.sum(), len(ids))])
+            rows = [(*r, None, None, None) for r in by_bucket(
+                ((asked >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), owner, [np.append(ids, 0)], [asked.astype(kind), places])]
+            home = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            rows += [(b, None, None, None, None, i, n, p) for b, i, n, p in by_bucket(home[doc[several]], doc[several], [ids], [place[several]])]
+            yield batch_of(rows, names, types)
+
+    def answer(table: pa.Table) -> pa.Table:
+        key, place = unpacked(table.column("keys"), kind), unpacked(table.column("pos"), np.int32)
+        ids = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
+        order = np.argsort(key, kind="stable")
+        first, count = runs(key[order])
+        total = np.add.reduceat(np.where(place >= 0, 1, -place)[order], first) if len(first) else count
+        many = np.zeros(0, np.uint64) if often is None else key[order][first][total >= often]
+        again = order[np.repeat(total > 1, count)]
+        again = again[place[again] >= 0]
+        known = np.repeat(unpacked(table.column("known_ids"), np.int64), unpacked(table.column("known_counts"), np.int32))
+        ids = np.concatenate([ids[again], known])
+        place = np.concatenate([place[again], unpacked(table.column("known_pos"), np.int32)])
+        order = np.lexsort((place, ids))
+        ids, place = ids[order], place[order]
+        first, count = runs(ids)
+        return pa.table({"sid": pa.array([*ids[first].tolist(), None], pa.int64()),
+                         "pos": pa.array([*(place[s:s + n].tobytes() for s, n in zip(first, count)), None], pa.binary()),
+                         "often": pa.array([None] * len(first) + [many.tobytes()], pa.binary())})
+
+    asked = texts.mapInArrow(ask, "bucket int, ids binary, counts binary, keys binary, pos binary, "
+                                  "known_ids binary, known_counts binary, known_pos binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "sid bigint, pos binary, often binary")

@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .packed import PIECE_BYTES, batch_of, buckets_for, by_bucket, runs, source, unpacked
+from .packed import PIECE_BYTES, batch_of, buckets_for, by_bucket, seen_again, source, unpacked
 from .words import WordNumbers, mixed, odd_numbers, slices
 
 WINDOW = 20
@@ -49,62 +49,18 @@ def _text_hash(raw: bytes) -> int:
     return int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
-def _anchors(texts: DataFrame, buckets: int) -> DataFrame:
-    """(sid, pos): packed positions of the anchors that are seen more than once."""
-    names = ["bucket", "ids", "counts", "keys", "pos", "known_ids", "known_counts", "known_pos"]
-    types = [pa.int32()] + [pa.binary()] * 7
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = WordNumbers()
-        for piece in slices(batches, "raw", PIECE_BYTES):
-            ids = piece.column("sid").to_numpy()
-            keys, docs, places = [], [], []
-            for i, raw in enumerate(piece.column("raw").to_pylist()):
-                words = numbers.of(raw.split())
-                if len(words) >= WINDOW:
-                    at = np.arange(len(words) - ANCHOR + 1)
-                    at = at[np.isin(at % PERIOD, COVER)]
-                    keys.append(_hashed(words, at, ANCHOR, 21))
-                    docs.append(np.full(len(at), i))
-                    places.append(at.astype(np.int32))
-            if not keys:
-                continue
-            key, doc, place = np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
-            order = np.argsort(key, kind="stable")
-            first, count = runs(key[order])
-            several = np.zeros(len(key), bool)
-            several[order] = np.repeat(count > 1, count)
-            # a key seen twice here is asked for others' sake, as two entries without a text
-            twice = np.repeat(key[order][first][count > 1], 2)
-            once = ~several
-            asked = np.concatenate([key[once], twice])
-            nobody = np.full(len(twice), len(ids))
-            rows = [(b, i, n, k, p, None, None, None) for b, i, n, k, p in by_bucket(
-                ((asked >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), np.concatenate([doc[once], nobody]),
-                [np.append(ids, 0)], [asked.astype(np.uint32), np.concatenate([place[once], np.full(len(twice), -1, np.int32)])])]
-            home = mixed(ids.astype(np.uint64)) % np.uint64(buckets)
-            rows += [(b, None, None, None, None, i, n, p) for b, i, n, p in by_bucket(
-                home[doc[several]].astype(np.int32), doc[several], [ids], [place[several]])]
-            yield batch_of(rows, names, types)
-
-    def answer(table: pa.Table) -> pa.Table:
-        key, place = unpacked(table.column("keys"), np.uint32), unpacked(table.column("pos"), np.int32)
-        ids = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
-        order = np.argsort(key, kind="stable")
-        _, count = runs(key[order])
-        again = order[np.repeat(count > 1, count)]
-        again = again[place[again] >= 0]
-        known = np.repeat(unpacked(table.column("known_ids"), np.int64), unpacked(table.column("known_counts"), np.int32))
-        ids = np.concatenate([ids[again], known])
-        place = np.concatenate([place[again], unpacked(table.column("known_pos"), np.int32)])
-        order = np.lexsort((place, ids))
-        ids, place = ids[order], place[order]
-        first, count = runs(ids)
-        return pa.table({"sid": pa.array(ids[first]), "pos": pa.array([place[s:s + n].tobytes() for s, n in zip(first, count)], pa.binary())})
-
-    asked = texts.mapInArrow(ask, "bucket int, ids binary, counts binary, keys binary, pos binary, "
-                                  "known_ids binary, known_counts binary, known_pos binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "sid bigint, pos binary")
+def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    numbers = WordNumbers()
+    keys, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
+    for i, raw in enumerate(raws):
+        words = numbers.of(raw.split())
+        if len(words) >= WINDOW:
+            at = np.arange(len(words) - ANCHOR + 1)
+            at = at[np.isin(at % PERIOD, COVER)]
+            keys.append(_hashed(words, at, ANCHOR, 21))
+            docs.append(np.full(len(at), i))
+            places.append(at.astype(np.int32))
+    return np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
 
 
 def _later_windows(extended: DataFrame, buckets: int) -> DataFrame:
@@ -175,7 +131,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id, n_words, n_removed, kept): the words left, joined by one space; one row per row of the input."""
     texts = source(docs, id_col, text_col)
     buckets = buckets_for(texts)
-    found = _anchors(texts, buckets).groupBy("sid").agg(F.collect_list("pos").alias("found"))
+    found = seen_again(texts, buckets, _anchors).where("sid IS NOT NULL").groupBy("sid").agg(F.collect_list("pos").alias("found"))
     later = _later_windows(texts.join(found, "sid"), buckets).groupBy("sid").agg(F.collect_list(F.struct("sha", "pos")).alias("later"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
