@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact, near, substrings, suffixes
+from . import decontaminate, exact, mixing, near, quality, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +61,35 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "edits",
                         F.col("start").alias("start_char"), F.col("end").alias("end_char"))
+
+
+@query("op3_quality_classifier")
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rated = quality.scored(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+    return (rated.select(F.col("row.doc_id").alias("doc_id"), "score").withColumn("held_out", quality.held_out("doc_id"))
+            .select("doc_id", "held_out", "score", (F.col("score") >= quality.CUT).cast("int").alias("predicted")))
+
+
+@query("op1_source_mixing", r"""
+WITH sized AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+                      md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+sources AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
+                   (ARRAY[3.0::DOUBLE, 1.0, 2.0])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight FROM sized GROUP BY source),
+caps AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / weight AS ratio FROM sources),
+levels AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - coalesce(sum(cap) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS seen
+           FROM caps WINDOW b AS (ORDER BY ratio, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+aims AS (SELECT source, source_size, CASE WHEN seen >= ratio THEN cap ELSE weight *
+             ((sum(source_size) OVER () * 1.5::DOUBLE - sum(CASE WHEN seen >= ratio THEN cap ELSE 0 END) OVER ())
+              / nullif(sum(CASE WHEN seen >= ratio THEN 0 ELSE weight END) OVER (), 0)) END AS target FROM levels),
+placed AS (SELECT doc_id, size, source_size, target,
+                  sum(size) OVER (PARTITION BY s.source ORDER BY place, doc_id ROWS UNBOUNDED PRECEDING) - size / 2.0 AS middle
+           FROM sized s JOIN aims a ON s.source IS NOT DISTINCT FROM a.source)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (CAST(middle <= target AS INT) + CAST(source_size + middle <= target AS INT)) AS BIGINT) AS taken FROM placed""")
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    # in the order of the first copy's place in training, rows that the mix leaves out last
+    first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
+    return (mixed.repartitionByRange(first).sortWithinPartitions(first)
+            .select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken")))
