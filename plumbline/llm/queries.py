@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact, mixing, near, quality, substrings, suffixes
+from . import decontaminate, exact, mixing, near, quality, secrets, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,17 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
     return (mixed.repartitionByRange(first).sortWithinPartitions(first)
             .select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken")))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.secret_spans(table(spark, sf_dir, "documents"))
+
+    def joined(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+
+    def of(*kinds: str):
+        return F.filter("spans", lambda s: s["kind"].isin(*kinds))
+
+    return found.select(F.col("id").alias("doc_id"), *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secrets.BASE],
+                        F.sha2(joined(of(*secrets.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
