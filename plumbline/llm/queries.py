@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact, mixing, near, quality, secrets, substrings, suffixes
+from . import decontaminate, exact, html_text, licences, mixing, near, quality, secrets, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,17 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     return found.select(F.col("id").alias("doc_id"), *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secrets.BASE],
                         F.sha2(joined(of(*secrets.BASE)), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = html_text.extract(table(spark, sf_dir, "pages"))
+    return texts.select(F.col("id").alias("page_id"), "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
+@query("op10_license_scan")
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.licences(table(spark, sf_dir, "documents"))
+    return (found.select(F.col("id").alias("doc_id"), F.explode("found").alias("f"))
+            .select("doc_id", F.col("f.licence").alias("license"), F.round("f.dice", 6).alias("dice"),
+                    F.col("f.start").alias("start_word"), F.col("f.end").alias("end_word")))
