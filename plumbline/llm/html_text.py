@@ -63,7 +63,7 @@ def host_of(url: str) -> Column:
 
 
 def _set_apart(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is boilerplate; ``inside``: it lies in an article or main."""
+    """Whether an element is boilerplate; ``inside``: it lies in an article or main, or in two other containers."""
     if tag in APART or (tag == "header" and not inside):
         return True
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
@@ -85,21 +85,21 @@ class Page:
     """Elements and pieces of text of a page, in page order."""
 
     def __init__(self, html: str) -> None:
-        #: per element: parent, tag, path, inside an article or main, boilerplate
-        self.parent, self.tag, self.path, self.inside, self.apart = [-1], [""], [0], [False], [False]
+        #: per element: parent, tag, path, containers around it (an article or main counts as two), boilerplate
+        self.parent, self.tag, self.path, self.around, self.apart = [-1], [""], [0], [0], [False]
         #: (element, text, link): text None is the edge of a block
         self.pieces: list[tuple[int, str | None, bool]] = []
         self._read(html)
 
     def _open(self, tag: str, attributes: dict[str, str], above: int) -> int:
-        inside = self.inside[above] or tag in ("article", "main")
+        around = self.around[above] + (2 if tag in ("article", "main") else tag in CONTAINERS and tag != "body")
         classes = sorted(re.sub(r"\d+", "#", c.lower()) for c in attributes.get("class", "").split())
         step = f"{self.path[above]}/{tag}.{'.'.join(classes)}"
         self.parent.append(above)
         self.tag.append(tag)
         self.path.append(int.from_bytes(blake2b(step.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
-        self.inside.append(inside)
-        self.apart.append(self.apart[above] or _set_apart(tag, attributes, self.inside[above]))
+        self.around.append(around)
+        self.apart.append(self.apart[above] or _set_apart(tag, attributes, self.around[above] > 1))
         return len(self.parent) - 1
 
     def _read(self, html: str) -> None:
