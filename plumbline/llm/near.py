@@ -7,11 +7,12 @@ their union are linked, and a group is what links connect.
 - Documents of equal sets form one class; all else works on classes.
 - 128 minima of universal hashes (multiply, add, shift) in 32 bands of 4: a pair at the
   threshold misses every band with probability (1 - 0.8^4)^32 = 5e-8.
-- Within a bucket of a band, pivots are compared with the members. The first round takes one
-  pivot per bucket. Components are then formed, and as long as the members of a bucket that
-  were no pivots yet lie in several components, further rounds take pivots from all but the
-  largest of them, twice as many each time. Members of one component need no comparison, so
-  large groups of near copies cost one star and not all pairs, and yet no link between
+- Within a bucket of a band all are first compared with one pivot, the member that meets most
+  others in its buckets: the original of a group of near copies, as a rule. Components are
+  then formed. Where the members of a bucket still lie in several, all outside the largest are
+  compared with all members of other components, in blocks of bounded size that hold their
+  sets; a pair is looked at in the first bucket that it shares. So a large group of near
+  copies costs a star and the few that the star does not reach, and no link between
   components is lost.
 - A pair is compared by set sizes, then by one byte of each minimum (128 x 0.8 matches are
   expected at the threshold; fewer than 80 would be five standard deviations off), then by the
@@ -38,7 +39,8 @@ SIMILAR = 80
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 SKETCH_MATCHES = 80
-PIVOTS = 16
+#: Shingles in a block of a bucket that is compared at once.
+BLOCK_SHINGLES = 1 << 20
 
 
 def shingles(text: bytes | None, numbers: WordNumbers) -> np.ndarray:
@@ -72,8 +74,11 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                     sketch.append(b"")
                     continue
                 minima = np.full(HASHES, np.iinfo(np.uint64).max, np.uint64)
-                for at in range(0, len(found), 4096):
-                    minima = np.minimum(minima, ((found[at:at + 4096] * times + plus) >> np.uint64(24)).min(axis=1))
+                for at in range(0, len(found), 2048):
+                    hashed = found[at:at + 2048] * times
+                    hashed += plus
+                    minima = np.minimum(minima, hashed.min(axis=1))
+                minima >>= np.uint64(24)
                 keys = mixed((minima.reshape(BANDS, ROWS) * band_times).sum(axis=1) * np.uint64(2) + band_no)
                 bands.append(keys.view(np.int64))
                 sketch.append(mixed(minima).astype(np.uint8).tobytes())
@@ -106,7 +111,7 @@ def components(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFrame:
+def _similar(pairs: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough."""
     def side(c: str) -> DataFrame:
         return classes.select(F.col("cls").alias(c), F.col("n").alias(f"n_{c}"), F.col("sketch").alias(f"sketch_{c}"))
@@ -122,24 +127,87 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame) -> DataFram
     close = sized.mapInArrow(alike, "a bigint, b bigint")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = WordNumbers()
-        for batch in slices(batches, "text_a"):
-            keep, known, one = [], None, None
-            for a, text_a, text_b in zip(*(batch.column(c).to_pylist() for c in ("a", "text_a", "text_b"))):
-                if a != known:
-                    known, one = a, shingles(text_a, numbers)
-                two = shingles(text_b, numbers)
+        for batch in slices(batches, "set_a"):
+            keep = []
+            for set_a, set_b in zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist()):
+                one, two = np.frombuffer(set_a, np.uint64), np.frombuffer(set_b, np.uint64)
                 shared = len(np.intersect1d(one, two, assume_unique=True))
                 keep.append(shared * 100 >= (len(one) + len(two) - shared) * SIMILAR)
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
-    def text(c: str) -> DataFrame:
-        return texts.select(F.col("cls").alias(c), F.col("raw").alias(f"text_{c}"))
+    def full(c: str) -> DataFrame:
+        return sets.select(F.col("cls").alias(c), F.col("set").alias(f"set_{c}"))
 
-    both = close.join(text("a"), "a").join(text("b"), "b").select("a", "b", "text_a", "text_b")
+    both = close.join(full("a"), "a").join(full("b"), "b").select("a", "b", "set_a", "set_b")
     return both.mapInArrow(confirm, "a bigint, b bigint")
 
 
+def _across(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one bucket and different components that may be similar: all but those that surely are not.
+
+    ``open_`` has (bucket, cls, comp, main): main is the component that most members of the bucket belong to.
+    """
+    spark = open_.sparkSession
+    rows = open_.join(classes.select("cls", "n", "sketch", "bands"), "cls").withColumn("out", F.col("comp") != F.col("main"))
+    sizes = rows.groupBy("bucket").agg(F.sum("n").alias("all_n"), F.count("*").alias("all_rows"),
+                                       F.sum(F.col("out").cast("int")).alias("outs"), F.sum(F.when(F.col("out"), F.col("n")).otherwise(0)).alias("out_n"))
+
+    def parts(n: str, count: str, most_rows: int):
+        return F.ceil(F.greatest(F.col(n) / BLOCK_SHINGLES, F.col(count) / most_rows))
+
+    sizes = sizes.select("bucket", parts("out_n", "outs", 512).alias("outer"), parts("all_n", "all_rows", 2048).alias("inner"))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BLOCK_SHINGLES))
+    # small buckets share groups, a large one is cut into blocks of outer and inner parts
+    cut = rows.join(sizes, "bucket").withColumn("alone", (F.col("outer") > 1) | (F.col("inner") > 1)).withColumn(
+        "grp", F.when(F.col("alone"), F.col("bucket")).otherwise(F.pmod("bucket", F.lit(groups))))
+    hashed = F.xxhash64("cls")
+    as_outer = cut.where("out").withColumn("o", F.pmod(hashed, "outer")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("inner") - 1)))
+    as_inner = cut.withColumn("i", F.pmod(hashed, "inner")).withColumn("o", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("outer") - 1)))
+    blocks = (as_outer.withColumn("role", F.lit(True)).unionByName(as_inner.withColumn("role", F.lit(False)))
+              .join(sets, "cls").select("grp", "o", "i", "bucket", "cls", "comp", "role", "n", "sketch", "bands", "set"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        bucket, cls, comp, n = (table.column(c).to_numpy() for c in ("bucket", "cls", "comp", "n"))
+        role = table.column("role").to_numpy(zero_copy_only=False)
+        sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, HASHES)
+        bands = table.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+        packed = table.column("set").to_pylist()
+        a, b = [], []
+        order = np.argsort(bucket, kind="stable")
+        edges = np.flatnonzero(np.diff(bucket[order], prepend=bucket[order[0]] - 1, append=bucket[order[-1]] + 1))
+        for start, end in zip(edges[:-1], edges[1:]):
+            these = order[start:end]
+            inner, outer = these[~role[these]], these[role[these]]
+            if not len(inner):
+                continue
+            # halves of the numbers: as many or more are found in common, never fewer
+            halves = [np.frombuffer(packed[j], np.uint64).astype(np.uint32) for j in inner]
+            outs = set(cls[outer].tolist())
+            is_out = np.array([c in outs for c in cls[inner].tolist()], bool)
+            for x in outer:
+                small, large = np.minimum(n[inner], n[x]), np.maximum(n[inner], n[x])
+                # of two outsiders the lower one asks; outsiders of another outer part are asked from both sides
+                may = np.flatnonzero((comp[inner] != comp[x]) & (small * 100 >= large * SIMILAR) & ~(is_out & (cls[inner] < cls[x])))
+                may = may[(sketch[inner[may]] == sketch[x]).sum(axis=1) >= SKETCH_MATCHES]
+                if not len(may):
+                    continue
+                common = bands[inner[may]] == bands[x]
+                may = may[bands[x][common.argmax(axis=1)] == bucket[x]]
+                if not len(may):
+                    continue
+                own = np.unique(np.frombuffer(packed[x], np.uint64).astype(np.uint32))
+                joined = np.concatenate([halves[j] for j in may])
+                at = np.minimum(np.searchsorted(own, joined), len(own) - 1)
+                shared = np.add.reduceat((own[at] == joined).astype(np.int64), np.cumsum([0, *[len(halves[j]) for j in may[:-1]]]))
+                good = may[shared * 100 >= (n[inner[may]] + n[x] - shared) * SIMILAR]
+                a += [int(cls[x])] * len(good)
+                b += cls[inner[good]].tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return blocks.groupBy("grp", "o", "i").applyInArrow(compare, "a bigint, b bigint").distinct()
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, digest, component): set size and the smallest id of the row's group, one row per row of the input."""
     signed = written(signatures(docs, id_col, text_col), "signatures")
@@ -147,59 +215,45 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min("id").alias("least"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         .withColumn("cls", F.monotonically_increasing_id()), "classes")
     members = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size"), F.min("cls").alias("first")).where("size > 1")
-    buckets = written(members.join(shared.select("bucket", "first"), "bucket"), "buckets")
-    wanted = classes.join(buckets.select("cls").distinct(), "cls").select("cls", "digest", "least")
-    texts = _texts(docs, id_col, text_col, wanted)
-
-    pairs = buckets.where("cls <> first").select(F.col("first").alias("a"), F.col("cls").alias("b")).distinct()
-    links = written(_similar(pairs, classes, texts), "links")
+    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
+    met = written(members.join(shared, "bucket"), "met")
+    meets = met.groupBy("cls").agg(F.sum("size").alias("meets"))
+    pivots = met.join(meets, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("meets", -F.col("cls"))).alias("pivot"))
+    buckets = written(met.join(pivots, "bucket").select("bucket", "cls", "pivot"), "buckets")
+    sets = _sets(docs, id_col, text_col, classes.join(meets, "cls").select("cls", "digest", "least"))
+
+    pairs = buckets.where("cls <> pivot").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
+    links = written(_similar(pairs, classes, sets), "links")
     # class -> component, where it is not the class itself
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    open_ = buckets.where("cls <> first").select("bucket", "cls")
-    pivots = PIVOTS
-    while True:
-        placed = open_.join(roots, open_["cls"] == roots["node"], "left").select("bucket", "cls", F.coalesce("root", "cls").alias("comp"))
-        sizes = placed.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-        spread = (sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.sum("size").alias("size"),
-                                              F.max("size").alias("most"), F.count("*").alias("comps")).where("comps > 1"))
-        placed = written(placed.join(spread, "bucket").withColumn("pivot", (F.col("comp") != F.col("main")) & (
-            F.pmod(F.xxhash64("cls"), F.ceil((F.col("size") - F.col("most")) / pivots)) == 0)).select("bucket", "cls", "comp", "pivot"), "placed")
-        if placed.isEmpty():
-            break
-        ahead = placed.where("pivot").select("bucket", F.col("cls").alias("p"), F.col("comp").alias("p_comp"))
-        # two pivots meet once
-        pairs = (placed.join(ahead, "bucket").where("comp <> p_comp AND NOT (pivot AND cls > p)")
-                 .select(F.col("p").alias("a"), F.col("cls").alias("b")).distinct())
-        links = written(_similar(pairs, classes, texts), "links")
-        if not links.isEmpty():
-            named = (links.join(roots.select(F.col("node").alias("a"), F.col("root").alias("u")), "a", "left")
-                     .join(roots.select(F.col("node").alias("b"), F.col("root").alias("v")), "b", "left")
-                     .select(F.coalesce("u", "a").alias("u"), F.coalesce("v", "b").alias("v")))
-            merged = components(named)
-            moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select(
-                "node", F.coalesce("to", "root").alias("root"))
-            roots = written(moved.unionByName(merged.join(roots.select("node"), "node", "left_anti")), "roots")
-        open_ = placed.where("NOT pivot").select("bucket", "cls")
-        pivots *= 2
+    placed = buckets.join(roots, buckets["cls"] == roots["node"], "left").select("bucket", "cls", "pivot", F.coalesce("root", "cls").alias("comp"))
+    # the pivot of a bucket has met all its members
+    left = placed.where("cls <> pivot")
+    sizes = left.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
+    spread = (sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1"))
+    open_ = written(left.join(spread, "bucket").select("bucket", "cls", "comp", "main"), "open")
+    if not open_.isEmpty():
+        more = written(_similar(_across(open_, classes, sets), classes, sets), "links")
+        roots = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
     return _placed_rows(signed, classes, roots)
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(cls, raw): one text for each of the wanted classes."""
+def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
+    """(cls, set): the packed set of each of the wanted classes."""
     source = docs.select(F.col(f"`{id_col}`").alias("least"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
     found = source.join(wanted, source["least"].eqNullSafe(wanted["least"])).select("cls", "digest", "raw")
 
-    def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows may share an id: only a text of the class itself stands for it."""
         numbers = WordNumbers()
         for batch in slices(batches, "raw"):
-            keep = [blake2b(shingles(text, numbers).tobytes(), digest_size=16).digest() == digest
-                    for text, digest in zip(batch.column("raw").to_pylist(), batch.column("digest").to_pylist())]
-            yield batch.filter(pa.array(keep, pa.bool_())).select(["cls", "raw"])
+            sets = [shingles(text, numbers).tobytes() for text in batch.column("raw").to_pylist()]
+            keep = [blake2b(s, digest_size=16).digest() == digest for s, digest in zip(sets, batch.column("digest").to_pylist())]
+            out = pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(sets, pa.binary())], ["cls", "set"])
+            yield out.filter(pa.array(keep, pa.bool_()))
 
-    # repeated rows leave the same text twice
-    return written(found.mapInArrow(same, "cls bigint, raw binary").groupBy("cls").agg(F.first("raw").alias("raw")), "texts")
+    # repeated rows leave the same set twice
+    return written(found.mapInArrow(make, "cls bigint, set binary").dropDuplicates(["cls"]), "sets")
 
 
 def _placed_rows(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
