@@ -37,6 +37,17 @@ def norm(v):
     return repr(v)
 
 
+#: DuckDB's names of Spark's column types.
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "smallint": "SMALLINT", "tinyint": "TINYINT", "double": "DOUBLE", "float": "FLOAT", "string": "VARCHAR",
+         "boolean": "BOOLEAN", "date": "DATE", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP", "binary": "BLOB"}
+
+
+def other_types(df, description):
+    """Columns whose type in Spark and DuckDB differ."""
+    want = {d[0]: str(d[1]) for d in description}
+    return [f"{c}: {t} / {want[c]}" for c, t in df.dtypes if t in TYPES and TYPES[t] != want[c].replace("TIMESTAMP WITH TIME ZONE", "TIMESTAMP")]
+
+
 def rows_of(cols, rows):
     order = sorted(range(len(cols)), key=lambda i: cols[i])
     return sorted(tuple(norm(r[i]) for i in order) for r in rows)
@@ -54,6 +65,8 @@ def compare(spark, con, fn, sql, sf):
     want = res.fetchall()
     if sorted(cols) != sorted(df.columns):
         return took, len(got), f"COLUMNS {sorted(df.columns)} != {sorted(cols)}"
+    if other := other_types(df, res.description):
+        return took, len(got), f"TYPES {other}"
     a, b = rows_of(df.columns, got), rows_of(cols, want)
     if a == b:
         return took, len(got), "ok"

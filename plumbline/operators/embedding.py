@@ -1,7 +1,9 @@
 """Drift between two sets of embeddings.
 
 Input is (side, key, embedding). Everything but the exact kernel distance is linear
-in the rows; that one is quadratic by definition and runs in tiles of bounded size.
+in the rows; that one is quadratic by definition and runs in tiles of bounded size. Its
+linear counterpart, ``mmd_rff``, is another estimator: it is used where ``method`` asks
+for it, never by the size of the input, and it states its standard error.
 """
 
 from __future__ import annotations
@@ -18,12 +20,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import vectors as V
 from ..plans.binning import paired_histogram
-from ..plans.frames import BASE, TARGET, exact_sample, grouped, one_row, to_long
+from ..plans.frames import BASE, TARGET, grouped, one_row, to_long
 from . import drift
 
-TILE_ROWS = 2048
-# above this many rows the ensembles use random features instead of the exact kernel sums
-EXACT_ROWS = 20_000
+# rows of a block, and of the strips in which a task works through a pair of blocks
+TILE_ROWS = 16_384
+STRIP_ROWS = 2048
+METHODS = ("exact", "random_features")
 
 
 def side_means(emb: DataFrame, vector: Column | None = None) -> DataFrame:
@@ -61,6 +64,15 @@ def pairwise_cosine(emb: DataFrame) -> DataFrame:
 
 # ---- kernel distance -------------------------------------------------------
 
+def tiles(emb: DataFrame) -> DataFrame:
+    """Each row once per block of rows, with the pair of blocks (i, j) it serves."""
+    blocks = max(1, math.ceil(emb.count() / TILE_ROWS))
+    mine = F.pmod(F.xxhash64(F.col("side"), F.col("key")), F.lit(blocks)).cast("int")
+    return (emb.select("side", F.col("embedding").cast("array<double>").alias("embedding"), mine.alias("block"))
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
+
+
 def standardized(emb: DataFrame) -> DataFrame:
     """Each side shifted and scaled by its own mean and population deviation."""
     v = emb.select("side", array_to_vector("embedding").alias("v"))
@@ -74,28 +86,21 @@ def standardized(emb: DataFrame) -> DataFrame:
     return joined.withColumn("embedding", F.zip_with(centred, scale, lambda x, d: x / d)).drop("_m", "_v", "_n")
 
 
-def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip: float | None = None,
-        cap: int | None = None, seed: int = 42) -> DataFrame:
+def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip: float | None = None) -> DataFrame:
     """(gamma, mmd): kernel distance over all pairs of rows.
 
     Rows are hashed into blocks of about ``TILE_ROWS`` and each pair of blocks is one
-    task, which returns nothing but kernel sums. ``cap`` takes a repeatable sample of
-    that many rows per side first; ``standardize="per_set"`` and ``clip`` give the
-    variant that scales each side by itself.
+    task, which works in strips of ``STRIP_ROWS`` and returns nothing but kernel sums. A
+    row is copied once per block, so n / ``TILE_ROWS`` times: quadratic, as the definition
+    is; ``mmd_rff`` is linear. ``standardize="per_set"`` and ``clip`` give the variant that
+    scales each side by itself.
     """
     if standardize not in ("none", "per_set"):
         raise ValueError(f"unknown standardize {standardize!r}")
-    if cap is not None:
-        sides = [exact_sample(emb.where(F.col("side") == s), cap, "key", seed) for s in (BASE, TARGET)]
-        emb = sides[0].unionByName(sides[1])
     if standardize == "per_set":
         emb = standardized(emb)
-    blocks = max(1, math.ceil(emb.count() / TILE_ROWS))
     gammas = [float(g) for g in gammas]
-    mine = F.pmod(F.xxhash64(F.col("side"), F.col("key")), F.lit(blocks)).cast("int")
-    tiles = (emb.select("side", F.col("embedding").cast("array<double>").alias("embedding"), mine.alias("block"))
-             .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
+    strip = STRIP_ROWS
 
     def kernel_sums(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
@@ -108,11 +113,19 @@ def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip
         def sums(a, b, within):
             if a is None or b is None:
                 return [(0.0, 0)] * len(gammas)
-            d2 = (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2 * a @ b.T
-            d2 = np.clip(d2, -clip, clip) if clip is not None else np.maximum(d2, 0)
-            if within:
-                d2 = d2[np.triu_indices(len(a), 1)]
-            return [(float(np.exp(-g * d2).sum()), d2.size) for g in gammas]
+            total, n = [0.0] * len(gammas), 0
+            squares = (b * b).sum(1)
+            for at in range(0, len(a), strip):
+                x = a[at:at + strip]
+                first = at if within else 0
+                d2 = (x * x).sum(1)[:, None] + squares[None, first:] - 2 * x @ b[first:].T
+                d2 = np.clip(d2, -clip, clip) if clip is not None else np.maximum(d2, 0)
+                if within:
+                    d2 = d2[np.triu_indices(len(x), 1, d2.shape[1])]
+                n += d2.size
+                for k, g in enumerate(gammas):
+                    total[k] += float(np.exp(-g * d2).sum())
+            return [(t, n) for t in total]
 
         out = []
         pairs = [(BASE, BASE), (TARGET, TARGET), (BASE, TARGET)] + ([(TARGET, BASE)] if i != j else [])
@@ -122,7 +135,7 @@ def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip
                 out.append((g, kind, k, n))
         return pd.DataFrame(out, columns=["gamma", "kind", "k", "n"])
 
-    sums = grouped(tiles, "i", "j").applyInPandas(kernel_sums, "gamma double, kind string, k double, n bigint")
+    sums = grouped(tiles(emb), "i", "j").applyInPandas(kernel_sums, "gamma double, kind string, k double, n bigint")
 
     def mean_of(kind: str) -> Column:
         hit = F.col("kind") == kind
@@ -133,7 +146,11 @@ def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip
 
 
 def mmd_rff(emb: DataFrame, gammas: Sequence[float], features: int = 2048, seed: int = 42) -> DataFrame:
-    """(gamma, mmd) by random Fourier features (Rahimi and Recht 2007): linear in the rows.
+    """(gamma, mmd, square, square_error) by random Fourier features (Rahimi and Recht 2007): linear in the rows.
+
+    ``square`` is the squared distance before it is cut at 0 and rooted, the mean over the
+    features; ``square_error`` is the standard error of that mean. The exact squared distance
+    lies within four of them but for one draw of features in ten thousand.
 
     Every batch returns the sums of its features per side, at most two rows per gamma.
     The squared norms of the mean features are corrected to leave out pairs of a row
@@ -162,14 +179,25 @@ def mmd_rff(emb: DataFrame, gammas: Sequence[float], features: int = 2048, seed:
         F.first(F.when(F.col("side") == s, F.col(c)), ignorenulls=True).alias(f"{c}_{s}")
         for s in (BASE, TARGET) for c in ("n", "phi")])
 
+    def half_of(s: str, first: int) -> Column:
+        return F.slice(F.col(f"phi_{s}"), first, half)
+
+    def products(s: str, t: str) -> Column:
+        """Per feature, its cosine and sine sums multiplied; a feature has length 1 in all."""
+        return F.zip_with(F.zip_with(half_of(s, 1), half_of(t, 1), lambda a, b: a * b),
+                          F.zip_with(half_of(s, half + 1), half_of(t, half + 1), lambda a, b: a * b), lambda a, b: (a + b) * half)
+
     def within(s: str) -> Column:
         n = F.col(f"n_{s}")
-        # each feature vector has length 1, so the diagonal adds exactly n
-        return (V.dot(F.col(f"phi_{s}"), F.col(f"phi_{s}")) - n) / F.nullif(n * (n - 1), F.lit(0))
+        # the diagonal adds exactly n
+        return F.transform(products(s, s), lambda q: (q - n) / F.nullif(n * (n - 1), F.lit(0)))
 
-    cross = V.dot(F.col("phi_base"), F.col("phi_target")) / (F.col("n_base") * F.col("n_target"))
-    square = within(BASE) + within(TARGET) - 2 * cross
-    return both.select("gamma", F.coalesce(F.sqrt(F.greatest(square, F.lit(0.0))), F.lit(0.0)).alias("mmd"))
+    cross = F.transform(products(BASE, TARGET), lambda q: 2 * q / (F.col("n_base") * F.col("n_target")))
+    each = F.zip_with(F.zip_with(within(BASE), within(TARGET), lambda a, b: a + b), cross, lambda a, b: a - b)
+    squares = both.select("gamma", each.alias("each")).withColumn("square", V.total(F.col("each")) / half)
+    spread = V.total(F.transform("each", lambda x: (x - F.col("square")) * (x - F.col("square")))) / (half - 1)
+    return squares.select("gamma", F.coalesce(F.sqrt(F.greatest("square", F.lit(0.0))), F.lit(0.0)).alias("mmd"), "square",
+                          F.sqrt(spread / half).alias("square_error"))
 
 
 # Kernel widths of the multi-scale scores.
@@ -177,16 +205,21 @@ VISION_GAMMAS = [0.1, 0.5, 1.0, 2.0, 5.0]
 TEXT_GAMMAS = [0.5, 1.0, 2.0]
 
 
-def mmd_multiscale(emb: DataFrame, gammas: Sequence[float], method: str = "exact", **options) -> DataFrame:
-    """One row: mean and population deviation over the kernel widths, from one pass over the pairs.
+def kernel(emb: DataFrame, gammas: Sequence[float], method: str, **options) -> DataFrame:
+    """(gamma, mmd) by the method asked for."""
+    if method not in METHODS:
+        raise ValueError(f"unknown method {method!r}, known: {METHODS}")
+    if method == "exact":
+        return mmd(emb, gammas, **options)
+    if options.get("standardize") == "per_set":
+        emb = standardized(emb)
+    return mmd_rff(emb, gammas).select("gamma", "mmd")
 
-    ``method="auto"`` turns to random features above ``EXACT_ROWS`` rows and says so.
-    """
-    if method == "auto":
-        method = "exact" if emb.count() <= EXACT_ROWS else "random_features"
-    scores = mmd(emb, gammas, **options) if method == "exact" else mmd_rff(emb, gammas)
-    return scores.agg(F.avg("mmd").alias("mmd_mean"), F.stddev_pop("mmd").alias("mmd_std"),
-                      F.lit(method).alias("mmd_method"))
+
+def mmd_multiscale(emb: DataFrame, gammas: Sequence[float], method: str = "exact", **options) -> DataFrame:
+    """One row: mean and population deviation over the kernel widths, from one pass over the pairs, and the method."""
+    return kernel(emb, gammas, method, **options).agg(
+        F.avg("mmd").alias("mmd_mean"), F.stddev_pop("mmd").alias("mmd_std"), F.lit(method).alias("mmd_method"))
 
 
 # ---- principal components --------------------------------------------------
@@ -235,26 +268,23 @@ def weighted(weights: dict[str, tuple[float, float]]) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def ensemble_vision(emb: DataFrame, method: str = "auto") -> DataFrame:
+def ensemble_vision(emb: DataFrame, method: str = "exact") -> DataFrame:
     row = one_row(mmd_multiscale(emb, VISION_GAMMAS, method), mean_distances(emb), wasserstein_projected(emb),
                   psi_pca_row(emb, fit_on="base", fit_components=10, score_components=5))
     return row.withColumn("ensemble", weighted(VISION_WEIGHTS))
 
 
-def ensemble_text(emb: DataFrame, method: str = "auto") -> DataFrame:
+def ensemble_text(emb: DataFrame, method: str = "exact") -> DataFrame:
     row = one_row(mmd_multiscale(emb, TEXT_GAMMAS, method), mean_distances(emb),
                   psi_pca_row(emb, fit_on="both", fit_components=3, score_components=3))
     return row.withColumn("ensemble", weighted(TEXT_WEIGHTS))
 
 
-def service_scores(attributes: DataFrame, emb: DataFrame, method: str = "auto") -> DataFrame:
+def service_scores(attributes: DataFrame, emb: DataFrame, method: str = "exact") -> DataFrame:
     """One row of the service metrics; ``attributes`` is the long form of size, noise and sharpness."""
     kl = drift.kl(attributes).agg(*[F.max(F.when(F.col("attr") == a, F.col("score"))).alias(f"{a}_kl")
                                     for a in ("size", "noise", "sharpness")])
-    if method == "auto":
-        method = "exact" if emb.count() <= EXACT_ROWS else "random_features"
-    one = (mmd(emb, [1.0], standardize="per_set", clip=50.0) if method == "exact"
-           else mmd_rff(standardized(emb), [1.0])).select("mmd")
+    one = kernel(emb, [1.0], method, standardize="per_set", clip=50.0).select("mmd", F.lit(method).alias("mmd_method"))
     return one_row(kl, one, mean_distances(emb), wasserstein_projected(emb),
                    psi_pca_row(emb, fit_on="base", fit_components=5, score_components=5))
 

@@ -11,38 +11,55 @@ from . import compare, drift, embedding
 
 
 def image_overall(attributes: DataFrame, emb: DataFrame, base_keys: DataFrame, target_keys: DataFrame,
-                  key: str, method: str = "auto") -> DataFrame:
+                  key: str, method: str = "exact") -> DataFrame:
     """.45 attribute mean + .55 embedding ensemble, status and file counts."""
     attr = drift.image_attribute_drift(attributes).where("attr = 'overall'").select(F.col("score").alias("attribute_drift"))
-    emb_row = embedding.ensemble_vision(emb, method).select(F.col("ensemble").alias("embedding_drift"))
+    emb_row = embedding.ensemble_vision(emb, method).select(F.col("ensemble").alias("embedding_drift"), "mmd_method")
     counts = compare.added_removed(base_keys, target_keys, key)
     row = one_row(attr, emb_row, counts)
     score = 0.45 * F.col("attribute_drift") + 0.55 * F.col("embedding_drift")
     return row.withColumn("overall_score", score).withColumn("status", status_label(F.col("overall_score")))
 
 
-def text_overall(attributes: DataFrame, emb: DataFrame | None = None, method: str = "auto") -> DataFrame:
+def text_overall(attributes: DataFrame, emb: DataFrame | None = None, method: str = "exact") -> DataFrame:
     """Mean of the seven relative distances; half of it is the embedding score, 0 without embeddings."""
     attr = drift.wasserstein_relative(to_long(attributes, ATTRIBUTES)).agg(F.avg("score").alias("attribute_drift"))
     if emb is None:
-        row = attr.withColumn("embedding_drift", F.lit(0.0))
+        row = attr.withColumn("embedding_drift", F.lit(0.0)).withColumn("mmd_method", F.lit(None).cast("string"))
     else:
-        row = one_row(attr, embedding.ensemble_text(emb, method).select(F.col("ensemble").alias("embedding_drift")))
+        row = one_row(attr, embedding.ensemble_text(emb, method).select(F.col("ensemble").alias("embedding_drift"), "mmd_method"))
     return row.withColumn("overall_score", 0.5 * F.col("attribute_drift") + 0.5 * F.col("embedding_drift")) \
         .withColumn("status", status_label(F.col("overall_score")))
 
 
+#: Columns of the embedding metrics in a result without embeddings.
+_ABSENT = {"mmd": "double", "mmd_method": "string", "mean_shift": "double", "cosine": "double", "cosine_text": "double",
+           "wasserstein": "double", "psi_mean": "double", "psi_max": "double"}
+
+
 def advanced(attributes: DataFrame, emb: DataFrame, cached: tuple[bool, bool] = (False, False),
-             minimum: int = 5) -> DataFrame:
-    """Attribute scores, embedding metrics and ensemble; embeddings need ``minimum`` rows per side."""
-    n = emb.groupBy("side").count().agg(F.count("*").alias("sides"), F.min("count").alias("rows")).first()
-    enough = n["sides"] == 2 and n["rows"] >= minimum
+             minimum: int = 5, method: str = "exact") -> DataFrame:
+    """Attribute scores, embedding metrics and ensemble.
+
+    Either half needs at least ``minimum`` rows on each side, embeddings and attribute rows
+    alike; where it has fewer, its columns are null and the ensemble leaves it out.
+    """
+    def fewest(df: DataFrame):
+        counted = df.groupBy("side").count().agg(F.count("*").alias("sides"), F.min("count").alias("rows")).first()
+        return counted["rows"] if counted["sides"] == 2 else 0
+
+    values = attributes.groupBy("side", "attr").count().groupBy("side").agg(F.max("count").alias("n"))
+    counted = values.agg(F.count("*").alias("sides"), F.min("n").alias("n")).first()
+    with_attributes = counted["sides"] == 2 and counted["n"] >= minimum
+    enough = fewest(emb) >= minimum
+    attributes = attributes if with_attributes else attributes.where(F.lit(False))
     if enough:
-        row = embedding.service_scores(attributes, emb)
+        row = embedding.service_scores(attributes, emb, method)
     else:
         row = drift.kl(attributes).agg(*[F.max(F.when(F.col("attr") == a, F.col("score"))).alias(f"{a}_kl")
                                          for a in ("size", "noise", "sharpness")])
-    return (embedding.ensemble_service(row).withColumn("has_embeddings", F.lit(enough))
+        row = row.select("*", *[F.lit(None).cast(kind).alias(name) for name, kind in _ABSENT.items()])
+    return (embedding.ensemble_service(row).withColumn("has_embeddings", F.lit(enough)).withColumn("has_attributes", F.lit(with_attributes))
             .withColumn("base_from_cache", F.lit(cached[0])).withColumn("target_from_cache", F.lit(cached[1]))
             .withColumn("status", status_label(F.col("ensemble"))))
 
@@ -72,7 +89,8 @@ def resolve_detector(modality: str, name: str) -> str:
     return known[name]
 
 
-def embedding_drift(emb: DataFrame, modality: str, detector: str = "default") -> DataFrame:
+def embedding_drift(emb: DataFrame, modality: str, detector: str = "default", method: str = "exact") -> DataFrame:
+    """(modality, detector, metric, embedding_drift, mmd_method); the method is null where no kernel is in the score."""
     metric = resolve_detector(modality, detector)
     if modality not in ("image", "text"):
         raise UnsupportedDetector(f"unsupported_detector: {modality!r} has no embeddings")
@@ -85,11 +103,12 @@ def embedding_drift(emb: DataFrame, modality: str, detector: str = "default") ->
         row = embedding.psi_pca_row(emb, **options)
     elif metric == "mmd_mean":
         row = embedding.mmd_multiscale(
-            emb, embedding.TEXT_GAMMAS if modality == "text" else embedding.VISION_GAMMAS, "auto")
+            emb, embedding.TEXT_GAMMAS if modality == "text" else embedding.VISION_GAMMAS, method)
     else:
-        row = embedding.ensemble_text(emb) if modality == "text" else embedding.ensemble_vision(emb)
+        row = embedding.ensemble_text(emb, method) if modality == "text" else embedding.ensemble_vision(emb, method)
     return row.select(F.lit(modality).alias("modality"), F.lit(detector).alias("detector"),
-                      F.lit(metric).alias("metric"), F.col(metric).alias("embedding_drift"))
+                      F.lit(metric).alias("metric"), F.col(metric).alias("embedding_drift"),
+                      F.lit(method if metric in ("mmd_mean", "ensemble") else None).cast("string").alias("mmd_method"))
 
 
 # ---- fusion ----------------------------------------------------------------

@@ -59,8 +59,8 @@ def cluster_select_elbow(spark, sf):
 
 
 @query("cluster_select_rule", """SELECT label, count(*) AS n, CASE WHEN count(*) < 5 THEN 1 WHEN count(*) < 10 THEN 2 WHEN count(*) < 20 THEN 3
- WHEN count(*) < 50 THEN 4 WHEN count(*) < 100 THEN 5 ELSE least(8, count(*) // 20) END AS k FROM embeddings GROUP BY label
-UNION ALL SELECT -1, count(*), CASE WHEN count(*) < 100 THEN 5 ELSE least(8, count(*) // 20) END FROM embeddings""")
+ WHEN count(*) < 50 THEN 4 WHEN count(*) < 100 THEN 5 ELSE least(8, count(*) // 20) END::INTEGER AS k FROM embeddings GROUP BY label
+UNION ALL SELECT -1, count(*), CASE WHEN count(*) < 100 THEN 5 ELSE least(8, count(*) // 20) END::INTEGER FROM embeddings""")
 def cluster_select_rule(spark, sf):
     e = embeddings(spark, sf)
     n = F.count("*")

@@ -130,8 +130,10 @@ def src_envelopes(spark, sf):
     return envelopes.run_manifest(envelopes.validate(read_envelopes(spark, path, one_per_file=False)))
 
 
-@query("sink_decisions", f"""WITH {ENV}, d AS (SELECT CAST(sum(rows) AS BIGINT) AS n_rows, count(*) AS n_files FROM f WHERE reason IS NULL AND kind <> 5)
-SELECT unnest(['csv', 'parquet']) AS format, n_rows, 14 AS n_columns, n_files, 1::BIGINT AS n_sites FROM d""")
+@query("sink_decisions", f"""WITH {ENV}, s AS (SELECT arg_min(app, source_file) AS site_id FROM f WHERE reason IS NULL),
+d AS (SELECT 'd' || event_id AS id, event_type AS decision_type, CASE WHEN value > 50 THEN 'accept' ELSE 'reject' END AS decision, site_id, source_file
+ FROM events JOIN f ON f.n = floor(event_id / 10)::BIGINT, s WHERE reason IS NULL AND kind <> 5)
+SELECT format, d.* FROM d, (SELECT unnest(['csv', 'parquet']) AS format)""")
 def sink_decisions(spark, sf):
     from ..sources.sinks import write_decisions
     p = parsed(spark, sf)
@@ -139,10 +141,10 @@ def sink_decisions(spark, sf):
     write_decisions(envelopes.decisions(p, envelopes.site_of(p), F.lit(STAMP)), path)
     csv = spark.read.option("header", True).option("escape", '"').csv(f"{path}/csv")
     parquet = spark.read.parquet(f"{path}/parquet")
-    def summary(df, kind):
-        return df.agg(F.lit(kind).alias("format"), F.count("*").alias("n_rows"), F.lit(len(df.columns)).alias("n_columns"),
-                      F.count_distinct("source_file").alias("n_files"), F.count_distinct("site_id").alias("n_sites"))
-    return summary(csv, "csv").unionByName(summary(parquet, "parquet"))
+
+    def rows(df, kind):
+        return df.select(F.lit(kind).alias("format"), "id", "decision_type", "decision", "site_id", "source_file")
+    return rows(csv, "csv").unionByName(rows(parquet, "parquet"))
 
 
 # ---- reports ---------------------------------------------------------------
@@ -175,17 +177,19 @@ def escalation_window(spark, sf):
     return decisions.escalation_window(reports(spark, sf))
 
 
-# alpr has no active trainer, so every model without a yolo trainer falls back to the first active one
-MATCH = """CASE model_name WHEN 'yolo-nano' THEN 'yolo-a' WHEN 'detr-base' THEN 'yolo-a' ELSE 'yolo-a' END"""
+def register(spark, *names: str):
+    """Trainers in this order; the type is the name up to the dash, a name in brackets is inactive."""
+    rows = [(f"t{i}", n.strip("()"), n.strip("()").split("-")[0], "inactive" if n.startswith("(") else "active") for i, n in enumerate(names)]
+    return spark.createDataFrame(rows, "id string, name string, trainer_type string, status string")
 
 
-@query("match_trainer", f"WITH {REPORTS} SELECT DISTINCT model_name, {MATCH} AS trainer_name, CASE model_name WHEN 'ALPR-v2' THEN 'alpr-a' ELSE 'zeta' END AS second_name FROM rep")
+@query("match_trainer", f"""WITH {REPORTS} SELECT DISTINCT model_name, CASE WHEN model_name IN ('yolo-nano', 'detr-base') THEN 'yolo-a' ELSE 'zeta' END AS trainer_name,
+ CASE WHEN model_name = 'ALPR-v2' THEN 'alpr-a' ELSE 'other' END AS second_name FROM rep""")
 def match_trainer(spark, sf):
     rep = reports(spark, sf)
-    second = spark.createDataFrame([("t0", "zeta", "other", "active"), ("t9", "alpr-a", "alpr", "active")],
-                                   "id string, name string, trainer_type string, status string")
-    a = decisions.match_trainer(rep, trainers(spark))
-    b = decisions.match_trainer(rep, second).withColumnRenamed("trainer_name", "second_name")
+    # a trainer that is not active serves nobody; models without one of their own go to the first active one
+    a = decisions.match_trainer(rep, register(spark, "(alpr-a)", "zeta", "yolo-a", "yolo-b"))
+    b = decisions.match_trainer(rep, register(spark, "other", "alpr-a", "(yolo-a)")).withColumnRenamed("trainer_name", "second_name")
     return a.join(b, "model_name")
 
 

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import query, table
-from .drift import PROFILE_SQL, TEXT_LONG, image_table, text_pair
-from .sqlparts import cdf_ctes, sides
+from .drift import IMAGE_LONG, IMAGE_NAMES, PROFILE_SQL, TEXT_LONG, image_table, text_pair
+from .sqlparts import cdf_ctes, hist_ctes, kl_ctes, psi_ctes, sides, unpivot
 from ..functions.scalar import status_label
 from ..functions.text import ATTRIBUTES
 from ..operators import drift, embedding as E, fusion
-from ..plans.frames import r, split_sides, to_long
+from ..plans.frames import one_row, r, split_sides, to_long
 from ..plans.scratch import scratch_path
 from ..sources import tables
 from ..sources.cache import AnalysisCache
@@ -51,8 +51,8 @@ def mmd_sql(vectors: str, gammas: list[float], clip: str = "{d}") -> str:
     d = clip.format(d="pow(list_distance(a.v, b.v), 2)")
     return f"""vec AS ({vectors}), prs AS (SELECT CASE WHEN a.side = b.side THEN a.side ELSE 'cross' END AS kind, {d} AS d2
  FROM vec a JOIN vec b ON a.key < b.key),
-ks AS (SELECT gamma, kind, avg(exp(-gamma * d2)) AS k FROM prs CROSS JOIN (SELECT unnest({gammas}::DOUBLE[]) AS gamma) GROUP BY ALL),
-mmd AS (SELECT gamma, sqrt(greatest(sum(CASE kind WHEN 'cross' THEN -2 * k ELSE k END), 0)) AS mmd FROM ks GROUP BY gamma)"""
+kern AS (SELECT gamma, kind, avg(exp(-gamma * d2)) AS k FROM prs CROSS JOIN (SELECT unnest({gammas}::DOUBLE[]) AS gamma) GROUP BY ALL),
+mmd AS (SELECT gamma, sqrt(greatest(sum(CASE kind WHEN 'cross' THEN -2 * k ELSE k END), 0)) AS mmd FROM kern GROUP BY gamma)"""
 
 
 _VEC = f"SELECT {sides('label < 5')} AS side, vec_id AS key, CAST(embedding AS DOUBLE[]) AS v FROM embeddings"
@@ -63,7 +63,7 @@ _STD = """SELECT e.side, e.key, list(e.x0 ORDER BY e.d) AS v FROM (SELECT z.side
 
 @query("emb_mmd", f"""WITH {EMB}, {mmd_sql(_VEC, [0.5, 1.0, 2.0])},
 {mmd_sql(_STD, [0.01, 1.0], 'least(greatest({d}, -50), 50)').replace('vec AS', 'vec2 AS').replace('vec a', 'vec2 a').replace('vec b', 'vec2 b')
- .replace('prs', 'prs2').replace('ks AS', 'ks2 AS').replace('FROM ks', 'FROM ks2').replace('mmd AS (', 'mmd2 AS (')}
+ .replace('prs', 'prs2').replace('kern AS', 'kern2 AS').replace('FROM kern', 'FROM kern2').replace('mmd AS (', 'mmd2 AS (')}
 SELECT 'none' AS standardize, gamma, round(mmd, 5) + 0.0 AS mmd FROM mmd UNION ALL
 SELECT 'per_set', gamma, round(mmd, 5) + 0.0 FROM mmd2""")
 def emb_mmd(spark, sf):
@@ -110,14 +110,46 @@ def emb_pairwise_cosine(spark, sf):
 
 # ---- ensembles and overall scores ------------------------------------------
 
-@query("ensemble_vision")
+# The stability index over principal components has no SQL; what the scores are made of besides it has, and "rest"
+# is a score without the index's part.
+_MEANS = f"""(WITH {EMB} SELECT sqrt(sum(pow(b - t, 2))) / sqrt(count(*)) AS mean_shift,
+ greatest(1 - sum(b * t) / (sqrt(sum(b * b)) * sqrt(sum(t * t))), 0) AS cosine,
+ 1 - sum(b * t) / (sqrt(sum(b * b)) * sqrt(sum(t * t)) + 1e-10) AS cosine_text FROM mean)"""
+_FLOW = f"(WITH {cdf_ctes(_PROJ)} SELECT score AS wasserstein FROM w1)"
+
+
+def _kernel_row(gammas: list[float]) -> str:
+    return f"(WITH {mmd_sql(_VEC, gammas)} SELECT avg(mmd) AS mmd_mean, stddev_pop(mmd) AS mmd_std FROM mmd)"
+
+
+def _part(metric: str, weight: float, scale: float) -> str:
+    return f"{weight} * least({metric} / {scale}, 1)"
+
+
+def _rest_sql(weights: dict[str, tuple[float, float]]) -> str:
+    return " + ".join(_part(m, w, t) for m, (w, t) in weights.items() if m != "psi_mean")
+
+
+def without_index(weights: dict[str, tuple[float, float]]):
+    """The ensemble without its stability index."""
+    w, t = weights["psi_mean"]
+    return F.col("ensemble") - E.scaled("psi_mean", t) * w
+
+
+@query("ensemble_vision", f"""SELECT round(mmd_mean, 6) AS mmd_mean, round(mmd_std, 6) AS mmd_std, 'exact' AS mmd_method, round(mean_shift, 6) AS mean_shift,
+ round(cosine, 6) + 0.0 AS cosine, round(wasserstein, 6) + 0.0 AS wasserstein, round({_rest_sql(E.VISION_WEIGHTS)}, 5) AS rest
+FROM {_kernel_row(E.VISION_GAMMAS)}, {_MEANS}, {_FLOW}""")
 def ensemble_vision(spark, sf):
-    return E.ensemble_vision(pair(spark, sf))
+    out = E.ensemble_vision(pair(spark, sf)).withColumn("rest", without_index(E.VISION_WEIGHTS))
+    return out.select(*[r(c).alias(c) for c in ("mmd_mean", "mmd_std")], "mmd_method",
+                      *[r(c).alias(c) for c in ("mean_shift", "cosine", "wasserstein")], r("rest", 5).alias("rest"))
 
 
-@query("ensemble_text")
+@query("ensemble_text", f"""SELECT round(mmd_mean, 6) AS mmd_mean, round(mmd_std, 6) AS mmd_std, 'exact' AS mmd_method, round(cosine_text, 6) + 0.0 AS cosine_text,
+ round({_rest_sql(E.TEXT_WEIGHTS)}, 5) AS rest FROM {_kernel_row(E.TEXT_GAMMAS)}, {_MEANS}""")
 def ensemble_text(spark, sf):
-    return E.ensemble_text(pair(spark, sf))
+    out = E.ensemble_text(pair(spark, sf)).withColumn("rest", without_index(E.TEXT_WEIGHTS))
+    return out.select(*[r(c).alias(c) for c in ("mmd_mean", "mmd_std")], "mmd_method", r("cosine_text").alias("cosine_text"), r("rest", 5).alias("rest"))
 
 
 def line_attributes(spark, sf):
@@ -128,43 +160,75 @@ def line_attributes(spark, sf):
                              F.col("l_quantity").alias("sharpness")), ["size", "noise", "sharpness"])
 
 
-@query("ensemble_service")
+_LINE_KL = f"""(WITH {kl_ctes(unpivot(["size", "noise", "sharpness"], "(SELECT l_returnflag, l_extendedprice AS size, l_discount AS noise, l_quantity AS sharpness FROM lineitem)",
+                                      sides("l_returnflag = 'A'"), "l_returnflag IN ('A', 'R')"))}
+ SELECT {", ".join(f"round(max(score) FILTER (attr = '{a}'), 4) AS {a}_kl" for a in ("size", "noise", "sharpness"))} FROM kl)"""
+_SCALED_KERNEL = f"(WITH {EMB}, {mmd_sql(_STD, [1.0], 'least(greatest({d}, -50), 50)')} SELECT mmd FROM mmd)"
+_SERVICE_SQL = f"""SELECT size_kl, noise_kl, sharpness_kl, round(mmd, 5) + 0.0 AS mmd, 'exact' AS mmd_method, round(mean_shift, 6) AS mean_shift,
+ round(wasserstein, 6) + 0.0 AS wasserstein, round({_rest_sql(E.SERVICE_WEIGHTS)}, 4) AS rest FROM {_LINE_KL}, {_SCALED_KERNEL}, {_MEANS}, {_FLOW}"""
+
+
+def _service_columns(row):
+    row = row.withColumn("rest", without_index(E.SERVICE_WEIGHTS))
+    return row.select("size_kl", "noise_kl", "sharpness_kl", r("mmd", 5).alias("mmd"), "mmd_method", r("mean_shift").alias("mean_shift"),
+                      r("wasserstein").alias("wasserstein"), r("rest", 4).alias("rest"), *[c for c in row.columns if c.startswith("has_")])
+
+
+@query("ensemble_service", _SERVICE_SQL)
 def ensemble_service(spark, sf):
-    return E.ensemble_service(E.service_scores(line_attributes(spark, sf), pair(spark, sf)))
+    return _service_columns(E.ensemble_service(E.service_scores(line_attributes(spark, sf), pair(spark, sf))))
 
 
-@query("drift_image_overall")
+@query("drift_image_overall", f"""WITH {psi_ctes(IMAGE_LONG)},
+s AS (SELECT n.attr, coalesce(score, 0.0) AS score FROM (VALUES {IMAGE_NAMES}) n(attr) LEFT JOIN psi USING (attr)),
+k AS (SELECT p_partkey % 3 <> 0 AS b, p_partkey % 5 <> 0 AS t FROM part)
+SELECT round(a, 6) AS attribute_drift, 'exact' AS mmd_method, round(0.45 * a, 6) AS rest, added, removed
+FROM (SELECT avg(score) AS a FROM s WHERE attr <> 'size'), (SELECT count(*) FILTER (t AND NOT b) AS added, count(*) FILTER (b AND NOT t) AS removed FROM k)""")
 def drift_image_overall(spark, sf):
     p = table(spark, sf, "part").select("p_partkey")
-    return fusion.image_overall(image_table(spark, sf), pair(spark, sf), p.where("p_partkey % 3 <> 0"),
-                                p.where("p_partkey % 5 <> 0"), "p_partkey")
+    out = fusion.image_overall(image_table(spark, sf), pair(spark, sf), p.where("p_partkey % 3 <> 0"),
+                               p.where("p_partkey % 5 <> 0"), "p_partkey")
+    rest = F.col("overall_score") - 0.55 * F.col("embedding_drift")
+    return out.select(r("attribute_drift").alias("attribute_drift"), "mmd_method", r(rest).alias("rest"), "added", "removed")
 
 
 @query("drift_text_overall", f"""WITH {cdf_ctes(TEXT_LONG)},
 m AS (SELECT attr, greatest(abs(avg(value)), 1.0) AS m FROM long WHERE side = 'base' GROUP BY attr),
-s AS (SELECT avg(score / m) AS a FROM w1 JOIN m USING (attr))
-SELECT round(a, 6) AS attribute_drift, 0.0::DOUBLE AS embedding_drift, round(0.5 * a, 6) AS overall_score,
- CASE WHEN 0.5 * a < 0.15 THEN 'NORMAL' WHEN 0.5 * a < 0.25 THEN 'WARNING' ELSE 'CRITICAL' END AS status FROM s""")
+s AS (SELECT avg(score / m) AS a FROM w1 JOIN m USING (attr)),
+e AS (SELECT {_rest_sql(E.TEXT_WEIGHTS)} AS e FROM {_kernel_row(E.TEXT_GAMMAS)}, {_MEANS})
+SELECT round(a, 6) AS attribute_drift, 'exact' AS mmd_method, round(e, 5) AS embedding_rest, round(0.5 * a + 0.5 * e, 5) AS overall_rest FROM s, e""")
 def drift_text_overall(spark, sf):
-    t = fusion.text_overall(text_pair(spark, sf))
-    return t.select(r("attribute_drift").alias("attribute_drift"), "embedding_drift",
-                    r("overall_score").alias("overall_score"), "status")
+    e = pair(spark, sf)
+    index = E.psi_pca_row(e, fit_on="both", fit_components=3, score_components=3).select("psi_mean")
+    t = one_row(fusion.text_overall(text_pair(spark, sf), e), index)
+    w, scale = E.TEXT_WEIGHTS["psi_mean"]
+    part = E.scaled("psi_mean", scale) * w
+    return t.select(r("attribute_drift").alias("attribute_drift"), "mmd_method", r(F.col("embedding_drift") - part, 5).alias("embedding_rest"),
+                    r(F.col("overall_score") - 0.5 * part, 5).alias("overall_rest"))
 
 
-@query("drift_advanced")
+@query("drift_advanced", f"SELECT *, true AS has_embeddings, true AS has_attributes FROM ({_SERVICE_SQL})")
 def drift_advanced(spark, sf):
-    return fusion.advanced(line_attributes(spark, sf), pair(spark, sf))
+    return _service_columns(fusion.advanced(line_attributes(spark, sf), pair(spark, sf)))
+
 
+# (modality, detector, metric, its SQL, whether a kernel is in it); psi detectors are in emb_psi_pca
+_DETECTORS = [("image", "mean_shift", "mean_shift", "mean_shift", False), ("image", "cosine", "cosine", "cosine", False),
+              ("image", "wasserstein", "wasserstein", "wasserstein", False), ("text", "cosine", "cosine_text", "cosine_text", False),
+              ("text", "mmd_only", "mmd_mean", "t.mmd_mean", True), ("image", "mmd", "mmd_mean", "v.mmd_mean", True)]
 
-@query("drift_detector_select")
+
+@query("drift_detector_select", f"WITH x AS (SELECT *, t.mmd_mean AS text_kernel, v.mmd_mean AS vision_kernel FROM {_kernel_row(E.TEXT_GAMMAS)} t, "
+       f"{_kernel_row(E.VISION_GAMMAS)} v, {_MEANS}, {_FLOW})\n" + "\nUNION ALL ".join(
+           f"SELECT '{m}' AS modality, '{d}' AS detector, '{k}' AS metric, round({q.replace('t.mmd_mean', 'text_kernel').replace('v.mmd_mean', 'vision_kernel')}, 6) + 0.0 AS embedding_drift, "
+           f"{chr(39) + 'exact' + chr(39) if kernel else 'NULL'}::VARCHAR AS mmd_method FROM x" for m, d, k, q, kernel in _DETECTORS))
 def drift_detector_select(spark, sf):
     e = pair(spark, sf)
     out = None
-    for modality, name in (("image", "mean_shift"), ("image", "cosine"), ("image", "wasserstein"), ("text", "cosine"),
-                           ("text", "mmd_only"), ("text", "psi"), ("image", "psi"), ("image", "mmd")):
+    for modality, name, *_ in _DETECTORS:
         one = fusion.embedding_drift(e, modality, name)
         out = one if out is None else out.unionByName(one)
-    return out
+    return out.withColumn("embedding_drift", r("embedding_drift"))
 
 
 @query("drift_baseline_create", f"""WITH {EMB}, s AS (SELECT sqrt(sum(pow(b - t, 2))) / sqrt(count(*)) AS d FROM mean)
@@ -249,18 +313,25 @@ def sink_timeline(spark, sf):
     return back.withColumn("overall_score", r("overall_score", 4)).orderBy("timestamp")
 
 
-@query("sink_plot_tables", f"""WITH {cdf_ctes(TEXT_LONG)} SELECT 'hist_attributes' AS name, count(DISTINCT attr) * 20 AS n_rows FROM long
-UNION ALL SELECT 'cluster_sizes', count(DISTINCT label) FROM embeddings""")
+@query("sink_plot_tables", f"""WITH {hist_ctes(TEXT_LONG, 20)}
+SELECT 'hist_attributes' AS name, attr AS key, CAST(sum(n_base) AS BIGINT) AS a, CAST(sum(n_target) AS BIGINT) AS b FROM h GROUP BY attr
+UNION ALL SELECT 'cluster_sizes', label::VARCHAR, count(*), NULL FROM embeddings GROUP BY label
+UNION ALL SELECT 'scatter', side, count(*), count(DISTINCT vec_id) FROM (SELECT {sides('label < 5')} AS side, vec_id FROM embeddings) GROUP BY side""")
 def sink_plot_tables(spark, sf):
+    from ..operators import cluster
     from ..sources.sinks import write_plot_tables
     path = scratch_path(spark, "plots")
     e = pair(spark, sf)
+    coords = cluster.principal_coordinates(e, 2)[0]
     write_plot_tables({
         "hist_attributes": drift.pair_histogram(to_long(text_pair(spark, sf), ATTRIBUTES)),
-        "cluster_sizes": e.groupBy("label").agg(F.count("*").alias("size"))}, path)
-    out = None
-    for name in ("hist_attributes", "cluster_sizes"):
-        one = spark.read.option("header", True).csv(f"{path}/{name}").agg(
-            F.lit(name).alias("name"), F.count("*").alias("n_rows"))
-        out = one if out is None else out.unionByName(one)
-    return out
+        "cluster_sizes": e.groupBy("label").agg(F.count("*").alias("size")),
+        "scatter": coords.join(e.select("key", "side", "label"), "key")}, path)
+    read = {name: spark.read.option("header", True).csv(f"{path}/{name}") for name in ("hist_attributes", "cluster_sizes", "scatter")}
+    # every point of the scatter table has both coordinates
+    points = read["scatter"].where("cast(c1 AS double) IS NOT NULL AND cast(c2 AS double) IS NOT NULL")
+    parts = [read["hist_attributes"].groupBy(F.col("attr").alias("key")).agg(F.sum(F.col("n_base").cast("bigint")).alias("a"), F.sum(F.col("n_target").cast("bigint")).alias("b")),
+             read["cluster_sizes"].select(F.col("label").alias("key"), F.col("size").cast("bigint").alias("a"), F.lit(None).cast("bigint").alias("b")),
+             points.groupBy(F.col("side").alias("key")).agg(F.count("*").alias("a"), F.count_distinct("key").alias("b"))]
+    out = [df.withColumn("name", F.lit(name)) for name, df in zip(read, parts)]
+    return out[0].unionByName(out[1]).unionByName(out[2])

@@ -21,7 +21,7 @@ def documents(spark, sf):
 
 # ---- text ------------------------------------------------------------------
 
-@query("text_upper", "SELECT doc_id, md5(upper(replace(text, 'ß', 'SS'))) AS digest, length(text) AS n FROM documents")
+@query("text_upper", "SELECT doc_id, md5(upper(replace(text, 'ß', 'SS'))) AS digest, CAST(length(text) AS INTEGER) AS n FROM documents")
 def text_upper(spark, sf):
     d = table(spark, sf, "documents")
     return d.select("doc_id", F.md5(T.upper(F.col("text"))).alias("digest"), F.length("text").alias("n"))
@@ -78,7 +78,7 @@ def text_corpus_summary(spark, sf):
                  r(F.avg("length_words")).alias("mean_words"), r(F.avg("vocab_diversity")).alias("mean_diversity"))
 
 
-@query("text_line_stats", """SELECT lang, count(*) AS n_lines, round(avg(w), 6) AS mean_words, max(w) AS max_words
+@query("text_line_stats", """SELECT lang, count(*) AS n_lines, round(avg(w), 6) AS mean_words, CAST(max(w) AS INTEGER) AS max_words
 FROM (SELECT lang, len(regexp_extract_all(lower(line), '[\\p{L}\\p{N}_]+')) AS w
       FROM (SELECT lang, unnest(string_split(text, chr(10))) AS line FROM documents)) GROUP BY lang""")
 def text_line_stats(spark, sf):

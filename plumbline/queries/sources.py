@@ -19,9 +19,8 @@ def src_csv(spark, sf):
     return tables.read_csv(spark, path)
 
 
-@query("src_csv_union", """WITH d AS (SELECT * FROM documents)
-SELECT doc_id::VARCHAR AS _id, md5(text) AS digest, 'src' || (CASE WHEN doc_id % 2 = 0 THEN '_even' ELSE '_odd' END) AS kind FROM d
-UNION ALL SELECT 'numbered ' || count(*), NULL, 'rows' FROM d""")
+@query("src_csv_union", """SELECT doc_id::VARCHAR AS _id, md5(text) AS digest, CASE WHEN doc_id % 2 = 0 THEN 'even' ELSE 'odd' END AS kind FROM documents
+UNION ALL SELECT 'nation_' || (row_number() OVER (ORDER BY n_nationkey) - 1), md5(n_name), 'bare' FROM nation""")
 def src_csv_union(spark, sf):
     path = scratch_path(spark, "documents")
     d = table(spark, sf, "documents")
@@ -31,14 +30,15 @@ def src_csv_union(spark, sf):
 
     write(d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("index"), "text", "lang"), "even")
     write(d.where("doc_id % 2 = 1").select(F.col("doc_id").alias("id"), "text"), "odd")
-    write(d.select("text"), "bare")
     write(d.select("doc_id", "lang"), "no_text")
-    both = tables.read_csv_union(spark, [f"{path}/even", f"{path}/odd", f"{path}/no_text"], "text")
-    kind = F.when(F.col("_id").cast("bigint") % 2 == 0, "src_even").otherwise("src_odd")
+    both = tables.read_csv_union(spark, [f"{path}/even", f"{path}/odd", f"{path}/no_text"], "text", multiline=True)
+    kind = F.when(F.col("_id").cast("bigint") % 2 == 0, "even").otherwise("odd")
     rows = both.select("_id", F.md5("text").alias("digest"), kind.alias("kind"))
-    bare = tables.read_csv_union(spark, [f"{path}/bare"], "text").agg(
-        F.concat(F.lit("numbered "), F.count_distinct("_id").cast("string")).alias("_id"))
-    return rows.unionByName(bare.select("_id", F.lit(None).cast("string").alias("digest"), F.lit("rows").alias("kind")))
+    # one named file without an id column: <stem>_<row>
+    table(spark, sf, "nation").coalesce(1).orderBy("n_nationkey").select(F.col("n_name").alias("text")).write.option("header", True).csv(f"{path}/named")
+    tables.rename_single_file(spark, f"{path}/named", f"{path}/nation.csv")
+    bare = tables.read_csv_union(spark, [f"{path}/nation.csv"], "text")
+    return rows.unionByName(bare.select("_id", F.md5("text").alias("digest"), F.lit("bare").alias("kind")))
 
 
 @query("src_text_lines", """WITH l AS (SELECT doc_id, CAST(unnest(range(len(string_split(text, chr(10))))) AS INTEGER) AS line_no,
@@ -68,10 +68,15 @@ def src_declared(spark, sf):
     return tables.bind(table(spark, sf, "events"), spec)
 
 
-@query("src_manifest")
+@query("src_manifest", """WITH h AS (SELECT n_regionkey AS k FROM nation GROUP BY 1)
+SELECT 'part_' || k || '.json' AS name, 'json' AS extension, CAST(length('{"k":' || k || '}') + 1 AS BIGINT) AS size FROM h""")
 def src_manifest(spark, sf):
-    files = tables.file_manifest(spark, sf)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), "size", "extension")
+    path = scratch_path(spark, "manifest")
+    keys = table(spark, sf, "nation").select(F.col("n_regionkey").cast("bigint").alias("k"), F.col("n_regionkey").alias("part")).distinct()
+    keys.repartition(1, "part").write.partitionBy("part").json(path)
+    files = tables.file_manifest(spark, path)
+    name = F.concat(F.lit("part_"), F.regexp_extract("path", r"part=(\d+)/", 1), F.lit(".json"))
+    return files.select(name.alias("name"), "extension", "size")
 
 
 # label lines made from the parts; two kinds of bad lines
@@ -109,7 +114,7 @@ def write_voc(spark, sf):
     return path
 
 
-@query("src_voc_objects", """SELECT split_part(p_name, ' ', 2) AS class, count(*) AS n, round(sum(p_size), 1) AS width FROM part GROUP BY 1""")
+@query("src_voc_objects", """SELECT split_part(p_name, ' ', 2) AS class, count(*) AS n, CAST(sum(p_size) AS DOUBLE) AS width FROM part GROUP BY 1""")
 def src_voc_objects(spark, sf):
     o = annotations.read_voc_objects(spark, write_voc(spark, sf))
     return o.groupBy("class").agg(F.count("*").alias("n"), F.sum((F.col("xmax") - F.col("xmin")) / 2).alias("width"))
@@ -203,17 +208,18 @@ def register_source(spark, sf):
     return out
 
 
-@query("register_sink", "SELECT unnest(['files', 'lines']) AS sink, count(DISTINCT length(url) >= 0) AS n_rows FROM pages")
+@query("register_sink", f"""WITH k AS (SELECT split_part(url, '/', 1) AS folder, count(*) AS n, CAST(sum(length(html)) AS BIGINT) AS size FROM pages GROUP BY 1)
+SELECT sink, k.* FROM k, (SELECT unnest(['files', 'lines']) AS sink)""")
 def register_sink(spark, sf):
     from ..operators import registry
     reg = registry.Registry()
     path = scratch_path(spark, "sink")
     reg.register_sink("files", lambda df, target: df.write.mode("append").parquet(target))
     reg.register_sink("lines", lambda df, target: df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(target))
-    stats = manifest.manifest_stats(table(spark, sf, "pages").select(
-        F.lit("pages").alias("dataset"), F.col("url").alias("path"), F.length("html").cast("bigint").alias("size")))
-    reg.write("files", stats, f"{path}/files")
-    reg.write("lines", stats, f"{path}/lines")
-    a = spark.read.parquet(f"{path}/files").agg(F.lit("files").alias("sink"), F.count("*").alias("n_rows"))
-    b = spark.read.text(f"{path}/lines").agg(F.lit("lines").alias("sink"), F.count("*").alias("n_rows"))
+    sizes = table(spark, sf, "pages").groupBy(F.split_part("url", F.lit("/"), F.lit(1)).alias("folder")).agg(
+        F.count("*").alias("n"), F.sum(F.length("html").cast("bigint")).alias("size"))
+    reg.write("files", sizes, f"{path}/files")
+    reg.write("lines", sizes, f"{path}/lines")
+    a = spark.read.parquet(f"{path}/files").withColumn("sink", F.lit("files"))
+    b = spark.read.schema("folder string, n bigint, size bigint").json(f"{path}/lines").withColumn("sink", F.lit("lines"))
     return a.unionByName(b)

@@ -77,7 +77,7 @@ def text_attributes(source: str = "documents") -> str:
     cases = " ".join(
         f"WHEN lang = '{code}' THEN len(list_filter(toks, lambda w: w IN ({', '.join(quote(x) for x in stopwords(name))})))"
         for code, name in LANGUAGES.items())
-    return f"""SELECT doc_id, lang, length(text) AS length_chars, len(toks) AS length_words,
+    return f"""SELECT doc_id, lang, CAST(length(text) AS INTEGER) AS length_chars, CAST(len(toks) AS INTEGER) AS length_words,
  coalesce(len(regexp_extract_all(text, '[{SPACE}]')) / nullif(length(text), 0), 0.0) AS whitespace_ratio,
  coalesce(len(regexp_extract_all(text, '[^\\p{{L}}\\p{{N}}{SPACE}]')) / nullif(length(text), 0), 0.0) AS special_char_ratio,
  coalesce((CASE {cases} ELSE 0 END) / nullif(len(toks), 0), 0.0) AS stopword_ratio,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -19,18 +20,21 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None =
 
 
 def read_csv_union(spark: SparkSession, paths: Sequence[str], text_column: str, id_column: str | None = None,
-                   multiline: bool = True) -> DataFrame:
+                   multiline: bool = False) -> DataFrame:
     """All CSV files with the text column, by name, with ``_source_file`` and ``_id``.
 
     The id is the declared column, else the first of the usual names, else
-    ``<file>_<row>``. Rows are numbered per piece of a file that one task reads, plus
-    the rows of the pieces before it, so a file of any size is fine.
+    ``<file>_<row>``. Files with the same header are read together, so there is one reader
+    per different header and not per file. Rows are numbered per piece of a file that one
+    task reads, plus the rows of the pieces before it, so a file of any size is fine.
+    ``multiline`` is for texts with line breaks: such a file is read by one task.
     """
     out = None
-    for path in paths:
-        df = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').csv(path)
-        if text_column not in df.columns:
+    for header, files in headers(spark, paths).items():
+        if text_column not in header:
             continue
+        df = (spark.read.schema(", ".join(f"`{c}` string" for c in header)).option("header", True).option("multiLine", multiline)
+              .option("escape", '"').csv(files))
         df = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start"),
                        F.monotonically_increasing_id().alias("_order"))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
@@ -52,6 +56,31 @@ def read_csv_union(spark: SparkSession, paths: Sequence[str], text_column: str,
     return out.withColumn("_id", row_id).select(*columns, "_source_file", "_id")
 
 
+def headers(spark: SparkSession, paths: Sequence[str]) -> dict[tuple[str, ...], list[str]]:
+    """The different headers of CSV files (folders: of their files) and the files that have them, from one job.
+
+    A file's header is its first line, so each file gives one row and the driver the names.
+    """
+    lines = spark.read.text(list(paths)).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("at"),
+                                                F.monotonically_increasing_id().alias("row"), "value").where("at = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "row").alias("header"))
+    found = first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files")).orderBy("header").collect()
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in found:
+        names = tuple(next(csv.reader([row["header"]]), []))
+        out.setdefault(names, []).extend(row["files"])
+    return out
+
+
+def rename_single_file(spark: SparkSession, folder: str, path: str) -> None:
+    """Move the only file that Spark wrote into a folder to a path of its own."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    (part,) = [f.getPath() for f in fs.listStatus(where) if f.getPath().getName().startswith("part-")]
+    fs.rename(part, jvm.org.apache.hadoop.fs.Path(path))
+
+
 def text_lines(df: DataFrame, text: str, key: str) -> DataFrame:
     """(key, line number, line) of a text column."""
     return df.select(key, F.posexplode(F.split(text, "\n")).alias("line_no", "line"))

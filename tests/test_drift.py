@@ -174,13 +174,38 @@ def test_mmd_per_set_cannot_see_a_shift(spark):
     assert E.mmd(d, [0.1]).first()["mmd"] > 0.3
 
 
-def test_mmd_cap_takes_that_many_rows(spark):
-    assert E.mmd(emb(spark, EX, EY), [0.5], cap=10).first()["mmd"] >= 0
-
-
-def test_random_features_come_close(spark):
-    got = E.mmd_rff(emb(spark, EX, EY), [0.1], features=8192).first()["mmd"]
-    assert got == pytest.approx(brute_mmd(EX, EY, 0.1), abs=0.03)
+def test_mmd_strips_of_any_size(spark, monkeypatch):
+    monkeypatch.setattr(E, "STRIP_ROWS", 7)
+    assert E.mmd(emb(spark, EX, EY), [0.1]).first()["mmd"] == pytest.approx(brute_mmd(EX, EY, 0.1), abs=1e-9)
+
+
+def test_mmd_copies_a_row_once_per_block(spark, monkeypatch):
+    monkeypatch.setattr(E, "TILE_ROWS", 35)
+    copies = E.tiles(emb(spark, EX, EY)).groupBy("side", "embedding").count().select("count").distinct().collect()
+    assert [r[0] for r in copies] == [3]
+    assert E.STRIP_ROWS * 8 == 16_384
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_random_features_lie_within_their_error(spark, seed):
+    for x, y, g in ((EX, EY, 0.1), (EX, EX + 0.01, 0.5), (EX, EY, 1.0)):
+        got = E.mmd_rff(emb(spark, x, y), [g], seed=seed).first()
+        def k(a, b):
+            return np.exp(-g * ((a[:, None] - b[None]) ** 2).sum(-1))
+        up = lambda m: m[np.triu_indices(len(m), 1)].mean()
+        square = up(k(x, x)) + up(k(y, y)) - 2 * k(x, y).mean()
+        assert abs(got["square"] - square) <= 4 * got["square_error"]
+        assert got["mmd"] == pytest.approx(math.sqrt(max(got["square"], 0)))
+
+
+@pytest.mark.parametrize("rows", [30, 20_500])
+def test_the_method_does_not_depend_on_the_size(spark, rows):
+    d = spark.range(rows).select(F.when(F.col("id") % 2 == 0, "base").otherwise("target").alias("side"), F.col("id").alias("key"),
+                                 F.array((F.col("id") % 7).cast("double"), (F.col("id") % 11).cast("double")).alias("embedding"))
+    assert E.mmd_multiscale(d, [0.5]).first()["mmd_method"] == "exact"
+    assert E.mmd_multiscale(d, [0.5], method="random_features").first()["mmd_method"] == "random_features"
+    with pytest.raises(ValueError):
+        E.mmd_multiscale(d, [0.5], method="auto")
 
 
 def test_identical_embeddings(spark):
@@ -225,7 +250,11 @@ def test_advanced_needs_five_rows(spark):
     attrs = to_long(two_sides(*[spark.range(20).select(*[(F.col("id") * k).alias(n) for k, n in enumerate(("size", "noise", "sharpness"), s)])
                                 for s in (1, 2)]), ["size", "noise", "sharpness"])
     assert fusion.advanced(attrs, emb(spark, EX[:4], EY)).first()["has_embeddings"] is False
-    assert fusion.advanced(attrs, emb(spark, EX[:5], EY)).first()["has_embeddings"] is True
+    few, enough = fusion.advanced(attrs, emb(spark, EX[:4], EY)), fusion.advanced(attrs, emb(spark, EX[:5], EY))
+    assert enough.first()["has_embeddings"] is True and enough.first()["mmd_method"] == "exact"
+    assert set(few.columns) == set(enough.columns) and few.first()["mmd_method"] is None
+    short = fusion.advanced(attrs.where("value < 4 OR side = 'target'"), emb(spark, EX, EY)).first()
+    assert short["has_attributes"] is False and short["size_kl"] is None and short["ensemble"] > 0
 
 
 # ---- fusion and detectors --------------------------------------------------
