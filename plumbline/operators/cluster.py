@@ -18,7 +18,9 @@ from ..plans.components import connected_components
 from ..plans.frames import grouped, with_scalars
 from ..plans.scratch import cut
 
-TILE_ROWS = 2048
+# rows of a block, and of the strips in which a task works through a pair of blocks
+TILE_ROWS = 16_384
+STRIP_ROWS = 2048
 
 
 # ---- coordinates -----------------------------------------------------------
@@ -292,8 +294,10 @@ def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
     """(key, cluster, x, y) -> weight, distance and similarity to the inverse-distance centroid.
 
     The weight sums the inverse distance to every other row of the cluster. A cluster is
-    cut into blocks and every pair of blocks is one task of bounded size that returns one
-    partial weight per row, so no task holds a cluster and no row is left out.
+    cut into blocks and every pair of blocks is one task of bounded size, worked through in
+    strips, that returns one partial weight per row; no task holds a cluster and no row is
+    left out. Quadratic, as the definition is: a row is copied once per block of its cluster.
+    ``cosine_centroids`` is the linear way to a density-weighted centroid.
     """
     sizes = points.groupBy(cluster).agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
     p = points.select(key, cluster, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
@@ -301,18 +305,24 @@ def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
     tiles = (p.join(sizes, cluster).withColumn("block", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
+    strip = STRIP_ROWS
     kinds = dict(points.dtypes)
 
     def inverse_distances(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
         pa, pb = a[["x", "y"]].to_numpy(), b[["x", "y"]].to_numpy()
-        d = np.hypot(pa[:, None, 0] - pb[None, :, 0], pa[:, None, 1] - pb[None, :, 1])
-        inv = 1.0 / (d + 1e-8)
+        left, right = np.zeros(len(pa)), np.zeros(len(pb))
+        for at in range(0, len(pa), strip):
+            x = pa[at:at + strip]
+            inv = 1.0 / (np.hypot(x[:, None, 0] - pb[None, :, 0], x[:, None, 1] - pb[None, :, 1]) + 1e-8)
+            if i == j:
+                inv[np.arange(len(x)), at + np.arange(len(x))] = 0.0
+            left[at:at + strip] = inv.sum(1)
+            right += inv.sum(0)
         if i == j:
-            np.fill_diagonal(inv, 0.0)
-            return pd.DataFrame({key: a[key].to_numpy(), "w": inv.sum(1)})
-        return pd.DataFrame({key: np.concatenate([a[key], b[key]]), "w": np.concatenate([inv.sum(1), inv.sum(0)])})
+            return pd.DataFrame({key: a[key].to_numpy(), "w": left})
+        return pd.DataFrame({key: np.concatenate([a[key], b[key]]), "w": np.concatenate([left, right])})
 
     partial = grouped(tiles.select(key, cluster, "x", "y", "block", "i", "j"), cluster, "i", "j").applyInPandas(
         inverse_distances, f"{key} {kinds[key]}, w double")

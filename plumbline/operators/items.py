@@ -119,3 +119,30 @@ def export_splits(items: DataFrame, layout: str, splits: Sequence[str]) -> DataF
 
 def write_export(exported: DataFrame, path: str) -> None:
     exported.write.mode("overwrite").partitionBy("split").parquet(path)
+
+
+# ---- label files -----------------------------------------------------------
+
+def write_yolo(boxes: DataFrame, path: str) -> None:
+    """Label lines ``class cx cy w h`` per split; (split, class_id, cx, cy, w, h)."""
+    line = F.concat_ws(" ", *[F.col(c).cast("string") for c in ("class_id", "cx", "cy", "w", "h")])
+    boxes.select("split", line.alias("value")).write.mode("overwrite").partitionBy("split").text(path)
+
+
+def write_coco(boxes: DataFrame, path: str) -> None:
+    """Annotations as JSON lines per split, never one document in one task; the output of ``boxes_to_coco`` with split and item."""
+    boxes.select("split", F.col("annotation_id").alias("id"), F.col("item").alias("image_id"), F.col("class_id").alias("category_id"),
+                 F.array("x", "y", "box_w", "box_h").alias("bbox"), "area", F.lit(0).alias("iscrowd")) \
+        .write.mode("overwrite").partitionBy("split").json(path)
+
+
+def write_voc(boxes: DataFrame, names: DataFrame, path: str) -> None:
+    """One XML record per picture with all its objects; the output of ``boxes_to_voc`` with split, filename, width and height.
+
+    A picture's boxes are collected, of which there are few; a class without a name is ``class_<i>``.
+    """
+    name = F.coalesce("name", F.concat(F.lit("class_"), F.col("class_id").cast("string")))
+    entry = F.struct(name.alias("name"), F.struct("xmin", "ymin", "xmax", "ymax").alias("bndbox"))
+    pictures = boxes.join(names, "class_id", "left").groupBy("split", "filename", "width", "height").agg(F.sort_array(F.collect_list(entry)).alias("object"))
+    pictures.select("split", F.lit("images").alias("folder"), "filename", F.struct("width", "height", F.lit(3).alias("depth")).alias("size"), "object") \
+        .write.mode("overwrite").format("xml").option("rootTag", "annotations").option("rowTag", "annotation").partitionBy("split").save(path)

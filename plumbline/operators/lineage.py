@@ -19,23 +19,18 @@ def dependents(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.col("source").alias("id"), F.col("target").alias("dependent"), "relationship")
 
 
-def _second_hop(step: DataFrame) -> DataFrame:
-    """(a, b) distinct steps -> (id, n): distinct nodes two steps away.
+def _second_hop(steps: DataFrame) -> DataFrame:
+    """(a, b, out_a, out_b, ways_b) distinct steps -> (id, n): distinct nodes two steps away.
 
     Where a node takes a single step, its second hop is all that the next node steps to;
     and a node with one way in is reached only once. Both are counted by sums. Pairs are
     listed only for nodes with several steps, and only to nodes with several ways in.
     """
-    fan_out = step.groupBy("a").agg(F.count("*").alias("out"), F.first("b").alias("only"))
-    fan_in = step.groupBy("b").agg(F.count("*").alias("ways"))
-    totals = fan_out.select(F.col("a").alias("b"), F.col("out").alias("next_out"))
-    single = fan_out.where("out = 1").select("a", F.col("only").alias("b")).join(totals, "b").select(
-        F.col("a").alias("id"), F.col("next_out").alias("n"))
-    several = step.join(fan_out.where("out > 1").select("a"), "a", "left_semi")
-    marked = step.join(fan_in, "b")
-    once = marked.where("ways = 1").groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
+    single = steps.where("out_a = 1 AND out_b > 0").select(F.col("a").alias("id"), F.col("out_b").alias("n"))
+    several = steps.where("out_a > 1 AND out_b > 0").select("a", "b")
+    once = steps.where("ways_b = 1").groupBy(F.col("a").alias("b")).agg(F.count("*").alias("n"))
     sure = several.join(once, "b").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("n"))
-    shared = marked.where("ways > 1").select(F.col("a").alias("b"), F.col("b").alias("c"))
+    shared = steps.where("ways_b > 1").select(F.col("a").alias("b"), F.col("b").alias("c"))
     listed = several.join(shared, "b").select(F.col("a").alias("id"), "c").distinct().groupBy("id").agg(F.count("*").alias("n"))
     return single.unionByName(sure).unionByName(listed).groupBy("id").agg(F.sum("n").alias("n"))
 
@@ -45,12 +40,22 @@ def impact(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
     The impact count adds both steps, so a node seen at both counts twice.
     """
-    forward = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
-    backward = forward.select(F.col("b").alias("a"), F.col("a").alias("b"))
-    parts = []
-    for name, step in (("dependents", forward), ("dependencies", backward)):
-        parts.append(step.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("n")).withColumn("what", F.lit(f"direct_{name}")))
-        parts.append(_second_hop(step).withColumn("what", F.lit(f"indirect_{name}")))
+    step = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).distinct())
+    # one table of ways out and in serves both directions: the fan-out of one is the fan-in of the other
+    ends = step.select(F.col("a").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("ways")).unionByName(
+        step.select(F.col("b").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("ways")))
+    degree = cut(ends.groupBy("id").agg(F.sum("out").alias("out"), F.sum("ways").alias("ways")))
+
+    def at(c: str) -> DataFrame:
+        return degree.select(F.col("id").alias(c), F.col("out").alias(f"out_{c}"), F.col("ways").alias(f"ways_{c}"))
+
+    forward = cut(step.join(at("a"), "a").join(at("b"), "b"))
+    backward = forward.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("ways_b").alias("out_a"), F.col("ways_a").alias("out_b"),
+                              F.col("out_a").alias("ways_b"))
+    parts = [degree.select("id", F.col("out").alias("n"), F.lit("direct_dependents").alias("what")),
+             degree.select("id", F.col("ways").alias("n"), F.lit("direct_dependencies").alias("what")),
+             _second_hop(forward).withColumn("what", F.lit("indirect_dependents")),
+             _second_hop(backward).withColumn("what", F.lit("indirect_dependencies"))]
     long = parts[0]
     for p in parts[1:]:
         long = long.unionByName(p)

@@ -147,3 +147,29 @@ def emb_cosine(spark, sf):
     e = embeddings(spark, sf)
     after = e.select((F.col("key") - 1).alias("key"), F.col("embedding").alias("next"))
     return e.join(after, "key").select("key", r(V.cosine(F.col("embedding"), F.col("next"))).alias("cosine"))
+
+
+# ---- on the projected coordinates ------------------------------------------
+
+@query("cluster_dbscan_projected")
+def cluster_dbscan_projected(spark, sf):
+    points = coords2(spark, sf).select("key", F.col("c1").alias("x"), F.col("c2").alias("y"))
+    return cluster.dbscan(points, 0.02, 5).select("key", "cluster", "kind")
+
+
+@query("cluster_centroids_projected")
+def cluster_centroids_projected(spark, sf):
+    points = coords2(spark, sf).join(embeddings(spark, sf).select("key", "label"), "key").select(
+        "key", "label", F.col("c1").alias("x"), F.col("c2").alias("y"))
+    return cluster.centroids_2d(points, "label", "key")
+
+
+@query("cluster_chain")
+def cluster_chain(spark, sf):
+    """Coordinates, k-means on them, centroids and similarities, statistics and the five most similar of each cluster."""
+    coords = cut(coords2(spark, sf))
+    found = cut(cluster.kmeans(coords, k=10).select("key", "cluster"))
+    points = coords.join(found, "key").select("key", "cluster", F.col("c1").alias("x"), F.col("c2").alias("y"))
+    similar = cut(cluster.centroids_2d(points, "cluster", "key"))
+    stats = cluster.cluster_stats(similar, "cluster")
+    return cluster.top_members(similar, "cluster", "key").select("cluster", "key", "rank", "similarity").join(stats, "cluster")

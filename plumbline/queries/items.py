@@ -83,7 +83,8 @@ def part_boxes(spark, sf):
         k.alias("item"), (F.col("p_size") % 5).alias("class_id"),
         ((k % 37) / 100 + 0.3).alias("cx"), ((k % 23) / 100 + 0.4).alias("cy"),
         ((k % 11 + 1) / 50).alias("w"), ((k % 13 + 1) / 60).alias("h"),
-        F.when(k % 11 == 5, 0).otherwise(F.col("p_size") * 10).alias("width"), (F.col("p_size") * 5 + 3).alias("height"))
+        F.when(k % 11 == 5, 0).otherwise(F.col("p_size") * 10).alias("width"), (F.col("p_size") * 5 + 3).alias("height"),
+        F.when(k % 4 == 3, "valid").otherwise("train").alias("split"), F.concat(F.lit("img_"), (k - k % 3).cast("string"), F.lit(".jpg")).alias("filename"))
 
 
 BOXES = """bx AS (SELECT p_partkey AS item, p_size % 5 AS class_id, (p_partkey % 37) / 100 + 0.3::DOUBLE AS cx,
@@ -91,20 +92,32 @@ BOXES = """bx AS (SELECT p_partkey AS item, p_size % 5 AS class_id, (p_partkey %
  CASE WHEN p_partkey % 11 = 5 THEN 0 ELSE p_size * 10 END AS width, p_size * 5 + 3 AS height FROM part)"""
 
 
-@query("bbox_yolo_to_coco", f"""WITH {BOXES} SELECT item, class_id, round((cx - w / 2) * width, 4) + 0.0 AS x,
- round((cy - h / 2) * height, 4) + 0.0 AS y, round(w * width, 4) AS box_w, round(h * height, 4) AS box_h,
+@query("bbox_yolo_to_coco", f"""WITH {BOXES} SELECT item, class_id, CASE WHEN item % 4 = 3 THEN 'valid' ELSE 'train' END AS split,
+ round((cx - w / 2) * width, 4) + 0.0 AS x, round((cy - h / 2) * height, 4) + 0.0 AS y, round(w * width, 4) AS box_w, round(h * height, 4) AS box_h,
  round(w * width * (h * height), 4) AS area, row_number() OVER (ORDER BY item) AS annotation_id
 FROM bx WHERE width > 0 AND height > 0""")
 def bbox_yolo_to_coco(spark, sf):
-    b = items.boxes_to_coco(part_boxes(spark, sf), ["item"])
-    return b.select("item", "class_id", "annotation_id", *[r(c, 4).alias(c) for c in ("x", "y", "box_w", "box_h", "area")])
+    path = scratch_path(spark, "coco")
+    items.write_coco(items.boxes_to_coco(part_boxes(spark, sf), ["item", "split"]), path)
+    b = spark.read.schema("id bigint, image_id bigint, category_id int, bbox array<double>, area double, split string").json(path)
+    x, y, w, h = (F.get("bbox", F.lit(i)) for i in range(4))
+    return b.select(F.col("image_id").alias("item"), F.col("category_id").alias("class_id"), "split", F.col("id").alias("annotation_id"),
+                    *[r(c, 4).alias(n) for c, n in ((x, "x"), (y, "y"), (w, "box_w"), (h, "box_h"), (F.col("area"), "area"))])
 
 
-@query("bbox_yolo_to_voc", f"""WITH {BOXES} SELECT item, class_id, CAST(trunc((cx - w / 2) * width) AS INTEGER) AS xmin,
+@query("bbox_yolo_to_voc", f"""WITH {BOXES} SELECT 'img_' || (item - item % 3) || '.jpg' AS filename, 'class_' || class_id AS class, CASE WHEN item % 4 = 3 THEN 'valid' ELSE 'train' END AS split,
+ width::INTEGER AS width, height::INTEGER AS height, CAST(trunc((cx - w / 2) * width) AS INTEGER) AS xmin,
  CAST(trunc((cy - h / 2) * height) AS INTEGER) AS ymin, CAST(trunc((cx + w / 2) * width) AS INTEGER) AS xmax,
  CAST(trunc((cy + h / 2) * height) AS INTEGER) AS ymax FROM bx WHERE width > 0 AND height > 0""")
 def bbox_yolo_to_voc(spark, sf):
-    return items.boxes_to_voc(part_boxes(spark, sf), ["item", "class_id"])
+    path = scratch_path(spark, "voc")
+    boxes = items.boxes_to_voc(part_boxes(spark, sf), ["class_id", "split", "filename", "width", "height"])
+    items.write_voc(boxes, spark.createDataFrame([], "class_id int, name string"), path)
+    box = "xmin: int, ymin: int, xmax: int, ymax: int"
+    records = spark.read.format("xml").option("rowTag", "annotation").schema(
+        f"filename string, size struct<width: int, height: int>, object array<struct<name: string, bndbox: struct<{box}>>>, split string").load(path)
+    return records.select("filename", "split", "size.*", F.explode("object").alias("o")).select(
+        "filename", F.col("o.name").alias("class"), "split", "width", "height", "o.bndbox.*")
 
 
 @query("export_splits", f"""WITH {ITEMS_CTE}, e AS (SELECT *, coalesce(split, 'train') AS s FROM it),
@@ -119,8 +132,9 @@ def export_splits(spark, sf):
     it = part_items(spark, sf)
     out = None
     for layout in ("yolo", "coco", "voc"):
-        e = items.export_splits(it, layout, ["train", "valid"]).select(
-            F.lit(layout).alias("layout"), "id", "split", "target_path", "label_target")
+        path = scratch_path(spark, f"export-{layout}")
+        items.write_export(items.export_splits(it, layout, ["train", "valid"]).select("id", "split", "target_path", "label_target"), path)
+        e = spark.read.parquet(path).select(F.lit(layout).alias("layout"), "id", "split", "target_path", "label_target")
         out = e if out is None else out.unionByName(e)
     return out
 
