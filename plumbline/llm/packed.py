@@ -62,13 +62,45 @@ def batch_of(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> p
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names)
 
 
+def homes_of(ids: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket in which the answers for a text meet."""
+    return (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+
+
+def sent_home(ids: np.ndarray, columns: list[np.ndarray], buckets: int) -> list[tuple]:
+    """(home, ids, counts, columns...): answers in any order, packed for the buckets of their texts."""
+    order = np.argsort(ids, kind="stable")
+    ids = ids[order]
+    first, count = runs(ids)
+    doc = np.repeat(np.arange(len(first)), count)
+    return list(by_bucket(homes_of(ids, buckets), doc, [ids[first]], [c[order] for c in columns]))
+
+
+def at_home(answers: DataFrame, columns: dict[str, type]) -> DataFrame:
+    """(sid, columns...): one row per text with all its answers packed, from rows of ``sent_home``."""
+    names = list(columns)
+
+    def merge(table: pa.Table) -> pa.Table:
+        ids = np.repeat(unpacked(table.column("ids"), np.int64), unpacked(table.column("counts"), np.int32))
+        order = np.argsort(ids, kind="stable")
+        first, count = runs(ids[order])
+        out = {"sid": pa.array(ids[order][first], pa.int64())}
+        for name, kind in columns.items():
+            values = unpacked(table.column(name), kind)[order]
+            out[name] = pa.array([values[s:s + n].tobytes() for s, n in zip(first, count)], pa.binary())
+        return pa.table(out)
+
+    return answers.select("home", "ids", "counts", *names).groupBy("home").applyInArrow(
+        merge, "sid bigint, " + ", ".join(f"{n} binary" for n in names))
+
+
 def seen_again(texts: DataFrame, buckets: int, anchors: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]],
                piece_bytes: int = PIECE_BYTES, often: int | None = None) -> DataFrame:
-    """(sid, pos, often): the packed places of the keys that are seen more than once in all texts.
+    """(home, ids, counts, pos, often): the places of the keys that are seen more than once in all texts, for ``at_home``.
 
     ``anchors`` takes the texts of a piece and gives key (64 bits), index of the text and
     place of each, in the order of texts and places. Keys are compared by 32 bits within a
-    bucket: a wrong yes is possible. With ``often`` all 64 bits are sent, and rows without sid
+    bucket: a wrong yes is possible. With ``often`` all 64 bits are sent, and rows without home
     hold, packed, the keys seen at least so many times: at most one in ``often`` of all keys.
     """
     names = ["bucket", "ids", "counts", "keys", "pos", "known_ids", "known_counts", "known_pos"]
@@ -92,8 +124,8 @@ def seen_again(texts: DataFrame, buckets: int, anchors: Callable[[list[bytes]],
             owner = np.concatenate([doc[once], np.full(len(asked) - once.sum(), len(ids))])
             rows = [(*r, None, None, None) for r in by_bucket(
                 ((asked >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), owner, [np.append(ids, 0)], [asked.astype(kind), places])]
-            home = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            rows += [(b, None, None, None, None, i, n, p) for b, i, n, p in by_bucket(home[doc[several]], doc[several], [ids], [place[several]])]
+            rows += [(b, None, None, None, None, i, n, p) for b, i, n, p in by_bucket(
+                homes_of(ids, buckets)[doc[several]], doc[several], [ids], [place[several]])]
             yield batch_of(rows, names, types)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -106,15 +138,11 @@ def seen_again(texts: DataFrame, buckets: int, anchors: Callable[[list[bytes]],
         again = order[np.repeat(total > 1, count)]
         again = again[place[again] >= 0]
         known = np.repeat(unpacked(table.column("known_ids"), np.int64), unpacked(table.column("known_counts"), np.int32))
-        ids = np.concatenate([ids[again], known])
-        place = np.concatenate([place[again], unpacked(table.column("known_pos"), np.int32)])
-        order = np.lexsort((place, ids))
-        ids, place = ids[order], place[order]
-        first, count = runs(ids)
-        return pa.table({"sid": pa.array([*ids[first].tolist(), None], pa.int64()),
-                         "pos": pa.array([*(place[s:s + n].tobytes() for s, n in zip(first, count)), None], pa.binary()),
-                         "often": pa.array([None] * len(first) + [many.tobytes()], pa.binary())})
+        rows = sent_home(np.concatenate([ids[again], known]),
+                         [np.concatenate([place[again], unpacked(table.column("known_pos"), np.int32)])], buckets)
+        return pa.Table.from_batches([batch_of([*((*r, None) for r in rows), (None, None, None, None, many.tobytes())],
+                                               ["home", "ids", "counts", "pos", "often"], [pa.int32()] + [pa.binary()] * 4)])
 
     asked = texts.mapInArrow(ask, "bucket int, ids binary, counts binary, keys binary, pos binary, "
                                   "known_ids binary, known_counts binary, known_pos binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "sid bigint, pos binary, often binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "home int, ids binary, counts binary, pos binary, often binary")

@@ -29,78 +29,69 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .packed import PIECE_BYTES, batch_of, buckets_for, by_bucket, seen_again, source, unpacked
-from .words import WordNumbers, mixed, odd_numbers, slices
+from .packed import PIECE_BYTES, at_home, batch_of, buckets_for, by_bucket, homes_of, seen_again, sent_home, source, unpacked
+from .words import WordNumbers, run_hashes, slices
 
 WINDOW = 20
 PERIOD, COVER = 13, (0, 1, 3, 9)
 ANCHOR = WINDOW - PERIOD + 1
 
 
-def _hashed(words: np.ndarray, at: np.ndarray, length: int, seed: int) -> np.ndarray:
-    """64 bits of the ``length`` words that start at each position."""
-    total = np.zeros(len(at), np.uint64)
-    for j, times in enumerate(odd_numbers(length, seed)):
-        total += mixed(words[at + j] ^ times) * times
-    return mixed(total)
-
-
 def _text_hash(raw: bytes) -> int:
     return int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
 
 def _anchors(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     numbers = WordNumbers()
+    covered = np.isin(np.arange(PERIOD), COVER)
     keys, docs, places = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int32)]
     for i, raw in enumerate(raws):
         words = numbers.of(raw.split())
         if len(words) >= WINDOW:
-            at = np.arange(len(words) - ANCHOR + 1)
-            at = at[np.isin(at % PERIOD, COVER)]
-            keys.append(_hashed(words, at, ANCHOR, 21))
+            at = np.flatnonzero(np.resize(covered, len(words) - ANCHOR + 1))
+            keys.append(run_hashes(words, ANCHOR, 21)[at])
             docs.append(np.full(len(at), i))
             places.append(at.astype(np.int32))
     return np.concatenate(keys), np.concatenate(docs), np.concatenate(places)
 
 
 def _later_windows(extended: DataFrame, buckets: int) -> DataFrame:
-    """(sid, pos, sha): packed starts of the windows that start earlier elsewhere; of texts with repeated anchors."""
-    names = ["bucket", "ids", "shas", "counts", "one", "two", "pos", "known_ids", "known_shas", "known_counts", "known_pos"]
+    """(home, ids, counts, sha, pos): starts of the windows that start earlier elsewhere, for ``at_home``."""
+    names = ["bucket", "ids", "shas", "counts", "one", "two", "pos", "known_ids", "known_counts", "known_shas", "known_pos"]
     types = [pa.int32()] + [pa.binary()] * 10
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers = WordNumbers()
         for piece in slices(batches, "raw", PIECE_BYTES):
-            raws = piece.column("raw").to_pylist()
+            raws, found = piece.column("raw").to_pylist(), piece.column("pos").to_pylist()
             ids = piece.column("sid").to_numpy()
             shas = np.array([_text_hash(raw) for raw in raws], np.int64)
             one, two, docs, places = [], [], [], []
             # in the order that decides which window is first
-            for i in np.lexsort((shas, ids)):
+            for i in np.lexsort((shas, ids)).tolist():
                 words = numbers.of(raws[i].split())
-                found = np.frombuffer(b"".join(piece.column("found")[int(i)].as_py()), np.int32)
-                steps = np.zeros(len(words) + 1, np.int32)
-                np.add.at(steps, np.maximum(found - (PERIOD - 1), 0), 1)
-                np.add.at(steps, np.minimum(found + 1, len(words)), -1)
-                at = np.flatnonzero(np.cumsum(steps[:max(len(words) - WINDOW + 1, 0)]) > 0)
-                one.append(_hashed(words, at, WINDOW, 22))
-                two.append(_hashed(words, at, WINDOW, 23))
+                n = len(words) - WINDOW + 1
+                if n <= 0:
+                    continue
+                anchor = np.frombuffer(found[i], np.int32)
+                steps = np.bincount(np.minimum(np.maximum(anchor - (PERIOD - 1), 0), n), minlength=n + 1).astype(np.int64)
+                steps -= np.bincount(np.minimum(anchor + 1, n), minlength=n + 1)
+                at = np.flatnonzero(np.cumsum(steps[:n]) > 0)
+                one.append(run_hashes(words, WINDOW, 22)[at])
+                two.append(run_hashes(words, WINDOW, 23)[at])
                 docs.append(np.full(len(at), i))
                 places.append(at.astype(np.int32))
             if not one:
                 continue
             a, b, doc, place = (np.concatenate(x) for x in (one, two, docs, places))
-            order = np.lexsort((np.arange(len(a)), b, a))
-            same = np.zeros(len(a), bool)
-            same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
+            order = np.argsort(a, kind="stable")
             later = np.zeros(len(a), bool)
-            later[order] = same
+            later[order[1:]] = (a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])
             f = ~later
             rows = [(*r, None, None, None, None) for r in by_bucket(
                 ((a[f] >> np.uint64(32)) % np.uint64(buckets)).astype(np.int32), doc[f], [ids, shas], [a[f], b[f], place[f]])]
-            home = mixed(ids.astype(np.uint64)) % np.uint64(buckets)
-            rows += [(r[0], None, None, None, None, None, None, *r[1:]) for r in by_bucket(
-                home[doc[later]].astype(np.int32), doc[later], [ids, shas], [place[later]])]
+            rows += [(r[0], *[None] * 6, *r[1:]) for r in by_bucket(
+                homes_of(ids, buckets)[doc[later]], doc[later], [ids], [shas[doc[later]], place[later]])]
             yield batch_of(rows, names, types)
 
     def answer(table: pa.Table) -> pa.Table:
@@ -108,50 +99,41 @@ def _later_windows(extended: DataFrame, buckets: int) -> DataFrame:
         ids, shas = (np.repeat(unpacked(table.column(c), np.int64), count) for c in ("ids", "shas"))
         a, b, place = (unpacked(table.column(c), t) for c, t in (("one", np.uint64), ("two", np.uint64), ("pos", np.int32)))
         order = np.lexsort((place, shas, ids, b, a))
-        same = np.zeros(len(a), bool)
-        same[1:] = (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
-        later = order[same]
-        count = unpacked(table.column("known_counts"), np.int32)
-        ids, shas = (np.concatenate([x[later], np.repeat(unpacked(table.column(c), np.int64), count)])
-                     for x, c in ((ids, "known_ids"), (shas, "known_shas")))
-        place = np.concatenate([place[later], unpacked(table.column("known_pos"), np.int32)])
-        order = np.lexsort((place, shas, ids))
-        ids, shas, place = ids[order], shas[order], place[order]
-        first = np.flatnonzero(np.concatenate([[True], (ids[1:] != ids[:-1]) | (shas[1:] != shas[:-1])])) if len(ids) else np.zeros(0, int)
-        ends = np.append(first[1:], len(ids))
-        return pa.table({"sid": pa.array(ids[first]), "sha": pa.array(shas[first]),
-                         "pos": pa.array([place[s:e].tobytes() for s, e in zip(first, ends)], pa.binary())})
-
-    asked = extended.mapInArrow(ask, "bucket int, ids binary, shas binary, counts binary, one binary, two binary, pos binary, "
-                                     "known_ids binary, known_shas binary, known_counts binary, known_pos binary")
-    return asked.groupBy("bucket").applyInArrow(answer, "sid bigint, sha bigint, pos binary")
+        later = order[1:][(a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])]
+        known = np.repeat(unpacked(table.column("known_ids"), np.int64), unpacked(table.column("known_counts"), np.int32))
+        rows = sent_home(np.concatenate([ids[later], known]),
+                         [np.concatenate([shas[later], unpacked(table.column("known_shas"), np.int64)]),
+                          np.concatenate([place[later], unpacked(table.column("known_pos"), np.int32)])], buckets)
+        return pa.Table.from_batches([batch_of(rows, ["home", "ids", "counts", "sha", "pos"], [pa.int32()] + [pa.binary()] * 4)])
+
+    asked = extended.mapInArrow(ask, "bucket int, " + ", ".join(f"{n} binary" for n in names[1:]))
+    return asked.groupBy("bucket").applyInArrow(answer, "home int, ids binary, counts binary, sha binary, pos binary")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_words, n_removed, kept): the words left, joined by one space; one row per row of the input."""
     texts = source(docs, id_col, text_col)
     buckets = buckets_for(texts)
-    found = seen_again(texts, buckets, _anchors).where("sid IS NOT NULL").groupBy("sid").agg(F.collect_list("pos").alias("found"))
-    later = _later_windows(texts.join(found, "sid"), buckets).groupBy("sid").agg(F.collect_list(F.struct("sha", "pos")).alias("later"))
+    found = at_home(seen_again(texts, buckets, _anchors).where("home IS NOT NULL"), {"pos": np.int32})
+    later = at_home(_later_windows(texts.join(found, "sid"), buckets), {"sha": np.int64, "pos": np.int32})
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, "raw", PIECE_BYTES):
             n_words, n_removed, kept = [], [], []
-            for raw, later in zip(piece.column("raw").to_pylist(), piece.column("later")):
+            for raw, sha, pos in zip(*(piece.column(c).to_pylist() for c in ("raw", "sha", "pos"))):
                 words = raw.split()
                 n_words.append(len(words))
-                own = [x["pos"] for x in later.as_py() or [] if x["sha"] == _text_hash(raw)]
-                if not own:
+                at = np.frombuffer(pos or b"", np.int32)
+                if len(at):
+                    at = at[np.frombuffer(sha, np.int64) == _text_hash(raw)]
+                if not len(at):
                     n_removed.append(0)
                     kept.append(b" ".join(words))
                     continue
-                at = np.frombuffer(b"".join(own), np.int32)
-                steps = np.zeros(len(words) + 1, np.int32)
-                np.add.at(steps, at, 1)
-                np.add.at(steps, at + WINDOW, -1)
+                steps = np.bincount(at, minlength=len(words) + 1) - np.bincount(at + WINDOW, minlength=len(words) + 1)
                 stay = np.flatnonzero(np.cumsum(steps[:-1]) == 0)
                 n_removed.append(len(words) - len(stay))
-                kept.append(b" ".join([words[i] for i in stay]))
+                kept.append(b" ".join([words[i] for i in stay.tolist()]))
             yield pa.RecordBatch.from_arrays(
                 [piece.column("sid"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary())],
                 ["sid", "n_words", "n_removed", "kept"])

@@ -53,3 +53,20 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, most: int = 8 << 20)
             stop = max(start + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(start, stop - start)
             start, before = stop, int(ends[stop - 1])
+
+
+def run_hashes(numbers: np.ndarray, length: int, seed: int) -> np.ndarray:
+    """64 bits of the ``length`` numbers that start at each place, put together from runs of powers of two."""
+    n = len(numbers) - length + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    total, done, size, run = None, 0, 1, numbers
+    for times in odd_numbers(2 * length.bit_length(), seed).reshape(-1, 2):
+        if length & size:
+            total = run[done:done + n] if total is None else total * times[0] + run[done:done + n]
+            done += size
+        if done == length:
+            break
+        run = run[:-size] * times[1] + run[size:]
+        size *= 2
+    return mixed(total)
