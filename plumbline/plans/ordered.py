@@ -4,8 +4,7 @@ A window partitioned by a key puts the whole group of that key into one task.
 Here the rows are range-partitioned by key and order instead, so that a hot key
 is spread over many chunks; each chunk is scanned on its own and the totals of
 the chunks before it (at most one row per key and chunk) are added.
-The chunk number is checkpointed with the rows: it must not change when a task
-is run again.
+The chunk number is written with the rows: it must not change when a task is run again.
 """
 
 from __future__ import annotations
@@ -16,20 +15,28 @@ from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .scratch import cut, pieces
+from .scratch import bytes_of, discard, written
+
+#: Bytes on disk of a chunk, and of the pieces into which a small table is cut for all cores.
+CHUNK_BYTES, SMALL_BYTES = 16 << 20, 128 << 10
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
                  chunks: int | None = None) -> DataFrame:
     """Rows range-partitioned by (keys, order) with the partition as ``_chunk``.
 
-    ``order`` must be unique inside a key, or equal rows stay in one chunk. There are
-    up to two chunks per shuffle partition: chunks are hashed afterwards, which evens out
-    better with more of them.
+    ``order`` must be unique inside a key, or equal rows stay in one chunk. The rows are
+    written first: what they take on disk gives the number of chunks, about ``CHUNK_BYTES``
+    each however many there are, and Spark's sample for the ranges reads them from there.
     """
-    n = chunks or pieces(df, 2)
+    rows = written(df, "rows")
+    size = bytes_of(rows)
+    few = min(2 * df.sparkSession.sparkContext.defaultParallelism, size // SMALL_BYTES + 1)
+    n = chunks or int(max(few, size // CHUNK_BYTES))
     cols = [F.col(c) for c in (*keys, *order)]
-    return cut(df.repartitionByRange(n, *cols).withColumn("_chunk", F.spark_partition_id()))
+    out = written(rows.repartitionByRange(n, *cols).withColumn("_chunk", F.spark_partition_id()), "chunks")
+    discard(rows)
+    return out
 
 
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,

@@ -43,27 +43,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder: read again instead of made again."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def bytes_of(table: DataFrame) -> int:
+    """Size of a table of ``written`` on disk."""
+    fs, where = _file_system(table.sparkSession, table.scratch_path)
+    return fs.getContentSummary(where).getLength()
 
 
 def discard(*tables: DataFrame) -> None:
     """Remove tables of ``written`` that nothing reads any more."""
-    for df in tables:
-        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            fs, where = _file_system(df.sparkSession, path)
-            fs.delete(where, True)
+    for table in tables:
+        fs, where = _file_system(table.sparkSession, table.scratch_path)
+        fs.delete(where, True)
 
 
-def pieces(df: DataFrame, per_partition: int = 1) -> int:
-    """How many partitions to cut a table into: as many as any shuffle has, fewer if it is small.
-
-    Small means that 32 MB pieces by Spark's own size estimate would be fewer; there are
-    always enough for all cores.
-    """
-    spark = df.sparkSession
-    most = per_partition * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(1, min(most, max(2 * spark.sparkContext.defaultParallelism, size // (32 * 1024 * 1024))))
+def pieces(df: DataFrame) -> int:
+    """As many partitions as any shuffle has: a number that is given stays, where Spark would merge by bytes."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cut(df: DataFrame) -> DataFrame:
