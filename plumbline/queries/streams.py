@@ -59,24 +59,28 @@ def stream_escalation(spark, sf):
     return spark.read.parquet(f"{path}/out/decisions").select("id", "agent_id", "model_name", "n_recent", "escalate")
 
 
-@query("stream_report_counts", f"""WITH {REPORTS}, h AS (SELECT date_trunc('hour', created_at) AS start, model_name, severity, count(*) AS n FROM rep GROUP BY ALL),
+@query("stream_report_counts", f"""WITH {REPORTS}, top AS (SELECT max(created_at) AS top FROM rep),
+h AS (SELECT * FROM (SELECT date_trunc('hour', created_at) AS start, model_name, severity, count(*) AS n FROM rep GROUP BY ALL)
+ WHERE start + INTERVAL 2 HOURS <= (SELECT top FROM top)),
 s AS (SELECT agent_id, created_at, CASE WHEN created_at - lag(created_at) OVER w < INTERVAL 6 HOURS THEN 0 ELSE 1 END AS new FROM rep
  WINDOW w AS (PARTITION BY agent_id ORDER BY created_at)),
 g AS (SELECT agent_id, created_at, sum(new) OVER (PARTITION BY agent_id ORDER BY created_at) AS k FROM s)
 SELECT 'hour' AS kind, start, model_name AS name, severity, n FROM h
 UNION ALL SELECT 'two days', start - INTERVAL 1 HOUR * k, model_name, severity, CAST(sum(n) AS BIGINT) FROM h CROSS JOIN (SELECT unnest(range(48)) AS k) GROUP BY ALL
-UNION ALL SELECT 'session', min(created_at), 'agent ' || agent_id, '', count(*) FROM g GROUP BY agent_id, k""")
+UNION ALL SELECT 'session', min(created_at), 'agent ' || agent_id, '', count(*) FROM g GROUP BY agent_id, k
+ HAVING max(created_at) + INTERVAL 7 HOURS <= (SELECT top FROM top)""")
 def stream_report_counts(spark, sf):
     path = scratch_path(spark, "counts")
 
     def take_in(stream):
-        jobs.table_stream(jobs.hourly_counts(stream), f"{path}/hourly", f"{path}/c1", "complete",
-                          also={"sliding": jobs.sliding_counts})
-        jobs.table_stream(jobs.agent_sessions(stream), f"{path}/sessions", f"{path}/c2", "complete")
+        jobs.table_stream(jobs.hourly_counts(stream), f"{path}/hourly", f"{path}/c1", also={"sliding": jobs.sliding_counts})
+        jobs.table_stream(jobs.agent_sessions(stream), f"{path}/sessions", f"{path}/c2")
 
     stepwise(report_rows(spark, sf), "created_at", f"{path}/in", take_in)
+    # an hour, two-day window or session counts once the watermark has closed it
     hour = spark.read.parquet(f"{path}/hourly/rows").select(F.lit("hour").alias("kind"), "start", F.col("model_name").alias("name"), "severity", "n")
-    two = spark.read.parquet(f"{path}/hourly/sliding").select(F.lit("two days").alias("kind"), "start", F.col("model_name").alias("name"), "severity", "n")
+    two = (spark.read.parquet(f"{path}/hourly/sliding").groupBy("start", "model_name", "severity").agg(F.sum("n").alias("n"))
+           .select(F.lit("two days").alias("kind"), "start", F.col("model_name").alias("name"), "severity", "n"))
     ses = spark.read.parquet(f"{path}/sessions/rows").select(
         F.lit("session").alias("kind"), "start", F.concat(F.lit("agent "), F.col("agent_id").cast("string")).alias("name"),
         F.lit("").alias("severity"), "n")

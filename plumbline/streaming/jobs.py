@@ -41,6 +41,18 @@ def _before(spark, path: str, batch_id: int) -> DataFrame | None:
     return spark.read.parquet(path).where(F.col("batch") < batch_id)
 
 
+def _remove_below(spark, path: str, name: str, least: int) -> None:
+    """Delete the folders ``name=<number>`` below a number; there are few, since this runs in each batch."""
+    if not _exists(spark, path):
+        return
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    for status in fs.listStatus(where):
+        key, _, value = status.getPath().getName().partition("=")
+        if key == name and value.lstrip("-").isdigit() and int(value) < least:
+            fs.delete(status.getPath(), True)
+
+
 # ---- envelopes -------------------------------------------------------------
 
 def ingest_stream(files: DataFrame, path: str, checkpoint: str, site: str | None = None, once: bool = True):
@@ -69,18 +81,20 @@ def escalation_stream(reports: DataFrame, path: str, checkpoint: str, delay_hour
     A report later than the newest one of earlier batches by more than the delay is
     dropped and counted. The reports of the last 48 hours are kept as a table by day,
     and each batch counts over them by range chunks: state kept by key would put a busy
-    agent in one task.
+    agent in one task. Days that no later batch can ask for are removed, and so is the
+    progress of all batches but the last two; it holds running totals.
     """
     delay, hour = int(delay_hours * 3_600_000_000), 3_600_000_000
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         medium = batch.where("severity = 'medium'").withColumn("at", micros(batch, "created_at")).persist()
-        seen = _before(spark, f"{path}/progress", batch_id)
-        newest = seen.agg(F.max("newest")).first()[0] if seen is not None else None
+        last = f"{path}/progress/batch={batch_id - 1}"
+        seen = spark.read.parquet(last).first() if _exists(spark, last) else None
+        newest, dropped, taken = (seen["newest"], seen["dropped"], seen["taken"]) if seen else (None, 0, 0)
         on_time = medium if newest is None else medium.where(F.col("at") >= newest - delay)
         bounds = on_time.agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.count("*").alias("n")).first()
-        dropped = medium.count() - bounds["n"]
+        dropped, taken = dropped + medium.count() - bounds["n"], taken + bounds["n"]
         top = max(x for x in (newest, bounds["hi"], 0) if x is not None)
         if bounds["n"]:
             history = _before(spark, f"{path}/recent", batch_id)
@@ -101,7 +115,11 @@ def escalation_stream(reports: DataFrame, path: str, checkpoint: str, delay_hour
              .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
              .partitionBy("day", "batch").parquet(f"{path}/recent"))
         _write(spark.range(1).select(F.lit(top).cast("bigint").alias("newest"), F.lit(dropped).cast("bigint").alias("dropped"),
-                                     F.lit(bounds["n"]).cast("bigint").alias("taken")), f"{path}/progress", batch_id)
+                                     F.lit(taken).cast("bigint").alias("taken")), f"{path}/progress", batch_id)
+        _remove_below(spark, f"{path}/progress", "batch", batch_id - 1)
+        if newest is not None:
+            # a repeated batch asks for the same days, so what goes depends on the batches before
+            _remove_below(spark, f"{path}/recent", "day", (newest - delay - int(D.ESCALATION_HOURS) * hour) // (24 * hour))
         medium.unpersist()
 
     return run_available(reports.writeStream.foreachBatch(each), checkpoint, once)
@@ -117,7 +135,10 @@ def hourly_counts(reports: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def sliding_counts(hourly: DataFrame, hours: int = 48) -> DataFrame:
-    """48-hour windows every hour, added up from the hourly counts instead of from the reports."""
+    """48-hour windows every hour, added up from the hourly counts instead of from the reports.
+
+    Of a part of the hours it gives that part of the sums, so the parts of all batches add up.
+    """
     starts = F.transform(F.sequence(F.lit(0), F.lit(hours - 1)), lambda k: F.timestamp_add("HOUR", -k, F.col("start")))
     return (hourly.withColumn("start", F.explode(starts)).groupBy("start", "model_name", "severity")
             .agg(F.sum("n").alias("n")))
@@ -136,18 +157,17 @@ def agent_sessions(reports: DataFrame, gap: str = "6 hours", delay: str = "1 hou
             .select("agent_id", F.col("w.start").alias("start"), "last_seen", "n"))
 
 
-def table_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append", once: bool = True,
+def table_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True,
                  also: dict[str, Callable[[DataFrame], DataFrame]] | None = None):
-    """Write the rows of each batch; in mode ``complete`` the latest batch is the whole result."""
+    """Write the rows that the watermark has closed, batch by batch; their state is gone then."""
     def each(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
-        folder = 0 if mode == "complete" else batch_id
-        _write(batch, f"{path}/rows", folder)
+        _write(batch, f"{path}/rows", batch_id)
         for name, derive in (also or {}).items():
-            _write(derive(batch), f"{path}/{name}", folder)
+            _write(derive(batch), f"{path}/{name}", batch_id)
         batch.unpersist()
 
-    return run_available(df.writeStream.outputMode(mode).foreachBatch(each), checkpoint, once)
+    return run_available(df.writeStream.outputMode("append").foreachBatch(each), checkpoint, once)
 
 
 def heartbeat_stream(messages: DataFrame, path: str, checkpoint: str, silent: str = "24 hours", delay: str = "1 hour",
@@ -157,7 +177,7 @@ def heartbeat_stream(messages: DataFrame, path: str, checkpoint: str, silent: st
     The end of a session by that gap is the alarm; the watermark is the clock.
     """
     alarms = agent_sessions(messages, silent, delay).select("agent_id", "last_seen", F.col("n").alias("n_messages"))
-    return table_stream(alarms, path, checkpoint, "append", once)
+    return table_stream(alarms, path, checkpoint, once)
 
 
 # ---- drift of arriving rows ------------------------------------------------
