@@ -11,6 +11,9 @@ from . import decontaminate, exact, html_text, licences, mixing, near, quality,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: The words of a text, as a list.
+WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
+
 
 def query(name: str, sql: str | None = None):
     def register(fn):
@@ -36,20 +39,45 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.col("sha").alias("text_sha256")))
 
 
-@query("op6_near_dedup")
+@query("op6_near_dedup", rf"""WITH RECURSIVE t AS MATERIALIZED (SELECT doc_id, {WORDS_SQL.format(text="translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS ws FROM documents),
+w AS (SELECT doc_id, len(ws) AS n, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+p AS (SELECT doc_id, n, word || coalesce(' ' || lead(word) OVER (PARTITION BY doc_id ORDER BY pos), '') AS shingle, pos FROM w),
+sh AS MATERIALIZED (SELECT DISTINCT doc_id, shingle FROM p WHERE n = 1 OR pos < n),
+sz AS MATERIALIZED (SELECT doc_id, count(*) AS size FROM sh GROUP BY doc_id),
+ln AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM sh a JOIN sh b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id
+ JOIN sz x ON x.doc_id = a.doc_id JOIN sz y ON y.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, x.size, y.size HAVING 100 * count(*) >= 80 * (x.size + y.size - count(*))),
+reach AS (SELECT doc_id AS root, doc_id FROM t UNION SELECT root, ln.b FROM reach JOIN ln ON ln.a = reach.doc_id)
+SELECT t.doc_id, coalesce(size, 0) AS n_shingles, component_id, t.doc_id = component_id AS kept
+FROM t LEFT JOIN sz USING (doc_id) JOIN (SELECT doc_id, min(root) AS component_id FROM reach GROUP BY doc_id) USING (doc_id)""")
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = near.near_groups(table(spark, sf_dir, "documents"))
     return groups.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"),
                          F.col("id").eqNullSafe(F.col("component")).alias("kept"))
 
 
-@query("op5_substring_dedup")
+@query("op5_substring_dedup", rf"""WITH t AS (SELECT doc_id, {WORDS_SQL.format(text="coalesce(text, '')")} AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM t),
+k AS (SELECT doc_id, pos, word, {" || ' ' || ".join(["word"] + [f"lead(word, {i}) OVER d" for i in range(1, 20)])} AS run FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT doc_id, pos, word, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, pos) > 1 AS again FROM k),
+c AS (SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM f),
+r AS (SELECT doc_id, count(*) AS n_words, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM t LEFT JOIN r USING (doc_id)""")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select(F.col("id").alias("doc_id"), "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op2_suffix_dedup")
+@query("op2_suffix_dedup", r"""WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+k AS (SELECT doc_id, o, h[2 * o + 1:2 * o + 998] AS h FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2, 400)) AS o FROM t)),
+b AS (SELECT doc_id, o + i AS p, h[2 * i + 1:2 * i + 2] AS byte, CASE WHEN 2 * i + 200 <= length(h) THEN md5(h[2 * i + 1:2 * i + 200]) END AS run
+ FROM (SELECT doc_id, o, h, unnest(range(least(400, length(h) // 2))) AS i FROM k)),
+f AS (SELECT doc_id, p, byte, run IS NOT NULL AND row_number() OVER (PARTITION BY run ORDER BY doc_id, p) > 1 AS again FROM b),
+c AS (SELECT doc_id, p, byte, bool_or(again) OVER (PARTITION BY doc_id ORDER BY p ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS gone FROM f),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY doc_id ORDER BY p), false) AS starts FROM c),
+r AS (SELECT doc_id, count(*) AS n_bytes, count(*) FILTER (gone) AS n_removed, count(*) FILTER (starts) AS n_spans,
+ string_agg(byte, '' ORDER BY p) FILTER (NOT gone) AS kept FROM e GROUP BY doc_id)
+SELECT doc_id, coalesce(n_bytes, 0) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM t LEFT JOIN r USING (doc_id)""")
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = suffixes.remove_repeats(table(spark, sf_dir, "documents"))
     return cut.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", F.size("spans").cast("bigint").alias("n_spans"),
