@@ -133,3 +133,34 @@ def test_top_members(spark):
     df = spark.createDataFrame([(i, 0, float(i % 7)) for i in range(30)], "key long, label int, similarity double")
     got = cluster.top_members(df, "label", "key").collect()
     assert [(r["rank"], r["similarity"]) for r in sorted(got, key=lambda r: r["rank"])] == [(1, 6.0), (2, 6.0), (3, 6.0), (4, 6.0), (5, 5.0)]
+
+
+def test_chain_of_projected_clusters(spark):
+    """Coordinates to top five, against numpy on the same clusters."""
+    from plumbline.queries.clusters import cluster_chain, coords2
+    sf = "/root/testdata/sf0.001"
+    got = cluster_chain(spark, sf).collect()
+    coords = {r["key"]: (r["c1"], r["c2"]) for r in coords2(spark, sf).collect()}
+    found = {r["key"]: r["cluster"] for r in cluster.kmeans(coords2(spark, sf), k=10).collect()}
+    for c in set(found.values()):
+        keys = sorted(k for k, v in found.items() if v == c)
+        p = np.array([coords[k] for k in keys])
+        d = np.sqrt(((p[:, None] - p[None]) ** 2).sum(-1)) + 1e-8
+        np.fill_diagonal(d, np.inf)
+        w = (1 / d).sum(1)
+        centre = (w[:, None] * p).sum(0) / w.sum() if w.sum() > 0 else p.mean(0)
+        away = np.sqrt(((p - centre) ** 2).sum(1))
+        similar = np.exp(-away / (away.std() if away.std() > 0 else 1.0))
+        rows = sorted((r for r in got if r["cluster"] == c), key=lambda r: r["rank"])
+        assert len(rows) == min(5, len(keys)) and rows[0]["size"] == len(keys)
+        np.testing.assert_allclose([r["similarity"] for r in rows], np.sort(similar)[::-1][:5], atol=1e-6)
+        assert rows[0]["avg_similarity"] == pytest.approx(similar.mean(), abs=1e-6)
+
+
+def test_projected_density_clusters(spark):
+    from plumbline.queries.clusters import cluster_dbscan_projected, coords2
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(coords2(spark, sf).collect(), key=lambda r: r["key"])
+    want = brute_dbscan(np.array([(r["c1"], r["c2"]) for r in rows]), 0.02, 5)[0]
+    got = {r["key"]: r["cluster"] for r in cluster_dbscan_projected(spark, sf).collect()}
+    assert len({c for c in got.values() if c != -1}) == len({c for c in want if c != -1})

@@ -151,7 +151,7 @@ def test_csv_union(spark, tmp_path):
     (tmp_path / "b.csv").write_text("text,id\nthree,9\n")
     (tmp_path / "c.csv").write_text("other\nx\n")
     paths = [str(tmp_path / f"{n}.csv") for n in "abc"]
-    got = {(r["text"], r["_source_file"], r["_id"]) for r in tables.read_csv_union(spark, paths, "text").collect()}
+    got = {(r["text"], r["_source_file"], r["_id"]) for r in tables.read_csv_union(spark, paths, "text", multiline=True).collect()}
     assert got == {("one\nmore", "a.csv", "7"), ("two", "a.csv", "8"), ("three", "b.csv", "9")}
     (tmp_path / "d.csv").write_text("text\n" + "\n".join(f"row {i}" for i in range(500)) + "\n")
     rows = tables.read_csv_union(spark, [str(tmp_path / "d.csv")], "text", multiline=False).collect()
@@ -244,3 +244,18 @@ def test_registry(spark):
 def test_describe_text_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), (None,), ("",)], "c string")
     assert tuple(profile.describe_text(df, ["c"]).first()) == ("c", 2, 2, "a", 1)
+
+
+def test_csv_union_reads_once_per_header(spark, tmp_path, monkeypatch):
+    for k in range(200):
+        head = "text,lang" if k % 2 else "lang,text"
+        row = f"t{k},en" if k % 2 else f"en,t{k}"
+        (tmp_path / f"f{k}.csv").write_text(f"{head}\n{row}\n")
+    (tmp_path / "other.csv").write_text("a,b\n1,2\n")
+    reads = []
+    real = type(spark.read).csv
+    monkeypatch.setattr(type(spark.read), "csv", lambda self, path, *a, **k: reads.append(path) or real(self, path, *a, **k))
+    got = tables.read_csv_union(spark, [str(p) for p in sorted(tmp_path.glob("*.csv"))], "text")
+    rows = {r["_id"]: (r["text"], r["lang"], r["_source_file"]) for r in got.collect()}
+    assert len(reads) == 2
+    assert rows == {f"f{k}_0": (f"t{k}", "en", f"f{k}.csv") for k in range(200)}
