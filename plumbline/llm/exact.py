@@ -1,7 +1,7 @@
 """Exact duplicates by deterministic block naming.
 
-Each text is cut into blocks of a fixed number of bytes. All distinct blocks are sorted and
-numbered, so a block's name is an integer that only equal blocks share. Then adjacent names
+Each text is cut into blocks of a fixed number of bytes. All distinct blocks are sorted (by their
+first bytes, a hash, and then all bytes) and numbered, so a block's name is an integer that only equal blocks share. Then adjacent names
 are paired, the distinct pairs sorted and numbered, and so on until one name is left per
 text. Texts are equal if and only if they have as many blocks and the same last name.
 
@@ -24,8 +24,13 @@ BLOCK_BYTES = 16 * 1024
 
 
 def _named(distinct: DataFrame, order: list[str], keep: list[str], name: str) -> DataFrame:
-    """Distinct rows sorted and numbered, written once so that a repeated task can't number them anew."""
-    return written(distinct.orderBy(*order).select(*keep, (F.monotonically_increasing_id() + 1).alias("name")), name)
+    """Distinct rows sorted and numbered, written once so that a repeated task can't number them anew.
+
+    All but the last sort key deal out the ranges: where they are short, Spark's sample of
+    the keys stays small however long the last one is.
+    """
+    dealt = distinct.repartitionByRange(*order[:-1]).sortWithinPartitions(*order)
+    return written(dealt.select(*keep, (F.monotonically_increasing_id() + 1).alias("name")), name)
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -44,10 +49,12 @@ def _blocks(rows: DataFrame, size: int) -> DataFrame:
 def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(id, sha, copies, n, name): equal (n, name) if and only if equal text; one row per id and text."""
     blocks = _blocks(_rows(docs, id_col, text_col), block_bytes)
-    names = _named(blocks.groupBy("h1", "h2", "block").agg(F.lit(1).alias("_")), ["block"], ["h1", "h2"], "block-names")
+    names = _named(blocks.groupBy("h1", "h2", "block").agg(F.substring("block", 1, 16).alias("head")),
+                   ["head", "h1", "block"], ["h1", "h2"], "block-names")
     keys = ["h1", "h2"]
     if not names.groupBy(*keys).count().where("count > 1").isEmpty():
-        names = _named(blocks.groupBy("block").agg(F.lit(1).alias("_")), ["block"], ["block"], "block-names")
+        names = _named(blocks.groupBy("block").agg(F.substring("block", 1, 16).alias("head"), F.first("h1").alias("h1")),
+                       ["head", "h1", "block"], ["block"], "block-names")
         keys = ["block"]
     # a text's blocks are alike in all its copies, so the copies are counted here once
     level = written(blocks.select("id", "sha", "n", "pos", *keys).join(names, keys)
@@ -59,7 +66,7 @@ def identities(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         pair = (level.groupBy("id", "sha", "copies", "n", F.floor(F.col("pos") / 2).cast("int").alias("pos"))
                 .agg(F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("a"),
                      F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(0)).alias("b")))
-        names = _named(pair.groupBy("a", "b").agg(F.lit(1).alias("_")), ["a", "b"], ["a", "b"], "pair-names")
+        names = _named(pair.groupBy("a", "b").agg(F.lit(0).alias("last")), ["a", "b", "last"], ["a", "b"], "pair-names")
         level = written(pair.join(names, ["a", "b"]).select("id", "sha", "n", "pos", "name", "copies"), "names")
         most = (most + 1) // 2
     return done.unionByName(level.drop("pos"))
