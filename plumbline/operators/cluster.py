@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import vectors as V
 from ..plans.components import connected_components
-from ..plans.frames import grouped, with_scalars
+from ..plans.frames import grouped, join_few, with_scalars
 from ..plans.scratch import cut
 
 # rows of a block, and of the strips in which a task works through a pair of blocks
@@ -279,7 +279,7 @@ def cosine_centroids(df: DataFrame, cluster: str, key: str, column: str = "embed
     """
     x = df.select(key, cluster, F.col(column).cast("array<double>").alias("x"))
     sums = x.groupBy(cluster).agg(F.count("*").alias("n"), _vector_sum(F.col("x")).alias("s"))
-    weighed = x.join(sums, cluster).withColumn("weight", F.when(F.col("n") == 1, F.lit(1.0)).otherwise(
+    weighed = join_few(x, sums, cluster).withColumn("weight", F.when(F.col("n") == 1, F.lit(1.0)).otherwise(
         (V.dot(F.col("x"), F.col("s")) - V.dot(F.col("x"), F.col("x"))) / F.col("n")))
     scaled = F.transform("x", lambda v: v * F.col("weight"))
     centre = weighed.groupBy(cluster).agg(F.sum("weight").alias("w"), _vector_sum(scaled).alias("c"),
@@ -287,7 +287,7 @@ def cosine_centroids(df: DataFrame, cluster: str, key: str, column: str = "embed
     centre = centre.select(cluster, F.when(F.col("w") == 0, F.transform("s0", lambda v: v / F.col("n0"))).otherwise(
         F.transform("c", lambda v: v / F.col("w"))).alias("centroid"))
     similarity = F.least(F.greatest(V.dot(F.col("x"), F.col("centroid")), F.lit(-1.0)), F.lit(1.0))
-    return weighed.join(centre, cluster).select(key, cluster, "weight", similarity.alias("similarity"))
+    return join_few(weighed, centre, cluster).select(key, cluster, "weight", similarity.alias("similarity"))
 
 
 def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
@@ -302,7 +302,7 @@ def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
     sizes = points.groupBy(cluster).agg(F.count("*").alias("n"), F.ceil(F.count("*") / TILE_ROWS).cast("int").alias("blocks"))
     p = points.select(key, cluster, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     mine = F.pmod(F.xxhash64(key), F.col("blocks")).cast("int")
-    tiles = (p.join(sizes, cluster).withColumn("block", mine)
+    tiles = (join_few(p, sizes, cluster).withColumn("block", mine)
              .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
              .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
     strip = STRIP_ROWS
@@ -332,10 +332,10 @@ def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
     centre = weighed.groupBy(cluster).agg(
         F.when(total == 0, F.avg("x")).otherwise(F.sum(F.col("weight") * F.col("x")) / total).alias("mx"),
         F.when(total == 0, F.avg("y")).otherwise(F.sum(F.col("weight") * F.col("y")) / total).alias("my"))
-    away = weighed.join(centre, cluster).withColumn(
+    away = join_few(weighed, centre, cluster).withColumn(
         "distance", F.sqrt(F.pow(F.col("x") - F.col("mx"), 2) + F.pow(F.col("y") - F.col("my"), 2)))
     spread = away.groupBy(cluster).agg(F.stddev_pop("distance").alias("sd"))
-    return away.join(spread, cluster).withColumn("similarity", F.exp(
+    return join_few(away, spread, cluster).withColumn("similarity", F.exp(
         -F.col("distance") / F.when(F.col("sd") > 0, F.col("sd")).otherwise(F.lit(1.0)))).select(
         key, cluster, "weight", "distance", "similarity")
 

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..plans.frames import exact_sample, sample_order, with_scalars
+from ..plans.frames import exact_sample, join_few, sample_order, with_scalars
 from ..plans.ordered import numbered
 from ..plans.scratch import cut
 
@@ -28,7 +28,7 @@ def sample_stratified(df: DataFrame, cls: Column, n: int, key: str, seed: int =
         "stratum", F.greatest(F.lit(1), F.floor(n * F.col("_n") / F.col("_all"))).alias("_quota"))
     ranked = named.withColumn("_rn", F.row_number().over(
         Window.partitionBy("stratum").orderBy("_h", key))).where(F.col("_rn") <= n)
-    return ranked.join(quota, "stratum").where(F.col("_rn") <= F.col("_quota")).drop("_h", "_rn", "_quota")
+    return join_few(ranked, quota, "stratum").where(F.col("_rn") <= F.col("_quota")).drop("_h", "_rn", "_quota")
 
 
 def sample_threshold(df: DataFrame, size: str, min_size: float = 0, max_size: float = float("inf")) -> DataFrame:

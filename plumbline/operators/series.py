@@ -17,9 +17,9 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, Window, functions as F
 
-from ..plans.frames import grouped, to_long
+from ..plans.frames import grouped, join_few, to_long
 from ..plans.ordered import halo_blocks, numbered, scan
-from ..plans.scratch import cut, pieces
+from ..plans.scratch import cut, pieces, written
 from .drift import wasserstein
 
 BLOCK = 4096
@@ -47,11 +47,11 @@ def decompose(df: DataFrame, key: str, order: Sequence[str], value: str) -> Data
     around = F.sum("x").over(w.rowsBetween(-half, half))
     ends = F.lag("x", half).over(w) + F.lead("x", half).over(w)
     inside = (F.col("pos") >= half) & (F.col("pos") < F.col("n") - half)
-    trended = (blocks.withColumn("trend", F.when(inside, (around - 0.5 * ends) / PERIOD))
-               .where("own").drop("block", "own").withColumn("phase", F.pmod("pos", F.lit(PERIOD))))
+    trended = written(blocks.withColumn("trend", F.when(inside, (around - 0.5 * ends) / PERIOD))
+                      .where("own").drop("block", "own").withColumn("phase", F.pmod("pos", F.lit(PERIOD))), "trended")
     phase = trended.groupBy(key, "phase").agg(F.avg(F.col("x") - F.col("trend")).alias("m"))
     seasonal = phase.withColumn("seasonal", F.col("m") - F.avg("m").over(Window.partitionBy(key))).drop("m")
-    return (trended.join(seasonal, [key, "phase"])
+    return (join_few(trended, seasonal, [key, "phase"])
             .withColumn("resid", F.col("x") - F.col("trend") - F.col("seasonal")).drop("phase"))
 
 
@@ -105,7 +105,7 @@ def kpss(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame
     gamma = 1.1447 * F.pow(F.pow(F.col("s1") / F.col("s0"), 2), 1 / 3)
     # one row per series, read twice below
     chosen = cut(sums.withColumn("lags", F.least(F.floor(gamma * F.pow("n", 1 / 3)), F.col("n") - 1)).drop("s0", "s1"))
-    second = _autocovariance(rows.select(key, "pos", "e").join(chosen.select(key, "lags"), key).where("lags > 0"), key)
+    second = _autocovariance(join_few(rows.select(key, "pos", "e"), chosen.select(key, "lags"), key).where("lags > 0"), key)
     weighted = F.col("s") * (1 - F.col("lag") / (F.col("lags") + 1))
     out = (chosen.join(second, key, "left").groupBy(key)
            .agg(F.max("n").alias("n"), F.max("lags").alias("lags"), F.max("eta").alias("eta"),
@@ -183,7 +183,7 @@ def adf(df: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
     x = df.select(key, *order, F.col(value).cast("double").alias("x")).where("x IS NOT NULL")
     stats = x.groupBy(key).agg(F.avg("x").alias("_m"), F.stddev_pop("x").alias("_s"))
     top = F.ceil(12.0 * F.pow(F.col("n") / 100, 0.25))
-    rows = (numbered(x, [key], order, "pos").withColumnRenamed("pos_total", "n").join(stats, key)
+    rows = (join_few(numbered(x, [key], order, "pos").withColumnRenamed("pos_total", "n"), stats, key)
             .where((F.col("_s") > 0) & (F.col("n") >= 10))
             .select(key, "pos", "n", ((F.col("x") - F.col("_m")) / F.col("_s")).alias("y"),
                     F.least(top, F.floor(F.col("n") / 2) - 2).alias("lags")))

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .scratch import pieces
+from .scratch import cut, pieces
 
 BASE = "base"
 TARGET = "target"
@@ -82,6 +82,22 @@ def grouped(df: DataFrame, *keys: str):
     return df.repartition(pieces(df), *keys).groupBy(*keys)
 
 
+#: Rows up to which a table of one row per key is broadcast.
+FEW_KEYS = 100_000
+
+
+def join_few(rows: DataFrame, per_key: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """Join rows with a table that has one row per key, without moving the rows if the keys are few.
+
+    Few keys are likely hot ones: a shuffle on them would put most rows into a few tasks. The
+    table is kept and counted; beyond ``FEW_KEYS`` rows the join is Spark's, by shuffle, where a
+    key that is hot among so many is split at run time.
+    """
+    per_key = cut(per_key)
+    few = per_key.limit(FEW_KEYS + 1).count() <= FEW_KEYS
+    return rows.join(F.broadcast(per_key) if few else per_key, on)
+
+
 def exact_sample(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     return df.orderBy(sample_order(key, seed), key).limit(n)
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.plans.cdf import quantiles
 from plumbline.plans.components import connected_components
+from plumbline.plans import frames, ordered
 from plumbline.plans.frames import exact_sample, with_scalars
 from plumbline.plans.ordered import halo_blocks, numbered, scan
 
@@ -99,3 +100,21 @@ def test_exact_sample_is_repeatable(hot):
 def test_with_scalars(spark):
     df = with_scalars(spark.range(3), spark.range(5).agg(F.count("*").alias("n")))
     assert [tuple(r) for r in df.orderBy("id").collect()] == [(0, 5), (1, 5), (2, 5)]
+
+
+# ---- one key with nine tenths of the rows ----------------------------------
+
+def test_chunks_of_a_hot_key_are_even(spark):
+    df = spark.range(50_000).select(F.when(F.col("id") % 10 == 0, F.col("id") % 70).otherwise(F.lit(1)).cast("bigint").alias("k"), "id")
+    chunked = ordered.range_chunks(df, ["k"], ["id"], chunks=20)
+    sizes = [r["n"] for r in chunked.groupBy("_chunk").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 50_000 and max(sizes) <= 2 * sum(sizes) / len(sizes)
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_join_with_one_row_per_key(spark, monkeypatch, few):
+    monkeypatch.setattr(frames, "FEW_KEYS", few)
+    rows = spark.range(1000).select("id", F.when(F.col("id") < 900, 7).otherwise(F.col("id") % 5).alias("k"))
+    got = frames.join_few(rows, rows.groupBy("k").agg(F.count("*").alias("n")), "k")
+    assert {(r["k"], r["n"]) for r in got.collect()} == {(7, 900), *((i, 20) for i in range(5))} and got.count() == 1000
+    assert ("Hint" in got._jdf.queryExecution().logical().toString()) == bool(few)
