@@ -119,7 +119,8 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     # in the order of the first copy's place in training, rows that the mix leaves out last
     first = F.coalesce(F.get("positions", F.lit(0)), F.lit(2.0))
-    return (mixed.repartitionByRange(first).sortWithinPartitions(first)
+    tie = F.xxhash64("id")
+    return (mixed.repartitionByRange(first, tie).sortWithinPartitions(first, tie)
             .select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size("positions")).alias("taken")))
 
 
