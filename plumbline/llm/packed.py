@@ -41,6 +41,14 @@ def runs(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, len(x)))
 
 
+def in_order(ids: np.ndarray, shas: np.ndarray) -> list[int]:
+    """Texts by id and hash, rows that share both once."""
+    order = np.lexsort((shas, ids))
+    new = np.ones(len(order), bool)
+    new[1:] = (ids[order[1:]] != ids[order[:-1]]) | (shas[order[1:]] != shas[order[:-1]])
+    return order[new].tolist()
+
+
 def by_bucket(bucket: np.ndarray, doc: np.ndarray, docs: list[np.ndarray], columns: list[np.ndarray]) -> Iterator[tuple]:
     """(bucket, documents' columns..., entries per document, entries' columns...) as bytes; entries come ordered by doc."""
     order = np.argsort(bucket, kind="stable")

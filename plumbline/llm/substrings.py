@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .packed import PIECE_BYTES, at_home, batch_of, buckets_for, by_bucket, homes_of, seen_again, sent_home, source, unpacked
+from .packed import PIECE_BYTES, at_home, batch_of, buckets_for, by_bucket, homes_of, in_order, seen_again, sent_home, source, unpacked
 from .words import WordNumbers, run_hashes, slices
 
 WINDOW = 20
@@ -67,8 +67,8 @@ def _later_windows(extended: DataFrame, buckets: int) -> DataFrame:
             ids = piece.column("sid").to_numpy()
             shas = np.array([_text_hash(raw) for raw in raws], np.int64)
             one, two, docs, places = [], [], [], []
-            # in the order that decides which window is first
-            for i in np.lexsort((shas, ids)).tolist():
+            # in the order that decides which window is first; a repeated row has no windows of its own
+            for i in in_order(ids, shas):
                 words = numbers.of(raws[i].split())
                 n = len(words) - WINDOW + 1
                 if n <= 0:
@@ -99,7 +99,11 @@ def _later_windows(extended: DataFrame, buckets: int) -> DataFrame:
         ids, shas = (np.repeat(unpacked(table.column(c), np.int64), count) for c in ("ids", "shas"))
         a, b, place = (unpacked(table.column(c), t) for c, t in (("one", np.uint64), ("two", np.uint64), ("pos", np.int32)))
         order = np.lexsort((place, shas, ids, b, a))
-        later = order[1:][(a[order[1:]] == a[order[:-1]]) & (b[order[1:]] == b[order[:-1]])]
+        new = np.ones(len(order), bool)
+        new[1:] = (a[order[1:]] != a[order[:-1]]) | (b[order[1:]] != b[order[:-1]])
+        first = order[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(order) else order
+        # the first window itself may come twice, from rows that are repeated
+        later = order[(ids[order] != ids[first]) | (shas[order] != shas[first]) | (place[order] != place[first])]
         known = np.repeat(unpacked(table.column("known_ids"), np.int64), unpacked(table.column("known_counts"), np.int32))
         rows = sent_home(np.concatenate([ids[later], known]),
                          [np.concatenate([shas[later], unpacked(table.column("known_shas"), np.int64)]),
