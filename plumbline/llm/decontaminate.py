@@ -2,13 +2,20 @@
 
 Texts are compared as letters and digits in lower case with one space for anything between
 them. A benchmark item of ``WHOLE`` characters or more is looked for by three overlapping
-halves, a shorter one as a whole; such a passage of m characters may differ by k edits, 8 % of m.
+halves, a shorter one as a whole; an item of ``RUN`` characters or more besides by pieces of 150
+that start every 50 and at its end. Such a passage of m characters may differ by k edits, 8 % of m.
+Every run of ``RUN`` characters of an item holds a whole piece, so a copy of it that differs by at
+most 12 edits, the k of a piece, is found wherever the run lies and however long the item is.
 
 1. Lemma: a text within k edits of a passage shares at least m + 1 - q - kq of its q-grams, on
    diagonals that differ by at most k. The shared q-grams are counted in bands of 2(k + 1)
    diagonals, each overlapping the next by half, so that some band holds them all.
 2. Bands that reach the count are kept, and the text around them is aligned with the passage
-   within the band; at most k edits are a hit.
+   within the band; at most k edits are a hit. Pieces are aligned only where neither a half nor the
+   whole of the item is found in the text.
+
+The grams are stored once per item: a gram in the text counts for all passages that hold its place
+in the item, if the text has as many grams of the item as its least demanding passage asks for.
 
 Items of fewer than ``SHORT`` characters carry too little to be found inside a text: they match
 only a text that is nothing else. Empty items and null or empty texts match nothing.
@@ -31,6 +38,7 @@ from .words import mixed, odd_numbers, slices
 Q = 10
 EDITS = 0.08
 WHOLE, SHORT = 160, 24
+RUN, LENGTH, STEP = 200, 150, 50
 INDEX_CHARS = 8 << 20
 PIECE = 2 << 20
 SPACE, BORDER = 32, 1
@@ -86,9 +94,11 @@ def gram_hashes(codes: np.ndarray) -> np.ndarray:
 
 
 def build_index(texts: list[str]) -> SimpleNamespace:
-    """The passages with their q-grams and where these are; plain values, since broadcasts carry no code."""
+    """The passages and the q-grams of the items with where these are; plain values, since broadcasts carry no code."""
     table = letters()
-    passages, item, short = [], [], {}
+    items, item, short = [], [], {}
+    passages, begin, owner, piece = [], [], [], []
+    at = 0
     for i, text in enumerate(texts):
         codes = normal([text], table)[0][1:-1]
         m = len(codes)
@@ -98,21 +108,46 @@ def build_index(texts: list[str]) -> SimpleNamespace:
             short.setdefault(codes.tobytes(), []).append(i)
             continue
         half = m // 2
-        for part in ([codes] if m < WHOLE else [codes[s:s + half] for s in (0, (m - half) // 2, m - half)]):
-            passages.append(part)
-            item.append(i)
+        wide = [(0, m)] if m < WHOLE else [(s, half) for s in (0, (m - half) // 2, m - half)]
+        narrow = [] if m < RUN else [(s, LENGTH) for s in [*range(0, m - LENGTH, STEP), m - LENGTH]]
+        for s, size in wide + narrow:
+            passages.append(codes[s:s + size])
+            begin.append(at + s)
+            owner.append(len(items))
+        piece += [False] * len(wide) + [True] * len(narrow)
+        items.append(codes)
+        item.append(i)
+        at += m
     sizes = np.array([len(p) for p in passages], np.int64)
     edits = np.minimum((sizes * EDITS).astype(np.int64), np.maximum(sizes - Q, 0) // Q)
-    hashed = [gram_hashes(p) for p in passages]
+    least, begin, owner, piece = sizes + 1 - Q - edits * Q, np.array(begin, np.int64), np.array(owner, np.int64), np.array(piece, bool)
+    asked = np.full(len(items), at + 1, np.int64)
+    np.minimum.at(asked, owner, least)
+    hashed = [gram_hashes(p) for p in items]
     grams = np.concatenate([np.zeros(0, np.uint64), *hashed])
-    passage = np.repeat(np.arange(len(passages)), [len(h) for h in hashed])
-    offset = np.concatenate([np.zeros(0, np.int64), *[np.arange(len(h)) for h in hashed]])
+    starts = np.cumsum([0, *[len(p) for p in items]])
+    place = np.concatenate([np.zeros(0, np.int64), *[s + np.arange(len(h)) for s, h in zip(starts, hashed)]])
     order = np.argsort(grams, kind="stable")
     unique, first, count = np.unique(grams[order], return_index=True, return_counts=True)
     known = np.zeros(1 << 20, bool)
     known[(unique >> np.uint64(44)).astype(np.int64)] = True
-    return SimpleNamespace(passages=passages, item=np.array(item, np.int64), edits=edits, least=sizes + 1 - Q - edits * Q, grams=unique,
-                           first=first, count=count, passage=passage[order], offset=offset[order], known=known, short=short)
+    return SimpleNamespace(passages=passages, item=np.array(item, np.int64), owner=owner, piece=piece, begin=begin, end=begin + sizes, edits=edits, least=least, asked=asked,
+                           layers=[np.flatnonzero(~piece), np.flatnonzero(piece)], starts=starts, grams=unique, first=first, count=count, place=place[order],
+                           known=known, short=short)
+
+
+def holding(place: np.ndarray, index: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
+    """(number in ``place``, passage) for every passage that holds the q-gram that starts at a place of the items."""
+    out = []
+    for layer in index.layers:
+        begin = index.begin[layer]
+        last = np.searchsorted(begin, place, "right") - 1
+        # no q-gram lies in more than three halves, or in more than four pieces
+        for back in range(4 if len(layer) else 0):
+            passage = layer[np.maximum(last - back, 0)]
+            held = np.flatnonzero((last >= back) & (place + Q <= index.end[passage]))
+            out.append((held, passage[held]))
+    return tuple(np.concatenate([np.zeros(0, np.int64), *part]) for part in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
 
 
 def aligned(passage: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int] | None:
@@ -147,7 +182,14 @@ def _hits(texts: list[str], index: SimpleNamespace, table: np.ndarray) -> list[t
         at, which = at[same], which[same]
         times = index.count[which]
         entry = np.repeat(index.first[which] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        passage, diagonal = index.passage[entry], np.repeat(at, times) - index.offset[entry]
+        at, place = np.repeat(at, times), index.place[entry]
+        # only texts with as many q-grams of an item as some passage of it must share
+        own = np.searchsorted(index.starts, place, "right") - 1
+        _, pair, shared = np.unique(own << 32 | (np.searchsorted(starts, at, "right") - 1), return_inverse=True, return_counts=True)
+        enough = shared[pair] >= index.asked[own]
+        at, place = at[enough], place[enough]
+        held, passage = holding(place, index)
+        diagonal = at[held] - (place[held] - index.begin[passage])
         wide = index.edits[passage] + 1
         band = diagonal // wide
         # each diagonal lies in two overlapping bands
@@ -156,21 +198,26 @@ def _hits(texts: list[str], index: SimpleNamespace, table: np.ndarray) -> list[t
         found, shared = np.unique(key, return_counts=True)
         p = found >> 40
         enough = shared >= index.least[p]
-        for p, b in zip(p[enough].tolist(), ((found[enough] & ((1 << 40) - 1)) - (1 << 30)).tolist()):
+        p, b = p[enough], (found[enough] & ((1 << 40) - 1)) - (1 << 30)
+        order = np.argsort(index.piece[p], kind="stable")
+        wide_found = None
+        for p, b in zip(p[order].tolist(), b[order].tolist()):
+            if index.piece[p] and wide_found is None:
+                wide_found = set(best)
             wanted, k = index.passages[p], int(index.edits[p])
             low, high = b * (k + 1) - k, (b + 2) * (k + 1) + len(wanted) + k
             middle = min(max((low + high) // 2, 0), len(codes) - 1)
             # the texts that the region touches, as a rule one
             for t in range(max(int(np.searchsorted(starts, max(low, 0), "right")) - 1, 0), int(np.searchsorted(starts, max(high, middle), "left"))):
                 a, z = max(low, int(starts[t]) + 1), min(high, int(starts[t]) + 1 + int(sizes[t]))
-                if z - a < len(wanted) - k:
+                slot = (t, int(index.item[index.owner[p]]))
+                if z - a < len(wanted) - k or (wide_found and slot in wide_found):
                     continue
                 hit = aligned(wanted, codes[a:z], k)
                 if hit:
                     end = a + hit[1]
                     begin = max(a, end - len(wanted))
                     new = (hit[0], int(origin[begin]), int(origin[end - 1]) + 1)
-                    slot = (t, int(index.item[p]))
                     best[slot] = min(best.get(slot, new), new)
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 

@@ -201,6 +201,50 @@ def test_benchmark_passages(frame, spark):
     assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {i for i, _ in want}
 
 
+def least_edits(item, text, size):
+    """For every substring of the item of that size the fewest edits to some part of the text."""
+    codes, item = np.array([ord(c) for c in text]), np.array([ord(c) for c in item])
+    runs = np.arange(len(item) - size + 1)
+    columns = np.arange(len(codes) + 1)
+    row = np.zeros((len(runs), len(columns)), np.int32)
+    for i in range(size):
+        new = np.full_like(row, i + 1)
+        new[:, 1:] = np.minimum(row[:, :-1] + (codes != item[runs + i][:, None]), row[:, 1:] + 1)
+        row = np.minimum.accumulate(new - columns, axis=1) + columns
+    return row.min(axis=1)
+
+
+def test_benchmark_runs_wherever_they_lie(frame, spark):
+    draw = random.Random(12)
+
+    def text(n):
+        return " ".join("".join(draw.choice("abcdefé") for _ in range(draw.randint(2, 7))) for _ in range(n))
+
+    size, limit = decontaminate.RUN, int(decontaminate.LENGTH * decontaminate.EDITS)
+    items = [text(n) for n in (45, 70, 75, 120, 400)]
+    texts, planted = [], []
+    for k, item in enumerate(items):
+        for s in (0, len(item) - size, *(draw.randrange(len(item) - size) for _ in range(6))):
+            run = list(item[s:s + size])
+            for at in draw.sample(range(5, size - 5), draw.choice([0, limit // 2, limit])):
+                run[at] = draw.choice(["", "q", run[at] + "q"])
+            texts.append(text(8) + " q" + "".join(run) + "q " + text(8))
+            planted.append(k)
+    for k, item in enumerate(items):
+        for s in (3, 40):
+            texts.append(text(8) + " " + item[s:s + 100] + " " + text(8))
+            planted.append(k)
+    benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
+    got = {(r.id, r.item) for r in decontaminate.contaminated(frame(texts), benchmark).collect()}
+    want = {(i, k) for i, k in enumerate(planted) if least_edits(items[k], " ".join(plain(texts[i])), size).min() <= limit}
+    assert want <= got and len(want) == 8 * len(items)
+    for i, k in got - want:  # a half, or a piece by itself
+        t, m = " ".join(plain(texts[i])), len(items[k])
+        assert k == planted[i] and any(least_edits(items[k], t, n).min() <= n * decontaminate.EDITS for n in (m // 2, decontaminate.LENGTH))
+    clean = decontaminate.drop_contaminated(frame(texts), benchmark)
+    assert {r.doc_id for r in clean.collect()} == set(range(len(texts))) - {i for i, _ in got}
+
+
 def test_benchmark_in_parts_and_empty(frame, spark, monkeypatch):
     items = [" ".join(f"word{k}{i}" for i in range(12)) for k in range(6)]
     benchmark = spark.createDataFrame(list(enumerate(items)), "item_id bigint, text string")
