@@ -10,6 +10,12 @@
 3. The text is taken anew from the containers on the path that won the host; a page without
    text there uses its own best path. Boilerplate inside the container is left out.
 
+A form, or an element that is boilerplate only by its names, is none if it is a wrapper of the
+page: if it holds the ``main`` or the longest ``article`` (with a quarter of the page's text that is
+not link text), or more than half of that text (nine tenths, if its name has no other words).
+Comments may be longer than the article, so they are no wrapper by their length. If nothing else of
+a page is left, names and forms do not count.
+
 Character references are decoded, white space inside a block becomes one space, and blocks are
 joined in page order by one space. Nothing else is dropped. A null or empty page has the text
 ``""``; a page without a usable url belongs to the host ``""``. Each row has its own result, so
@@ -41,7 +47,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
                    "strike strong sub sup time tt u var wbr img".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript iframe template noframes xmp".split())
-APART = frozenset("nav aside footer form button select option input dialog menu svg canvas object audio video head".split())
+APART = frozenset("nav aside footer button select option input dialog menu svg canvas object audio video head".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot select html body article main section div td th".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
@@ -49,6 +55,11 @@ NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer side
                   "banner promo promotion sponsor sponsored cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login "
                   "share sharing social related recommended recommendations comment comments disqus respond reply replies widget toolbar pagination "
                   "pager search form skip alert masthead topbar".split())
+COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+#: Names with these words tell what a page has, not what an element is.
+HAS, STATE = frozenset("no has with without".split()), frozenset("open opened closed enabled disabled on off".split())
+#: Parts of the page's text beyond which an element is a wrapper: for mixed names and forms, for names of nothing else, for comments.
+MIXED, PURE, NEVER = 0.5, 0.9, 2.0
 
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -62,23 +73,26 @@ def host_of(url: str) -> Column:
     return F.lower(found)
 
 
-def _set_apart(tag: str, attributes: dict[str, str], inside: bool) -> bool:
-    """Whether an element is boilerplate; ``inside``: it lies in an article or main, or in two other containers."""
+def _set_apart(tag: str, attributes: dict[str, str], inside: bool) -> float:
+    """0 for an element that is no boilerplate, -1 for one that is, else the part of the page's text above which it is none;
+    ``inside``: it lies in an article or main, or in two other containers."""
     if tag in APART or (tag == "header" and not inside):
-        return True
+        return -1
     if attributes.get("role", "").lower() in ROLES or "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true":
-        return True
+        return -1
     if re.search(r"display\s*:\s*none", attributes.get("style", ""), re.I):
-        return True
+        return -1
     if tag in ("html", "body", "main"):
-        return False
+        return 0
+    part = MIXED if tag == "form" else 0
     for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".split():
         words = [w.lower() for w in NAME.findall(name)]
-        if any(w in NAMES for w in words) and not (words and words[0] in ("no", "has", "with", "without")):
-            return True
+        named = NAMES.intersection(words)
+        if named and not (HAS.intersection(words[:-1]) or words[-1] in STATE):
+            part = max(part, NEVER if named <= COMMENTS else PURE if named.issuperset(words) else MIXED)
         if words == ["header"] and not inside:
-            return True
-    return False
+            part = max(part, PURE)
+    return part
 
 
 class Page:
@@ -87,9 +101,13 @@ class Page:
     def __init__(self, html: str) -> None:
         #: per element: parent, tag, path, containers around it (an article or main counts as two), boilerplate
         self.parent, self.tag, self.path, self.around, self.apart = [-1], [""], [0], [0], [False]
+        #: elements that may be boilerplate by their names or as forms, with the part of the text that makes them wrappers
+        self.named: dict[int, float] = {}
         #: (element, text, link): text None is the edge of a block
         self.pieces: list[tuple[int, str | None, bool]] = []
         self._read(html)
+        if self.named:
+            self._set_named_apart()
 
     def _open(self, tag: str, attributes: dict[str, str], above: int) -> int:
         around = self.around[above] + (2 if tag in ("article", "main") else tag in CONTAINERS and tag != "body")
@@ -99,7 +117,10 @@ class Page:
         self.tag.append(tag)
         self.path.append(int.from_bytes(blake2b(step.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True))
         self.around.append(around)
-        self.apart.append(self.apart[above] or _set_apart(tag, attributes, self.around[above] > 1))
+        part = _set_apart(tag, attributes, self.around[above] > 1)
+        self.apart.append(self.apart[above] or part < 0)
+        if part > 0 and not self.apart[-1]:
+            self.named[len(self.apart) - 1] = part
         return len(self.parent) - 1
 
     def _read(self, html: str) -> None:
@@ -153,6 +174,39 @@ class Page:
                 stack.append(self._open(tag, attributes, stack[-1]))
                 links += tag == "a"
 
+    def _sums(self, values: list[float]) -> list[float]:
+        """Per element the sum over it and all in it; elements come after those they lie in."""
+        out = values[:]
+        for element in range(len(out) - 1, 0, -1):
+            out[self.parent[element]] += out[element]
+        return out
+
+    def _set_named_apart(self) -> None:
+        n = len(self.parent)
+        comments, covered = [False] * n, [False] * n
+        for e in range(1, n):
+            comments[e] = comments[self.parent[e]] or self.named.get(e) == NEVER
+            covered[e] = covered[self.parent[e]] or self.tag[self.parent[e]] in ("article", "main")
+        own = [0.0] * n
+        for e, text, link in self.pieces:
+            if text and not link and not self.apart[e] and not comments[e]:
+                own[e] += len(" ".join(text.split()))
+        sizes = self._sums(own)
+        articles = [e for e in range(1, n) if self.tag[e] == "article" and not (covered[e] or self.apart[e] or e in self.named)]
+        wrapped = [e for e in range(1, n) if self.tag[e] == "main" and not (covered[e] or self.apart[e])]
+        longest = max((sizes[e] for e in articles), default=0.0)
+        wrapped += [e for e in articles if sizes[e] == longest and longest > sizes[0] / 4]
+        wrappers = {e for e, part in self.named.items() if sizes[e] > part * sizes[0]}
+        for e in wrapped:
+            while e > 0:
+                e = self.parent[e]
+                wrappers.add(e)
+        apart = self.apart[:]
+        for e in range(1, n):
+            apart[e] = apart[e] or apart[self.parent[e]] or (e in self.named and e not in wrappers)
+        if any(text and not link and not apart[e] and not text.isspace() for e, text, link in self.pieces):
+            self.apart = apart
+
     def scores(self) -> dict[int, float]:
         """path -> the best score of a container on it."""
         own: dict[int, float] = {}

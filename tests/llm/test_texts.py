@@ -88,6 +88,22 @@ def test_odd_pages(html, text):
     assert got == text or (text == "in" and got.endswith("main part"))
 
 
+LONG = "<p>" + "A sentence of the article that tells something. " * 8 + "</p>"
+SIDE = '<div class="sidebar"><p>Words on the side.</p></div>'
+
+
+@pytest.mark.parametrize("html", [
+    f'<div class="content-sidebar-wrap"><main>{LONG}</main>{SIDE}</div>', f'<div class="content-sidebar-wrap"><div class="x">{LONG}</div>{SIDE}</div>',
+    f'<div class="layout-with-sidebar"><div class="x">{LONG}</div>{SIDE}</div>', f'<div class="post comments-open">{LONG}<div class="comments"><p>I like it.</p></div></div>',
+    f'<div id="social-article">{LONG}</div>', f'<form id="aspnetForm"><div class="x">{LONG}</div><form class="search"><p>Search here</p></form>{SIDE}</form>',
+    f'<div class="widget"><article>{LONG}</article></div><div id="comments"><article class="comment"><p>{"Well said. " * 90}</p></article></div>',
+    f'<article>{LONG}<div class="related"><article><p>Another one</p></article></div></article>',
+    f'<div class="x">{LONG}</div><div class="comment-list"><p>{"Well said. " * 400}</p></div>{SIDE}'])
+def test_wrappers_of_the_page_are_no_boilerplate(html):
+    want = " ".join(LONG[3:-4].split())
+    assert html_text.main_text(f"<body><nav><a href='/'>Home</a></nav>{html}</body>", None) == want
+
+
 def test_pages_follow_their_host(spark):
     def page(main, other):
         return f'<body><div class="a1">{main}</div><div class="b">{other}</div></body>'
