@@ -9,6 +9,9 @@
    votes of each host.
 3. The text is taken anew from the containers on the path that won the host; a page without
    text there uses its own best path. Boilerplate inside the container is left out.
+4. From there the text climbs to the container around, up to an ``article`` or ``main``, as long as
+   what that adds is text with at most a quarter in links. It must stand in that container itself,
+   or bring the first ``h1`` with it: containers beside the article that do not are not part of it.
 
 A form, or an element that is boilerplate only by its names, is none if it is a wrapper of the
 page: if it holds the ``main`` or the longest ``article`` (with a quarter of the page's text that is
@@ -28,6 +31,7 @@ shuffle beyond.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import blake2b
 from html import unescape
@@ -230,11 +234,50 @@ class Page:
             best[self.path[element]] = max(best.get(self.path[element], 0.0), score)
         return best
 
+    def _climbed(self, path: int) -> list[int]:
+        """The containers on a path, or those around them that add only text of the article."""
+        n = len(self.parent)
+        above = [0] * n
+        for e in range(1, n):
+            up = self.parent[e]
+            above[e] = up if self.tag[up] in CONTAINERS else above[up]
+        roots = [e for e in range(1, n) if self.path[e] == path and self.tag[e] in CONTAINERS and not self.apart[e]]
+        around = {above[e] for e in roots if self.tag[e] not in ("article", "main")} - {0}
+        if not around:
+            return roots
+        free, linked, direct = [0.0] * n, [0.0] * n, [0.0] * n
+        for e, text, link in self.pieces:
+            if text and not self.apart[e]:
+                size = len(" ".join(text.split()))
+                (linked if link else free)[e] += size
+                direct[e if self.tag[e] in CONTAINERS else above[e]] += 0 if link else size
+        free, linked = self._sums(free), self._sums(linked)
+        titles = self._sums([float(tag == "h1" and not apart) for tag, apart in zip(self.tag, self.apart)])
+        last = list(range(n))
+        for e in range(n - 1, 0, -1):
+            last[self.parent[e]] = max(last[self.parent[e]], last[e])
+        while around:
+            up = max(around)
+            around.discard(up)
+            # elements are numbered in page order, so those in one follow it; roots don't lie in each other
+            low, high = bisect_left(roots, up), bisect_right(roots, last[up])
+            within = roots[low:high]
+            if up in within or self.apart[up]:
+                continue
+            text, links = free[up] - sum(free[e] for e in within), linked[up] - sum(linked[e] for e in within)
+            titled = titles[up] > 0 and not sum(titles[e] for e in within)
+            if links * 3 <= text and (text <= direct[up] or titled):
+                roots[low:high] = [up]
+                if self.tag[up] not in ("article", "main") and above[up]:
+                    around.add(above[up])
+        return roots
+
     def text(self, path: int | None) -> str:
-        """The text in the containers on a path (None: of the whole page)."""
+        """The text in the containers on a path and around them (None: of the whole page)."""
+        roots = set() if path is None else set(self._climbed(path))
         within = [path is None]
         for element in range(1, len(self.parent)):
-            within.append(within[self.parent[element]] or (self.path[element] == path and self.tag[element] in CONTAINERS))
+            within.append(within[self.parent[element]] or element in roots)
         out = [" " if text is None else text for element, text, _ in self.pieces
                if text is None or (within[element] and not self.apart[element])]
         return " ".join("".join(out).split())

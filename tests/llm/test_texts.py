@@ -104,6 +104,22 @@ def test_wrappers_of_the_page_are_no_boilerplate(html):
     assert html_text.main_text(f"<body><nav><a href='/'>Home</a></nav>{html}</body>", None) == want
 
 
+@pytest.mark.parametrize("html, around", [
+    ('<div class="post"><h1>Title</h1><p>Lead</p><div class="entry">{}</div><p>End</p></div>', "Title Lead {} End"),
+    ('<div id="all"><div class="post"><div class="top"><h1>Title</h1></div><p>By <a href="/n">N</a>, on a day</p><div class="in"><div class="entry">{}</div></div></div>'
+     '<div class="b">other words</div></div>', "Title By N, on a day {}"),
+    ('<main><h1>Title</h1><div class="a"><div class="entry">{}</div></div></main><p>Out</p>', "Title {}"),
+    ('<h1>Title</h1><div class="entry">{}</div><div class="menu"><p>Not this</p></div>', "Title {}"),
+    ('<div id="all"><div class="x"><h1>Title</h1><div class="entry">{}</div></div><p><a href="/a">One other</a> <a href="/b">Two other</a></p></div>', "Title {}"),
+    ('<div id="all"><div class="a">{}</div><div class="b">beside it</div></div>', "{}")])
+def test_title_and_lead_around_the_best_container(spark, html, around):
+    body = LONG * 6
+    page, want = f"<body>{html.format(body)}</body>", around.format(" ".join(re.sub("<.*?>", " ", body).split()))
+    assert html_text.main_text(page, None) == want
+    pages = spark.createDataFrame([(i, "http://h.example/", page) for i in range(3)], "page_id bigint, url string, html string")
+    assert {r.text for r in html_text.extract(pages).collect()} == {want}
+
+
 def test_pages_follow_their_host(spark):
     def page(main, other):
         return f'<body><div class="a1">{main}</div><div class="b">{other}</div></body>'
