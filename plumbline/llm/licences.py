@@ -7,6 +7,12 @@ all: with n and m bigrams it is at most 2 min(n, m) / (n + m). Of the units that
 place the most similar one counts, and of overlapping finds the one with the higher
 coefficient (the earlier, then the first template, if equal).
 
+A unit names a licence only if its version numbers and the words that tell variants apart (Lesser,
+Affero, NonCommercial and the like) are those of the template; the templates hold the short notices
+of all versions and variants. Where no such unit is, notices inside a sentence count as well: runs
+that start and end at bigrams of a template of up to ``FEW`` bigrams. Of a template of fewer than
+``LOOSE`` they must end at the last one, as a bigram less is a good part of it.
+
 Most words of a text are in no template. Only where bigrams of a template are dense enough to
 reach ``LEAST`` are units formed. Every row has its own result; a null or empty text has no
 licence.
@@ -15,6 +21,7 @@ licence.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 from .words import WordNumbers, mixed, odd_numbers, slices
 
 LEAST = 0.8
+FEW, LOOSE = 24, 8
 PIECE = 8 << 20
 
 # Notices of public licences, by SPDX identifier.
@@ -77,6 +85,29 @@ TEMPLATES = [
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
 ]
 
+TEMPLATES += [(name, f"This work is licensed under the GNU {kind} Public License, version {version}.") for name, kind, version in (
+    ("GPL-2.0", "General", "2"), ("LGPL-2.0", "Library General", "2"), ("LGPL-2.1", "Lesser General", "2.1"), ("LGPL-3.0", "Lesser General", "3"),
+    ("AGPL-3.0", "Affero General", "3"))]
+TEMPLATES += [(name, f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published "
+                     f"by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.")
+              for name, kind, version in (("LGPL-2.0", "Library", "2"), ("LGPL-2.1", "Lesser", "2.1"))]
+TEMPLATES += [("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
+              ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in "
+                          "compliance with the License.")]
+TEMPLATES += [notice for version, region in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"), ("2.0", "Generic"))
+              for short, long in (("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+                                  ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+              for notice in ((f"CC-{short}-{version}", f"Licensed under CC {short} {version}."),
+                             (f"CC-{short}-{version}", f"This work is licensed under a Creative Commons {long} {version} {region} License."))
+              if notice not in TEMPLATES]
+
+# Words that tell variants of a licence apart, by themselves, after another word, or before one; and words before a version.
+VARIANTS = {b"lesser": "lesser", b"affero": "affero", b"noncommercial": "nc", b"sharealike": "sa", b"noderivatives": "nd", b"noderivs": "nd"}
+PAIRS = {(b"non", b"commercial"): "nc", (b"share", b"alike"): "sa", (b"no", b"derivatives"): "nd", (b"no", b"derivs"): "nd", (b"no", b"derivative"): "nd",
+         (b"library", b"general"): "library"} | {(a, b): b.decode() for a in (b"by", b"nc") for b in (b"nc", b"sa", b"nd")}
+LEADS = frozenset(b"version v attribution by nc sa nd noncommercial sharealike noderivatives noderivs commercial alike derivatives derivs works mpl gpl lgpl agpl".split())
+VERSION = re.compile(rb"(?:[al]?gpl)?v(\d)")
+
 #: ASCII letters and digits in lower case and bytes beyond ASCII as they are; all else is a space.
 PLAIN = bytes(b if b >= 128 else ord(chr(b).lower()) if chr(b).isalnum() else 32 for b in range(256))
 UNIT = re.compile(rb"[\r\n]+|(?<=[.!?;:])[ \t]+")
@@ -88,26 +119,46 @@ def bigrams(words: list[bytes], numbers: WordNumbers) -> np.ndarray:
     return mixed(w[:-1] * a + w[1:] * b)
 
 
+def marks(words: list[bytes]) -> list[tuple[int, str]]:
+    """(place, mark): versions and variants that the words name."""
+    out = []
+    for i, word in enumerate(words):
+        before, after = words[i - 1] if i else b"", words[i + 1] if i + 1 < len(words) else b""
+        minor = len(after) == 1 and after.isdigit()
+        found = VERSION.fullmatch(word)
+        if found or (len(word) == 1 and word.isdigit() and (before in LEADS or (before == b"license" and minor))):
+            out.append((i, (found[1] if found else word).decode() + (f".{after.decode()}" if minor and after != b"0" else "")))
+        elif word in VARIANTS:
+            out.append((i, VARIANTS[word]))
+        elif (word, after) in PAIRS:
+            out.append((i + 1, PAIRS[word, after]))
+    return out
+
+
 def _bounds(m: int) -> tuple[int, int]:
     """Least and greatest number of bigrams that can reach ``LEAST`` with m."""
     return int(np.ceil(m * LEAST / (2 - LEAST) - 1e-9)), int(np.floor(m * (2 - LEAST) / LEAST + 1e-9))
 
 
 def prepared(templates: list[tuple[str, str]]) -> tuple[list, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Per template (name, sorted distinct bigrams); a table of what bigrams there are at all; all bigrams, and
+    """Per template (name, sorted distinct bigrams, its last bigram, its marks); a table of what bigrams there are at all; all bigrams, and
     which templates hold them; and how many a text must share with each template."""
     numbers = WordNumbers()
-    sets = [(name, np.unique(bigrams(text.encode().translate(PLAIN).split(), numbers))) for name, text in templates]
-    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *[grams for _, grams in sets]]))
+    sets = []
+    for name, text in templates:
+        words = text.encode().translate(PLAIN).split()
+        grams = bigrams(words, numbers)
+        sets.append((name, np.unique(grams), grams[-1:], {mark for _, mark in marks(words)}))
+    every = np.unique(np.concatenate([np.zeros(0, np.uint64), *[x[1] for x in sets]]))
     known = np.zeros(1 << 20, bool)
     known[(every >> np.uint64(44)).astype(np.int64)] = True
-    holds = np.array([np.isin(every, grams) for _, grams in sets]).reshape(len(sets), len(every)).T
-    needed = np.array([LEAST * (_bounds(len(g))[0] + len(g)) / 2 - 1e-9 if len(g) else np.inf for _, g in sets])
+    holds = np.array([np.isin(every, x[1]) for x in sets]).reshape(len(sets), len(every)).T
+    needed = np.array([LEAST * (_bounds(len(g))[0] + len(g)) / 2 - 1e-9 if len(g) else np.inf for g in (x[1] for x in sets)])
     return sets, known, every, holds, needed
 
 
-def finds(raw: bytes, templates: tuple, numbers: WordNumbers) -> list[tuple[str, float, int, int]]:
-    """(licence, coefficient, first word, word after the last) of a text, without overlaps."""
+def finds(raw: bytes, templates: tuple, numbers: WordNumbers, inside: bool = False) -> list[tuple[str, float, int, int]]:
+    """(licence, coefficient, first word, word after the last) of a text, without overlaps; ``inside``: inside sentences too."""
     sets, known, every, holds, needed = templates
     words = raw.translate(PLAIN).split()
     if len(words) < 2 or not len(every):
@@ -123,29 +174,52 @@ def finds(raw: bytes, templates: tuple, numbers: WordNumbers) -> list[tuple[str,
     ends = np.cumsum([len(u.translate(PLAIN).split()) for u in UNIT.split(raw)])
     ends = np.unique(ends[ends > 0])
     starts = np.append(0, ends[:-1])
-    found = []
+    marked = None
+    found, partly = [], []
+
+    def best_of(t: int, s: int, stops: list[int], low: int, high: int) -> tuple[float, int]:
+        """The highest coefficient of a run from a place that has the marks of the template, and where it ends, negative."""
+        nonlocal marked
+        template, own_marks = sets[t][1], sets[t][3]
+        best = (0.0, 0)
+        for e in stops:
+            own = np.unique(grams[s:e - 1])
+            n = len(own)
+            if n > high:
+                break
+            if n >= low:
+                dice = 2 * len(np.intersect1d(own, template, assume_unique=True)) / (n + len(template))
+                if dice >= LEAST and (dice, -e) > best:
+                    marked = marks(words) if marked is None else marked
+                    first = bisect_left(marked, (s,))
+                    if {mark for _, mark in marked[first:bisect_left(marked, (e,))]} == own_marks:
+                        best = (dice, -e)
+        return best
+
     for t in likely.tolist():
         template = sets[t][1]
         m = len(template)
         low, high = _bounds(m)
         at = np.minimum(np.searchsorted(template, grams), m - 1)
-        shared = np.concatenate([[0], np.cumsum(template[at] == grams)])
+        hit = template[at] == grams
+        shared = np.concatenate([[0], np.cumsum(hit)])
         # units start where the longest that may match holds enough shared bigrams
         upto = np.minimum(starts + high, len(grams))
         for s in starts[shared[upto] - shared[np.minimum(starts, len(grams))] >= needed[t]].tolist():
-            best = (0.0, 0)
-            for e in ends[np.searchsorted(ends, s + low + 1):].tolist():
-                own = np.unique(grams[s:e - 1])
-                n = len(own)
-                if n > high:
-                    break
-                if n >= low:
-                    dice = 2 * len(np.intersect1d(own, template, assume_unique=True)) / (n + m)
-                    best = max(best, (dice, -e))
+            best = best_of(t, s, ends[np.searchsorted(ends, s + low + 1):].tolist(), low, high)
             if best[0] >= LEAST:
                 found.append((-best[0], s, t, -best[1]))
+        if inside and m <= FEW:
+            places = np.flatnonzero(hit)
+            last = places if m >= LOOSE else np.flatnonzero(grams == sets[t][2])
+            for s in places[shared[np.minimum(places + high, len(grams))] - shared[places] >= needed[t]].tolist():
+                # a notice that repeats bigrams may be longer, but hardly more than twice
+                stops = last[np.searchsorted(last, s + low - 1):np.searchsorted(last, s + 2 * high)] + 2
+                best = best_of(t, s, stops.tolist(), low, high)
+                if best[0] >= LEAST:
+                    partly.append((-best[0], s, t, -best[1]))
     out: list[tuple[str, float, int, int]] = []
-    for minus, s, t, e in sorted(found):
+    for minus, s, t, e in sorted(found) + sorted(partly):
         if all(e <= a or s >= b for _, _, a, b in out):
             out.append((sets[t][0], -minus, s, e))
     return sorted(out, key=lambda x: x[2])
@@ -160,7 +234,7 @@ def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", te
         made = prepared(templates)
         kind = pa.list_(pa.struct([("licence", pa.string()), ("dice", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
         for piece in slices(batches, "raw", PIECE):
-            out = [[dict(zip(("licence", "dice", "start", "end"), f)) for f in finds(raw or b"", made, numbers)]
+            out = [[dict(zip(("licence", "dice", "start", "end"), f)) for f in finds(raw or b"", made, numbers, inside=True)]
                    for raw in piece.column("raw").to_pylist()]
             yield pa.RecordBatch.from_arrays([piece.column("id"), pa.array(out, kind)], ["id", "found"])
 

@@ -303,6 +303,27 @@ def test_licences(frame):
     assert licences.licences(frame(texts).where("doc_id < 0")).count() == 0
 
 
+@pytest.mark.parametrize("text, names", [
+    ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+    ("This work is licensed under the GNU Lesser General Public License, version 2.1.", ["LGPL-2.1"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+    ("This work is licensed under the GNU General Public License, version 1.", []),
+    ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.", ["CC-BY-ND-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", ["CC-BY-3.0"]),
+    ("This work is licensed under a Creative Commons Attribution-Non-Commercial 2.5 Generic License.", ["CC-BY-NC-2.5"]),
+    ("All examples in this text are released under the MIT License.", ["MIT"]),
+    ("The figures here, which are ours, are licensed under CC BY-NC-ND 4.0 and the code is released under the MIT License as of now.", ["CC-BY-NC-ND-4.0", "MIT"]),
+    ("You know that this work is licensed under the GNU Lesser General Public License, version 2.1 or later, as all we do", ["LGPL-2.1"]),
+    ("Some of this is licensed under a Creative Commons Attribution-ShareAlike 4.0 International licence, other parts are not", ["CC-BY-SA-4.0"]),
+    ("We are released under the MIT of old", []), ("It is licensed under the terms of a contract", [])])
+def test_licence_versions_variants_and_notices_inside_sentences(text, names):
+    numbers, made = WordNumbers(), licences.prepared(licences.TEMPLATES)
+    assert [f[0] for f in licences.finds(text.encode(), made, numbers, inside=True)] == names
+    around = f"Words before it. {text} Words after it."
+    assert [f[0] for f in licences.finds(around.encode(), made, numbers, inside=True)] == names
+
+
 def test_licence_units_against_all():
     """Every unit of a short text compared with every template, without bounds."""
     draw = random.Random(8)
