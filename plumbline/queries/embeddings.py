@@ -110,8 +110,8 @@ def emb_pairwise_cosine(spark, sf):
 
 # ---- ensembles and overall scores ------------------------------------------
 
-# The stability index over principal components has no SQL; what the scores are made of besides it has, and "rest"
-# is a score without the index's part.
+# The stability index over principal components has no SQL, so the queries with whole rows have none. What the scores are
+# made of besides it has: the queries named _rest return that, and "rest" is a score without the index's part.
 _MEANS = f"""(WITH {EMB} SELECT sqrt(sum(pow(b - t, 2))) / sqrt(count(*)) AS mean_shift,
  greatest(1 - sum(b * t) / (sqrt(sum(b * b)) * sqrt(sum(t * t))), 0) AS cosine,
  1 - sum(b * t) / (sqrt(sum(b * b)) * sqrt(sum(t * t)) + 1e-10) AS cosine_text FROM mean)"""
@@ -136,18 +136,28 @@ def without_index(weights: dict[str, tuple[float, float]]):
     return F.col("ensemble") - E.scaled("psi_mean", t) * w
 
 
-@query("ensemble_vision", f"""SELECT round(mmd_mean, 6) AS mmd_mean, round(mmd_std, 6) AS mmd_std, 'exact' AS mmd_method, round(mean_shift, 6) AS mean_shift,
+@query("ensemble_vision")
+def ensemble_vision(spark, sf):
+    return E.ensemble_vision(pair(spark, sf))
+
+
+@query("ensemble_vision_rest", f"""SELECT round(mmd_mean, 6) AS mmd_mean, round(mmd_std, 6) AS mmd_std, 'exact' AS mmd_method, round(mean_shift, 6) AS mean_shift,
  round(cosine, 6) + 0.0 AS cosine, round(wasserstein, 6) + 0.0 AS wasserstein, round({_rest_sql(E.VISION_WEIGHTS)}, 5) AS rest
 FROM {_kernel_row(E.VISION_GAMMAS)}, {_MEANS}, {_FLOW}""")
-def ensemble_vision(spark, sf):
+def ensemble_vision_rest(spark, sf):
     out = E.ensemble_vision(pair(spark, sf)).withColumn("rest", without_index(E.VISION_WEIGHTS))
     return out.select(*[r(c).alias(c) for c in ("mmd_mean", "mmd_std")], "mmd_method",
                       *[r(c).alias(c) for c in ("mean_shift", "cosine", "wasserstein")], r("rest", 5).alias("rest"))
 
 
-@query("ensemble_text", f"""SELECT round(mmd_mean, 6) AS mmd_mean, round(mmd_std, 6) AS mmd_std, 'exact' AS mmd_method, round(cosine_text, 6) + 0.0 AS cosine_text,
- round({_rest_sql(E.TEXT_WEIGHTS)}, 5) AS rest FROM {_kernel_row(E.TEXT_GAMMAS)}, {_MEANS}""")
+@query("ensemble_text")
 def ensemble_text(spark, sf):
+    return E.ensemble_text(pair(spark, sf))
+
+
+@query("ensemble_text_rest", f"""SELECT round(mmd_mean, 6) AS mmd_mean, round(mmd_std, 6) AS mmd_std, 'exact' AS mmd_method, round(cosine_text, 6) + 0.0 AS cosine_text,
+ round({_rest_sql(E.TEXT_WEIGHTS)}, 5) AS rest FROM {_kernel_row(E.TEXT_GAMMAS)}, {_MEANS}""")
+def ensemble_text_rest(spark, sf):
     out = E.ensemble_text(pair(spark, sf)).withColumn("rest", without_index(E.TEXT_WEIGHTS))
     return out.select(*[r(c).alias(c) for c in ("mmd_mean", "mmd_std")], "mmd_method", r("cosine_text").alias("cosine_text"), r("rest", 5).alias("rest"))
 
@@ -174,30 +184,49 @@ def _service_columns(row):
                       r("wasserstein").alias("wasserstein"), r("rest", 4).alias("rest"), *[c for c in row.columns if c.startswith("has_")])
 
 
-@query("ensemble_service", _SERVICE_SQL)
+@query("ensemble_service")
 def ensemble_service(spark, sf):
+    return E.ensemble_service(E.service_scores(line_attributes(spark, sf), pair(spark, sf)))
+
+
+@query("ensemble_service_rest", _SERVICE_SQL)
+def ensemble_service_rest(spark, sf):
     return _service_columns(E.ensemble_service(E.service_scores(line_attributes(spark, sf), pair(spark, sf))))
 
 
-@query("drift_image_overall", f"""WITH {psi_ctes(IMAGE_LONG)},
+def image_overall_row(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey")
+    return fusion.image_overall(image_table(spark, sf), pair(spark, sf), p.where("p_partkey % 3 <> 0"),
+                                p.where("p_partkey % 5 <> 0"), "p_partkey")
+
+
+@query("drift_image_overall")
+def drift_image_overall(spark, sf):
+    return image_overall_row(spark, sf)
+
+
+@query("drift_image_overall_rest", f"""WITH {psi_ctes(IMAGE_LONG)},
 s AS (SELECT n.attr, coalesce(score, 0.0) AS score FROM (VALUES {IMAGE_NAMES}) n(attr) LEFT JOIN psi USING (attr)),
 k AS (SELECT p_partkey % 3 <> 0 AS b, p_partkey % 5 <> 0 AS t FROM part)
 SELECT round(a, 6) AS attribute_drift, 'exact' AS mmd_method, round(0.45 * a, 6) AS rest, added, removed
 FROM (SELECT avg(score) AS a FROM s WHERE attr <> 'size'), (SELECT count(*) FILTER (t AND NOT b) AS added, count(*) FILTER (b AND NOT t) AS removed FROM k)""")
-def drift_image_overall(spark, sf):
-    p = table(spark, sf, "part").select("p_partkey")
-    out = fusion.image_overall(image_table(spark, sf), pair(spark, sf), p.where("p_partkey % 3 <> 0"),
-                               p.where("p_partkey % 5 <> 0"), "p_partkey")
+def drift_image_overall_rest(spark, sf):
+    out = image_overall_row(spark, sf)
     rest = F.col("overall_score") - 0.55 * F.col("embedding_drift")
     return out.select(r("attribute_drift").alias("attribute_drift"), "mmd_method", r(rest).alias("rest"), "added", "removed")
 
 
-@query("drift_text_overall", f"""WITH {cdf_ctes(TEXT_LONG)},
+@query("drift_text_overall")
+def drift_text_overall(spark, sf):
+    return fusion.text_overall(text_pair(spark, sf), pair(spark, sf))
+
+
+@query("drift_text_overall_rest", f"""WITH {cdf_ctes(TEXT_LONG)},
 m AS (SELECT attr, greatest(abs(avg(value)), 1.0) AS m FROM long WHERE side = 'base' GROUP BY attr),
 s AS (SELECT avg(score / m) AS a FROM w1 JOIN m USING (attr)),
 e AS (SELECT {_rest_sql(E.TEXT_WEIGHTS)} AS e FROM {_kernel_row(E.TEXT_GAMMAS)}, {_MEANS})
 SELECT round(a, 6) AS attribute_drift, 'exact' AS mmd_method, round(e, 5) AS embedding_rest, round(0.5 * a + 0.5 * e, 5) AS overall_rest FROM s, e""")
-def drift_text_overall(spark, sf):
+def drift_text_overall_rest(spark, sf):
     e = pair(spark, sf)
     index = E.psi_pca_row(e, fit_on="both", fit_components=3, score_components=3).select("psi_mean")
     t = one_row(fusion.text_overall(text_pair(spark, sf), e), index)
@@ -207,22 +236,39 @@ def drift_text_overall(spark, sf):
                     r(F.col("overall_score") - 0.5 * part, 5).alias("overall_rest"))
 
 
-@query("drift_advanced", f"SELECT *, true AS has_embeddings, true AS has_attributes FROM ({_SERVICE_SQL})")
+@query("drift_advanced")
 def drift_advanced(spark, sf):
+    return fusion.advanced(line_attributes(spark, sf), pair(spark, sf))
+
+
+@query("drift_advanced_rest", f"SELECT *, true AS has_embeddings, true AS has_attributes FROM ({_SERVICE_SQL})")
+def drift_advanced_rest(spark, sf):
     return _service_columns(fusion.advanced(line_attributes(spark, sf), pair(spark, sf)))
 
 
-# (modality, detector, metric, its SQL, whether a kernel is in it); psi detectors are in emb_psi_pca
+@query("drift_detector_select")
+def drift_detector_select(spark, sf):
+    """Every detector that works on embeddings."""
+    e = pair(spark, sf)
+    out = None
+    for modality in ("image", "text"):
+        for name in fusion.DETECTORS[modality]:
+            one = fusion.embedding_drift(e, modality, name)
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+# (modality, detector, metric, its SQL, whether a kernel is in it); psi and ensemble detectors have no SQL
 _DETECTORS = [("image", "mean_shift", "mean_shift", "mean_shift", False), ("image", "cosine", "cosine", "cosine", False),
               ("image", "wasserstein", "wasserstein", "wasserstein", False), ("text", "cosine", "cosine_text", "cosine_text", False),
               ("text", "mmd_only", "mmd_mean", "t.mmd_mean", True), ("image", "mmd", "mmd_mean", "v.mmd_mean", True)]
 
 
-@query("drift_detector_select", f"WITH x AS (SELECT *, t.mmd_mean AS text_kernel, v.mmd_mean AS vision_kernel FROM {_kernel_row(E.TEXT_GAMMAS)} t, "
+@query("drift_detector_select_rest", f"WITH x AS (SELECT *, t.mmd_mean AS text_kernel, v.mmd_mean AS vision_kernel FROM {_kernel_row(E.TEXT_GAMMAS)} t, "
        f"{_kernel_row(E.VISION_GAMMAS)} v, {_MEANS}, {_FLOW})\n" + "\nUNION ALL ".join(
            f"SELECT '{m}' AS modality, '{d}' AS detector, '{k}' AS metric, round({q.replace('t.mmd_mean', 'text_kernel').replace('v.mmd_mean', 'vision_kernel')}, 6) + 0.0 AS embedding_drift, "
            f"{chr(39) + 'exact' + chr(39) if kernel else 'NULL'}::VARCHAR AS mmd_method FROM x" for m, d, k, q, kernel in _DETECTORS))
-def drift_detector_select(spark, sf):
+def drift_detector_select_rest(spark, sf):
     e = pair(spark, sf)
     out = None
     for modality, name, *_ in _DETECTORS:
