@@ -15,8 +15,8 @@ their union are linked, and a group is what links connect.
   copies costs a star and the few that the star does not reach, and no link between
   components is lost.
 - A pair is compared by set sizes, then by one byte of each minimum (128 x 0.8 matches are
-  expected at the threshold; fewer than 80 would be five standard deviations off), then by the
-  full sets.
+  expected at the threshold; fewer than 75 come with probability 1e-8, so that bands and bytes
+  together miss a pair at the threshold with probability 6e-8), then by the full sets.
 - Components come from alternating large-star and small-star steps.
 
 Only the id and the text are read. A null or empty text, or one without words, has an empty
@@ -38,7 +38,7 @@ from .words import WordNumbers, mixed, odd_numbers, slices
 SIMILAR = 80
 BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
-SKETCH_MATCHES = 80
+SKETCH_MATCHES = 75
 #: Shingles in a block of a bucket that is compared at once.
 BLOCK_SHINGLES = 1 << 20
 

@@ -3,6 +3,7 @@
 import hashlib
 import random
 from collections import Counter, defaultdict
+from math import comb
 
 import numpy as np
 import pytest
@@ -204,3 +205,10 @@ def test_empty_tables(frame, spark):
     for made in (exact.exact_groups(none), exact.drop_copies(none), near.near_groups(none), near.drop_near_copies(none),
                  substrings.remove_repeats(none), suffixes.remove_repeats(none)):
         assert made.count() == 0
+
+
+def test_signature_check_misses_less_than_the_bands():
+    same = near.SIMILAR / 100 + (1 - near.SIMILAR / 100) / 256  # a byte of a minimum may be equal by chance
+    missed = sum(comb(near.HASHES, k) * same**k * (1 - same) ** (near.HASHES - k) for k in range(near.SKETCH_MATCHES))
+    bands = (1 - (near.SIMILAR / 100) ** near.ROWS) ** near.BANDS
+    assert missed < bands and missed + bands < 6.5e-8
