@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact, html_text, licences, mixing, near, quality, secrets, substrings, suffixes
+from . import decontaminate, exact, html_text, licences, mixing, near, prefix_trie, quality, secrets, substrings, suffixes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,38 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (found.select(F.col("id").alias("doc_id"), F.explode("found").alias("f"))
             .select("doc_id", F.col("f.licence").alias("license"), F.round("f.dice", 6).alias("dice"),
                     F.col("f.start").alias("start_word"), F.col("f.end").alias("end_word")))
+
+
+#: CRC-32 of a text of digits, bit by bit.
+CRC_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({text}, ''), lambda c: ascii(c)::BIGINT)),
+ lambda crc, c: list_reduce(list_prepend(xor(crc, c), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]),
+  lambda x, _: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END)), 4294967295::BIGINT)"""
+
+
+def rebuilt(conversations: DataFrame) -> DataFrame:
+    """Conversations that begin like the first of their five: (conv, records) with up to eight turns of it in front."""
+    h = (F.crc32(F.col("conv").cast("string")) % 9).cast("int")
+    first = conversations.where("conv % 5 = 0").select(F.col("conv").alias("first"), F.slice("records", 1, 8).alias("head"))
+    nothing = F.array().cast("array<string>")
+    both = conversations.withColumn("h", h).join(first, F.col("conv") - F.col("conv") % 5 == F.col("first"), "left")
+    return both.select("conv", F.concat(F.slice(F.coalesce("head", nothing), 1, F.col("h")),
+                                        F.slice("records", F.col("h") + 1, F.size("records"))).alias("records"))
+
+
+@query("op11_prefix_trie", f"""WITH o AS MATERIALIZED (SELECT conv_id, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS rec, strlen(coalesce(text, '')) AS bytes,
+ row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS pos
+ FROM conversations WHERE conv_id IS NOT NULL),
+c AS MATERIALIZED (SELECT conv_id, {CRC_SQL.format(text="conv_id::VARCHAR")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM o)),
+t AS (SELECT c.conv_id, o.pos, o.rec, o.bytes FROM c JOIN o ON o.conv_id = c.conv_id - c.conv_id % 5 AND o.pos <= h
+ UNION ALL SELECT c.conv_id, h + o.pos, o.rec, o.bytes FROM c JOIN o ON o.conv_id = c.conv_id AND o.pos > h),
+q AS (SELECT conv_id, row_number() OVER w AS depth, bytes, md5(string_agg(rec, '') OVER w) AS node FROM t WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+ UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+p AS MATERIALIZED (SELECT *, lag(node) OVER d AS parent, lead(node) OVER d IS NULL AS ends FROM q WINDOW d AS (PARTITION BY conv_id ORDER BY depth)),
+n AS MATERIALIZED (SELECT node, depth, any_value(parent) AS parent, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(bytes) AS bytes,
+ string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ids FROM p GROUP BY node, depth),
+k AS MATERIALIZED (SELECT n.*, coalesce(kids, 0) AS kids FROM n LEFT JOIN (SELECT parent, depth - 1 AS depth, count(*) AS kids FROM n GROUP BY ALL) x ON x.parent = n.node AND x.depth = n.depth),
+s AS (SELECT p.node, p.depth, sum((k.kids = 0)::INT) AS n_leaves, sum((k.n_convs - 1) * k.bytes) AS saved FROM k JOIN p ON p.conv_id = k.conv_id AND p.depth <= k.depth GROUP BY ALL)
+SELECT k.conv_id, k.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, k.n_convs, k.kids AS n_children, s.n_leaves::BIGINT AS n_leaves, s.saved::BIGINT AS saved_tokens, sha256(coalesce(k.ids, '')) AS ends_sha256
+FROM k JOIN s ON s.node = k.node AND s.depth = k.depth LEFT JOIN k up ON up.node = k.parent AND up.depth = k.depth - 1""")
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.nodes(rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
