@@ -192,16 +192,16 @@ class _Piece:
             has = self.e_end[lo:hi] >= 0
             end[to[has]] = self.e_end[lo:hi][has]
             is_open = np.zeros(m, bool)
-            if not self.whole:
-                for unit, g in ((last, m - 1), (0, 0)):
-                    if length[unit] >= d:
-                        is_open[g] = True
-                        owner = unit
-                        if unit == last and length[0] >= d and m == 1:
-                            continue
-                        if new_n[g] or new_kids[g] or end[g] >= 0:
-                            self.open[owner].append((d, new_n[g], new_least[g], new_kids[g], new_leaves[g], new_saved[g],
-                                                     self.ends[end[g]] if end[g] >= 0 else None))
+            owners = {}
+            if not self.whole and length[last] >= d:
+                owners[m - 1] = last
+            if not self.whole and length[0] >= d:
+                owners[0] = 0
+            for g, unit in owners.items():
+                is_open[g] = True
+                if new_n[g] or new_kids[g] or end[g] >= 0:
+                    self.open[unit].append((d, new_n[g], new_least[g], new_kids[g], new_leaves[g], new_saved[g],
+                                            self.ends[end[g]] if end[g] >= 0 else None))
             if waiting is not None:
                 yield self._finished(waiting, d, up, new_least, is_open, starts)
             new_leaves = np.where(new_kids == 0, 1, new_leaves)

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from zlib import crc32
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact, html_text, licences, mixing, near, prefix_trie, quality, secrets, substrings, suffixes
+from . import decontaminate, exact, html_text, licences, mixing, near, prefix_trie, quality, runs, secrets, substrings, suffixes, warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -185,3 +186,51 @@ SELECT k.conv_id, k.depth::BIGINT AS depth, up.conv_id AS parent_conv_id, k.n_co
 FROM k JOIN s ON s.node = k.node AND s.depth = k.depth LEFT JOIN k up ON up.node = k.parent AND up.depth = k.depth - 1""")
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.nodes(rebuilt(prefix_trie.sequences(table(spark, sf_dir, "conversations"))))
+
+
+@query("op12_warc_normalise", """WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+g AS (SELECT *, strlen(html)::BIGINT AS payload_bytes, min(page_id) OVER (PARTITION BY html) AS least FROM p)
+SELECT page_id, payload_bytes, sha256(html) AS payload_digest,
+ CASE WHEN payload_bytes >= 100 AND page_id > least THEN 'revisit' ELSE 'response' END AS record_type,
+ CASE WHEN payload_bytes >= 100 AND page_id > least THEN least END AS refers_to FROM g""")
+def op12_warc_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.normalise(warc.write(table(spark, sf_dir, "pages")))
+    return warc.read(index, payloads=False).select(
+        F.col("page_id").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"),
+        F.col("refers_to_page").cast("bigint").alias("refers_to"))
+
+
+def periodic_tail(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of every tenth document, by a hash of its id, with a tail that repeats."""
+    if doc_id is None or not words or (h := crc32(str(doc_id).encode())) % 10:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a:a + p] * ((n - a) // p + 1))[:n - a]
+
+
+@query("op13_periodic_runs", rf"""WITH t AS (SELECT *, len(ws) AS n, {CRC_SQL.format(text="doc_id::VARCHAR")} AS h
+ FROM (SELECT doc_id, {WORDS_SQL.format(text="coalesce(text, '')")} AS ws FROM documents)),
+a AS (SELECT *, (h // 10) % nullif(n, 0) AS a FROM t),
+p AS (SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+w AS MATERIALIZED (SELECT doc_id, n, i, ws[1 + CASE WHEN h % 10 = 0 AND i >= a THEN a + (i - a) % p ELSE i END] AS word FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+k AS MATERIALIZED (SELECT doc_id, n, i, {" || ' ' || ".join(["word"] + [f"lead(word, {i}) OVER d" for i in range(1, 6)])} AS gram FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY i)),
+m AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM k x JOIN k y ON y.doc_id = x.doc_id AND y.gram = x.gram AND y.i > x.i AND 2 * (y.i - x.i) <= x.n),
+r AS MATERIALIZED (SELECT doc_id, q, min(i) AS s, count(*) + 5 + q AS len FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM m)
+ GROUP BY doc_id, q, island HAVING count(*) + 5 + q >= greatest(12, 2 * q)),
+f AS MATERIALIZED (SELECT * FROM r WHERE NOT EXISTS (FROM r x WHERE x.doc_id = r.doc_id AND x.q < r.q AND x.s <= r.s AND x.s + x.len >= r.s + r.len)),
+b AS (SELECT doc_id, count(*) AS n_runs, max(struct_pack(len := len, s := -s, q := -q)) AS best, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM f GROUP BY doc_id),
+c AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS kept FROM w WHERE NOT EXISTS (FROM f WHERE f.doc_id = w.doc_id AND w.i >= f.s + f.q AND w.i < f.s + f.len) GROUP BY doc_id)
+SELECT t.doc_id, coalesce(n_runs, 0) AS n_runs, -best.s AS start, best.len AS length, -best.q AS period, 1000 * best.len // -best.q AS exponent_milli,
+ sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(kept, '')) AS collapsed_sha256 FROM t LEFT JOIN b USING (doc_id) LEFT JOIN c USING (doc_id)""")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=periodic_tail)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return found.withColumn("best", best).select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("bigint").alias("n_runs"), (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"), (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("kept", 256).alias("collapsed_sha256"))
