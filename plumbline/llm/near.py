@@ -41,6 +41,8 @@ HASHES = BANDS * ROWS
 SKETCH_MATCHES = 75
 #: Shingles in a block of a bucket that is compared at once.
 BLOCK_SHINGLES = 1 << 20
+#: A bucket is hot with more than one part in so many of a task's fair share of rows.
+HOT_PARTS = 4
 
 
 def shingles(text: bytes | None, numbers: WordNumbers) -> np.ndarray:
@@ -208,6 +210,21 @@ def _across(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     return blocks.groupBy("grp", "o", "i").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _hot(buckets: DataFrame, rows: int) -> DataFrame:
+    """(bucket): those that hold so large a part of all rows that a task would feel it; there are at most ``HOT_PARTS`` for each task."""
+    tasks = int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return buckets.where(F.col("size") * (HOT_PARTS * tasks) > rows).select("bucket")
+
+
+def _by_bucket(rows: DataFrame, per_bucket: DataFrame, hot: DataFrame) -> DataFrame:
+    """Join on the bucket; rows of hot buckets stay where they are, so none of these is one task's work."""
+    known = F.broadcast(hot.withColumn("is_hot", F.lit(True)))
+    told = rows.join(known, "bucket", "left")
+    large = per_bucket.join(known, "bucket", "left_semi")
+    return told.where("is_hot IS NULL").drop("is_hot").join(per_bucket, "bucket").unionByName(
+        told.where("is_hot").drop("is_hot").join(F.broadcast(large), "bucket"))
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n, digest, component): set size and the smallest id of the row's group, one row per row of the input."""
     signed = written(signatures(docs, id_col, text_col), "signatures")
@@ -215,11 +232,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.min("id").alias("least"), F.max("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
         .withColumn("cls", F.monotonically_increasing_id()), "classes")
     members = classes.select("cls", F.explode("bands").alias("bucket"))
-    shared = members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
-    met = written(members.join(shared, "bucket"), "met")
-    meets = met.groupBy("cls").agg(F.sum("size").alias("meets"))
-    pivots = met.join(meets, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("meets", -F.col("cls"))).alias("pivot"))
-    buckets = written(met.join(pivots, "bucket").select("bucket", "cls", "pivot"), "buckets")
+    shared = written(members.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"), "shared")
+    hot = written(_hot(shared, shared.agg(F.sum("size")).first()[0] or 0), "hot")
+    met = written(_by_bucket(members, shared, hot), "met")
+    meets = written(met.groupBy("cls").agg(F.sum("size").alias("meets")), "meets")
+    pivots = written(met.join(meets, "cls").groupBy("bucket").agg(F.max_by("cls", F.struct("meets", -F.col("cls"))).alias("pivot")), "pivots")
+    buckets = written(_by_bucket(met.select("bucket", "cls"), pivots, hot), "buckets")
+    discard(met, shared, pivots)
     sets = _sets(docs, id_col, text_col, classes.join(meets, "cls").select("cls", "digest", "least"))
 
     pairs = buckets.where("cls <> pivot").select(F.least("pivot", "cls").alias("a"), F.greatest("pivot", "cls").alias("b")).distinct()
@@ -228,14 +247,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = buckets.join(roots, buckets["cls"] == roots["node"], "left").select("bucket", "cls", "pivot", F.coalesce("root", "cls").alias("comp"))
     # the pivot of a bucket has met all its members
-    left = placed.where("cls <> pivot")
+    left = written(placed.where("cls <> pivot").select("bucket", "cls", "comp"), "left")
     sizes = left.groupBy("bucket", "comp").agg(F.count("*").alias("size"))
-    spread = (sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1"))
-    open_ = written(left.join(spread, "bucket").select("bucket", "cls", "comp", "main"), "open")
+    spread = (sizes.groupBy("bucket").agg(F.max(F.struct("size", "comp"))["comp"].alias("main"), F.count("*").alias("comps")).where("comps > 1")
+              .select("bucket", "main"))
+    open_ = written(_by_bucket(left, spread, hot), "open")
     if not open_.isEmpty():
         more = written(_similar(_across(open_, classes, sets), classes, sets), "links")
         roots = components(links.unionByName(more).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return _placed_rows(signed, classes, roots)
+        discard(more)
+    groups = written(_placed_rows(signed, classes, roots), "groups")
+    discard(signed, classes, hot, meets, buckets, sets, links, left, open_)
+    return groups
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -259,18 +282,26 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> Dat
 def _placed_rows(signed: DataFrame, classes: DataFrame, roots: DataFrame) -> DataFrame:
     rooted = classes.join(roots, classes["cls"] == roots["node"], "left").select("digest", "least", F.coalesce("root", "cls").alias("root"))
     lowest = rooted.groupBy("root").agg(F.min("least").alias("component"))
-    by_digest = rooted.join(lowest, "root").select("digest", "component")
-    return signed.select("id", "n", "digest").join(by_digest, "digest", "left").select(
-        "id", "n", "digest", F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component"))
+    by_digest = rooted.join(lowest, "root").select(F.col("digest").alias("of"), "component")
+    # rows without words share a digest that no class has; they stay out of the join
+    placed = signed.where("n > 0").join(by_digest, F.col("digest") == F.col("of")).select("id", "n", "digest", "component")
+    return placed.unionByName(signed.where("n = 0").select("id", "n", "digest", F.col("id").alias("component")))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows that stay, with all their columns: those with the smallest id of their group.
 
-    Rows that share this id stay together, unless their texts are equal.
+    Rows that share this id stay together, unless their texts are equal: of these any one
+    stays, whatever its other columns hold.
     """
-    stay = near_groups(docs, id_col, text_col).where("id <=> component").groupBy("id").agg(F.count("*").alias("copies"))
-    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("row_id"), F.col(f"`{text_col}`").alias("row_text"))
-    kept = rows.join(stay, F.col("row_id").eqNullSafe(F.col("id")))
-    several = kept.where("copies > 1").withColumn("row_text", F.sha2("row_text", 256)).dropDuplicates(["row_id", "row_text"])
-    return kept.where("copies = 1").select("row.*").unionByName(several.select("row.*"))
+    groups = near_groups(docs, id_col, text_col)
+    stay = written(groups.where("id <=> component").groupBy("id").agg(F.count("*").alias("copies")), "stay")
+    discard(groups)
+    rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("row_id"))
+    same = F.col("row_id").eqNullSafe(F.col("id"))
+    kept = rows.join(stay.where("copies = 1"), same, "left_semi").select("row")
+    several = stay.where("copies > 1")
+    if not several.isEmpty():
+        again = rows.withColumn("sha", F.sha2(F.col(f"row.`{text_col}`"), 256)).join(several, same, "left_semi").dropDuplicates(["row_id", "sha"])
+        kept = kept.unionByName(again.select("row"))
+    return kept.select("row.*")
