@@ -28,14 +28,20 @@ def test_loads_without_jvm_or_jars(tmp_path):
 
 
 def test_workers_need_no_package(tmp_path):
+    """The driver alone can import the package: the workers start in another folder, without its path."""
     done = run(f"""
         import sys
         sys.path.insert(0, {REPO!r})
         import __spark_entry__ as e
         from pyspark.sql import SparkSession
-        spark = (SparkSession.builder.master("local-cluster[1,2,1200]").config("spark.ui.enabled", "false")
+        spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
                  .config("spark.sql.shuffle.partitions", "4").config("spark.sql.warehouse.dir", {str(tmp_path)!r} + "/warehouse")
-                 .config("spark.checkpoint.dir", {str(tmp_path)!r} + "/shared").config("spark.executor.memory", "1g").getOrCreate())
+                 .config("spark.checkpoint.dir", {str(tmp_path)!r} + "/shared").config("spark.driver.memory", "1g").getOrCreate())
+        def importable(batches):
+            import importlib.util
+            for b in batches:
+                yield b.assign(id=int(importlib.util.find_spec("plumbline") is not None))
+        assert [r.id for r in spark.range(1).mapInPandas(importable, "id bigint").collect()] == [0]
         assert e.queries()["ts_adf"](spark, "/root/testdata/sf0.001").count() > 0
         """, tmp_path, PYSPARK_PYTHON=sys.executable)
     assert done.returncode == 0, done.stderr[-3000:]
