@@ -9,7 +9,7 @@ from .decisions import MANIFEST_SQL, REPORTS, event_envelopes, reports
 from ..plans.frames import r
 from ..plans.scratch import scratch_path
 from ..sources.envelopes import read_envelope_stream
-from ..streaming import jobs
+from ..streaming import jobs, silence
 
 STEPS = ["2024-01-08", "2024-01-16", "2024-01-24"]
 
@@ -115,13 +115,26 @@ def stream_drift_monitor(spark, sf):
     return t.select("batch", "n_rows", r("overall_score").alias("overall_score"), "status").orderBy("batch")
 
 
-@query("stream_heartbeat", """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 24 HOURS THEN 0 ELSE 1 END AS new FROM events
+_SILENT = """WITH s AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 24 HOURS THEN 0 ELSE 1 END AS new FROM events
  WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM s)
 SELECT user_id AS agent_id, max(ts) AS last_seen, count(*) AS n_messages FROM g GROUP BY user_id, k
-HAVING max(ts) + INTERVAL 25 HOURS <= (SELECT max(ts) FROM events)""")
+HAVING max(ts) + INTERVAL 25 HOURS <= (SELECT max(ts) FROM events)"""
+
+
+@query("stream_heartbeat", _SILENT)
 def stream_heartbeat(spark, sf):
     path = scratch_path(spark, "heartbeat")
     stepwise(report_rows(spark, sf).select("agent_id", "created_at"), "created_at", f"{path}/in",
              lambda stream: jobs.heartbeat_stream(stream, f"{path}/out", f"{path}/checkpoint", "24 hours"))
     alarms = spark.read.parquet(f"{path}/out/rows")
     return alarms.select("agent_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n_messages")
+
+
+@query("stream_heartbeat_timer", _SILENT)
+def stream_heartbeat_timer(spark, sf):
+    """Each agent's own timer, with the watermark as its clock."""
+    path = scratch_path(spark, "silence")
+    stepwise(report_rows(spark, sf).select("agent_id", "created_at"), "created_at", f"{path}/in",
+             lambda stream: silence.silence_stream(stream, f"{path}/out", f"{path}/checkpoint", "24 hours", "1 hour"))
+    told = jobs.read_batches(spark, f"{path}/out/rows", "agent_id bigint, kind string, last_seen timestamp, n_messages bigint")
+    return told.where("kind = 'silent'").select("agent_id", F.col("last_seen").cast("timestamp_ntz").alias("last_seen"), "n_messages")

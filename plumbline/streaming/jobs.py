@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions.scalar import status_label
 from ..operators import decisions as D
@@ -17,19 +17,46 @@ from ..plans.binning import bin_index, histogram
 from ..plans.frames import micros, one_row, to_long, with_scalars
 
 
-def run_available(writer, checkpoint: str, once: bool = True):
-    """Start a stream; ``once`` takes what is there and stops, else it goes on."""
+#: Sessions are merged before the shuffle, so that a busy key does not send all its rows to one task.
+MERGE_SESSIONS = {"spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true"}
+
+
+def run_available(writer, checkpoint: str, once: bool = True, every: str | None = None, spark: SparkSession | None = None,
+                  settings: dict[str, str] | None = None):
+    """Start a stream; ``once`` takes what is there and stops, else it goes on, with batches ``every`` so often.
+
+    A stream keeps the settings of the session it starts in; ``settings`` hold for this start only.
+    """
     writer = writer.option("checkpointLocation", checkpoint)
-    query = (writer.trigger(availableNow=True) if once else writer).start()
+    if once:
+        writer = writer.trigger(availableNow=True)
+    elif every:
+        writer = writer.trigger(processingTime=every)
+    before = {k: spark.conf.get(k, None) for k in settings} if settings else {}
+    for k, v in (settings or {}).items():
+        spark.conf.set(k, v)
+    try:
+        query = writer.start()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if once:
         query.awaitTermination()
     return query
 
 
-def _write(df: DataFrame, path: str, batch_id: int) -> None:
+def write_batch(df: DataFrame, path: str, batch_id: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
 
+_write = write_batch
+
+
+def read_batches(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The rows of all batches; none if no batch has written yet."""
+    return spark.read.schema(schema).parquet(path) if _exists(spark, path) else spark.createDataFrame([], schema)
+
+
 def _exists(spark, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
@@ -145,12 +172,7 @@ def sliding_counts(hourly: DataFrame, hours: int = 48) -> DataFrame:
 
 
 def agent_sessions(reports: DataFrame, gap: str = "6 hours", delay: str = "1 hour") -> DataFrame:
-    """Sessions of each agent, ended by a gap without reports.
-
-    Sessions are merged before the shuffle, so that a busy agent does not send all its
-    reports to one task.
-    """
-    reports.sparkSession.conf.set("spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true")
+    """Sessions of each agent, ended by a gap without reports. To be started with ``MERGE_SESSIONS``, as ``table_stream`` does."""
     return (reports.withWatermark("created_at", delay)
             .groupBy("agent_id", F.session_window("created_at", gap).alias("w"))
             .agg(F.count("*").alias("n"), F.max("created_at").alias("last_seen"))
@@ -167,7 +189,7 @@ def table_stream(df: DataFrame, path: str, checkpoint: str, once: bool = True,
             _write(derive(batch), f"{path}/{name}", batch_id)
         batch.unpersist()
 
-    return run_available(df.writeStream.outputMode("append").foreachBatch(each), checkpoint, once)
+    return run_available(df.writeStream.outputMode("append").foreachBatch(each), checkpoint, once, None, df.sparkSession, MERGE_SESSIONS)
 
 
 def heartbeat_stream(messages: DataFrame, path: str, checkpoint: str, silent: str = "24 hours", delay: str = "1 hour",
