@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.datasource import DataSource
 
 from ..functions import text as T
 from ..sources.tables import NoAdapter, read_uri
@@ -41,6 +42,16 @@ class Registry:
     def register_source(self, scheme: str, reader: Callable[..., DataFrame]) -> None:
         self.sources.setdefault(scheme, reader)
 
+    def register_format(self, spark: SparkSession, source: type[DataSource]) -> None:
+        """A format of Spark's own: ``spark.read.format(name)``, streams and writers as far as the source has them.
+
+        URIs whose scheme is the format's name are read by it, ``write`` with that target appends.
+        """
+        name = source.name()
+        spark.dataSource.register(source)
+        self.register_source(name, lambda s, uri, **o: s.read.format(name).options(**o).load(uri.partition("://")[2]))
+        self.register_sink(name, lambda df, where: df.write.format(name).mode("append").save(where))
+
     def register_sink(self, target: str, writer: Callable[[DataFrame, str], None]) -> None:
         self.sinks.setdefault(target, writer)
 

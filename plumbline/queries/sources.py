@@ -8,8 +8,9 @@ from . import query, table
 from ..operators import manifest, profile
 from ..plans.frames import r
 from ..plans.scratch import scratch_path
-from ..sources import annotations, tables
+from ..sources import annotations, arrow_files, tables
 from ..sources.cache import AnalysisCache
+from ..streaming import jobs
 
 
 @query("src_csv", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
@@ -223,3 +224,47 @@ def register_sink(spark, sf):
     a = spark.read.parquet(f"{path}/files").withColumn("sink", F.lit("files"))
     b = spark.read.schema("folder string, n bigint, size bigint").json(f"{path}/lines").withColumn("sink", F.lit("lines"))
     return a.unionByName(b)
+
+
+@query("register_source_format", """SELECT l_orderkey, l_linenumber, l_quantity, l_returnflag, l_shipdate FROM lineitem
+ WHERE l_returnflag = 'R' AND l_linenumber IN (1, 3) AND l_shipdate >= TIMESTAMP '1995-01-01' AND l_orderkey % 7 < 3 AND l_quantity > 10""")
+def register_source_format(spark, sf):
+    """Rows of a format that Spark has no reader for, read in many tasks with what can be filtered there filtered there."""
+    path = scratch_path(spark, "arrow")
+    arrow_files.register(spark)
+    li = table(spark, sf, "lineitem")
+    li.write.format(arrow_files.NAME).mode("append").save(path)
+    columns = ["l_orderkey", "l_linenumber", "l_quantity", "l_returnflag", "l_shipdate"]
+    return arrow_files.scan(spark, path, """l_returnflag = 'R' AND l_linenumber IN (1, 3) AND l_shipdate >= TIMESTAMP_NTZ '1995-01-01'
+        AND l_orderkey % 7 < 3 AND l_quantity > 10""", columns)
+
+
+@query("register_sink_format", """SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders
+ WHERE o_orderstatus <> 'P' OR o_orderkey % 2 = 0""")
+def register_sink_format(spark, sf):
+    """Commits that add and one that replaces, through names of a registry."""
+    from ..operators import registry
+    reg = registry.Registry()
+    reg.register_format(spark, arrow_files.ArrowFiles)
+    path = scratch_path(spark, "arrow")
+    rows = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")
+    reg.write(arrow_files.NAME, rows.where("o_orderkey % 3 = 0"), path)
+    rows.where("o_orderstatus = 'O'").write.format(arrow_files.NAME).mode("overwrite").save(path)
+    reg.write(arrow_files.NAME, rows.where("o_orderstatus = 'F'"), path)
+    reg.write(arrow_files.NAME, rows.where("o_orderstatus = 'P' AND o_orderkey % 2 = 0"), path)
+    return reg.read(spark, f"{arrow_files.NAME}://{path}")
+
+
+@query("stream_source_format", """SELECT event_id, user_id, event_type, value FROM events WHERE event_type <> 'none'""")
+def stream_source_format(spark, sf):
+    """Rows that arrive in commits, streamed commit by commit into another table; a restart goes on where it stopped."""
+    arrow_files.register(spark)
+    path = scratch_path(spark, "arrow")
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value")
+    for step in range(3):
+        events.where(F.col("event_id") % 3 == step).write.format(arrow_files.NAME).mode("append").save(f"{path}/in")
+        if step != 1:   # two commits lie there at the second start
+            stream = spark.readStream.format(arrow_files.NAME).load(f"{path}/in")
+            jobs.run_available(stream.where("event_type <> 'none'").writeStream.format(arrow_files.NAME).outputMode("append")
+                               .option("path", f"{path}/out").option("writer", "copy"), f"{path}/checkpoint")
+    return spark.read.format(arrow_files.NAME).load(f"{path}/out")
