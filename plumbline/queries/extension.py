@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from . import query, table
 from .drift import PAIR_LONG, line_pair, pair_long
 from .profiles import SUMMARY_OF_LONG
-from .sqlparts import LINE_LONG, psi_ctes, text_attributes, unpivot
+from .sqlparts import LINE_COLUMNS, LINE_LONG, psi_ctes, text_attributes, unpivot
+from ..functions import tables as functions
 from ..functions.text import ATTRIBUTES, with_text_attributes
 from ..operators import drift, profile
 from ..operators.fusion import UnsupportedDetector
@@ -79,3 +80,25 @@ def psi_udaf(spark, sf):
     s = spark.sql("""SELECT attr, psi_of_shares(p, q) AS score, drift_status(psi_of_shares(p, q)) AS status,
                      entropy_of_counts(b) AS base_entropy FROM plumbline_shares""")
     return s.select("attr", r("score").alias("score"), "status", r("base_entropy").alias("base_entropy"))
+
+
+_TABLE_PSI = f"""rows AS (SELECT *, l_shipdate >= TIMESTAMP '1995-06-17' AS late FROM lineitem),
+lng AS (SELECT l_linestatus, l_linenumber, late, attr, value::DOUBLE AS value FROM
+ (SELECT l_linestatus, l_linenumber, late, {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in LINE_COLUMNS)} FROM rows) UNPIVOT (value FOR attr IN ({', '.join(LINE_COLUMNS)}))),
+rg AS (SELECT l_linestatus, l_linenumber, attr, min(value) AS lo, max(value) AS hi, count(*) FILTER (NOT late) AS nb, count(*) FILTER (late) AS nt FROM lng GROUP BY ALL),
+ct AS (SELECT l_linestatus, l_linenumber, attr, CASE WHEN hi = lo THEN 0 ELSE least(floor((value - lo) / (hi - lo) * 10), 9) END AS bin,
+ count(*) FILTER (NOT late) AS b, count(*) FILTER (late) AS t FROM lng JOIN rg USING (l_linestatus, l_linenumber, attr) GROUP BY ALL),
+gd AS (SELECT rg.*, g.bin, coalesce(b, 0) AS b, coalesce(t, 0) AS t FROM rg CROSS JOIN (SELECT unnest(range(10)) AS bin) g
+ LEFT JOIN ct ON ct.l_linestatus = rg.l_linestatus AND ct.l_linenumber = rg.l_linenumber AND ct.attr = rg.attr AND ct.bin = g.bin)"""
+
+
+@query("psi_table_function", f"""WITH {_TABLE_PSI} SELECT l_linestatus, l_linenumber, attr, any_value(nb) AS n_base, any_value(nt) AS n_target,
+ CASE WHEN any_value(nb) = 0 OR any_value(nt) = 0 THEN 0.0 ELSE round(abs(sum(((t + 1) / (nt + 10) - (b + 1) / (nb + 10)) * ln(((t + 1) / (nt + 10)) / ((b + 1) / (nb + 10))))), 6) + 0.0 END AS score
+FROM gd GROUP BY l_linestatus, l_linenumber, attr""")
+def psi_table_function(spark, sf):
+    """Lines before and after a day, by status and line number, with table functions from SQL."""
+    functions.register(spark)
+    table(spark, sf, "lineitem").createOrReplaceTempView("plumbline_lines")
+    late = "CASE WHEN l_shipdate >= TIMESTAMP_NTZ '1995-06-17' THEN 'target' ELSE 'base' END"
+    out = functions.psi(spark, "plumbline_lines", late, LINE_COLUMNS, by=["l_linestatus", "l_linenumber"])
+    return out.withColumn("score", r("score"))
