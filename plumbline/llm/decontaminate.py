@@ -7,15 +7,19 @@ that start every 50 and at its end. Such a passage of m characters may differ by
 Every run of ``RUN`` characters of an item holds a whole piece, so a copy of it that differs by at
 most 12 edits, the k of a piece, is found wherever the run lies and however long the item is.
 
-1. Lemma: a text within k edits of a passage shares at least m + 1 - q - kq of its q-grams, on
-   diagonals that differ by at most k. The shared q-grams are counted in bands of 2(k + 1)
-   diagonals, each overlapping the next by half, so that some band holds them all.
-2. Bands that reach the count are kept, and the text around them is aligned with the passage
-   within the band; at most k edits are a hit. Pieces are aligned only where neither a half nor the
-   whole of the item is found in the text.
+1. Lemma: a text within k edits of a passage holds at least m + 1 - q - kq places whose q-gram the
+   passage has as well, on diagonals that differ by at most k. Such places are counted in bands of
+   2(k + 1) diagonals, each overlapping the next by half, so that some band holds them all.
+2. Bands that reach the count are kept, neighbours among them as one region, and the text around a
+   region is aligned with the passage, in blocks that overlap by more than a passage; at most k edits
+   are a hit. Pieces are aligned only where neither a half nor the whole of the item is found in the text.
 
 The grams are stored once per item: a gram in the text counts for all passages that hold its place
 in the item, if the text has as many grams of the item as its least demanding passage asks for.
+Places of one gram that lie so close in an item that their diagonals fill adjoining bands are
+stored as one run, and a place of the text counts once in all bands of the run, as two changes of a
+count that are added up later. So zeros, dotted lines and repeated words cost no more than the
+runs they make. Pairs of places and runs are worked through ``PAIRS`` at a time.
 
 Items of fewer than ``SHORT`` characters carry too little to be found inside a text: they match
 only a text that is nothing else. Empty items and null or empty texts match nothing.
@@ -41,6 +45,8 @@ WHOLE, SHORT = 160, 24
 RUN, LENGTH, STEP = 200, 150, 50
 INDEX_CHARS = 8 << 20
 PIECE = 2 << 20
+#: Pairs of a place and a run or a passage that are expanded at once, and characters that are aligned at once.
+PAIRS, BLOCK = 1 << 17, 1 << 17
 SPACE, BORDER = 32, 1
 
 
@@ -128,26 +134,50 @@ def build_index(texts: list[str]) -> SimpleNamespace:
     starts = np.cumsum([0, *[len(p) for p in items]])
     place = np.concatenate([np.zeros(0, np.int64), *[s + np.arange(len(h)) for s, h in zip(starts, hashed)]])
     order = np.argsort(grams, kind="stable")
-    unique, first, count = np.unique(grams[order], return_index=True, return_counts=True)
+    grams, place = grams[order], place[order]
+    # runs of a gram's places in an item whose diagonals fill adjoining bands of each of its passages
+    close = np.full(len(items), at + 1, np.int64)
+    np.minimum.at(close, owner, edits + 1)
+    own = np.searchsorted(starts, place, "right") - 1
+    new = np.ones(len(place), bool)
+    new[1:] = (grams[1:] != grams[:-1]) | (own[1:] != own[:-1]) | (np.diff(place) > close[own[1:]])
+    head = np.flatnonzero(new)
+    tail = np.append(head[1:], len(place)) - 1 if len(head) else head
+    unique, first, count = np.unique(grams[head], return_index=True, return_counts=True)
     known = np.zeros(1 << 20, bool)
     known[(unique >> np.uint64(44)).astype(np.int64)] = True
-    return SimpleNamespace(passages=passages, item=np.array(item, np.int64), owner=owner, piece=piece, begin=begin, end=begin + sizes, edits=edits, least=least, asked=asked,
-                           layers=[np.flatnonzero(~piece), np.flatnonzero(piece)], starts=starts, grams=unique, first=first, count=count, place=place[order],
-                           known=known, short=short)
+    index = SimpleNamespace(passages=passages, item=np.array(item, np.int64), owner=owner, piece=piece, begin=begin, end=begin + sizes, edits=edits, least=least, asked=asked,
+                           layers=[np.flatnonzero(~piece), np.flatnonzero(piece)], grams=unique, first=first, count=count, low=place[head], high=place[tail],
+                           run_item=own[head], known=known, short=short)
+    # what a place of the text with a gram expands to: its runs and their passages
+    runs = np.arange(len(head))
+    index.work = np.add.reduceat(1 + sum(_held(runs, layer, index)[1] for layer in index.layers), first) if len(first) else first
+    return index
 
 
-def holding(place: np.ndarray, index: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
-    """(number in ``place``, passage) for every passage that holds the q-gram that starts at a place of the items."""
+def _held(run: np.ndarray, layer: np.ndarray, index: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
+    """First passage of a layer that holds a q-gram of each run, and how many do; passages of a layer begin and end in the same order."""
+    first = np.searchsorted(index.end[layer], index.low[run] + Q, "left")
+    return first, np.maximum(np.searchsorted(index.begin[layer], index.high[run], "right") - first, 0)
+
+
+def holding(run: np.ndarray, index: SimpleNamespace) -> tuple[np.ndarray, np.ndarray]:
+    """(number in ``run``, passage) for every passage that holds a q-gram of a run."""
     out = []
     for layer in index.layers:
-        begin = index.begin[layer]
-        last = np.searchsorted(begin, place, "right") - 1
-        # no q-gram lies in more than three halves, or in more than four pieces
-        for back in range(4 if len(layer) else 0):
-            passage = layer[np.maximum(last - back, 0)]
-            held = np.flatnonzero((last >= back) & (place + Q <= index.end[passage]))
-            out.append((held, passage[held]))
-    return tuple(np.concatenate([np.zeros(0, np.int64), *part]) for part in zip(*out)) if out else (np.zeros(0, np.int64),) * 2
+        first, many = _held(run, layer, index)
+        held = np.repeat(np.arange(len(run)), many)
+        out.append((held, layer[np.repeat(first - np.cumsum(many) + many, many) + np.arange(len(held))] if len(held) else held))
+    return tuple(np.concatenate(part) for part in zip(*out))
+
+
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and the sums of their values."""
+    keys, values = (np.concatenate([np.zeros(0, np.int64), *column]) for column in (zip(*parts) if parts else ((), ())))
+    unique, which = np.unique(keys, return_inverse=True)
+    sums = np.zeros(len(unique), np.int64)
+    np.add.at(sums, which, values)
+    return unique, sums
 
 
 def aligned(passage: np.ndarray, text: np.ndarray, edits: int) -> tuple[int, int] | None:
@@ -174,54 +204,80 @@ def _hits(texts: list[str], index: SimpleNamespace, table: np.ndarray) -> list[t
         own = slice(starts[t] + 1, starts[t] + 1 + sizes[t])
         for i in index.short.get(codes[own].tobytes(), []):
             best[int(t), i] = (0, int(origin[own][0]), int(origin[own][-1]) + 1)
-    hashed = gram_hashes(codes)
-    at = np.flatnonzero(index.known[(hashed >> np.uint64(44)).astype(np.int64)])
-    if len(at) and len(index.grams):
-        which = np.minimum(np.searchsorted(index.grams, hashed[at]), len(index.grams) - 1)
-        same = index.grams[which] == hashed[at]
-        at, which = at[same], which[same]
-        times = index.count[which]
-        entry = np.repeat(index.first[which] - np.cumsum(times) + times, times) + np.arange(times.sum())
-        at, place = np.repeat(at, times), index.place[entry]
-        # only texts with as many q-grams of an item as some passage of it must share
-        own = np.searchsorted(index.starts, place, "right") - 1
-        _, pair, shared = np.unique(own << 32 | (np.searchsorted(starts, at, "right") - 1), return_inverse=True, return_counts=True)
-        enough = shared[pair] >= index.asked[own]
-        at, place = at[enough], place[enough]
-        held, passage = holding(place, index)
-        diagonal = at[held] - (place[held] - index.begin[passage])
-        wide = index.edits[passage] + 1
-        band = diagonal // wide
-        # each diagonal lies in two overlapping bands
-        pairs = np.concatenate([passage, passage]), np.concatenate([band, band - 1])
-        key = pairs[0].astype(np.int64) << 40 | (pairs[1] + (1 << 30))
-        found, shared = np.unique(key, return_counts=True)
-        p = found >> 40
-        enough = shared >= index.least[p]
-        p, b = p[enough], (found[enough] & ((1 << 40) - 1)) - (1 << 30)
-        order = np.argsort(index.piece[p], kind="stable")
-        wide_found = None
-        for p, b in zip(p[order].tolist(), b[order].tolist()):
-            if index.piece[p] and wide_found is None:
-                wide_found = set(best)
-            wanted, k = index.passages[p], int(index.edits[p])
-            low, high = b * (k + 1) - k, (b + 2) * (k + 1) + len(wanted) + k
-            middle = min(max((low + high) // 2, 0), len(codes) - 1)
-            # the texts that the region touches, as a rule one
-            for t in range(max(int(np.searchsorted(starts, max(low, 0), "right")) - 1, 0), int(np.searchsorted(starts, max(high, middle), "left"))):
-                a, z = max(low, int(starts[t]) + 1), min(high, int(starts[t]) + 1 + int(sizes[t]))
-                slot = (t, int(index.item[index.owner[p]]))
-                if z - a < len(wanted) - k or (wide_found and slot in wide_found):
-                    continue
-                hit = aligned(wanted, codes[a:z], k)
+    wide_found = None
+    for p, first, last in sorted(_bands(codes, starts, index), key=lambda band: bool(index.piece[band[0]])):
+        if index.piece[p] and wide_found is None:
+            wide_found = set(best)
+        wanted, k = index.passages[p], int(index.edits[p])
+        low, high = first * (k + 1) - k, (last + 2) * (k + 1) + len(wanted) + k
+        middle = min(max((low + high) // 2, 0), len(codes) - 1)
+        # the texts that the region touches, as a rule one
+        for t in range(max(int(np.searchsorted(starts, max(low, 0), "right")) - 1, 0), int(np.searchsorted(starts, max(high, middle), "left"))):
+            a, z = max(low, int(starts[t]) + 1), min(high, int(starts[t]) + 1 + int(sizes[t]))
+            slot = (t, int(index.item[index.owner[p]]))
+            if wide_found and slot in wide_found:
+                continue
+            for block in range(a, max(z - len(wanted) - k, a) + 1, BLOCK):
+                stop = min(z, block + BLOCK + 2 * (len(wanted) + k))
+                # nothing further on is better than a hit without edits
+                if stop - block < len(wanted) - k or (slot in best and best[slot][0] == 0 and best[slot][1] <= origin[block]):
+                    break
+                hit = aligned(wanted, codes[block:stop], k)
                 if hit:
-                    end = a + hit[1]
+                    end = block + hit[1]
                     begin = max(a, end - len(wanted))
                     new = (hit[0], int(origin[begin]), int(origin[end - 1]) + 1)
                     best[slot] = min(best.get(slot, new), new)
     return [(t, i, *v) for (t, i), v in sorted(best.items())]
 
 
+def _bands(codes: np.ndarray, starts: np.ndarray, index: SimpleNamespace) -> list[tuple[int, int, int]]:
+    """(passage, first, last): the bands next to each other in which enough places of the texts share a q-gram with the passage."""
+    hashed = gram_hashes(codes)
+    at = np.flatnonzero(index.known[(hashed >> np.uint64(44)).astype(np.int64)])
+    if not len(at) or not len(index.grams):
+        return []
+    which = np.minimum(np.searchsorted(index.grams, hashed[at]), len(index.grams) - 1)
+    same = index.grams[which] == hashed[at]
+    at, which = at[same], which[same]
+    text = np.searchsorted(starts, at, "right") - 1
+    ends = np.cumsum(index.work[which])
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(PAIRS, int(ends[-1]) if len(ends) else 0, PAIRS)), [0, len(at)]))
+
+    def pairs():
+        """(place, text, run), a bounded number at a time."""
+        for lo, hi in zip(cuts[:-1], cuts[1:]):
+            times = index.count[which[lo:hi]]
+            mine = np.repeat(np.arange(lo, hi), times)
+            yield at[mine], text[mine], np.repeat(index.first[which[lo:hi]] - np.cumsum(times) + times, times) + np.arange(len(mine))
+
+    # only texts with as many q-grams of an item as some passage of it must share
+    shared = added([np.unique(index.run_item[run] << 32 | t, return_counts=True) for _, t, run in pairs()])
+    kept = shared[0][shared[1] >= index.asked[shared[0] >> 32]]
+    changes = []
+    for a, t, run in pairs() if len(kept) else ():
+        key = index.run_item[run] << 32 | t
+        good = kept[np.minimum(np.searchsorted(kept, key), len(kept) - 1)] == key
+        a, run = a[good], run[good]
+        held, passage = holding(run, index)
+        a, run, wide = a[held], run[held], index.edits[passage] + 1
+        # each diagonal lies in two overlapping bands; a run's diagonals fill all between its first and its last
+        nearest = np.maximum(index.low[run], index.begin[passage]) - index.begin[passage]
+        furthest = np.minimum(index.high[run], index.end[passage] - Q) - index.begin[passage]
+        begins, stops = (a - furthest) // wide - 1, (a - nearest) // wide + 1
+        key = np.concatenate([passage, passage]) << 40 | (np.concatenate([begins, stops]) + (1 << 30))
+        changes.append(added([(key, np.repeat(np.array([1, -1]), len(passage)))]))
+        if len(changes) > 64:
+            changes = [added(changes)]
+    key, change = added(changes)
+    passage, band = key >> 40, (key & ((1 << 40) - 1)) - (1 << 30)
+    # the changes of a passage add up to nothing
+    enough = np.cumsum(change) >= index.least[passage]
+    first = np.flatnonzero(enough & ~np.concatenate([[False], enough[:-1]]))
+    last = np.flatnonzero(enough & ~np.concatenate([enough[1:], [False]]))
+    return [(int(passage[f]), int(band[f]), int(band[n + 1]) - 1) for f, n in zip(first, last)]
+
+
 def _parts(benchmark: DataFrame, item_col: str, text_col: str) -> Iterator[tuple[list, list[str]]]:
     """Ids and texts of the benchmark, in parts of bounded size."""
     items = benchmark.select(F.col(f"`{item_col}`").alias("item"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))

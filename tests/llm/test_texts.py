@@ -419,3 +419,49 @@ def test_empty_mix(spark):
     assert mixing.mix(none).count() == 0 and mixing.in_training_order(none).count() == 0
     blank = spark.createDataFrame([(1, "", "a"), (2, None, None)], none.schema)
     assert {(r.id, r.size, r.target) for r in mixing.mix(blank).collect()} == {(1, 0, 0.0), (2, 0, 0.0)}
+
+
+@pytest.mark.parametrize("text, item", [("0" * 500_000, "0" * 250), ("a b " * 30_000, "a b " * 250), ("1 2 3 4 5 6 7 8 9 0 " * 4000, "1 2 3 4 5 6 7 8 9 0 " * 30),
+                                        ("the quick brown fox jumps over it again " * 3000, "the quick brown fox jumqs over it agaim " * 20)])
+def test_repetitive_texts_against_repetitive_items(text, item):
+    """Memory is bounded by the text, whatever repeats."""
+    import tracemalloc
+    index, table = decontaminate.build_index([item]), decontaminate.letters()
+    tracemalloc.start()
+    hits = decontaminate._hits([text], index, table)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(hits) == 1 and hits[0][:2] == (0, 0) and hits[0][3] <= 1
+    assert peak < 150 << 20
+
+
+def test_runs_of_a_gram_and_single_places(monkeypatch):
+    """Bands from runs and small blocks find what edit distances over all places find."""
+    draw = random.Random(8)
+    monkeypatch.setattr(decontaminate, "PAIRS", 50)
+    monkeypatch.setattr(decontaminate, "BLOCK", 64)
+    table = decontaminate.letters()
+    for _ in range(120):
+        unit = "".join(draw.choice("ab 1") for _ in range(draw.randint(1, 9)))
+        item = (unit * 200)[:draw.randint(40, 150)]
+        if draw.random() < 0.5:
+            item += "".join(draw.choice("abcdefg ") for _ in range(draw.randint(0, 9)))
+        item = " ".join(item.split()).lower()
+        if len(item) < decontaminate.SHORT:
+            continue
+        inside = list(item)
+        for _ in range(draw.randint(0, 14)):
+            inside[draw.randrange(len(inside))] = draw.choice("abxyz")
+        text = "zq " * draw.randint(0, 40) + "".join(inside) + " kw" * draw.randint(0, 40)
+        text = " ".join(text.split())
+        index = decontaminate.build_index([item])
+        edits = int(index.edits[0])
+        # the last row of the table of edit distances of the whole item to any part of the text
+        row = [0] * (len(text) + 1)
+        for i, c in enumerate(item):
+            new = [i + 1]
+            for j, d in enumerate(text):
+                new.append(min(row[j] + (c != d), row[j + 1] + 1, new[j] + 1))
+            row = new
+        hits = decontaminate._hits([text], index, table)
+        assert [h[2] for h in hits] == ([min(row)] if min(row) <= edits else []), (item, text)
