@@ -16,6 +16,8 @@
 A form, or an element that is boilerplate only by its names, is none if it is a wrapper of the
 page: if it holds the ``main`` or the longest ``article`` (with a quarter of the page's text that is
 not link text), or more than half of that text (nine tenths, if its name has no other words).
+Inside an article a name such as "related-work" or "search-results" does not count either, where the
+element is a paragraph or holds ``PROSE`` characters, with at most a tenth in links and no controls.
 Comments may be longer than the article, so they are no wrapper by their length. If nothing else of
 a page is left, names and forms do not count.
 
@@ -33,6 +35,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from functools import cache
 from hashlib import blake2b
 from html import unescape
 
@@ -54,23 +57,33 @@ RAW = frozenset("script style textarea title noscript iframe template noframes x
 APART = frozenset("nav aside footer button select option input dialog menu svg canvas object audio video head".split())
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 SCOPE = frozenset("ul ol dl table tbody thead tfoot select html body article main section div td th".split())
+HEAD = frozenset("head meta title base link style script noscript template".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = frozenset("nav navbar navigation menu breadcrumb breadcrumbs footer sidebar aside ad ads advert adverts advertisement advertising adsense adbox "
                   "banner promo promotion sponsor sponsored cookie cookies consent gdpr notice popup modal overlay newsletter subscribe signup login "
                   "share sharing social related recommended recommendations comment comments disqus respond reply replies widget toolbar pagination "
                   "pager search form skip alert masthead topbar".split())
 COMMENTS = frozenset("comment comments disqus respond reply replies".split())
+#: Names that sections of an article have as well ("related-work", "search-results"); prose of this length decides for these.
+AMBIGUOUS, PROSE = frozenset("related search reply respond".split()), 200
 #: Names with these words tell what a page has, not what an element is.
 HAS, STATE = frozenset("no has with without".split()), frozenset("open opened closed enabled disabled on off".split())
 #: Parts of the page's text beyond which an element is a wrapper: for mixed names and forms, for names of nothing else, for comments.
 MIXED, PURE, NEVER = 0.5, 0.9, 2.0
 
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+# What a quote opens is closed again only right behind "="; what has matched is not tried another way, so a page is read once.
+TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"""
+                 r"""|<(/?)([a-zA-Z][^\s/>]*+)((?>(?:[^>"'=]++|=\s*+"[^"]*+"|=\s*+'[^']*+'|["'=])*+))>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 HOST = r"(?i)^\s*(?:[a-z][a-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]+)"
 NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
+@cache
+def _raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?=[\s/>]|\Z)", re.I)
+
+
 def host_of(url: str) -> Column:
     """The host of a url column, in lower case; empty if there is none."""
     found = F.regexp_extract(F.coalesce(F.col(f"`{url}`").cast("string"), F.lit("")), HOST, 1)
@@ -107,6 +120,8 @@ class Page:
         self.parent, self.tag, self.path, self.around, self.apart = [-1], [""], [0], [0], [False]
         #: elements that may be boilerplate by their names or as forms, with the part of the text that makes them wrappers
         self.named: dict[int, float] = {}
+        #: those of them whose names sections of an article may have
+        self.ambiguous: set[int] = set()
         #: (element, text, link): text None is the edge of a block
         self.pieces: list[tuple[int, str | None, bool]] = []
         self._read(html)
@@ -125,20 +140,45 @@ class Page:
         self.apart.append(self.apart[above] or part < 0)
         if part > 0 and not self.apart[-1]:
             self.named[len(self.apart) - 1] = part
+            words = {w.lower() for c in ("class", "id") for w in NAME.findall(attributes.get(c, ""))}
+            if around > 1 and tag != "form" and words & NAMES <= AMBIGUOUS:
+                self.ambiguous.add(len(self.apart) - 1)
         return len(self.parent) - 1
 
     def _read(self, html: str) -> None:
-        stack, links, at = [0], 0, 0
+        #: open elements, the places in it of each tag, of all that are not inline, and of those that end an implied end's reach
+        stack, where, blocks, scopes = [0], {}, [], []
+        links, at, last = 0, 0, html.rfind(">") + 1
+
+        def cut(place: int) -> None:
+            nonlocal links
+            for e in reversed(stack[place:]):
+                tag = self.tag[e]
+                where[tag].pop()
+                links -= tag == "a"
+                if tag not in INLINE:
+                    blocks.pop()
+                if tag in SCOPE:
+                    scopes.pop()
+            del stack[place:]
+
         while True:
-            found = TAG.search(html, at)
+            found = TAG.search(html, at, last) if at < last else None
             text = html[at:found.start() if found else len(html)]
+            if not found:
+                # a comment that never ends
+                text = re.split(r"<!--|<!\[CDATA\[", text, maxsplit=1)[0]
             if text:
+                if where.get("head") and not text.isspace():
+                    cut(where["head"][-1])
                 self.pieces.append((stack[-1], unescape(text), links > 0))
             if not found:
                 return
             at = found.end()
             closing, tag, rest = (found[1], found[2], found[3]) if found[2] else (found[4], found[5], found[6])
             if not tag:
+                if found[0].startswith("<!--") and not found[0].endswith("-->"):
+                    return
                 if found[0].startswith("<![CDATA["):
                     self.pieces.append((stack[-1], found[0][9:].removesuffix("]]>"), links > 0))
                 continue
@@ -146,35 +186,42 @@ class Page:
             if tag not in INLINE:
                 self.pieces.append((stack[-1], None, False))
             if closing:
-                for back in range(len(stack) - 1, 0, -1):
-                    open_tag = self.tag[stack[back]]
-                    if open_tag == tag:
-                        links -= sum(self.tag[e] == "a" for e in stack[back:])
-                        del stack[back:]
-                        break
-                    if tag in INLINE and open_tag not in INLINE:
-                        break
+                place = where[tag][-1] if where.get(tag) else 0
+                # an inline element does not end outside of the block it is in
+                if place and not (tag in INLINE and blocks and blocks[-1] > place):
+                    cut(place)
                 continue
+            if tag not in HEAD and where.get("head"):
+                # the end of the head may be left out
+                cut(where["head"][-1])
             if tag in VOID:
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
+                end = _raw_end(tag).search(html, at)
+                gt = html.find(">", end.end()) if end else -1
+                if gt < 0:
+                    return
+                at = gt + 1
                 continue
             if tag not in INLINE or tag == "a":
                 # an open paragraph ends where a block begins, a list entry where the next begins
-                closes = CLOSES.get(tag, ()) if tag not in INLINE else ("a",)
-                for back in range(len(stack) - 1, 0, -1):
-                    open_tag = self.tag[stack[back]]
-                    if open_tag in closes or (open_tag == "p" and tag not in INLINE):
-                        links -= sum(self.tag[e] == "a" for e in stack[back:])
-                        del stack[back:]
-                        if open_tag != "td":
-                            break
-                    elif open_tag in SCOPE:
+                closes = (*CLOSES.get(tag, ()), "p") if tag not in INLINE else ("a",)
+                while place := max((where[t][-1] for t in closes if where.get(t)), default=0):
+                    if scopes and scopes[-1] > place:
                         break
-            attributes = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest or "")} if rest else {}
+                    ended = self.tag[stack[place]]
+                    cut(place)
+                    if ended != "td":
+                        break
+            attributes: dict[str, str] = {}
+            for m in ATTRIBUTE.finditer(rest):
+                attributes.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
             if not rest.rstrip().endswith("/") or tag not in ("svg", "path"):
+                where.setdefault(tag, []).append(len(stack))
+                if tag not in INLINE:
+                    blocks.append(len(stack))
+                if tag in SCOPE:
+                    scopes.append(len(stack))
                 stack.append(self._open(tag, attributes, stack[-1]))
                 links += tag == "a"
 
@@ -185,6 +232,18 @@ class Page:
             out[self.parent[element]] += out[element]
         return out
 
+    def _prose(self) -> set[int]:
+        """Elements of ambiguous names inside an article that hold its text: a paragraph, or much text, with hardly a link and no controls."""
+        n = len(self.parent)
+        free, linked, controls = [0.0] * n, [0.0] * n, [0.0] * n
+        for e, text, link in self.pieces:
+            if text:
+                (controls if self.apart[e] else linked if link else free)[e] += len(" ".join(text.split()))
+        for e in range(1, n):
+            controls[e] += self.tag[e] in ("form", "button", "select", "textarea")
+        free, linked, controls = self._sums(free), self._sums(linked), self._sums(controls)
+        return {e for e in self.ambiguous if free[e] >= (1 if self.tag[e] == "p" else PROSE) and linked[e] * 10 <= free[e] and not controls[e]}
+
     def _set_named_apart(self) -> None:
         n = len(self.parent)
         comments, covered = [False] * n, [False] * n
@@ -196,13 +255,16 @@ class Page:
             if text and not link and not self.apart[e] and not comments[e]:
                 own[e] += len(" ".join(text.split()))
         sizes = self._sums(own)
+        prose = self._prose() if self.ambiguous else set()
         articles = [e for e in range(1, n) if self.tag[e] == "article" and not (covered[e] or self.apart[e] or e in self.named)]
         wrapped = [e for e in range(1, n) if self.tag[e] == "main" and not (covered[e] or self.apart[e])]
         longest = max((sizes[e] for e in articles), default=0.0)
         wrapped += [e for e in articles if sizes[e] == longest and longest > sizes[0] / 4]
-        wrappers = {e for e, part in self.named.items() if sizes[e] > part * sizes[0]}
+        wrappers = {e for e, part in self.named.items() if sizes[e] > part * sizes[0]} | prose
+        seen = set()
         for e in wrapped:
-            while e > 0:
+            while e > 0 and e not in seen:
+                seen.add(e)
                 e = self.parent[e]
                 wrappers.add(e)
         apart = self.apart[:]
@@ -220,13 +282,16 @@ class Page:
                 if size:
                     own[element] = own.get(element, 0.0) + size
         total: dict[int, float] = {}
+        # elements come after those they lie in; what reaches a container goes on to the next one a tenth smaller
+        value = [0.0] * len(self.parent)
         for element, size in own.items():
-            part = 1.0
-            while element > 0:
+            value[element] = size
+        for element in range(len(value) - 1, 0, -1):
+            if size := value[element]:
                 if self.tag[element] in CONTAINERS:
-                    total[element] = total.get(element, 0.0) + part * size
-                    part *= 0.9
-                element = self.parent[element]
+                    total[element] = size
+                    size *= 0.9
+                value[self.parent[element]] += size
         best: dict[int, float] = {}
         for element, score in total.items():
             tag = self.tag[element]

@@ -465,3 +465,101 @@ def test_runs_of_a_gram_and_single_places(monkeypatch):
             row = new
         hits = decontaminate._hits([text], index, table)
         assert [h[2] for h in hits] == ([min(row)] if min(row) <= edits else []), (item, text)
+
+
+PROSE = "A sentence of the article that goes on for some time, with commas and all. " * 6
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<html><head><meta charset=utf-8><title>T</title><body><article>Hello text</article>", "Hello text"),
+    ("<head><title>x</title><p>para</p><p>two", "para two"), ("<head><link rel=x>text", "text"), ("<head><script>var a</script></head><p>x", "x"),
+    ("<main data-menu='hidden'>kept</main>", "kept"), ("<main data-hidden='false'>kept</main>", "kept"), ("<div title='hidden gems of Rome'>kept</div>", "kept"),
+    ("<article>a<blockquote data-role='search' data-id='footer'>kept</blockquote></article>", "a kept"), ("<main title=' hidden '>kept</main>", "kept"),
+    ("<p hidden>gone</p><p HIDDEN=''>gone</p><p class='x' class='ad'>kept</p>", "kept"), ("<p>a <a href='x>y'>b</a> c</p>", "a b c"),
+    ("<p>x</p><!-- never <p>gone</p>", "x"), ("<p>x</p> y <!-- never", "x y"), ("<p>5 < 6 and a<b", "5 < 6 and a<b"), ("<p>x</p><script>never</p>", "x"),
+    (f"<article><p>one</p><section class='related-work'><h2>Work</h2><p>{PROSE}</p></section></article>", f"one Work {PROSE.strip()}"),
+    (f"<article><p>one</p><div class='search-results'><p>{PROSE}</p></div><p class='reply'>he said</p></article>", f"one {PROSE.strip()} he said"),
+    (f"<article><p>{PROSE}</p><div class='related-posts'><p>see <a href=x>{PROSE}</a></p></div><div class='search'>go <button>x</button></div></article>", PROSE.strip()),
+    (f"<article><p>{PROSE}</p><div class='comments'><p class='reply'>nice</p></div></article>", PROSE.strip())])
+def test_pages_that_are_valid_and_odd(html, text):
+    assert html_text.main_text(html, None) == text
+
+
+@pytest.mark.parametrize("unit", ["<div></x>", "<span></b>", '<a "', '<a x="', "<a x='>", "<!", "<a ", "<div>t", "</script ", "<ul><li><p>", "<table><tr><td>x",
+                                  "<div class=related-x>xx", "<!--", "= ", "<a =\"'", "<p></p></div>", "<article class=ad>x"])
+def test_time_of_stray_tags_grows_with_the_page(unit):
+    import time
+    for page in (unit * (1_000_000 // len(unit)), "<p " + unit * (1_000_000 // len(unit)) + ">", "<script>" + unit * (1_000_000 // len(unit))):
+        start = time.perf_counter()
+        html_text.main_text(page, None)
+        assert time.perf_counter() - start < 20
+
+
+class Tree:
+    """The same page read by Python's parser into a tree, with scores by climbing from every element."""
+
+    def __init__(self, html):
+        from html.parser import HTMLParser
+        tree = self
+        self.up, self.tag, self.step, self.own = [None], [""], [""], [0]
+        outer = [0]
+
+        class Reader(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                tree.up.append(outer[-1])
+                tree.tag.append(tag)
+                tree.step.append(tag + "." + dict(attrs).get("class", ""))
+                tree.own.append(0)
+                outer.append(len(tree.up) - 1)
+
+            def handle_endtag(self, tag):
+                outer.pop()
+
+            def handle_data(self, data):
+                tree.own[outer[-1]] += len(" ".join(data.split())) if not tree.gone(outer[-1]) else 0
+        Reader().feed(html)
+
+    def above(self, e):
+        while e:
+            yield e
+            e = self.up[e]
+
+    def gone(self, e):
+        return any(self.tag[x] in ("nav", "footer", "aside", "a") for x in self.above(e))
+
+    def scores(self):
+        total = {}
+        for e, size in enumerate(self.own):
+            for rank, c in enumerate(c for c in self.above(e) if self.tag[c] in html_text.CONTAINERS):
+                total[c] = total.get(c, 0) + size * 0.9 ** rank
+        best = {}
+        for c, score in total.items():
+            path = tuple(self.step[x] for x in self.above(c))
+            score *= {"article": 1.4, "main": 1.2, "body": 0.5}.get(self.tag[c], 1)
+            if score:
+                best[path] = max(best.get(path, 0), score)
+        return sorted(round(s, 6) for s in best.values())
+
+
+def test_scores_against_a_tree():
+    draw = random.Random(12)
+
+    def element(depth):
+        if depth == 0 or draw.random() < 0.3:
+            return " ".join(draw.choice(["word", "é", "longer"]) for _ in range(draw.randint(1, 6)))
+        tag = draw.choice(["div", "section", "article", "main", "span", "b", "nav", "footer", "aside", "blockquote", "a", "table"])
+        if tag == "a":
+            return "<a>" + draw.choice(["link", "a b"]) + "</a>"
+        inside = "".join(element(depth - 1) for _ in range(draw.randint(1, 4)))
+        return f"<{tag} class='{draw.choice('xyz')}'>{inside}</{tag}>"
+
+    for _ in range(200):
+        page = "<html><body>" + "".join(element(5) for _ in range(4)) + "</body></html>"
+        assert sorted(round(s, 6) for s in html_text.Page(page).scores().values()) == Tree(page).scores(), page
+
+
+def test_pages_with_clashing_columns_and_empty_table(spark):
+    df = spark.createDataFrame([(1, "http://a/1", "<p>x</p>", "h", "r", "t", "p"), (None, None, None, None, None, None, None)],
+                               "page_id bigint, url string, html string, host string, raw string, text string, path string")
+    assert sorted((r.id or 0, r.url, r.text) for r in html_text.extract(df).collect()) == [(0, None, ""), (1, "http://a/1", "x")]
+    assert html_text.extract(df.where("false")).collect() == []
