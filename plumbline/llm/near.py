@@ -157,11 +157,12 @@ def _across(open_: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
     def parts(n: str, count: str, most_rows: int):
         return F.ceil(F.greatest(F.col(n) / BLOCK_SHINGLES, F.col(count) / most_rows))
 
-    sizes = sizes.select("bucket", parts("out_n", "outs", 512).alias("outer"), parts("all_n", "all_rows", 2048).alias("inner"))
-    total = rows.agg(F.sum("n")).first()[0] or 0
+    sizes = written(sizes.select("bucket", F.col("all_rows").alias("size"), parts("out_n", "outs", 512).alias("outer"),
+                                 parts("all_n", "all_rows", 2048).alias("inner")), "sizes")
+    total, count = rows.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     groups = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int(total // BLOCK_SHINGLES))
     # small buckets share groups, a large one is cut into blocks of outer and inner parts
-    cut = rows.join(sizes, "bucket").withColumn("alone", (F.col("outer") > 1) | (F.col("inner") > 1)).withColumn(
+    cut = _by_bucket(rows, sizes.drop("size"), _hot(sizes, count)).withColumn("alone", (F.col("outer") > 1) | (F.col("inner") > 1)).withColumn(
         "grp", F.when(F.col("alone"), F.col("bucket")).otherwise(F.pmod("bucket", F.lit(groups))))
     hashed = F.xxhash64("cls")
     as_outer = cut.where("out").withColumn("o", F.pmod(hashed, "outer")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("inner") - 1)))
