@@ -5,7 +5,7 @@ ASCII count as letters). A document's units are runs of whole sentences and line
 compared with a template if the numbers of their bigrams allow a coefficient of ``LEAST`` at
 all: with n and m bigrams it is at most 2 min(n, m) / (n + m). Of the units that start at a
 place the most similar one counts, and of overlapping finds the one with the higher
-coefficient (the earlier, then the first template, if equal).
+coefficient (the longer, then the earlier, then the first template, if equal).
 
 A unit names a licence only if its version numbers and the words that tell variants apart (Lesser,
 Affero, NonCommercial and the like) are those of the template; the templates hold the short notices
@@ -13,6 +13,11 @@ of all versions and variants. Where no such unit is, notices inside a sentence c
 that start and end at bigrams of a template of up to ``FEW`` bigrams. Of a template of fewer than
 ``LOOSE`` they must end at the last one, as a bigram less is a good part of it.
 
+A run is compared by its distinct bigrams, and those are known for all runs from a place at once: a
+bigram is new in a run if its last place before lies in front of the run. A longer run without a new
+bigram is no better, so notices that repeat cost a run each and not one for every length, and places
+from which the same follows have the same best run.
+
 Most words of a text are in no template. Only where bigrams of a template are dense enough to
 reach ``LEAST`` are units formed. Every row has its own result; a null or empty text has no
 licence.
@@ -91,6 +96,11 @@ TEMPLATES += [(name, f"This work is licensed under the GNU {kind} Public License
 TEMPLATES += [(name, f"This library is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} General Public License as published "
                      f"by the Free Software Foundation; either version {version} of the License, or (at your option) any later version.")
               for name, kind, version in (("LGPL-2.0", "Library", "2"), ("LGPL-2.1", "Lesser", "2.1"))]
+TEMPLATES += [("ISC", "Licensed under the ISC License."), ("MPL-2.0", "Licensed under the Mozilla Public License 2.0."),
+              ("MPL-2.0", "Licensed under the Mozilla Public License, version 2.0."), ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+              ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."), ("GPL-2.0", "Distributed under the terms of the GNU GPL version 2."),
+              ("GPL-3.0", "Distributed under the terms of the GNU GPL version 3."), ("MIT OR GPL", "Dual licensed under the MIT and GPL licenses."),
+              ("MIT OR Apache-2.0", "This package is dual-licensed: MIT License or Apache License 2.0.")]
 TEMPLATES += [("Apache-1.1", "Licensed under the Apache License, Version 1.1."),
               ("MPL-1.1", "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in "
                           "compliance with the License.")]
@@ -174,28 +184,50 @@ def finds(raw: bytes, templates: tuple, numbers: WordNumbers, inside: bool = Fal
     ends = np.cumsum([len(u.translate(PLAIN).split()) for u in UNIT.split(raw)])
     ends = np.unique(ends[ends > 0])
     starts = np.append(0, ends[:-1])
-    marked = None
-    found, partly = [], []
-
-    def best_of(t: int, s: int, stops: list[int], low: int, high: int) -> tuple[float, int]:
-        """The highest coefficient of a run from a place that has the marks of the template, and where it ends, negative."""
-        nonlocal marked
-        template, own_marks = sets[t][1], sets[t][3]
-        best = (0.0, 0)
-        for e in stops:
-            own = np.unique(grams[s:e - 1])
-            n = len(own)
-            if n > high:
+    marked = marks(words)
+    before = _last_places(grams)
+    most = max(_bounds(len(sets[t][1]))[1] for t in likely.tolist()) + 1
+    new_from: dict[int, np.ndarray] = {}
+
+    def best_of(t: int, s: int, stops: np.ndarray, low: int, high: int, hit: np.ndarray) -> tuple[float, int]:
+        """The highest coefficient of a run from a place that has the marks of the template, and where it ends, the first if equal."""
+        if s not in new_from:
+            if len(new_from) > 64:
+                new_from.clear()
+            new_from[s] = _new_places(before, s, most)
+        new = new_from[s][:high + 1]
+        m, own_marks = len(sets[t][1]), sets[t][3]
+        # ends at which a run has a new bigram, with low to high of them
+        at = np.searchsorted(stops, new + 2)
+        ends_at = np.unique(stops[at[at < len(stops)]])
+        n = np.searchsorted(new, ends_at - 1)
+        fits = (n >= low) & (n <= high)
+        ends_at, n = ends_at[fits], n[fits]
+        dice = 2 * np.append(0, np.cumsum(hit[new]))[n] / (n + m)
+        first = bisect_left(marked, (s,))
+        for i in np.lexsort((ends_at, -dice)):
+            if dice[i] < LEAST:
                 break
-            if n >= low:
-                dice = 2 * len(np.intersect1d(own, template, assume_unique=True)) / (n + len(template))
-                if dice >= LEAST and (dice, -e) > best:
-                    marked = marks(words) if marked is None else marked
-                    first = bisect_left(marked, (s,))
-                    if {mark for _, mark in marked[first:bisect_left(marked, (e,))]} == own_marks:
-                        best = (dice, -e)
-        return best
+            if {mark for _, mark in marked[first:bisect_left(marked, (int(ends_at[i]),))]} == own_marks:
+                return float(dice[i]), int(ends_at[i])
+        return 0.0, 0
+
+    contents: dict[tuple, int] = {}
+    content_at: dict[int, int] = {}
+    known_best: dict[tuple[int, int], tuple[float, int]] = {}
 
+    def content_of(s: int) -> int:
+        """A number for what the runs of whole units from a place are made of, the same where a notice repeats."""
+        if s not in content_at:
+            new = _new_places(before, s, most)
+            at = np.searchsorted(ends, new + 2)
+            stops = ends[at[at < len(ends)]]
+            until = int(stops[-1]) if len(stops) else s
+            told = tuple((place - s, mark) for place, mark in marked[bisect_left(marked, (s,)):bisect_left(marked, (until,))])
+            content_at[s] = contents.setdefault(((new - s).tobytes(), grams[new].tobytes(), (stops - s).tobytes(), told), len(contents))
+        return content_at[s]
+
+    found, partly, prepared_hits = [], [], []
     for t in likely.tolist():
         template = sets[t][1]
         m = len(template)
@@ -203,28 +235,57 @@ def finds(raw: bytes, templates: tuple, numbers: WordNumbers, inside: bool = Fal
         at = np.minimum(np.searchsorted(template, grams), m - 1)
         hit = template[at] == grams
         shared = np.concatenate([[0], np.cumsum(hit)])
-        # units start where the longest that may match holds enough shared bigrams
-        upto = np.minimum(starts + high, len(grams))
-        for s in starts[shared[upto] - shared[np.minimum(starts, len(grams))] >= needed[t]].tolist():
-            best = best_of(t, s, ends[np.searchsorted(ends, s + low + 1):].tolist(), low, high)
-            if best[0] >= LEAST:
-                found.append((-best[0], s, t, -best[1]))
-        if inside and m <= FEW:
-            places = np.flatnonzero(hit)
-            last = places if m >= LOOSE else np.flatnonzero(grams == sets[t][2])
-            for s in places[shared[np.minimum(places + high, len(grams))] - shared[places] >= needed[t]].tolist():
-                # a notice that repeats bigrams may be longer, but hardly more than twice
-                stops = last[np.searchsorted(last, s + low - 1):np.searchsorted(last, s + 2 * high)] + 2
-                best = best_of(t, s, stops.tolist(), low, high)
-                if best[0] >= LEAST:
-                    partly.append((-best[0], s, t, -best[1]))
+        prepared_hits.append((t, m, low, high, hit, shared))
+        # units start where enough of the template's bigrams follow that are new there
+        for s in starts[shared[-1] - shared[np.minimum(starts, len(grams))] >= needed[t]].tolist():
+            content = content_of(s)
+            if (t, content) not in known_best:
+                dice, e = best_of(t, s, ends, low, high, hit)
+                known_best[t, content] = (dice, e - s)
+            dice, length = known_best[t, content]
+            if dice >= LEAST:
+                found.append((-dice, -length, s, t, s + length))
     out: list[tuple[str, float, int, int]] = []
-    for minus, s, t, e in sorted(found) + sorted(partly):
-        if all(e <= a or s >= b for _, _, a, b in out):
-            out.append((sets[t][0], -minus, s, e))
+    taken = np.zeros(len(words) + 1, bool)
+
+    def keep(these: list) -> None:
+        for minus, _, s, t, e in sorted(these):
+            if not taken[s:e].any():
+                taken[s:e] = True
+                out.append((sets[t][0], -minus, s, e))
+
+    keep(found)
+    for t, m, low, high, hit, shared in prepared_hits if inside else ():
+        if m <= FEW:
+            places = np.flatnonzero(hit & ~taken[:len(hit)])
+            last = (np.flatnonzero(hit) if m >= LOOSE else np.flatnonzero(grams == sets[t][2])) + 2
+            for s in places[shared[-1] - shared[places] >= needed[t]].tolist():
+                dice, e = best_of(t, s, last, low, high, hit)
+                if dice >= LEAST:
+                    partly.append((-dice, s - e, s, t, e))
+    keep(partly)
     return sorted(out, key=lambda x: x[2])
 
 
+def _last_places(grams: np.ndarray) -> np.ndarray:
+    """For each place the last one before it with the same bigram, or -1."""
+    order = np.argsort(grams, kind="stable")
+    out = np.full(len(grams), -1, np.int64)
+    same = grams[order][1:] == grams[order][:-1]
+    out[order[1:][same]] = order[:-1][same]
+    return out
+
+
+def _new_places(before: np.ndarray, s: int, most: int) -> np.ndarray:
+    """The first places from s on, ``most`` of them, whose bigram is not between s and them; read in pieces that double."""
+    out, count, at, size = [], 0, s, 4 * most
+    while at < len(before) and count < most:
+        found = np.flatnonzero(before[at:at + size] < s) + at
+        out.append(found)
+        count, at, size = count + len(found), at + size, 2 * size
+    return np.concatenate([np.zeros(0, np.int64), *out])[:most]
+
+
 def licences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """(id, found): every row with the licences found in it, as (licence, dice, first word, end word) in text order."""
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("raw"))
