@@ -184,11 +184,18 @@ def finds(raw: bytes, templates: tuple, numbers: WordNumbers, inside: bool = Fal
     ends = np.cumsum([len(u.translate(PLAIN).split()) for u in UNIT.split(raw)])
     ends = np.unique(ends[ends > 0])
     starts = np.append(0, ends[:-1])
-    marked = marks(words)
     before = _last_places(grams)
+    gap = np.where(before < 0, len(grams), np.arange(len(grams)) - before)
+    marked = None
     most = max(_bounds(len(sets[t][1]))[1] for t in likely.tolist()) + 1
     new_from: dict[int, np.ndarray] = {}
 
+    def told_marks() -> list[tuple[int, str]]:
+        nonlocal marked
+        if marked is None:
+            marked = marks(words)
+        return marked
+
     def best_of(t: int, s: int, stops: np.ndarray, low: int, high: int, hit: np.ndarray) -> tuple[float, int]:
         """The highest coefficient of a run from a place that has the marks of the template, and where it ends, the first if equal."""
         if s not in new_from:
@@ -204,7 +211,7 @@ def finds(raw: bytes, templates: tuple, numbers: WordNumbers, inside: bool = Fal
         fits = (n >= low) & (n <= high)
         ends_at, n = ends_at[fits], n[fits]
         dice = 2 * np.append(0, np.cumsum(hit[new]))[n] / (n + m)
-        first = bisect_left(marked, (s,))
+        first = bisect_left(told_marks(), (s,))
         for i in np.lexsort((ends_at, -dice)):
             if dice[i] < LEAST:
                 break
@@ -223,7 +230,7 @@ def finds(raw: bytes, templates: tuple, numbers: WordNumbers, inside: bool = Fal
             at = np.searchsorted(ends, new + 2)
             stops = ends[at[at < len(ends)]]
             until = int(stops[-1]) if len(stops) else s
-            told = tuple((place - s, mark) for place, mark in marked[bisect_left(marked, (s,)):bisect_left(marked, (until,))])
+            told = tuple((place - s, mark) for place, mark in told_marks()[bisect_left(told_marks(), (s,)):bisect_left(told_marks(), (until,))])
             content_at[s] = contents.setdefault(((new - s).tobytes(), grams[new].tobytes(), (stops - s).tobytes(), told), len(contents))
         return content_at[s]
 
@@ -235,9 +242,11 @@ def finds(raw: bytes, templates: tuple, numbers: WordNumbers, inside: bool = Fal
         at = np.minimum(np.searchsorted(template, grams), m - 1)
         hit = template[at] == grams
         shared = np.concatenate([[0], np.cumsum(hit)])
-        prepared_hits.append((t, m, low, high, hit, shared))
-        # units start where enough of the template's bigrams follow that are new there
-        for s in starts[shared[-1] - shared[np.minimum(starts, len(grams))] >= needed[t]].tolist():
+        # of the next words, those that neither are the template's nor may come again are too many for a run from there
+        again = np.concatenate([[0], np.cumsum(gap < high)])
+        enough = shared + again
+        prepared_hits.append((t, m, low, high, hit, enough))
+        for s in starts[enough[np.minimum(starts + high, len(grams))] - enough[np.minimum(starts, len(grams))] >= needed[t]].tolist():
             content = content_of(s)
             if (t, content) not in known_best:
                 dice, e = best_of(t, s, ends, low, high, hit)
@@ -255,11 +264,11 @@ def finds(raw: bytes, templates: tuple, numbers: WordNumbers, inside: bool = Fal
                 out.append((sets[t][0], -minus, s, e))
 
     keep(found)
-    for t, m, low, high, hit, shared in prepared_hits if inside else ():
+    for t, m, low, high, hit, enough in prepared_hits if inside else ():
         if m <= FEW:
             places = np.flatnonzero(hit & ~taken[:len(hit)])
             last = (np.flatnonzero(hit) if m >= LOOSE else np.flatnonzero(grams == sets[t][2])) + 2
-            for s in places[shared[-1] - shared[places] >= needed[t]].tolist():
+            for s in places[enough[np.minimum(places + high, len(grams))] - enough[places] >= needed[t]].tolist():
                 dice, e = best_of(t, s, last, low, high, hit)
                 if dice >= LEAST:
                     partly.append((-dice, s - e, s, t, e))
