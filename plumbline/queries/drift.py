@@ -9,9 +9,9 @@ from .sqlparts import (LINE_COLUMNS, LINE_LONG, cdf_ctes, hist_ctes, kl_ctes, ps
                        text_attributes, unpivot)
 from ..functions.scalar import status_label
 from ..functions.text import ATTRIBUTES, with_text_attributes
-from ..operators import drift
-from ..plans.frames import r, split_sides, spread, to_long
-from ..plans.scratch import cut
+from ..operators import baselines, drift
+from ..plans.frames import BASE, TARGET, r, split_sides, spread, to_long
+from ..plans.scratch import cut, written
 
 # split of the events at their middle day
 EVENTS_CUT = "2024-01-16"
@@ -206,3 +206,26 @@ SELECT attr, round(score, 6) + 0.0 AS score FROM s
 UNION ALL SELECT 'overall', round(avg(score), 6) + 0.0 FROM s WHERE attr <> 'size'""")
 def drift_image_attrs(spark, sf):
     return drift.image_attribute_drift(image_table(spark, sf)).select("attr", r("score").alias("score"))
+
+
+@query("baseline_compare", f"""WITH {cdf_ctes(LINE_LONG)}, sides AS (SELECT attr, count(*) FILTER (side = 'base') AS n_base, count(*) FILTER (side = 'target') AS n_target,
+ min(value) AS lo, max(value) AS hi FROM long GROUP BY attr)
+SELECT attr, n_base, n_target, lo, hi, round(ks.score, 6) + 0.0 AS exact_ks, round(w1.score, 6) + 0.0 AS exact_wasserstein, true AS ks_within, true AS wasserstein_within
+FROM sides JOIN ks USING (attr) JOIN w1 USING (attr)""")
+def baseline_compare(spark, sf):
+    """Baselines by line number, written, merged and compared without their rows; beside them the exact distances and whether the error holds.
+
+    The error holds with a probability of 99 % for each side; twice the error is asked for here.
+    """
+    pair = line_pair(spark, sf)
+    numbered = to_long(split_sides(table(spark, sf, "lineitem"), F.col("l_returnflag") == "A", F.col("l_returnflag") == "R"), LINE_COLUMNS, ids=("side", "l_linenumber"))
+    kept = written(baselines.baseline(numbered, ["side", "l_linenumber"]), "baselines")
+    base, target = (baselines.merged(kept.where(F.col("side") == s)) for s in (BASE, TARGET))
+    told = baselines.compare(base, target)
+    exact = drift.kolmogorov_smirnov(pair).withColumnRenamed("score", "exact_ks").join(
+        drift.wasserstein(pair).withColumnRenamed("score", "exact_wasserstein"), "attr")
+    both = told.join(exact, "attr")
+    return both.select(
+        "attr", "n_base", "n_target", "lo", "hi", r("exact_ks").alias("exact_ks"), r("exact_wasserstein").alias("exact_wasserstein"),
+        (F.abs(F.col("ks") - F.col("exact_ks")) <= 2 * F.col("ks_error")).alias("ks_within"),
+        (F.abs(F.col("wasserstein") - F.col("exact_wasserstein")) <= 2 * F.col("wasserstein_error")).alias("wasserstein_within"))
