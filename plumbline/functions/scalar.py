@@ -47,6 +47,7 @@ def item_id(path: Column) -> Column:
     return F.substring(F.md5(path), 1, 12)
 
 
+# The names of the splits.
 def split_of_path(path: Column, splits: Sequence[str] = ("train", "valid", "val", "test")) -> Column:
     out = None
     for s in splits:

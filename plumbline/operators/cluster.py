@@ -48,6 +48,7 @@ def assembled(coords: DataFrame) -> DataFrame:
 
 # ---- algorithms ------------------------------------------------------------
 
+# Fixed values of the next two: the rule for the number of clusters, and the one where no selection works.
 def rule_k(n: Column) -> Column:
     """Number of clusters by the number of rows."""
     return (F.when(n < 5, 1).when(n < 10, 2).when(n < 20, 3).when(n < 50, 4).when(n < 100, 5)
@@ -83,6 +84,7 @@ def best_silhouette_k(table: list[tuple[int, float, float]], n: int) -> int:
     return best[0] if best[1] > 0 else fallback_k(n)
 
 
+# The bounds of each grade.
 def silhouette_quality(score: Column) -> Column:
     return F.when(score >= 0.7, "Strong").when(score >= 0.5, "Reasonable").when(score >= 0.25, "Weak").otherwise("Poor")
 

@@ -81,6 +81,7 @@ def decide(reports: DataFrame, trainers: DataFrame) -> DataFrame:
     def text(what: str, tail: str) -> Column:
         return F.concat(F.lit(f"{what} severity drift for "), model, F.lit(tail))
 
+    # fixed values: the sentences of the reasons
     reason = (F.when(low, text("Low", " — observing"))
               .when(high & trainer, text("High", " — triggering retraining"))
               .when(high, text("High", " — no trainer registered, alerting"))
@@ -134,6 +135,7 @@ def job_result(jobs: DataFrame, results: DataFrame) -> DataFrame:
     passed = F.coalesce(F.get_json_object("result", "$.acceptance.gate_passed") == "true", F.lit(False))
     return (jobs.drop("status", "error", "progress").join(results, jobs["id"] == results["job_id"]).drop("job_id")
             .withColumn("status", F.when(passed, "completed").otherwise("gate_failed"))
+            # fixed value: the text of the error
             .withColumn("error", F.when(~passed, "Model did not pass acceptance gate"))
             .withColumn("progress", F.lit(1.0)))
 
@@ -146,6 +148,7 @@ def model_stage(name: Column) -> Column:
 def default_params(name: Column) -> Column:
     """Training parameters as JSON text."""
     n = F.lower(name)
+    # fixed values: the parameters of each kind of model
     return (F.when(n.rlike("recognizer|crnn"), F.lit('{"epochs":20,"batch_size":64,"lr":0.0005}'))
             .when(n.rlike("detector|yolo"), F.lit('{"epochs":50,"batch_size":16,"imgsz":640}'))
             .otherwise(F.lit('{"epochs":20,"batch_size":32}')))

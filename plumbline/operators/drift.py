@@ -153,6 +153,7 @@ def columns_flagged(df: DataFrame, numeric: list[str], categorical: list[str],
     return with_scalars(flagged, overall)
 
 
+# The attributes of a picture.
 IMAGE_ATTRIBUTES = ["brightness", "exposure", "contrast", "dynamic_range", "colorfulness",
                     "edge_density", "sharpness", "entropy", "gaussian_noise_level"]
 

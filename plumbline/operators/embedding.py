@@ -232,11 +232,13 @@ def psi_pca(emb: DataFrame, fit_on: str = "base", fit_components: int = 10, scor
     """(component, score): stability index of each principal component.
 
     Vision fits up to 10 components on the base and scores 5, the service 5 and 5, text
-    fits 3 on both sides.
+    fits 3 on both sides. Without a row to fit there is no component.
     """
-    dim = len(emb.select("embedding").first()[0])
     fit = emb if fit_on == "both" else emb.where(F.col("side") == BASE)
-    k = min(fit_components, dim)
+    one = fit.where(F.col("embedding").isNotNull()).select("embedding").first()
+    if one is None:
+        return emb.sparkSession.createDataFrame([], "component string, score double")
+    k = min(fit_components, len(one[0]))
     model = pca_model(fit, k)
     names = [f"pc{i}" for i in range(min(score_components, k))]
     p = model.transform(emb.select("side", array_to_vector("embedding").alias("v"))).select(

@@ -72,3 +72,12 @@ def test_every_detector_is_run(spark):
     for modality in ("image", "text"):
         assert got[modality, "default"].embedding_drift == pytest.approx(got[modality, "ensemble"].embedding_drift)
         assert got[modality, "psi"].mmd_method is None and got[modality, "ensemble"].mmd_method == "exact"
+
+
+@pytest.mark.parametrize("fit", ["base", "both"])
+def test_no_component_without_a_row_to_fit(spark, fit):
+    none = spark.createDataFrame([], "side string, embedding array<double>")
+    assert E.psi_pca(none, fit_on=fit).collect() == []
+    assert E.psi_pca_row(none, fit_on=fit).first().asDict() == {"psi_mean": None, "psi_max": None}
+    target = spark.createDataFrame([("target", [1.0, 2.0])], none.schema)
+    assert fit == "both" or E.psi_pca(target).collect() == []
