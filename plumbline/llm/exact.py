@@ -83,7 +83,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows that stay, with all their columns: one row for each different text."""
+    """The rows that stay, with all their columns: one row for each different text.
+
+    Of rows that share id and text but differ in other columns any one stays.
+    """
     stay = exact_groups(docs, id_col, text_col, block_bytes).where("id <=> keep_id").select("id", "sha", "copies")
     rows = docs.select(F.struct("*").alias("row"), F.col(f"`{id_col}`").alias("row_id"),
                        F.sha2(F.coalesce(F.col(f"`{text_col}`"), F.lit("")), 256).alias("row_sha"))

@@ -97,7 +97,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
 
 
 def in_training_order(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", **options) -> DataFrame:
-    """The mix itself: all columns of each copy taken and its ``position``, range-sorted by it."""
+    """The mix itself: all columns of each copy taken and its ``position``, range-sorted by it.
+
+    Of rows that share id, source and text but differ in other columns any one stands for all.
+    """
     key = ["id", "source", "text_hash"]
     placed = (mix(docs, id_col, source_col, text_col, **options).groupBy(*key)
               .agg(F.flatten(F.collect_list("positions")).alias("positions"), F.count("*").alias("rows")).where("size(positions) > 0"))

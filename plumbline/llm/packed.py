@@ -23,7 +23,10 @@ PIECE_BYTES = 8 << 20
 
 
 def source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(sid, raw): the id as a long, a null one below all others, and the bytes of the text, a null one empty."""
+    """(sid, raw): the id as a long, a null one below all others, and the bytes of the text, a null one empty.
+
+    Ids that are no whole numbers must be numbered before: text that is no number counts as null.
+    """
     lowest: Column = F.lit(-(1 << 63)).cast("bigint")
     return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("bigint"), lowest).alias("sid"),
                        F.coalesce(F.col(f"`{text_col}`"), F.lit("")).cast("binary").alias("raw"))
