@@ -48,6 +48,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, where = _file_system(spark, path)
+    return fs.exists(where)
+
+
 def bytes_of(table: DataFrame) -> int:
     """Size of a table of ``written`` on disk."""
     fs, where = _file_system(table.sparkSession, table.scratch_path)

@@ -8,8 +8,9 @@ from . import query, table
 from .drift import SUMMARY_SQL, orders_by_year
 from .sqlparts import text_attributes
 from ..functions import text as T
-from ..operators import compare, envelopes
+from ..operators import compare, envelopes, snapshots
 from ..plans.frames import r, split_sides
+from ..plans.scratch import scratch_path
 
 
 @query("files_added_removed", """WITH b AS (SELECT p_partkey FROM part WHERE p_partkey % 3 <> 0),
@@ -109,6 +110,36 @@ def snapshot_row_diff(spark, sf):
     return compare.row_diff(c.where(k % 7 != 0), new, "c_custkey")
 
 
+def order_snapshots(spark, sf):
+    """A store with three snapshots of the orders: ``a``, then ``b`` by an upsert, then ``c`` of all rows as they are."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate")
+    store = scratch_path(spark, "snapshots")
+    snapshots.commit(o.where("o_orderkey % 97 <> 2"), "o_orderkey", store, "a", 64)
+    changes = o.where("o_orderkey % 97 IN (1, 2)").withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 97 == 1, None).otherwise(F.col("o_orderstatus")))
+    snapshots.upsert(spark, store, "a", "b", changes, o.where("o_orderkey % 97 = 0"))
+    snapshots.commit(o, "o_orderkey", store, "c", 64)
+    return store
+
+
+@query("snapshot_upsert", """SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey % 97 <> 1 THEN o_orderstatus END AS o_orderstatus, o_totalprice
+FROM orders WHERE o_orderkey % 97 <> 0""")
+def snapshot_upsert(spark, sf):
+    return snapshots.read(spark, order_snapshots(spark, sf), "b").drop("o_orderdate")
+
+
+@query("snapshot_tree_diff", """SELECT o_orderkey, CASE o_orderkey % 97 WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' ELSE 'added' END AS state
+FROM orders WHERE o_orderkey % 97 IN (0, 2) OR (o_orderkey % 97 = 1 AND o_orderstatus IS NOT NULL)""")
+def snapshot_tree_diff(spark, sf):
+    return snapshots.diff(spark, order_snapshots(spark, sf), "a", "b")
+
+
+@query("snapshot_verify_all", """SELECT version, n_rows, 0::BIGINT AS n_changed, 0::BIGINT AS n_missing, true AS tree_ok, true AS valid FROM (
+SELECT 'a' AS version, count(*) AS n_rows FROM orders WHERE o_orderkey % 97 <> 2 UNION ALL
+SELECT 'b', count(*) FROM orders WHERE o_orderkey % 97 <> 0 UNION ALL SELECT 'c', count(*) FROM orders)""")
+def snapshot_verify_all(spark, sf):
+    return snapshots.verify(spark, order_snapshots(spark, sf)).drop("n_buckets")
+
+
 def label_views(spark, sf):
     lab = table(spark, sf, "labels")
     return lab.where("quality = 1").select(F.lit("good").alias("name"), "doc_id").unionByName(
