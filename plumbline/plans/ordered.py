@@ -5,6 +5,7 @@ Here the rows are range-partitioned by key and order instead, so that a hot key
 is spread over many chunks; each chunk is scanned on its own and the totals of
 the chunks before it (at most one row per key and chunk) are added.
 The chunk number is written with the rows: it must not change when a task is run again.
+Rows that take no more than ``PLAIN_BYTES`` in all are scanned by a plain window.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from .scratch import bytes_of, discard, written
 
 #: Bytes on disk of a chunk, and of the pieces into which a small table is cut for all cores.
 CHUNK_BYTES, SMALL_BYTES = 16 << 20, 128 << 10
+#: Bytes on disk of a whole table up to which a key may lie in one task: half a chunk.
+PLAIN_BYTES = CHUNK_BYTES // 2
 
 
 def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
@@ -29,9 +32,13 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     written first: what they take on disk gives the number of chunks, about ``CHUNK_BYTES``
     each however many there are, and Spark's sample for the ranges reads them from there.
     """
-    rows = written(df, "rows")
+    return _chunked(written(df, "rows"), keys, order, chunks)
+
+
+def _chunked(rows: DataFrame, keys: Sequence[str], order: Sequence[str], chunks: int | None) -> DataFrame:
+    """The chunks of written rows, which go."""
     size = bytes_of(rows)
-    few = min(2 * df.sparkSession.sparkContext.defaultParallelism, size // SMALL_BYTES + 1)
+    few = min(2 * rows.sparkSession.sparkContext.defaultParallelism, size // SMALL_BYTES + 1)
     n = chunks or int(max(few, size // CHUNK_BYTES))
     cols = [F.col(c) for c in (*keys, *order)]
     out = written(rows.repartitionByRange(n, *cols).withColumn("_chunk", F.spark_partition_id()), "chunks")
@@ -39,20 +46,34 @@ def range_chunks(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     return out
 
 
+def _plain(rows: DataFrame, columns: Sequence[str], keys: Sequence[str], order: Sequence[str],
+           running: Sequence[str], lead: Mapping[str, str], lag: Mapping[str, str]) -> DataFrame:
+    """``scan`` of few rows: one window per key."""
+    by_key = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    in_order = by_key.orderBy(*order)
+    upto = in_order.rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select(*columns, *[F.sum(f"_in_{k}").over(by_key).alias(f"{k}_total") for k in running],
+                       *[F.sum(f"_in_{k}").over(upto).alias(k) for k in running],
+                       *[F.lead(c).over(in_order).alias(k) for k, c in lead.items()],
+                       *[F.lag(c).over(in_order).alias(k) for k, c in lag.items()])
+
+
 def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], *,
          running: Mapping[str, Column | str] | None = None,
          lead: Mapping[str, str] | None = None,
          lag: Mapping[str, str] | None = None,
-         chunks: int | None = None) -> DataFrame:
+         chunks: int | None = None, plain_bytes: int = PLAIN_BYTES) -> DataFrame:
     """Running sums, next and previous values per key in the given order.
 
-    ``running`` adds ``name`` (inclusive sum) and ``name_total`` (sum of the key);
+    With ``plain_bytes`` of 0, or a number of chunks, a small table is cut into chunks too. ``running`` adds ``name`` (inclusive sum) and ``name_total`` (sum of the key);
     ``lead``/``lag`` add the value of a column in the next/previous row.
     """
     running, lead, lag = dict(running or {}), dict(lead or {}), dict(lag or {})
     expr = {k: (F.col(v) if isinstance(v, str) else v) for k, v in running.items()}
-    chunked = range_chunks(df.select("*", *[v.alias(f"_in_{k}") for k, v in expr.items()]),
-                           keys, order, chunks)
+    rows = written(df.select("*", *[v.alias(f"_in_{k}") for k, v in expr.items()]), "rows")
+    if chunks is None and bytes_of(rows) <= plain_bytes:
+        return _plain(rows, df.columns, keys, order, list(expr), lead, lag)
+    chunked = _chunked(rows, keys, order, chunks)
     group = [*keys, "_chunk"]
     pos = F.struct(*order)
     aggs = [F.sum(f"_in_{k}").alias(f"_sum_{k}") for k in expr]

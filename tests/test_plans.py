@@ -34,6 +34,15 @@ def test_scan_matches_groupwise_sums(hot):
     pd.testing.assert_series_equal(got["prv"], g.shift(1), check_names=False)
 
 
+@pytest.mark.parametrize("keys", [["key"], []])
+def test_plain_windows_and_chunks_give_the_same(hot, keys):
+    _, df = hot
+    def rows(**way):
+        out = scan(df, keys, ["v", "id"], running={"c": "v", "n": F.lit(1)}, lead={"nxt": "v"}, lag={"prv": "id"}, **way)
+        return out.columns, sorted(map(tuple, out.collect()), key=lambda r: r[1])
+    assert rows() == rows(plain_bytes=0) == rows(chunks=5)
+
+
 def test_null_keys_are_kept(spark):
     df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("a", 1, 5.0)], "k string, id int, v double")
     got = {(r["k"], r["id"]): (r["c"], r["c_total"]) for r in scan(df, ["k"], ["id"], running={"c": "v"}).collect()}
