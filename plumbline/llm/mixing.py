@@ -77,7 +77,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
         F.regexp_count(text, F.lit(WORD)).cast("bigint").alias("size"),
         F.md5(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))).alias("place")), "sizes")
     aims = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most)
-    summed = scan(rows, ["source"], ["place", "id", "size", "text_hash"], running={"upto": F.col("size")})
+    summed = scan(rows, ["source"], ["place", "id", "size", "text_hash"], running={"upto": F.col("size")}, plain_bytes=0)
     aims = aims.select(F.col("source").alias("of"), "turn", "target")
     placed = summed.join(aims, F.col("source").eqNullSafe(F.col("of")))
 
