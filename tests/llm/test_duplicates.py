@@ -200,6 +200,30 @@ def test_deep_shallow_order():
         assert common[k] == (same if keys[k][0] == keys[k - 1][0] else -1)
 
 
+@pytest.mark.parametrize("letters", [1, 2, 256])
+def test_multikey_quicksort(letters):
+    draw = np.random.default_rng(letters)
+    words = np.concatenate([draw.integers(0, letters, (400, 3)), np.sort(draw.integers(0, 9, (300, 3)), axis=0)]).astype(np.uint64)
+    group = draw.integers(0, 2, 700)
+    order, start = suffixes._multikey_quicksort(group, words)
+    keys = [(group[i], *words[i]) for i in order]
+    assert keys == sorted(keys) and sorted(order) == list(range(700))
+    assert start.tolist() == [keys.index(k) for k in keys]
+    assert all(len(x) == 0 for x in suffixes._multikey_quicksort(group[:0], words[:0]))
+
+
+def test_contexts_by_sort():
+    draw = np.random.default_rng(3)
+    rows = draw.integers(0, 256, (40, suffixes.AROUND)).astype(np.uint8)[draw.integers(0, 40, 600)]
+    rows[300:, suffixes.SIDE:] = rows[0, suffixes.SIDE:]  # one anchor with many bytes before it
+    low, high = draw.integers(0, 2, 600), draw.integers(2, 4, 600)
+    first, anchor = suffixes._by_context(rows, low, high)
+    keys = [(rows[i].tobytes(), low[i], high[i]) for i in range(600)]
+    assert first.tolist() == [k not in keys[:i] for i, k in enumerate(keys)]
+    grams = [rows[i, suffixes.SIDE:suffixes.SIDE + suffixes.GRAM].tobytes() for i in range(600)]
+    assert len(set(zip(anchor.tolist(), grams))) == len(set(grams)) == len(set(anchor.tolist()))
+
+
 def test_empty_tables(frame, spark):
     none = frame(["a"]).where("doc_id < 0")
     for made in (exact.exact_groups(none), exact.drop_copies(none), near.near_groups(none), near.drop_near_copies(none),
