@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import query, table
 from ..functions import vectors as V
-from ..operators import cluster
+from ..operators import cluster, linkage
 from ..plans.frames import r
 from ..plans.scratch import cut
 
@@ -93,6 +93,27 @@ def cluster_hierarchical(spark, sf):
     return cluster.hierarchical(coords2(spark, sf))
 
 
+# brute force: the spanning tree grown place by place, then the components of its shortest links
+LINKAGE = """WITH RECURSIVE p AS (SELECT vec_id AS key, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
+grow AS (SELECT 1 AS step, o.key, o.x, o.y, {'d2': (o.x - f.x) * (o.x - f.x) + (o.y - f.y) * (o.y - f.y), 'p': f.key, 'q': o.key} AS link
+ FROM p o, (SELECT * FROM p ORDER BY key LIMIT 1) f WHERE o.key <> f.key
+ UNION ALL SELECT step + 1, key, x, y, CASE WHEN new < link THEN new ELSE link END FROM (SELECT w.*,
+  {'d2': (w.x - m.x) * (w.x - m.x) + (w.y - m.y) * (w.y - m.y), 'p': least(w.key, m.key), 'q': greatest(w.key, m.key)} AS new
+  FROM grow w, (SELECT key, x, y FROM grow ORDER BY link LIMIT 1) m WHERE w.key <> m.key)),
+tree AS MATERIALIZED (SELECT min(link) AS link FROM grow GROUP BY step),
+kept AS MATERIALIZED (SELECT link.p AS a, link.q AS b FROM tree ORDER BY link LIMIT (SELECT count(*) - least(5, count(*) // 2) FROM p)),
+both_ways AS MATERIALIZED (SELECT a, b FROM kept UNION ALL SELECT b, a FROM kept),
+reach AS (SELECT key AS root, key FROM p UNION SELECT root, b FROM reach JOIN both_ways ON a = reach.key)
+SELECT key, min(root) AS cluster FROM reach GROUP BY key"""
+
+
+@query("cluster_single_linkage", LINKAGE)
+def cluster_single_linkage(spark, sf):
+    points = embeddings(spark, sf).select("key", F.get("embedding", F.lit(0)).cast("double").alias("x"),
+                                          F.get("embedding", F.lit(1)).cast("double").alias("y"))
+    return linkage.single_linkage(points).select("key", "cluster")
+
+
 COSINE = """x AS (SELECT vec_id, label, unnest(CAST(embedding AS DOUBLE[])) AS v, generate_subscripts(embedding, 1) AS d FROM embeddings),
 s AS (SELECT label, d, sum(v) AS s, count(*) AS n FROM x GROUP BY ALL),
 w AS (SELECT vec_id, label, (sum(v * s) - sum(v * v)) / any_value(n) AS weight FROM x JOIN s USING (label, d) GROUP BY ALL),
