@@ -12,7 +12,9 @@ few of the links need to be known for that:
    length touch neighbouring cells only. A box of points stands for its points: a pair of boxes
    farther apart than the best link known between its components is settled, the others are
    parted into smaller boxes, until so few places are left in both that their pairs are looked at.
-3. Borůvka rounds over these links give the spanning tree; its longest links go.
+3. The spanning tree of these links is made; its longest links go. Graphs of at most ``ONE_TASK`` links, each of them
+   between components and not between rows, are worked through in order by one task; beyond that, label exchange
+   and Borůvka rounds do the same, which are many jobs. Every job takes memory of the driver for its plan and its compiled code.
 
 Links are ordered by squared length, then by the smaller and the greater key of their ends, so the
 result does not depend on the order of the rows.
@@ -21,7 +23,10 @@ result does not depend on the order of the rows.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..plans.components import connected_components
@@ -34,6 +39,8 @@ DEEPEST = 30
 GRID, MANY = 16, (3 * 16 + 1) ** 2
 # a pair of boxes with at most this many pairs of places is not parted any more, its pairs are looked at
 BLOCK = 4096
+# links between components (a few dozen bytes each) up to which one task makes their spanning tree
+ONE_TASK = 200_000
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -42,15 +49,62 @@ def cut(df: DataFrame) -> DataFrame:
     return written(df, "linkage")
 
 
+def _few(links: DataFrame) -> bool:
+    return links.limit(ONE_TASK + 1).count() <= ONE_TASK
+
+
+def _joined(batches: Iterator[pa.RecordBatch], most: int | None) -> Iterator[pa.RecordBatch]:
+    """(a, b), or (a, b, d2, p, q) -> (v, component): ends joined in the order of the links, ``most`` times at most."""
+    found = list(batches)
+    if not any(b.num_rows for b in found):
+        return
+    links = pa.Table.from_batches(found)
+    if "d2" in links.column_names:
+        links = links.sort_by([(c, "ascending") for c in ("d2", "p", "q")])
+    ends = pa.chunked_array([*links["a"].chunks, *links["b"].chunks]).unique()
+    ends = ends.take(pc.sort_indices(ends))
+    root = list(range(len(ends)))
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    left = len(ends) if most is None else most
+    for a, b in zip(*(pc.index_in(links[c], value_set=ends).to_pylist() for c in ("a", "b"))):
+        a, b = top(a), top(b)
+        if a != b:
+            if not left:
+                break
+            left -= 1
+            root[max(a, b)] = min(a, b)
+    names = ends.take(pa.array([top(i) for i in range(len(ends))], pa.int64()))
+    yield pa.RecordBatch.from_arrays([ends, names], ["v", "component"])
+
+
+def _in_one_task(links: DataFrame, most: int | None = None) -> DataFrame:
+    """(v, component) of the ends of at most ``ONE_TASK`` links, named by their smallest member."""
+    kind = links.schema["a"].dataType.simpleString()
+    return links.coalesce(1).mapInArrow(lambda batches: _joined(batches, most), f"v {kind}, component {kind}")
+
+
+def components(vertices: DataFrame, links: DataFrame) -> DataFrame:
+    """(v) and (a, b) -> (v, component): the smallest vertex reachable from v."""
+    links = cut(links.select("a", "b"))
+    if not _few(links):
+        return connected_components(vertices, links)
+    return vertices.join(_in_one_task(links), "v", "left").select("v", F.coalesce("component", "v").alias("component"))
+
+
 def touching(places: DataFrame, x0: float, y0: float, side: float) -> DataFrame:
     """(key, x, y) -> (key, x, y, c): components of places in cells that touch, named by their smallest key."""
-    p = cut(places.select("key", "x", "y", F.floor((F.col("x") - x0) / side).cast("bigint").alias("cx"),
-                          F.floor((F.col("y") - y0) / side).cast("bigint").alias("cy")))
+    p = places.select("key", "x", "y", F.floor((F.col("x") - x0) / side).cast("bigint").alias("cx"),
+                      F.floor((F.col("y") - y0) / side).cast("bigint").alias("cy"))
     cells = cut(p.groupBy("cx", "cy").agg(F.min("key").alias("v")))
     around = cells.select(F.col("v").alias("a"), F.explode(F.array(*[
         F.struct((F.col("cx") + dx).alias("cx"), (F.col("cy") + dy).alias("cy")) for dx, dy in ((0, 1), (1, -1), (1, 0), (1, 1))])).alias("t"))
     links = around.select("a", "t.cx", "t.cy").join(cells.withColumnRenamed("v", "b"), ["cx", "cy"]).select("a", "b")
-    names = connected_components(cells.select("v"), links).withColumnRenamed("component", "c")
+    names = components(cells.select("v"), links).withColumnRenamed("component", "c")
     return p.join(cells.join(names, "v"), ["cx", "cy"]).select("key", "x", "y", "c")
 
 
@@ -174,6 +228,19 @@ def single_linkage(points: DataFrame, k: int | None = None) -> DataFrame:
     return placed.unionByName(rows.where(~F.coalesce(finite, F.lit(False))).withColumn("cluster", F.lit(None)))
 
 
+def _nearest_joined(links: DataFrame, most: int) -> DataFrame:
+    """(v, component) of the ends of the links after joining what the ``most`` shortest links of their spanning forest connect."""
+    if _few(links):
+        return _in_one_task(links.select("a", "b", "link.*"), most)
+    forest = spanning_forest(links)
+    found = forest.count()
+    if found > most:  # fewer than k links stay away
+        away = forest.orderBy(F.desc("link")).limit(found - most).select("a", "b")
+        forest = forest.join(F.broadcast(away), ["a", "b"], "left_anti")
+    ends = links.select(F.explode(F.array("a", "b")).alias("v")).distinct()
+    return connected_components(ends, forest)
+
+
 def _cut_at(places: DataFrame, k: int, x0: float, y0: float, extent: float) -> DataFrame:
     """(x, y, cluster) of more than k places."""
     side, longest = extent / GRID, 1.5 * extent
@@ -186,13 +253,11 @@ def _cut_at(places: DataFrame, k: int, x0: float, y0: float, extent: float) -> D
     n = parts.select("c").distinct().count()
     while n > k:
         reach = longest if n <= MANY else min(2 * reach, longest)
-        forest = spanning_forest(closest_links(parts, reach))
-        found = forest.count()
-        if n - found < k:  # the shortest n - k links make k clusters; fewer than k links stay away
-            away = forest.orderBy(F.desc("link")).limit(found - (n - k)).select("a", "b")
-            forest, found = forest.join(F.broadcast(away), ["a", "b"], "left_anti"), n - k
-        names = connected_components(parts.select(F.col("c").alias("v")).distinct(), forest)
-        parts = cut(join_few(parts, names.select(F.col("v").alias("c"), "component"), "c").select(
-            "key", "x", "y", F.col("component").alias("c")))
+        names = cut(_nearest_joined(cut(closest_links(parts, reach)), n - k))
+        ends, found = names.agg(F.count("*"), F.count("*") - F.count_distinct("component")).first()
+        if found:
+            names = names.withColumnRenamed("v", "c")  # few names are likely hot ones, a shuffle would put most places into a few tasks
+            parts = cut(parts.join(F.broadcast(names) if ends <= FEW_KEYS else names, "c", "left").select(
+                "key", "x", "y", F.coalesce("component", "c").alias("c")))
         n -= found
     return parts.select("x", "y", F.col("c").alias("cluster"))

@@ -72,3 +72,32 @@ def test_spanning_forest(spark):
             label = [new if x == old else x for x in label]
     links = spark.createDataFrame(rows, "a long, b long, link struct<d2: double, p: long, q: long>")
     assert {(r["a"], r["b"]) for r in linkage.spanning_forest(links).collect()} == want
+
+
+@pytest.mark.parametrize("name,k", [("clusters", 5), ("lines", 2)])
+def test_number_of_jobs(spark, name, k):
+    """Each SQL execution leaves a plan and compiled code in the driver, whose memory grew with their number."""
+    seen = spark._jsparkSession.sharedState().statusStore()
+    before = max([0, *(e.executionId() for e in _executions(seen))])
+    p = shapes(name)
+    assert got(spark, p, k) == brute(p, k)
+    assert max(e.executionId() for e in _executions(seen)) - before <= 80
+
+
+def _executions(seen):
+    found = seen.executionsList()
+    return [found.apply(i) for i in range(max(0, found.size() - 1), found.size())]
+
+
+@pytest.mark.parametrize("few", [0, 40])
+def test_beyond_one_task(spark, monkeypatch, few):
+    """The rounds that replace the one task give the same clusters."""
+    monkeypatch.setattr(linkage, "ONE_TASK", few)
+    p = shapes("clusters")[::7]
+    assert got(spark, p, 5) == brute(p, 5)
+
+
+def test_text_keys(spark):
+    p = [(0.0, 0.0), (0.1, 0.0), (5.0, 0.0), (5.1, 0.0), (9.0, 9.0), (9.0, 9.1)]
+    df = spark.createDataFrame([(f"k{i}", x, y) for i, (x, y) in enumerate(p)], "key string, x double, y double")
+    assert {r["key"]: r["cluster"] for r in linkage.single_linkage(df, 3).collect()} == {f"k{i}": f"k{i - i % 2}" for i in range(6)}
