@@ -44,6 +44,26 @@ def test_quality_on_held_out_documents(frame, spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, s in scores.items() if s >= quality.CUT}
 
 
+def test_quality_learns_from_all_pairs(frame, spark):
+    """The weights are the optimum over every pair of a good and a poor training document, the threshold is a quantile of all of them."""
+    texts, labels = labelled(700, 3)
+    labels = [y if i % 11 else 1 - y for i, y in enumerate(labels)]  # no weights part them
+    docs = frame(texts)
+    mean, scale, weights, threshold = quality.train(docs, spark.createDataFrame([(i, y) for i, y in enumerate(labels)], "doc_id bigint, quality int"))
+    taught = [i for i in range(len(texts)) if crc32(str(i).encode()) % 5]
+    f = np.array([quality.features(texts[i].encode()) for i in taught])
+    y = np.array([labels[i] for i in taught])
+    assert np.allclose(mean, f.mean(axis=0), atol=1e-8) and np.allclose(scale, np.where(f.std(axis=0) < 1e-6, 1, f.std(axis=0)), atol=1e-8)
+    z = (f - mean) / scale
+    s = z @ weights
+    wrong = 1 / (1 + np.exp(s[y == 1][:, None] - s[y == 0][None, :]))
+    slope = (wrong.sum(1) @ z[y == 1] - wrong.sum(0) @ z[y == 0]) / wrong.size - quality.RIDGE * weights
+    assert np.abs(slope).max() < 2e-5
+    ordered = np.sort(s)
+    at = np.searchsorted(np.cumsum(np.full(len(s), 1 / len(s))), 1 - y.mean())
+    assert ordered[max(at - 1, 0)] < threshold <= ordered[at + 1] + 1e-6
+
+
 def test_quality_learns_nothing_from_held_out_rows(frame, spark):
     texts, labels = labelled(400)
     docs = frame(texts)
