@@ -21,6 +21,8 @@ from ..plans.scratch import cut
 # rows of a block, and of the strips in which a task works through a pair of blocks
 TILE_ROWS = 16_384
 STRIP_ROWS = 2048
+# columns of a strip that are worked through at a time, 4 MB of distances
+COLUMNS = 256
 
 
 # ---- coordinates -----------------------------------------------------------
@@ -292,12 +294,31 @@ def cosine_centroids(df: DataFrame, cluster: str, key: str, column: str = "embed
     return join_few(weighed, centre, cluster).select(key, cluster, "weight", similarity.alias("similarity"))
 
 
+def inverse_distances(a: np.ndarray, b: np.ndarray, same: bool, strip: int = STRIP_ROWS) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of the inverse distances of the places a to all of b, and of b to all of a; ``same`` leaves out a place with itself."""
+    left, right = np.zeros(len(a)), np.zeros(len(b))
+    for at in range(0, len(a), strip):
+        x = a[at:at + strip]
+        for first in range(0, len(b), COLUMNS):
+            y = b[first:first + COLUMNS]
+            inv = x[:, None, 0] - y[None, :, 0]
+            np.hypot(inv, x[:, None, 1] - y[None, :, 1], out=inv)
+            inv += 1e-8
+            np.divide(1.0, inv, out=inv)
+            if same and at < first + len(y) and first < at + len(x):
+                i = np.arange(max(at, first), min(at + len(x), first + len(y)))
+                inv[i - at, i - first] = 0.0
+            left[at:at + strip] += inv.sum(1)
+            right[first:first + COLUMNS] += inv.sum(0)
+    return left, right
+
+
 def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
     """(key, cluster, x, y) -> weight, distance and similarity to the inverse-distance centroid.
 
     The weight sums the inverse distance to every other row of the cluster. A cluster is
     cut into blocks and every pair of blocks is one task of bounded size, worked through in
-    strips, that returns one partial weight per row; no task holds a cluster and no row is
+    pieces of a few MB, that returns one partial weight per row; no task holds a cluster and no row is
     left out. Quadratic, as the definition is: a row is copied once per block of its cluster.
     ``cosine_centroids`` is the linear way to a density-weighted centroid.
     """
@@ -310,24 +331,16 @@ def centroids_2d(points: DataFrame, cluster: str, key: str) -> DataFrame:
     strip = STRIP_ROWS
     kinds = dict(points.dtypes)
 
-    def inverse_distances(pdf: pd.DataFrame) -> pd.DataFrame:
+    def weights(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = pdf["i"].iloc[0], pdf["j"].iloc[0]
         a, b = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        pa, pb = a[["x", "y"]].to_numpy(), b[["x", "y"]].to_numpy()
-        left, right = np.zeros(len(pa)), np.zeros(len(pb))
-        for at in range(0, len(pa), strip):
-            x = pa[at:at + strip]
-            inv = 1.0 / (np.hypot(x[:, None, 0] - pb[None, :, 0], x[:, None, 1] - pb[None, :, 1]) + 1e-8)
-            if i == j:
-                inv[np.arange(len(x)), at + np.arange(len(x))] = 0.0
-            left[at:at + strip] = inv.sum(1)
-            right += inv.sum(0)
+        left, right = inverse_distances(a[["x", "y"]].to_numpy(), b[["x", "y"]].to_numpy(), i == j, strip)
         if i == j:
             return pd.DataFrame({key: a[key].to_numpy(), "w": left})
         return pd.DataFrame({key: np.concatenate([a[key], b[key]]), "w": np.concatenate([left, right])})
 
     partial = grouped(tiles.select(key, cluster, "x", "y", "block", "i", "j"), cluster, "i", "j").applyInPandas(
-        inverse_distances, f"{key} {kinds[key]}, w double")
+        weights, f"{key} {kinds[key]}, w double")
     # read three times below: keep it, or the tiles would run three times
     weighed = cut(p.join(partial.groupBy(key).agg(F.sum("w").alias("weight")), key))
     total = F.sum("weight")

@@ -164,3 +164,20 @@ def test_projected_density_clusters(spark):
     want = brute_dbscan(np.array([(r["c1"], r["c2"]) for r in rows]), 0.02, 5)[0]
     got = {r["key"]: r["cluster"] for r in cluster_dbscan_projected(spark, sf).collect()}
     assert len({c for c in got.values() if c != -1}) == len({c for c in want if c != -1})
+
+
+def test_inverse_distances_need_few_mb():
+    """Four workers share an executor's memory; matrices of a strip by a block took each of them more than a GB."""
+    import tracemalloc
+    p = np.random.default_rng(4).normal(0, 1, (5000, 2))
+    tracemalloc.start()
+    left, right = cluster.inverse_distances(p, p, True)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30e6
+    inv = 1 / (np.hypot(*(p[:, None] - p[None, :300]).transpose(2, 0, 1)) + 1e-8)
+    inv[np.arange(300), np.arange(300)] = 0
+    assert np.allclose(right[:300], inv.sum(0), rtol=1e-9) and np.allclose(left, right, rtol=1e-9)
+    some, rest = cluster.inverse_distances(p[:700], p[700:1000], False, strip=64)
+    wide = 1 / (np.hypot(*(p[:700, None] - p[None, 700:1000]).transpose(2, 0, 1)) + 1e-8)
+    assert np.allclose(some, wide.sum(1)) and np.allclose(rest, wide.sum(0))
