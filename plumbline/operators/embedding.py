@@ -21,11 +21,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import vectors as V
 from ..plans.binning import paired_histogram
 from ..plans.frames import BASE, TARGET, grouped, one_row, to_long
+from ..plans.scratch import cut
 from . import drift
 
 # rows of a block, and of the strips in which a task works through a pair of blocks
 TILE_ROWS = 16_384
 STRIP_ROWS = 2048
+# columns that a quarter of a strip is worked through with at a time: 512 kB, which stay in the processor's cache
+COLUMNS = 128
 METHODS = ("exact", "random_features")
 
 
@@ -68,11 +71,61 @@ def tiles(emb: DataFrame) -> DataFrame:
     """Each row once per block of rows, with the pair of blocks (i, j) it serves."""
     blocks = max(1, math.ceil(emb.count() / TILE_ROWS))
     mine = F.pmod(F.xxhash64(F.col("side"), F.col("key")), F.lit(blocks)).cast("int")
-    return (emb.select("side", F.col("embedding").cast("array<double>").alias("embedding"), mine.alias("block"))
+    # single precision takes half the room in the shuffle and is widened in the task
+    v = F.col("embedding") if dict(emb.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
+    return (emb.select("side", v.alias("embedding"), mine.alias("block"))
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
 
 
+def powers(gammas: Sequence[float], most: int = 16) -> list[tuple[int | None, int]]:
+    """For each kernel width an earlier one and the whole power of its kernel that gives this one's; (None, 0) without one."""
+    out: list[tuple[int | None, int]] = []
+    for k, g in enumerate(gammas):
+        times = [(g / h, i) for i, h in enumerate(gammas[:k]) if h > 0 and abs(g / h - round(g / h)) < 1e-12 and 1 <= round(g / h) <= most]
+        out.append((min(times)[1], round(min(times)[0])) if times else (None, 0))
+    return out
+
+
+def kernel_sums(a: np.ndarray, b: np.ndarray, gammas: Sequence[float], within: bool, clip: float | None = None,
+                strip: int = STRIP_ROWS) -> tuple[list[float], int]:
+    """For each width the sum of the kernel over the pairs of rows, and their number; ``within`` takes each pair of a once.
+
+    Pairs are worked through in pieces of a quarter of ``strip`` rows by ``COLUMNS``. A kernel that is a power of a narrower one's is
+    multiplied out of it, which differs in the last bits.
+    """
+    gammas, strip = sorted(gammas), max(1, strip // 4)
+    total, n, of = [0.0] * len(gammas), 0, powers(gammas)
+    left, right = (a * a).sum(1), (b * b).sum(1)
+    for at in range(0, len(a), strip):
+        x = a[at:at + strip] * -2.0
+        for first in range(at - at % COLUMNS if within else 0, len(b), COLUMNS):
+            d2 = x @ b[first:first + COLUMNS].T
+            d2 += left[at:at + strip, None]
+            d2 += right[None, first:first + COLUMNS]
+            d2 = np.clip(d2, -clip, clip, out=d2) if clip is not None else np.maximum(d2, 0, out=d2)
+            if within and first < at + len(x):
+                d2 = d2[at + np.arange(len(x))[:, None] < first + np.arange(d2.shape[1])]
+            n += d2.size
+            kernels: list[np.ndarray] = []
+            for k, (base, times) in enumerate(of):
+                if base is None:
+                    e = d2 * -gammas[k]
+                    np.exp(e, out=e)
+                else:
+                    e, rest = None, times
+                    square = kernels[base]
+                    while rest:
+                        if rest & 1:
+                            e = square if e is None else e * square
+                        rest >>= 1
+                        if rest:
+                            square = square * square
+                kernels.append(e)
+                total[k] += float(e.sum())
+    return total, n
+
+
 def standardized(emb: DataFrame) -> DataFrame:
     """Each side shifted and scaled by its own mean and population deviation."""
     v = emb.select("side", array_to_vector("embedding").alias("v"))
@@ -90,7 +143,7 @@ def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip
     """(gamma, mmd): kernel distance over all pairs of rows.
 
     Rows are hashed into blocks of about ``TILE_ROWS`` and each pair of blocks is one
-    task, which works in strips of ``STRIP_ROWS`` and returns nothing but kernel sums. A
+    task, which works in pieces of a few MB and returns nothing but kernel sums. A
     row is copied once per block, so n / ``TILE_ROWS`` times: quadratic, as the definition
     is; ``mmd_rff`` is linear. ``standardize="per_set"`` and ``clip`` give the variant that
     scales each side by itself.
@@ -99,43 +152,25 @@ def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip
         raise ValueError(f"unknown standardize {standardize!r}")
     if standardize == "per_set":
         emb = standardized(emb)
-    gammas = [float(g) for g in gammas]
+    gammas = sorted(float(g) for g in gammas)
     strip = STRIP_ROWS
 
-    def kernel_sums(pdf: pd.DataFrame) -> pd.DataFrame:
+    def of_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         parts = {}
         for block in {i, j}:
             for side in (BASE, TARGET):
                 rows = pdf.loc[(pdf["block"] == block) & (pdf["side"] == side), "embedding"]
-                parts[block, side] = np.stack(rows.to_list()) if len(rows) else None
-
-        def sums(a, b, within):
-            if a is None or b is None:
-                return [(0.0, 0)] * len(gammas)
-            total, n = [0.0] * len(gammas), 0
-            squares = (b * b).sum(1)
-            for at in range(0, len(a), strip):
-                x = a[at:at + strip]
-                first = at if within else 0
-                d2 = (x * x).sum(1)[:, None] + squares[None, first:] - 2 * x @ b[first:].T
-                d2 = np.clip(d2, -clip, clip) if clip is not None else np.maximum(d2, 0)
-                if within:
-                    d2 = d2[np.triu_indices(len(x), 1, d2.shape[1])]
-                n += d2.size
-                for k, g in enumerate(gammas):
-                    total[k] += float(np.exp(-g * d2).sum())
-            return [(t, n) for t in total]
-
+                parts[block, side] = np.stack(rows.to_list()).astype(np.float64) if len(rows) else None
         out = []
         pairs = [(BASE, BASE), (TARGET, TARGET), (BASE, TARGET)] + ([(TARGET, BASE)] if i != j else [])
         for s, t in pairs:
-            kind = s if s == t else "cross"
-            for g, (k, n) in zip(gammas, sums(parts[i, s], parts[j, t], i == j and s == t)):
-                out.append((g, kind, k, n))
+            kind, a, b = s if s == t else "cross", parts[i, s], parts[j, t]
+            found, n = ([0.0] * len(gammas), 0) if a is None or b is None else kernel_sums(a, b, gammas, i == j and s == t, clip, strip)
+            out += [(g, kind, k, n) for g, k in zip(gammas, found)]
         return pd.DataFrame(out, columns=["gamma", "kind", "k", "n"])
 
-    sums = grouped(tiles(emb), "i", "j").applyInPandas(kernel_sums, "gamma double, kind string, k double, n bigint")
+    sums = grouped(tiles(emb), "i", "j").applyInPandas(of_blocks, "gamma double, kind string, k double, n bigint")
 
     def mean_of(kind: str) -> Column:
         hit = F.col("kind") == kind
@@ -205,10 +240,12 @@ VISION_GAMMAS = [0.1, 0.5, 1.0, 2.0, 5.0]
 TEXT_GAMMAS = [0.5, 1.0, 2.0]
 
 
-def kernel(emb: DataFrame, gammas: Sequence[float], method: str, **options) -> DataFrame:
-    """(gamma, mmd) by the method asked for."""
+def kernel(emb: DataFrame, gammas: Sequence[float], method: str, known: DataFrame | None = None, **options) -> DataFrame:
+    """(gamma, mmd) by the method asked for; ``known`` holds those of the same rows, method and options, for these widths at least."""
     if method not in METHODS:
         raise ValueError(f"unknown method {method!r}, known: {METHODS}")
+    if known is not None:
+        return known.where(F.col("gamma").isin([float(g) for g in gammas])).select("gamma", "mmd")
     if method == "exact":
         return mmd(emb, gammas, **options)
     if options.get("standardize") == "per_set":
@@ -216,9 +253,14 @@ def kernel(emb: DataFrame, gammas: Sequence[float], method: str, **options) -> D
     return mmd_rff(emb, gammas).select("gamma", "mmd")
 
 
-def mmd_multiscale(emb: DataFrame, gammas: Sequence[float], method: str = "exact", **options) -> DataFrame:
+def kernels_of_ensembles(emb: DataFrame, method: str = "exact") -> DataFrame:
+    """(gamma, mmd) of all widths of the two ensembles, kept: one pass over the pairs for all scores that take them as ``known``."""
+    return cut(kernel(emb, sorted({*VISION_GAMMAS, *TEXT_GAMMAS}), method))
+
+
+def mmd_multiscale(emb: DataFrame, gammas: Sequence[float], method: str = "exact", known: DataFrame | None = None, **options) -> DataFrame:
     """One row: mean and population deviation over the kernel widths, from one pass over the pairs, and the method."""
-    return kernel(emb, gammas, method, **options).agg(
+    return kernel(emb, gammas, method, known, **options).agg(
         F.avg("mmd").alias("mmd_mean"), F.stddev_pop("mmd").alias("mmd_std"), F.lit(method).alias("mmd_method"))
 
 
@@ -270,14 +312,14 @@ def weighted(weights: dict[str, tuple[float, float]]) -> Column:
     return sum(parts[1:], parts[0])
 
 
-def ensemble_vision(emb: DataFrame, method: str = "exact") -> DataFrame:
-    row = one_row(mmd_multiscale(emb, VISION_GAMMAS, method), mean_distances(emb), wasserstein_projected(emb),
+def ensemble_vision(emb: DataFrame, method: str = "exact", known: DataFrame | None = None) -> DataFrame:
+    row = one_row(mmd_multiscale(emb, VISION_GAMMAS, method, known), mean_distances(emb), wasserstein_projected(emb),
                   psi_pca_row(emb, fit_on="base", fit_components=10, score_components=5))
     return row.withColumn("ensemble", weighted(VISION_WEIGHTS))
 
 
-def ensemble_text(emb: DataFrame, method: str = "exact") -> DataFrame:
-    row = one_row(mmd_multiscale(emb, TEXT_GAMMAS, method), mean_distances(emb),
+def ensemble_text(emb: DataFrame, method: str = "exact", known: DataFrame | None = None) -> DataFrame:
+    row = one_row(mmd_multiscale(emb, TEXT_GAMMAS, method, known), mean_distances(emb),
                   psi_pca_row(emb, fit_on="both", fit_components=3, score_components=3))
     return row.withColumn("ensemble", weighted(TEXT_WEIGHTS))
 

@@ -89,8 +89,11 @@ def resolve_detector(modality: str, name: str) -> str:
     return known[name]
 
 
-def embedding_drift(emb: DataFrame, modality: str, detector: str = "default", method: str = "exact") -> DataFrame:
-    """(modality, detector, metric, embedding_drift, mmd_method); the method is null where no kernel is in the score."""
+def embedding_drift(emb: DataFrame, modality: str, detector: str = "default", method: str = "exact", known: DataFrame | None = None) -> DataFrame:
+    """(modality, detector, metric, embedding_drift, mmd_method); the method is null where no kernel is in the score.
+
+    ``known`` are the kernel distances of the same rows and method (``embedding.kernels_of_ensembles``), for several detectors.
+    """
     metric = resolve_detector(modality, detector)
     if modality not in ("image", "text"):
         raise UnsupportedDetector(f"unsupported_detector: {modality!r} has no embeddings")
@@ -103,9 +106,9 @@ def embedding_drift(emb: DataFrame, modality: str, detector: str = "default", me
         row = embedding.psi_pca_row(emb, **options)
     elif metric == "mmd_mean":
         row = embedding.mmd_multiscale(
-            emb, embedding.TEXT_GAMMAS if modality == "text" else embedding.VISION_GAMMAS, method)
+            emb, embedding.TEXT_GAMMAS if modality == "text" else embedding.VISION_GAMMAS, method, known)
     else:
-        row = embedding.ensemble_text(emb, method) if modality == "text" else embedding.ensemble_vision(emb, method)
+        row = embedding.ensemble_text(emb, method, known) if modality == "text" else embedding.ensemble_vision(emb, method, known)
     return row.select(F.lit(modality).alias("modality"), F.lit(detector).alias("detector"),
                       F.lit(metric).alias("metric"), F.col(metric).alias("embedding_drift"),
                       F.lit(method if metric in ("mmd_mean", "ensemble") else None).cast("string").alias("mmd_method"))

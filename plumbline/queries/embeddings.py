@@ -79,7 +79,8 @@ def emb_mmd(spark, sf):
 SELECT 'text', round(avg(mmd), 6), round(stddev_pop(mmd), 6) FROM mmd WHERE gamma IN (0.5, 1, 2)""")
 def emb_mmd_multiscale(spark, sf):
     e = pair(spark, sf)
-    out = [E.mmd_multiscale(e, g).select(F.lit(n).alias("scales"), r("mmd_mean").alias("mmd_mean"), r("mmd_std").alias("mmd_std"))
+    known = E.kernels_of_ensembles(e)
+    out = [E.mmd_multiscale(e, g, known=known).select(F.lit(n).alias("scales"), r("mmd_mean").alias("mmd_mean"), r("mmd_std").alias("mmd_std"))
            for n, g in (("vision", E.VISION_GAMMAS), ("text", E.TEXT_GAMMAS))]
     return out[0].unionByName(out[1])
 
@@ -250,10 +251,10 @@ def drift_advanced_rest(spark, sf):
 def drift_detector_select(spark, sf):
     """Every detector that works on embeddings."""
     e = pair(spark, sf)
-    out = None
+    known, out = E.kernels_of_ensembles(e), None
     for modality in ("image", "text"):
         for name in fusion.DETECTORS[modality]:
-            one = fusion.embedding_drift(e, modality, name)
+            one = fusion.embedding_drift(e, modality, name, known=known)
             out = one if out is None else out.unionByName(one)
     return out
 
@@ -270,9 +271,9 @@ _DETECTORS = [("image", "mean_shift", "mean_shift", "mean_shift", False), ("imag
            f"{chr(39) + 'exact' + chr(39) if kernel else 'NULL'}::VARCHAR AS mmd_method FROM x" for m, d, k, q, kernel in _DETECTORS))
 def drift_detector_select_rest(spark, sf):
     e = pair(spark, sf)
-    out = None
+    known, out = E.kernels_of_ensembles(e), None
     for modality, name, *_ in _DETECTORS:
-        one = fusion.embedding_drift(e, modality, name)
+        one = fusion.embedding_drift(e, modality, name, known=known)
         out = one if out is None else out.unionByName(one)
     return out.withColumn("embedding_drift", r("embedding_drift"))
 

@@ -346,3 +346,34 @@ def test_distribution_profile(spark):
     assert a["skewness"] == pytest.approx((((pos - pos.mean()) / pos.std()) ** 3).mean())
     assert a["n_high"] == (x > np.percentile(x, 90)).sum() and a["q50"] == pytest.approx(np.median(x))
     assert (a["shape"], got["b"]["shape"], got["c"]["shape"]) == ("right_skewed", "no_activation", "insufficient_data")
+
+
+def test_kernel_sums_need_few_mb():
+    """Four workers share an executor's memory; matrices of a strip by a block took each of them more than a GB."""
+    import tracemalloc
+    draw = np.random.default_rng(5)
+    a, b = draw.normal(0, 0.2, (3000, 4)), draw.normal(0.1, 0.2, (8192, 4))
+    gammas = [2.0, 0.3, 0.1, 0.5, 1.0, 5.0]
+    tracemalloc.start()
+    found, n = E.kernel_sums(a, b, gammas, False)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6 and n == 3000 * 8192
+    few = b[:700]
+    d2 = ((few[:, None] - few[None]) ** 2).sum(-1)[np.triu_indices(len(few), 1)]
+    for clip in (None, 0.05):
+        got, n = E.kernel_sums(few, few, gammas, True, clip, strip=90)
+        assert n == len(d2)
+        assert got == pytest.approx([np.exp(-g * (d2 if clip is None else np.clip(d2, -clip, clip))).sum() for g in sorted(gammas)], rel=1e-12)
+
+
+def test_detectors_share_one_pass_over_the_pairs(spark):
+    d = emb(spark, EX, EY)
+    known = E.kernels_of_ensembles(d)
+    calls = []
+    for modality, name in (("image", "mmd"), ("text", "mmd_only"), ("image", "ensemble"), ("text", "default")):
+        one = fusion.embedding_drift(d, modality, name).first()["embedding_drift"]
+        shared = fusion.embedding_drift(d, modality, name, known=known)
+        assert shared.first()["embedding_drift"] == pytest.approx(one, abs=1e-12)
+        calls.append("FlatMapGroupsInPandas" in shared._jdf.queryExecution().toString())
+    assert not any(calls)
