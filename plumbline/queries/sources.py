@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from . import query, table
 from ..operators import manifest, profile
-from ..plans.frames import r
+from ..plans.frames import r, spread
 from ..plans.scratch import scratch_path
 from ..sources import annotations, arrow_files, tables
 from ..sources.cache import AnalysisCache
@@ -104,14 +104,18 @@ def src_yolo_labels(spark, sf):
     return yolo_labels(spark, sf).select("item", "class_id", "cx", "cy", "w", "h", "class")
 
 
+#: Objects of an annotation file, some 230 bytes each: XML is read by whole files.
+VOC_OBJECTS = 50_000
+
+
 def write_voc(spark, sf):
-    """Annotation XML with one object per part, the class from its name."""
+    """Annotation XML with one object per part, the class from its name, in files of a bounded size."""
     path = scratch_path(spark, "voc")
-    p = table(spark, sf, "part")
+    p = spread(table(spark, sf, "part"), "p_partkey")
     box = F.struct(*[(F.col("p_size") * k).cast("double").alias(c) for k, c in enumerate(("xmin", "ymin", "xmax", "ymax"), 1)])
     objects = p.select(F.array(F.struct(F.concat(F.lit(" "), F.split_part("p_name", F.lit(" "), F.lit(2)), F.lit(" ")).alias("name"),
                                         box.alias("bndbox"))).alias("object"))
-    objects.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").save(path)
+    objects.write.format("xml").option("rootTag", "annotations").option("rowTag", "annotation").option("maxRecordsPerFile", VOC_OBJECTS).save(path)
     return path
 
 

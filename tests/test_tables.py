@@ -259,3 +259,13 @@ def test_csv_union_reads_once_per_header(spark, tmp_path, monkeypatch):
     rows = {r["_id"]: (r["text"], r["lang"], r["_source_file"]) for r in got.collect()}
     assert len(reads) == 2
     assert rows == {f"f{k}_0": (f"t{k}", "en", f"f{k}.csv") for k in range(200)}
+
+
+def test_annotation_files_are_bounded(spark, tmp_path, monkeypatch):
+    """XML is read by whole files, so a large table makes many of them."""
+    from plumbline.queries import sources
+    monkeypatch.setattr(sources, "VOC_OBJECTS", 10)
+    spark.range(300).selectExpr("id AS p_partkey", "concat('a kind', id % 3, ' z') AS p_name", "cast(id AS int) AS p_size").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    path = sources.write_voc(spark, str(tmp_path))
+    found = annotations.read_voc_objects(spark, path).groupBy("file").count().collect()
+    assert sum(r["count"] for r in found) == 300 and max(r["count"] for r in found) <= 10
