@@ -1,9 +1,9 @@
 """Table functions for SQL: the stability index of any table, by partition, from bins instead of rows.
 
-``psi_bins(TABLE(...) PARTITION BY (...), bins)`` takes rows (key, side, value, lo, hi) and keeps counts
-only: an array of bins for each key and side that its partition holds, whatever the number of
-rows. It gives (key, side, bin, n) for each partition. Partitions may cut a key in any number of
-parts, by a salt for instance, so a key with a third of all rows is many tasks' work.
+``psi_bins(TABLE(...), bins)`` takes rows (key, side, value, lo, hi) and keeps counts only: an array of bins for each
+key and side that its partition holds, whatever the number of rows, and lets them go beyond ``MOST`` arrays. It gives
+(key, side, bin, n) for each partition, a key perhaps more than once. Partitions may cut a key in any number of
+parts: rows are counted where they lie, without a shuffle or a sort, so a key with a third of all rows is many tasks' work.
 
 ``psi_of_bins(TABLE(...) PARTITION BY (...), bins)`` merges such counts and scores them. It takes any table
 with ``side``, ``bin`` and ``n``, learns the other columns and their types when the query is
@@ -22,12 +22,15 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import arrow_udtf, udtf
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 SIDES = ("base", "target")
+#: Arrays of counts that a task keeps before it hands them on.
+MOST = 100_000
 
 
 class PsiBins:
@@ -39,17 +42,20 @@ class PsiBins:
     def eval(self, rows: pa.RecordBatch, bins: pa.Array) -> Iterator[pa.Table]:
         if rows.num_rows:
             self._add(rows, bins[0].as_py())
-        return iter(())
+        if len(self.counts) > MOST:
+            yield from self.terminate()
+            self.counts = {}
 
     def _add(self, rows: pa.RecordBatch, bins: int) -> None:
         value, lo, hi = (rows.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("value", "lo", "hi"))
         with np.errstate(divide="ignore", invalid="ignore"):
             place = np.where(hi == lo, 0, np.minimum(np.floor((value - lo) / (hi - lo) * bins), bins - 1))
-        side = rows.column("side").to_numpy(zero_copy_only=False)
+        side = rows.column("side").cast(pa.string())
+        base, target = (pc.fill_null(pc.equal(side, s), False).to_numpy(zero_copy_only=False) for s in SIDES)
         codes = rows.column("key").cast(pa.string()).dictionary_encode("encode")
         key = codes.indices.to_numpy()
-        keep = np.isfinite(value) & np.isfinite(place) & np.isin(side, SIDES)
-        which = (side == SIDES[1]).astype(np.int64)
+        keep = np.isfinite(value) & np.isfinite(place) & (base | target)
+        which = target.astype(np.int64)
         cell = ((key * 2 + which) * bins)[keep] + np.maximum(place[keep], 0).astype(np.int64)
         totals = np.bincount(cell, minlength=len(codes.dictionary) * 2 * bins).reshape(-1, 2, bins)
         for k, name in enumerate(codes.dictionary.to_pylist()):
@@ -112,20 +118,23 @@ def psi(spark: SparkSession, view: str, side: str, columns: Sequence[str], by: S
     """(by..., attr, n_base, n_target, score): the index of each column of a view for each group, one SQL statement.
 
     ``side`` is an SQL expression with values ``base`` and ``target``. Ranges are those of both sides of a
-    group together. ``parts`` is the number of partitions that a group of rows is cut into.
+    group together. ``parts`` deals each group of rows out to so many partitions; without it rows are counted where they lie.
     """
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    part = f", pmod(monotonically_increasing_id(), {parts}) AS part" if parts else ""
+    dealt = "PARTITION BY (key, part)" if parts else ""
     groups = "".join(f"`{c}`, " for c in by)
+    # the text of a key is made once a group, and a null group is a group like any other
     key = f"to_json(struct({groups}attr))"
+    same = " AND ".join([*(f"long.`{c}` <=> ranges.`{c}`" for c in by), "long.attr = ranges.attr"])
     names = ", ".join(f"CAST(`{c}` AS DOUBLE) AS `{c}`" for c in columns)
     listed = ", ".join(f"`{c}`" for c in columns)
     fields = spark.table(view).schema
     types = ", ".join([*(f"`{c}` {fields[c].dataType.simpleString()}" for c in by), "attr string"])
     return spark.sql(f"""
-        WITH long AS (SELECT {groups}side, attr, value, {key} AS key FROM (SELECT {groups}{side} AS side, {names} FROM `{view}`)
+        WITH long AS (SELECT {groups}side, attr, value FROM (SELECT {groups}{side} AS side, {names} FROM `{view}`)
                       UNPIVOT (value FOR attr IN ({listed})) WHERE side IN ('base', 'target') AND abs(value) < CAST('Infinity' AS DOUBLE)),
-        ranges AS (SELECT key, min(value) AS lo, max(value) AS hi FROM long GROUP BY key),
-        dealt AS (SELECT key, side, value, lo, hi, pmod(monotonically_increasing_id(), {parts}) AS part FROM long JOIN ranges USING (key)),
-        counts AS (SELECT key, side, bin, sum(n) AS n FROM psi_bins(TABLE(SELECT * FROM dealt) PARTITION BY (key, part), {bins}) GROUP BY key, side, bin),
+        ranges AS (SELECT {groups}attr, {key} AS key, min(value) AS lo, max(value) AS hi FROM long GROUP BY {groups}attr),
+        dealt AS (SELECT key, side, value, lo, hi{part} FROM long JOIN ranges ON {same}),
+        counts AS (SELECT key, side, bin, sum(n) AS n FROM psi_bins(TABLE(SELECT * FROM dealt) {dealt}, {bins}) GROUP BY key, side, bin),
         scored AS (SELECT from_json(key, '{types}') AS k, n_base, n_target, score FROM psi_of_bins(TABLE(SELECT * FROM counts) PARTITION BY (key), {bins}))
         SELECT k.*, n_base, n_target, score FROM scored""")

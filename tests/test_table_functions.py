@@ -78,3 +78,20 @@ def test_state_does_not_grow_with_rows():
         assert list(state.eval(batch, pa.array([10]))) == []
     assert len(state.counts) == 2 and sum(sys.getsizeof(a) for a in state.counts.values()) < 1000
     assert sum(next(state.terminate()).column("n").to_pylist()) == 1_000_000
+
+
+def test_rows_are_counted_where_they_lie(spark, view):
+    """Only counts are shuffled: no exchange and no sort by salted keys under the function that takes the rows."""
+    plan = tables.psi(spark, view, "side", ["x", "y"], ["part"])._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(key" in plan and "part#" in plan
+    assert "hashpartitioning(_pythonudtf" not in plan.split("psi_bins", 1)[1] and "pmod(monotonically" not in plan
+
+
+def test_state_does_not_grow_with_keys(monkeypatch):
+    monkeypatch.setattr(tables, "MOST", 50)
+    state, seen = tables.PsiBins(), 0
+    for i in range(40):
+        batch = pa.record_batch({"key": [f"k{i}-{j}" for j in range(20)], "side": ["base"] * 20, "value": [0.5] * 20, "lo": [0.0] * 20, "hi": [1.0] * 20})
+        seen += sum(sum(t.column("n").to_pylist()) for t in state.eval(batch, pa.array([10])))
+        assert len(state.counts) <= 50
+    assert seen + sum(next(state.terminate()).column("n").to_pylist()) == 800
