@@ -13,6 +13,8 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
@@ -27,7 +29,10 @@ from . import drift
 # rows of a block, and of the strips in which a task works through a pair of blocks
 TILE_ROWS = 16_384
 STRIP_ROWS = 2048
-# columns that a quarter of a strip is worked through with at a time: 512 kB, which stay in the processor's cache
+# blocks that a table has at least, unless they came below so many rows
+LEAST_BLOCKS = 24
+LEAST_ROWS = 1024
+# columns that an eighth of a strip is worked through with at a time: 256 kB a matrix, so that the few matrices stay in the processor's cache
 COLUMNS = 128
 METHODS = ("exact", "random_features")
 
@@ -69,7 +74,9 @@ def pairwise_cosine(emb: DataFrame) -> DataFrame:
 
 def tiles(emb: DataFrame) -> DataFrame:
     """Each row once per block of rows, with the pair of blocks (i, j) it serves."""
-    blocks = max(1, math.ceil(emb.count() / TILE_ROWS))
+    rows = emb.count()
+    # also a small table is dealt out over a few hundred pairs of blocks, so that all cores have work and end together
+    blocks = max(1, math.ceil(rows / TILE_ROWS), min(LEAST_BLOCKS, math.ceil(rows / LEAST_ROWS)))
     mine = F.pmod(F.xxhash64(F.col("side"), F.col("key")), F.lit(blocks)).cast("int")
     # single precision takes half the room in the shuffle and is widened in the task
     v = F.col("embedding") if dict(emb.dtypes)["embedding"] == "array<float>" else F.col("embedding").cast("array<double>")
@@ -87,42 +94,65 @@ def powers(gammas: Sequence[float], most: int = 16) -> list[tuple[int | None, in
     return out
 
 
+def matrix(vectors: pa.ChunkedArray) -> np.ndarray | None:
+    """Vectors of one length, none of them null, as rows of a matrix; None without any."""
+    if not len(vectors):
+        return None
+    lengths = pc.unique(pc.list_value_length(vectors)).to_pylist()
+    if len(lengths) > 1 or lengths[0] is None:
+        raise ValueError(f"vectors of one length needed, not of {lengths}")
+    return np.concatenate([c.flatten().to_numpy(zero_copy_only=False) for c in vectors.chunks]).reshape(-1, lengths[0]).astype(np.float64)
+
+
+def power(x: np.ndarray, times: int, out: np.ndarray) -> np.ndarray:
+    """A whole power, multiplied out into ``out``; the first is x itself."""
+    if times == 1:
+        return x
+    half = power(x, times // 2, out)
+    square = np.multiply(half, half, out=out)
+    return np.multiply(square, x, out=out) if times % 2 else square
+
+
 def kernel_sums(a: np.ndarray, b: np.ndarray, gammas: Sequence[float], within: bool, clip: float | None = None,
                 strip: int = STRIP_ROWS) -> tuple[list[float], int]:
     """For each width the sum of the kernel over the pairs of rows, and their number; ``within`` takes each pair of a once.
 
-    Pairs are worked through in pieces of a quarter of ``strip`` rows by ``COLUMNS``. A kernel that is a power of a narrower one's is
-    multiplied out of it, which differs in the last bits.
+    Pairs are worked through in pieces of an eighth of ``strip`` rows by ``COLUMNS``, in the same few matrices. A kernel that is a power
+    of a narrower one's is multiplied out of it, which differs in the last bits; its last product is summed and only kept for others.
     """
-    gammas, strip = sorted(gammas), max(1, strip // 4)
+    gammas, strip = sorted(gammas), max(1, strip // 8)
     total, n, of = [0.0] * len(gammas), 0, powers(gammas)
-    left, right = (a * a).sum(1), (b * b).sum(1)
+    # one product gives |x|^2 + |y|^2 - 2xy
+    left = np.column_stack([a * -2.0, (a * a).sum(1), np.ones(len(a))])
+    right = np.column_stack([b, np.ones(len(b)), (b * b).sum(1)])
+    # a matrix for the distances, which becomes that of the last exponential, one for each kernel that others are made of, one for the rest
+    last = max((k for k, (base, _) in enumerate(of) if base is None), default=0)
+    kept = [k for k in range(len(gammas)) if k != last and any(k == base for base, _ in of)]
+    room, ones = np.empty((len(kept) + 2, strip * COLUMNS)), np.ones(strip * COLUMNS)
     for at in range(0, len(a), strip):
-        x = a[at:at + strip] * -2.0
+        x = left[at:at + strip]
         for first in range(at - at % COLUMNS if within else 0, len(b), COLUMNS):
-            d2 = x @ b[first:first + COLUMNS].T
-            d2 += left[at:at + strip, None]
-            d2 += right[None, first:first + COLUMNS]
+            y = right[first:first + COLUMNS]
+            d2 = np.matmul(x, y.T, out=room[0, :len(x) * len(y)].reshape(len(x), len(y)))
             d2 = np.clip(d2, -clip, clip, out=d2) if clip is not None else np.maximum(d2, 0, out=d2)
             if within and first < at + len(x):
                 d2 = d2[at + np.arange(len(x))[:, None] < first + np.arange(d2.shape[1])]
+            d2 = d2.ravel()
             n += d2.size
-            kernels: list[np.ndarray] = []
+            one = ones[:d2.size]
+            kernels = {k: room[1 + i, :d2.size] for i, k in enumerate(kept)} | {last: d2}
             for k, (base, times) in enumerate(of):
+                e = kernels.get(k, room[-1, :d2.size])
                 if base is None:
-                    e = d2 * -gammas[k]
-                    np.exp(e, out=e)
-                else:
-                    e, rest = None, times
-                    square = kernels[base]
-                    while rest:
-                        if rest & 1:
-                            e = square if e is None else e * square
-                        rest >>= 1
-                        if rest:
-                            square = square * square
-                kernels.append(e)
-                total[k] += float(e.sum())
+                    np.multiply(d2, -gammas[k], out=e)
+                    total[k] += float(np.exp(e, out=e) @ one)
+                    continue
+                whole = kernels[base]
+                part = power(whole, max(1, times - 1 if times % 2 else times // 2), e)
+                other = one if times == 1 else whole if times % 2 else part
+                total[k] += float(part @ other)
+                if k in kept:
+                    np.multiply(part, other, out=e)
     return total, n
 
 
@@ -155,22 +185,19 @@ def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip
     gammas = sorted(float(g) for g in gammas)
     strip = STRIP_ROWS
 
-    def of_blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        parts = {}
-        for block in {i, j}:
-            for side in (BASE, TARGET):
-                rows = pdf.loc[(pdf["block"] == block) & (pdf["side"] == side), "embedding"]
-                parts[block, side] = np.stack(rows.to_list()).astype(np.float64) if len(rows) else None
+    def of_blocks(rows: pa.Table) -> pa.Table:
+        i, j = rows["i"][0].as_py(), rows["j"][0].as_py()
+        parts = {(block, side): matrix(rows["embedding"].filter(pc.and_(pc.equal(rows["block"], block), pc.equal(rows["side"], side))))
+                 for block in {i, j} for side in (BASE, TARGET)}
         out = []
         pairs = [(BASE, BASE), (TARGET, TARGET), (BASE, TARGET)] + ([(TARGET, BASE)] if i != j else [])
         for s, t in pairs:
             kind, a, b = s if s == t else "cross", parts[i, s], parts[j, t]
             found, n = ([0.0] * len(gammas), 0) if a is None or b is None else kernel_sums(a, b, gammas, i == j and s == t, clip, strip)
-            out += [(g, kind, k, n) for g, k in zip(gammas, found)]
-        return pd.DataFrame(out, columns=["gamma", "kind", "k", "n"])
+            out += [{"gamma": g, "kind": kind, "k": k, "n": n} for g, k in zip(gammas, found)]
+        return pa.Table.from_pylist(out)
 
-    sums = grouped(tiles(emb), "i", "j").applyInPandas(of_blocks, "gamma double, kind string, k double, n bigint")
+    sums = grouped(tiles(emb), "i", "j").applyInArrow(of_blocks, "gamma double, kind string, k double, n bigint")
 
     def mean_of(kind: str) -> Column:
         hit = F.col("kind") == kind

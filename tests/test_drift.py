@@ -377,3 +377,43 @@ def test_detectors_share_one_pass_over_the_pairs(spark):
         assert shared.first()["embedding_drift"] == pytest.approx(one, abs=1e-12)
         calls.append("FlatMapGroupsInPandas" in shared._jdf.queryExecution().toString())
     assert not any(calls)
+
+
+def test_kernel_sums_stay_in_the_same_few_matrices():
+    import tracemalloc
+    draw = np.random.default_rng(6)
+    a, b = draw.normal(0, 0.2, (3000, 4)), draw.normal(0.1, 0.2, (4096, 4))
+    for gammas, most in ((E.VISION_GAMMAS, 2.5e6), ([1.0], 2.0e6)):
+        tracemalloc.start()
+        E.kernel_sums(a, b, gammas, False)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < most
+    d2 = ((a[:500, None] - b[None, :300]) ** 2).sum(-1)
+    for gammas in ([0.5, 0.5, 1.0], [0.3, 0.7], [0.3, 0.7, 1.4, 2.1], [0.0, 1.0], [0.01, 1.0]):
+        found, n = E.kernel_sums(a[:500], b[:300], gammas, False, strip=90)
+        assert n == d2.size and found == pytest.approx([np.exp(-g * d2).sum() for g in gammas], rel=1e-11)
+
+
+def test_small_tables_are_dealt_over_many_pairs_of_blocks(spark):
+    rows = spark.range(24_000).select(F.when(F.col("id") % 2 == 0, "base").otherwise("target").alias("side"), F.col("id").alias("key"),
+                                      F.array((F.col("id") % 7).cast("float")).alias("embedding"))
+    t = E.tiles(rows)
+    assert t.select("i", "j").distinct().count() == 24 * 25 // 2 and t.count() == 24 * 24_000
+    assert E.tiles(rows.where("key < 900")).select("i", "j").distinct().count() == 1
+
+
+def test_vectors_of_a_block_come_without_an_object_a_row(spark):
+    import pyarrow as pa
+    known = E.kernels_of_ensembles(emb(spark, EX, EY))
+    plans = [d._jdf.queryExecution().toString() for d in (E.mmd(emb(spark, EX, EY), [0.5]), E.mmd_multiscale(emb(spark, EX, EY), [0.5], known=known))]
+    assert ["FlatMapGroupsInArrow" in p for p in plans] == [True, False] and "FlatMapGroupsInPandas" not in plans[0]
+    parts = pa.chunked_array([pa.array([[0.5, 1.0], [2.0, None]], pa.list_(pa.float32())), pa.array([[3.0, 4.0]], pa.list_(pa.float32()))])
+    found = E.matrix(parts[1:])
+    assert found.dtype == np.float64 and np.array_equal(found, [[2, np.nan], [3, 4]], equal_nan=True)
+    assert E.matrix(parts[:0]) is None
+    for odd in ([[1.0], [1.0, 2.0]], [[1.0], None], [None]):
+        with pytest.raises(ValueError):
+            E.matrix(pa.chunked_array([pa.array(odd, pa.list_(pa.float64()))]))
+    nothing = emb(spark, EX, EY).where("side = 'base'")
+    assert [r["mmd"] for r in E.mmd(nothing, [0.5]).collect()] == [0.0] and E.mmd(nothing.where("key < 0"), [0.5]).collect() == []
