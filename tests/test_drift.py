@@ -417,3 +417,36 @@ def test_vectors_of_a_block_come_without_an_object_a_row(spark):
             E.matrix(pa.chunked_array([pa.array(odd, pa.list_(pa.float64()))]))
     nothing = emb(spark, EX, EY).where("side = 'base'")
     assert [r["mmd"] for r in E.mmd(nothing, [0.5]).collect()] == [0.0] and E.mmd(nothing.where("key < 0"), [0.5]).collect() == []
+
+
+def test_kernel_sums_go_over_a_piece_few_times(monkeypatch):
+    """Seconds of the exact kernel distance: a product of rows that lie together, one cut at 0 and one exponential for a single width."""
+    draw = np.random.default_rng(7)
+    a, b = draw.normal(0, 0.2, (600, 4)), draw.normal(0.1, 0.2, (700, 4))
+    passes, together = {}, []
+    for name in ("matmul", "maximum", "minimum", "multiply", "exp", "clip"):
+        def spy(x, *rest, real=getattr(np, name), name=name, **options):
+            out = real(x, *rest, **options)
+            passes[name] = passes.get(name, 0) + out.size
+            if name == "matmul":
+                together.append(x.flags.c_contiguous and rest[0].flags.c_contiguous)
+            return out
+        monkeypatch.setattr(E.np, name, spy)
+    found, n = E.kernel_sums(a, b, [1.0], False)
+    monkeypatch.undo()
+    assert passes == {"matmul": n, "minimum": n, "exp": n} and all(together)
+    assert found == pytest.approx([np.exp(-((a[:, None] - b[None]) ** 2).sum(-1)).sum()], rel=1e-12)
+
+
+def test_kernel_sums_of_copies_and_odd_widths():
+    draw = np.random.default_rng(8)
+    a = np.repeat(draw.normal(50, 20, (1, 5)), 300, axis=0)
+    # rounding leaves no kernel above 1
+    found, n = E.kernel_sums(a, a, [0.5, 3.0], True)
+    assert n == 300 * 299 // 2 and all(n * (1 - 1e-9) < k <= n for k in found)
+    few, more = draw.normal(0, 0.3, (40, 3)), draw.normal(0, 0.3, (50, 3))
+    d2 = ((few[:, None] - more[None]) ** 2).sum(-1)
+    for gammas in ([0.0], [0.0, 0.0], [-1.0, 0.0], [-1.0, 0.7], [0.01, 1.0, 1.0]):
+        for clip in (None, 0.1):
+            found, n = E.kernel_sums(few, more, gammas, False, clip)
+            assert found == pytest.approx([np.exp(-g * (d2 if clip is None else np.clip(d2, -clip, clip))).sum() for g in gammas], rel=1e-11)
