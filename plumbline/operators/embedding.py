@@ -85,6 +85,11 @@ def tiles(emb: DataFrame) -> DataFrame:
             .withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other")))
 
 
+def keyed(emb: DataFrame) -> DataFrame:
+    """Rows with a key by which blocks are dealt: rows that share a key, or have none, but not the vector, lie in blocks of their own."""
+    return emb.withColumn("key", F.xxhash64("side", "key", "embedding"))
+
+
 def powers(gammas: Sequence[float], most: int = 16) -> list[tuple[int | None, int]]:
     """For each kernel width an earlier one and the whole power of its kernel that gives this one's; (None, 0) without one."""
     out: list[tuple[int | None, int]] = []
@@ -187,6 +192,8 @@ def mmd(emb: DataFrame, gammas: Sequence[float], standardize: str = "none", clip
     """
     if standardize not in ("none", "per_set"):
         raise ValueError(f"unknown standardize {standardize!r}")
+    # by the vectors as they came: scaled ones depend on the order of sums
+    emb = keyed(emb)
     if standardize == "per_set":
         emb = standardized(emb)
     gammas = sorted(float(g) for g in gammas)

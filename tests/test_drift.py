@@ -403,6 +403,25 @@ def test_small_tables_are_dealt_over_many_pairs_of_blocks(spark):
     assert E.tiles(rows.where("key < 900")).select("i", "j").distinct().count() == 1
 
 
+@pytest.mark.parametrize("standardize", ["none", "per_set"])
+@pytest.mark.parametrize("key", [None, 7])
+def test_rows_that_share_a_key_are_dealt_over_blocks(spark, monkeypatch, key, standardize):
+    monkeypatch.setattr(E, "TILE_ROWS", 16)
+    rows, sizes, tiles = emb(spark, EX, EY).withColumn("key", F.lit(key).cast("long")), [], E.tiles
+
+    def seen(d):
+        t = tiles(d)
+        sizes.extend(r["count"] for r in t.where("i = j").groupBy("i").count().collect())
+        return t
+
+    monkeypatch.setattr(E, "tiles", seen)
+    got = E.mmd(rows, [0.1], standardize=standardize).first()["mmd"]
+    x, y = (EX, EY) if standardize == "none" else [(m - m.mean(0)) / (m.std(0) + 1e-8) for m in (EX, EY)]
+    assert got == pytest.approx(brute_mmd(x, y, 0.1), abs=1e-9)
+    # 105 rows in 7 blocks of 15 on average
+    assert sum(sizes) == 105 and max(sizes) < 40
+
+
 def test_vectors_of_a_block_come_without_an_object_a_row(spark):
     import pyarrow as pa
     known = E.kernels_of_ensembles(emb(spark, EX, EY))
